@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songsieve.llm import mixing, secrets
+from songsieve.llm import mixing, rans, secrets, toxicity
 from songsieve.llm.common import read
 
 
+#: Ids of the byte-level vocabulary.
+BYTE_BPE_IDS = 50_257
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies; never a copy of our own."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read back from a written file of token ids."""
+    back = rans.round_trip(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), BYTE_BPE_IDS)
+    return back.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets per document: counts of the base kinds, a digest of their spans, all spans."""
     found = secrets.spans(read(spark, sf_dir, "documents"))
@@ -22,6 +39,14 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and decision of every document by a model fitted on the labels."""
+    docs = read(spark, sf_dir, "documents")
+    got = toxicity.scored(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    held_out = toxicity.remainder(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) == 2
+    return got.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes, with its source's target."""
     return mixing.planned(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -56,7 +81,9 @@ SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u
 
 def queries() -> dict:
     return {
+        "op4_token_ids": op4_token_ids,
         "op6_secret_scans": op6_secret_scans,
+        "op7_toxicity": op7_toxicity,
         "op8_mixing": op8_mixing,
     }
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songsieve.llm import mixing, rans, secrets, toxicity
+from songsieve.llm import mixing, pieces, rans, secrets, toxicity
 from songsieve.llm.common import read
 
-
 #: Ids of the byte-level vocabulary.
 BYTE_BPE_IDS = 50_257
 
@@ -52,6 +51,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.planned(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as unigram pieces, and a digest of the text decoded from them."""
+    got = pieces.with_pieces(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return got.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
@@ -85,6 +90,7 @@ def queries() -> dict:
         "op6_secret_scans": op6_secret_scans,
         "op7_toxicity": op7_toxicity,
         "op8_mixing": op8_mixing,
+        "op10_pieces": op10_pieces,
     }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songsieve.llm import mixing, pieces, rans, secrets, toxicity
+from songsieve.llm import html_text, mixing, pieces, rans, secrets, toxicity
 from songsieve.llm.common import read
 
 #: Ids of the byte-level vocabulary.
@@ -19,6 +19,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extracted(read(spark, sf_dir, "pages"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents read back from a written file of token ids."""
     back = rans.round_trip(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), BYTE_BPE_IDS)
@@ -86,6 +91,7 @@ SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u
 
 def queries() -> dict:
     return {
+        "op1_html_text": op1_html_text,
         "op4_token_ids": op4_token_ids,
         "op6_secret_scans": op6_secret_scans,
         "op7_toxicity": op7_toxicity,

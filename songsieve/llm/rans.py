@@ -44,9 +44,9 @@ MEMO_WORDS = 1_000_000  # words whose ids a worker keeps
 class Tokens:
     """Encodes texts with a tokenizers file, remembering the ids of space-separated words.
 
-    A space between two other characters always begins a new piece in byte-level BPE's
-    splitting rule, and a mark after letters does so too, so the words of a text can be
-    encoded apart; texts are cut nowhere else.
+    By byte-level BPE's splitting rule a space between two other characters always begins
+    a new piece, a line feed between two others is one, and so is a mark after letters: the
+    words of a text can be encoded apart. Texts are cut nowhere else.
     """
 
     def __init__(self, path: str, dtype: str, end: int):
@@ -61,41 +61,45 @@ class Tokens:
         self.cut = re.compile(r"(?<=\S) (?=\S)").split
         self.feed = self.ids(["\n"])[0]
         self.marks = dict(zip(",.;:!?", self.ids([*",.;:!?"]), strict=True))
-        self.memo: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}  # ids of words after a space
+        self.heads: dict[str, bytes] = {}  # ids of words at the start of a line
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, t: str) -> list[str]:
-        """The text cut at its single inner spaces."""
-        odd = "  " in t or "\n " in t or " \n" in t or self.rare(t) or t[0].isspace() or t[-1].isspace()
-        return self.cut(t) if odd else t.split(" ")
-
-    def learn(self, fresh: set[str]) -> None:
-        """Remember the ids that words have after a space."""
+    def lines(self, t: str | None) -> list[list[str]]:
+        """The text cut at its single inner line feeds and spaces, or at single inner spaces alone."""
+        if not t:
+            return []
+        odd = "  " in t or "\n " in t or " \n" in t or "\n\n" in t or self.rare(t) or t[0].isspace() or t[-1].isspace()
+        return [self.cut(t)] if odd else [line.split(" ") for line in t.split("\n")]
+
+    def learn(self, words: set[str], memo: dict[str, bytes], lead: str) -> None:
+        """Remember the ids that the words have after ``lead``."""
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        fresh = words.difference(memo)
         bare = {w: w[:-1] for w in fresh if w[-1] in self.marks and w[:-1].isalpha()}
-        wanted = {bare.get(w, w) for w in fresh}.difference(self.memo)
-        # words without a line feed are encoded many at once, apart by line feeds, whose id then marks the ends
-        plain = [w for w in wanted if "\n" not in w]
+        wanted = {bare.get(w, w) for w in fresh}.difference(memo)
+        # most words are encoded many at once, apart by line feeds, whose id then marks the ends
+        plain = [w for w in wanted if "\n" not in w and not w[0].isspace() and not w[-1].isspace()]
+        feed = np.frombuffer(self.feed, self.dtype)[0]
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
-            ids = np.array(self.lib.encode_batch_fast([" " + "\n ".join(some) + "\n"], add_special_tokens=False)[0].ids, self.dtype)
-            raw, ends = ids.tobytes(), (np.flatnonzero(ids == np.frombuffer(self.feed, self.dtype)[0]) * ids.itemsize).tolist()
-            self.memo.update(zip(some, map(lambda a, b: raw[a:b], [0, *[e + ids.itemsize for e in ends[:-1]]], ends), strict=True))
+            ids = np.array(self.lib.encode_batch_fast([lead + f"\n{lead}".join(some) + "\n"], add_special_tokens=False)[0].ids, self.dtype)
+            raw, ends = ids.tobytes(), (np.flatnonzero(ids == feed) * ids.itemsize).tolist()
+            memo.update(zip(some, map(lambda a, b: raw[a:b], [0, *[e + ids.itemsize for e in ends[:-1]]], ends), strict=True))
         rest = list(wanted.difference(plain))
-        self.memo.update(zip(rest, self.ids([" " + w for w in rest]), strict=True))
+        memo.update(zip(rest, self.ids([lead + w for w in rest]), strict=True))
         for w, b in bare.items():
-            self.memo[w] = self.memo[b] + self.marks[w[-1]]
+            memo[w] = memo[b] + self.marks[w[-1]]
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.words(t) if t else [] for t in texts]
-        heads = iter(self.ids([words[0] for words in split if words]))
-        tails = [words[1:] for words in split]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        self.learn(set(chain.from_iterable(tails)).difference(self.memo))
-        known = self.memo.__getitem__
-        return [b"".join([next(heads) if words else b"", *map(known, tail), self.end]) for words, tail in zip(split, tails, strict=True)]
+        docs = [self.lines(t) for t in texts]
+        self.learn({line[0] for doc in docs for line in doc}, self.heads, "")
+        self.learn(set(chain.from_iterable(line[1:] for doc in docs for line in doc)), self.tails, " ")
+        head, tail, feed = self.heads, self.tails.__getitem__, self.feed
+        return [feed.join(b"".join([head[line[0]], *map(tail, line[1:])]) for line in doc) + self.end for doc in docs]
 
 
 _tokens: dict[tuple, Tokens] = {}

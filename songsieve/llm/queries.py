@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songsieve.llm import html_text, mixing, pieces, rans, secrets, toxicity
+from songsieve.llm import html_text, jaccard, mixing, pieces, rans, secrets, toxicity
 from songsieve.llm.common import read
 
 #: Ids of the byte-level vocabulary.
@@ -24,6 +24,12 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(read(spark, sf_dir, "pages"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose sets of three-word shingles have a Jaccard of 0.9 or more."""
+    got = jaccard.classes(read(spark, sf_dir, "documents"), n=3, percent=90)
+    return got.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents read back from a written file of token ids."""
     back = rans.round_trip(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), BYTE_BPE_IDS)
@@ -92,6 +98,7 @@ SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u
 def queries() -> dict:
     return {
         "op1_html_text": op1_html_text,
+        "op2_ngram_jaccard": op2_ngram_jaccard,
         "op4_token_ids": op4_token_ids,
         "op6_secret_scans": op6_secret_scans,
         "op7_toxicity": op7_toxicity,

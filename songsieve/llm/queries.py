@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songsieve.llm import html_text, jaccard, mixing, pieces, rans, secrets, toxicity
+from songsieve.llm import ann, html_text, jaccard, mixing, neardup, pieces, rans, secrets, toxicity
 from songsieve.llm.common import read
 
 #: Ids of the byte-level vocabulary.
@@ -30,12 +30,22 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every row whose id is divisible by 100."""
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents read back from a written file of token ids."""
     back = rans.round_trip(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), BYTE_BPE_IDS)
     return back.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op5_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of embeddings of the same label by a cosine of 0.93 or more."""
+    return neardup.near_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets per document: counts of the base kinds, a digest of their spans, all spans."""
     found = secrets.spans(read(spark, sf_dir, "documents"))
@@ -99,7 +109,9 @@ def queries() -> dict:
     return {
         "op1_html_text": op1_html_text,
         "op2_ngram_jaccard": op2_ngram_jaccard,
+        "op3_nearest": op3_nearest,
         "op4_token_ids": op4_token_ids,
+        "op5_embedding_dups": op5_embedding_dups,
         "op6_secret_scans": op6_secret_scans,
         "op7_toxicity": op7_toxicity,
         "op8_mixing": op8_mixing,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songsieve.llm import ann, html_text, jaccard, mixing, neardup, pieces, rans, secrets, toxicity
+from songsieve.llm import ann, bwt_dedup, html_text, jaccard, mixing, neardup, pieces, rans, secrets, toxicity
 from songsieve.llm.common import read
 
 #: Ids of the byte-level vocabulary.
@@ -72,6 +72,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.planned(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document left when 100-byte strings that also start earlier are removed."""
+    return bwt_dedup.without_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as unigram pieces, and a digest of the text decoded from them."""
     got = pieces.with_pieces(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
@@ -115,6 +120,7 @@ def queries() -> dict:
         "op6_secret_scans": op6_secret_scans,
         "op7_toxicity": op7_toxicity,
         "op8_mixing": op8_mixing,
+        "op9_repeated_bytes": op9_repeated_bytes,
         "op10_pieces": op10_pieces,
     }
 

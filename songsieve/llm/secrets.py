@@ -136,12 +136,12 @@ def _located(text: Column, rule: Rule) -> Column:
     return F.aggregate(zipped, zero, step, lambda acc: acc["spans"])
 
 
-def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", rules=RULES) -> DataFrame:
-    """Every row of (key, text) with ``found``: sorted structs (start, rank, kind, stop).
+def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", rules=RULES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every row's key, text and ``keep`` columns with ``found``: sorted structs (start, rank, kind, stop).
 
     Spans are leftmost and non-overlapping per kind; kinds may overlap each other.
     """
-    base = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    base = docs.select(*keep, F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     cand = candidates(base, "key", "text", rules).select(F.col("key").alias("c_key"), "rules")
     joined = base.join(cand, F.col("key").eqNullSafe(F.col("c_key")), "left")
     none = F.array().cast("array<struct<start:int,stop:int>>")
@@ -149,11 +149,12 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", rules=RULES)
         due = F.array_contains("rules", r.name) if trigram_query(r.regex) else F.lit(True)
         hit = F.when(due, F.col("text").rlike(r.regex)).otherwise(F.lit(False))
         joined = joined.withColumn(f"s_{r.name}", F.when(hit, _located(F.col("text"), r)).otherwise(none))
+
     def named(n: int, r: Rule) -> Column:
         return F.transform(f"s_{r.name}", lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("rank"), F.lit(r.name).alias("kind"), s["stop"].alias("stop")))
 
     found = F.array_sort(F.concat(*[named(n, r) for n, r in enumerate(rules)]))
-    return joined.select(F.col("key").alias(key), F.col("text").alias(text), found.alias("found"))
+    return joined.select(*keep, F.col("key").alias(key), F.col("text").alias(text), found.alias("found"))
 
 
 def listed(found: Column) -> Column:

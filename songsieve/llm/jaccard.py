@@ -204,7 +204,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
     allowed = F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))
     own = F.when(F.col("n_a") >= F.col("n_b"), F.col("own_a")).otherwise(F.col("own_b"))
     near = (F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & sized(F.col("n_a"), F.col("n_b"))
-    alike = F.size(F.array_intersect("blocks_a", "blocks_b")) >= own - allowed
+    # a pair comes out at its first common block alone; had that a head or two members, it has been compared
+    common = F.array_intersect("blocks_a", "blocks_b")
+    alike = (F.size(common) >= own - allowed) & (common[0] == F.col("block"))
     pairs = side("a").join(side("b"), "block").where(near & alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
     found = written(links.union(verified(pairs, docs, key, text, n, percent)), "links")

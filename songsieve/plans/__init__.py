@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["texts"]
+MODULES = ["texts", "traffic", "screen"]
 
 
 def _modules():

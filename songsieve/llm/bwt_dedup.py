@@ -9,8 +9,8 @@ is dropped, and of equal segments all but the earliest are repeats as a whole.
 What is left, the unlike segments around recurring anchors, is sorted: the segments of a
 bucket of anchors are split into shards, each shard's suffixes are sorted and its
 Burrows-Wheeler transform is taken, and the transforms are merged by refining the
-interleave of their rows one symbol at a time. The refinement also keeps the blocks of rows
-that agree so far: after ``LENGTH`` steps the blocks are the repeated intervals, whose
+interleave of their rows, two symbols at a step. The refinement also keeps the blocks of
+rows that agree so far: after ``LENGTH`` symbols the blocks are the repeated intervals, whose
 common prefix is at least ``LENGTH``. No suffix is compared again.
 
 An anchor with more than ``CROWD`` unlike segments would make a large bucket; its windows
@@ -34,7 +34,7 @@ from songsieve.llm.common import forget, small, written
 
 LENGTH = 100
 GRAM = 32
-CHUNK = 4 << 20  # bytes whose anchors are found at once
+CHUNK = 1 << 20  # bytes whose anchors are found at once
 SHARDS = 4
 BUCKET = 1 << 20  # bytes in a bucket, about
 CROWD = 2000  # unlike segments of an anchor that a bucket may hold
@@ -175,58 +175,77 @@ def anchored(docs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- transforms
 
 
+DEPTH = 128  # symbols by which a shard's suffixes are sorted; more than LENGTH, so ties do not matter
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffixes of strings that each end in 0, in order; the ends are distinct and in text order."""
-    n = len(text)
-    ends = np.flatnonzero(text == 0)
-    rank = text.astype(np.int64) + len(ends)
-    rank[ends] = np.arange(len(ends))
-    width = 1
+    """Suffixes of strings that each end in 0 in the order of their first ``DEPTH`` symbols."""
+    n, ends = len(text), np.flatnonzero(text == 0)
+    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)  # symbols before the string's end
+    wide = np.concatenate([text, np.zeros(7, np.uint8)])
+    key = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(wide, 8)).view(">u8").ravel().astype(np.uint64)
+    drop = (8 * (8 - np.clip(left, 1, 8))).astype(np.uint64)
+    key = np.where(left > 0, key >> drop << drop, 0)  # nothing counts after a string's end
+    width = 8
     while True:
-        key = rank * np.int64(n + 257)
-        key[: n - width] += rank[width:] + 1
-        key[ends] = rank[ends] * np.int64(n + 257)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], (ordered[1:] != ordered[:-1]).astype(np.int64)]))
-        if rank[order[-1]] == n - 1:
+        new = np.ones(n, np.int64)
+        new[1:] = ordered[1:] != ordered[:-1]
+        rank = np.zeros(n + width, np.int64)
+        rank[order] = np.cumsum(new)
+        if width >= DEPTH or rank[order[-1]] == n:
             return order
+        # a suffix that has ended is told apart from longer ones already; what follows it is not read
+        key = rank[:n] * np.int64(n + 1) + np.where(left >= width, rank[width:], 0)
         width *= 2
 
 
 def transform(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     """The Burrows-Wheeler transform: the symbol before each suffix, 0 before a string's first."""
-    return np.where(order > 0, text[order - 1], 0).astype(np.uint8)
+    before = text[order - 1]
+    before[order == 0] = 0
+    return before
+
+
+def preceding(bwt: np.ndarray) -> np.ndarray:
+    """For each row the row of the suffix one symbol longer: equal symbols keep their order."""
+    out = np.empty(len(bwt), np.int64)
+    out[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
+    return out
 
 
-def merge(transforms: list[np.ndarray], steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' rows sorted by ``steps`` symbols, and the block of each row.
+def merge(transforms: list[np.ndarray], steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shard, row, block) of the suffixes that agree with another in their first ``steps`` symbols.
 
-    Only the transforms are read. A step puts the rows in order of the symbol before them,
-    keeping their order otherwise: they then are the rows of the suffixes one symbol longer.
-    Rows are in one block if they agree in the symbols seen so far; string ends are distinct.
+    Only the transforms are read. The rows of all shards start interleaved in one block. A
+    step extends each by the two symbols before it and puts them in the order of these,
+    keeping it otherwise: the interleave is then sorted by two symbols more, and rows stay
+    in one block if they agree in all symbols so far. Rows at a string's start cannot be
+    extended, and rows alone in their block stay alone; both are dropped. ``steps`` is even.
     """
-    sizes = [len(t) for t in transforms]
-    n, ends = sum(sizes), [int((t == 0).sum()) for t in transforms]
-    shard = np.repeat(np.arange(len(sizes), dtype=np.uint8), sizes)
-    first = np.repeat(np.arange(len(sizes), dtype=np.uint8), ends)
-    k = len(first)
-    block = np.zeros(n, np.int32)
-    symbol = np.empty(n, np.uint8)
-    for _ in range(steps):
-        for j, t in enumerate(transforms):
-            symbol[shard == j] = t
-        order = np.argsort(symbol, kind="stable")[k:]  # all but the rows that start with an end
-        symbols, blocks = symbol[order], block[order]
-        new = np.ones(n - k, np.int32)
-        if n > k:
-            new[1:] = (symbols[1:] != symbols[:-1]) | (blocks[1:] != blocks[:-1])
-        shard = np.concatenate([first, shard[order]])
-        block = np.concatenate([np.arange(k, dtype=np.int32), k - 1 + np.cumsum(new, dtype=np.int32)])
-        if block[-1] == n - 1:
-            break
-    return shard, block
+    base = np.cumsum([0, *map(len, transforms)])
+    symbol = np.concatenate(transforms)
+    back = np.concatenate([preceding(t) + b for t, b in zip(transforms, base, strict=False)])
+    pair = symbol.astype(np.uint16) << np.uint16(8) | symbol[back]
+    ends = (symbol == 0) | (symbol[back] == 0)
+    twice = back[back].astype(np.int32)
+    row = np.arange(len(symbol), dtype=np.int32)
+    block = np.zeros(len(symbol), np.int32)
+    for _ in range(steps // 2):
+        alive = ~ends[row]
+        row, block = row[alive], block[alive]
+        order = np.argsort(pair[row], kind="stable")
+        row, block = row[order], block[order]
+        symbols = pair[row]
+        new = np.ones(len(row), bool)
+        new[1:] = (symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1])
+        alone = new.copy()
+        alone[:-1] &= new[1:]
+        block = np.cumsum(new, dtype=np.int32)
+        row, block = twice[row[~alone]], block[~alone]
+    shard = np.searchsorted(base, row, "right") - 1
+    return shard, row - base[shard], block
 
 
 def repeated(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,13 +262,12 @@ def repeated(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.searchsorted(begin, order, "right") - 1
         owner.append(np.array(members)[at])
         offset.append(order - begin[at])
-    shard, block = merge(transforms, LENGTH)
+    shard, row, block = merge(transforms, LENGTH)
     text, place = np.empty(len(shard), np.int64), np.empty(len(shard), np.int64)
     for j in range(len(shards)):
         mine = shard == j
-        text[mine], place[mine] = owner[j], offset[j]
-    twice = np.bincount(block)[block] > 1
-    return block[twice], text[twice], place[twice]
+        text[mine], place[mine] = owner[j][row[mine]], offset[j][row[mine]]
+    return block, text, place
 
 
 # ---------------------------------------------------------------- jobs

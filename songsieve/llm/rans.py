@@ -35,7 +35,7 @@ EVERY = 64  # steps between checkpoints
 BLOCK_TOKENS = 1 << 18
 MAGIC = b"RANS0001"
 HEAD = struct.Struct("<8sIIIIQI")  # magic, docs, tokens, lanes, words, tokens before it in its shard, crc
-MEMO_WORDS = 1_000_000  # words whose ids a worker keeps
+MEMO_WORDS = 1_500_000  # words whose ids a worker keeps
 
 
 # ---------------------------------------------------------------- tokenizer
@@ -243,8 +243,8 @@ def frequencies(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     def run(batches):
         counts = np.zeros(vocabulary, np.int64)
         for b in batches:
-            for x in b.column(0):
-                counts += np.bincount(np.frombuffer(x.as_py(), dtype), minlength=vocabulary)
+            for at in range(0, b.num_rows, 256):
+                counts += np.bincount(np.frombuffer(b"".join(b.column(0).slice(at, 256).to_pylist()), dtype), minlength=vocabulary)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["id", "n"])
 

@@ -13,9 +13,9 @@ def bigrams(n: Column) -> Column:
     return F.when(F.length(n) >= 2, F.transform(F.sequence(F.lit(1), F.length(n) - 1), lambda i: F.substring(n, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
 
 
-def dice(left: Column, right: Column) -> Column:
-    """Dice coefficient of the bigram multisets of two titles or names."""
-    a, b = normalized(left), normalized(right)
+def dice(left: Column, right: Column, normal: bool = False) -> Column:
+    """Dice coefficient of the bigram multisets of two titles or names (``normal``: already in normal form)."""
+    a, b = (left, right) if normal else (normalized(left), normalized(right))
     ga, gb = bigrams(a), bigrams(b)
     count = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
     overlap = F.aggregate(F.array_distinct(ga), F.lit(0), lambda s, g: s + F.least(count(ga, g), count(gb, g)))

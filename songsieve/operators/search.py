@@ -67,7 +67,8 @@ def intent_score(query: Column, title: Column, artist: Column, base: Column, pre
     """How well a result fits what a query means; ``query``, ``title`` and ``artist`` are normal forms."""
     terms, passage = t.search_terms(query), t.is_excerpt(query)
     equal = F.when(title == query, 95).when(F.contains(title, query) | F.contains(query, title), 52).otherwise(0)
-    named = sim.dice(title, query) * 54 + sim.dice(artist, query) * 30 + sim.dice(F.concat_ws(" ", artist, title), query) * 34 + sim.dice(F.concat_ws(" ", title, artist), query) * 28
+    like = lambda c: sim.dice(c, query, normal=True)
+    named = like(title) * 54 + like(artist) * 30 + like(F.concat_ws(" ", artist, title)) * 34 + like(F.concat_ws(" ", title, artist)) * 28
     covered = sim.term_coverage(F.concat_ws(" ", title, artist), terms) * F.when(passage, 26).otherwise(48)
     shown = F.when(t.is_generic_preview(preview), 0.0).otherwise(sim.term_coverage(t.normalized(preview), terms) * F.when(passage, 82).otherwise(22))
     extra = has_image.cast("int") * 3 + has_album.cast("int") * 2 + verified.cast("int") * 110

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["texts", "traffic", "screen"]
+MODULES = ["texts", "traffic", "screen", "search", "catalog"]
 
 
 def _modules():

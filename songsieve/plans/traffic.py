@@ -33,12 +33,12 @@ def cache_epochs(spark, d):
     """Every hundredth event clears the cache; entries of earlier epochs are gone."""
     clears = F.sum((F.col("event_id") % 100 == 0).cast("int")).over(Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id"))
     log = read(spark, d, "events").withColumn("epoch", clears).withColumn("day", F.to_date("ts"))
-    return traffic.cache_hits(log, ["user_id", "day", "epoch"], "ts", ~FAILED, 86_400).groupBy("day").agg(F.count_if("hit").alias("hits"), F.max("epoch").cast("long").alias("clears"))
+    return traffic.cache_hits(log, ["user_id", "day", "epoch"], "ts", ~FAILED, 86_400).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count_if("hit").alias("hits"), F.max("epoch").cast("long").alias("clears"))
 
 
 QUERIES["cache_epochs"] = cache_epochs
 EPOCH = "(SELECT *, CAST(ts AS DATE) AS day, sum(CASE WHEN event_id % 100 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS epoch FROM events)"
-ORACLES["cache_epochs"] = f"""SELECT day, CAST(count_if(hit) AS BIGINT) AS hits, CAST(max(epoch) AS BIGINT) AS clears FROM (SELECT *, coalesce(bool_or(cacheable) OVER (PARTITION BY user_id, day, epoch, session ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS hit
+ORACLES["cache_epochs"] = f"""SELECT CAST(day AS VARCHAR) AS day, CAST(count_if(hit) AS BIGINT) AS hits, CAST(max(epoch) AS BIGINT) AS clears FROM (SELECT *, coalesce(bool_or(cacheable) OVER (PARTITION BY user_id, day, epoch, session ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS hit
  FROM ({HITS.format(ttl=86400, key='user_id, day, epoch', src=EPOCH)})) GROUP BY day"""
 
 QUERIES["circuit_breaker"] = lambda spark, d: traffic.circuit_breaker(read(spark, d, "events"), "user_id", "ts", FAILED).select("event_id", F.col("failures").cast("long").alias("failures"), "block_ms", "blocked_attempt")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-MEMO = 600_000
+MEMO = 200_000
 MEMO_LENGTH = 64  # longer words are not remembered
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # piece types of the model format
 

@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from songsieve.llm.common import slices
+
 BUCKETS = 1 << 18
 SAMPLE = 60_000  # labelled rows that fit the model at most
 PREFIX = 4  # characters of a word's beginning
@@ -36,7 +38,7 @@ CERTAIN = 5.5  # standard errors by which a token's log-odds must differ from 0
 DRIFT = 0.35  # what every other token costs
 PASSAGE = 0.1  # expected count below which a segment is a passage
 STRIP = ".,;:!?\"'()[]{}<>*_-…«»“”‘’"
-MEMO = 400_000
+MEMO = 150_000
 
 
 class Features:
@@ -200,7 +202,7 @@ def count_tables(docs: DataFrame, rows: DataFrame, text: str) -> np.ndarray:
 
     def run(batches):
         names, counts, features = ("corpus", "toxic", "clean"), np.zeros((3, 2 * BUCKETS), np.int64), Features()
-        for b in batches:
+        for b in slices(batches):
             kinds = np.array(b.column(1).to_pylist())
             texts = b.column(0).to_pylist()
             for k in range(3):
@@ -226,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def run(batches):  # the passages of the calibration rows are found where the rows are
         own = Model(shared.value)
-        for b in batches:
+        for b in slices(batches):
             found = [own.passages(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([[s for s, *_ in f] for _, f in found], pa.list_(pa.float64())), b.column(1)], names=["n", "scores", "toxic"])
 
@@ -250,7 +252,7 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
     def run(batches):
         own = shared.value
-        for b in batches:
+        for b in slices(batches):
             found = [own.evidence(t) for t in b.column(1).to_pylist()]
             passages = pa.array([[{"first": f, "last": z, "expected": e} for f, z, e in p] for _, p in found], pa.list_(schema))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.probability(v) for v, _ in found], pa.float64()), passages], names=["key", "score", "passages"])
@@ -266,7 +268,7 @@ def kept(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0
 
     def run(batches):
         own = shared.value
-        for b in batches:
+        for b in slices(batches):
             ok = [own.probability(own.evidence(t)[0]) < threshold for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(ok))
 

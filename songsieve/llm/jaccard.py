@@ -8,9 +8,10 @@ blocks at least e + 1 agree. Empty blocks, which unlike texts share by chance, a
 of the join where a document has at most e of them (one of the agreeing blocks is then a
 fuller one); a document with more of them joins on all its blocks.
 
-Candidates are compared with the first member of each block's group only, and joined into
-components; groups that still hold several components are then compared pair by pair under
-the sketch's bound inside the join. Every candidate is verified on the whole texts, so the
+The same bound says how many blocks a set shares with any similar one at least; sets that
+share fewer with all others together are dropped. Candidates are compared with the first
+member of each block's group only, and joined into components; in groups that still hold
+several components the other pairs are compared too, under the sketches' bound. Every candidate is verified on the whole texts, so the
 classes are exact: no link between different texts is lost, none is added.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and link
@@ -112,11 +113,27 @@ def sketch(hashes: np.ndarray, band: int, blocks: int, spare: int) -> tuple[np.n
     content[~full] = EMPTY
     place = (np.arange(blocks, dtype=np.uint64) + np.uint64(band << 40)) * np.uint64(0xD6E8FEB86659FD93)
     key = (content ^ place ^ place >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-    return (key ^ key >> np.uint64(32))[use], some
+    key ^= key >> np.uint64(32)
+    # the last bit tells a set's own band from the one above
+    return (key & ~np.uint64(1) | np.uint64(band & 1))[use], some
+
+
+NEVER = 1 << 30
+
+
+def needs(hashes: np.ndarray, percent: int) -> list[int]:
+    """How many blocks, in its even and in its odd band, a set shares with any similar one at least."""
+    out, size = [NEVER, NEVER], len(hashes)
+    for band, blocks, _ in bands(size, percent) if size else ():
+        at = ((hashes >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+        full = np.count_nonzero(np.bincount(at, minlength=blocks))
+        largest = min(size * 100 // percent, floors(2 * size * 100 // percent)[band + 1] - 1)
+        out[band & 1] = max(1, full - bound(size, largest, percent))
+    return out
 
 
 SCHEMAS = {
-    False: "id long, chars long, text_hash long, n long, h1 long, h2 long",
+    False: "id long, chars long, text_hash long, n long, h1 long, h2 long, need0 long, need1 long",
     True: "id long, n long, own long, blocks array<long>",
 }
 
@@ -140,7 +157,8 @@ def sketches(docs: DataFrame, key: str, text: str, n: int, percent: int, blocks:
                     yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array([m[0][1] if m else 0 for m in made], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "own", "blocks"])
                 else:
                     whole = [pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes(), seed=k) for s in sets], np.uint64).view(np.int64)) for k in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), size, *whole], names=["id", "chars", "text_hash", "n", "h1", "h2"])
+                    least = np.array([needs(s, percent) for s in sets], np.int64).reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), size, *whole, pa.array(least[:, 0]), pa.array(least[:, 1])], names=["id", "chars", "text_hash", "n", "h1", "h2", "need0", "need1"])
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.length(text).cast("long").alias("chars"), F.xxhash64(text).alias("text_hash"))
     return rows.mapInArrow(run, SCHEMAS[blocks])
@@ -173,9 +191,58 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, n: int, per
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+CROWD = 64  # members of a group whose pairs are formed before their sketches are compared
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """(block, id) rows with the first and the number of each block's members, two at least."""
+    over = "over (partition by block)"
+    return rows.select("id", "block").withColumns({"head": F.expr(f"min(id) {over}"), "members": F.expr(f"count(*) {over}")}).where("members > 1")
+
+
+def pruned(groups: DataFrame, least: DataFrame) -> DataFrame:
+    """The groups without sets that share too few blocks to be similar to any other."""
+    marked = groups.withColumn("odd", F.col("block").bitwiseAND(F.lit(1)))
+    enough = F.when(F.col("odd") == 0, F.col("need0")).otherwise(F.col("need1"))
+    ok = marked.groupBy("id", "odd").agg(F.count("*").alias("shared")).join(least, "id").where(F.col("shared") >= enough).select("id", "odd")
+    return written(grouped(marked.join(small(written(ok, "able")), ["id", "odd"], "left_semi").select("id", "block").distinct()), "groups")
+
+
+def remaining(groups: DataFrame, comp: DataFrame, sizes: DataFrame, stars: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
+    """Pairs of different components in groups of three and more that were not compared and may be similar."""
+    label = groups.where("members > 2").join(comp, F.col("id") == F.col("node"), "left").select("block", "id", "head", "members", F.coalesce("component", "id").alias("c"))
+    mixed = label.groupBy("block").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("block")
+    rest = written(label.join(mixed, "block", "left_semi").where("id <> head").join(sizes, "id"), "rest")
+    who = written(rest.select("id").distinct(), "members")
+    some = written(sketches(chosen_texts(docs, key, text, who), "id", "text", n, percent, blocks=True).select("id", "own", "blocks"), "sketches")
+    allowed = F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))
+    own = F.when(F.col("n_a") >= F.col("n_b"), F.col("own_a")).otherwise(F.col("own_b"))
+    alike = F.size(F.array_intersect("blocks_a", "blocks_b")) >= own - allowed
+    near = (F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & sized(F.col("n_a"), F.col("n_b"), percent)
+    named = lambda rows, x: rows.select("block", *[F.col(c).alias(f"{c}_{x}") for c in rows.columns if c not in ("block", "head", "members")])
+    # small groups: pairs first, then their sketches
+    few = rest.where(F.col("members") <= CROWD)
+    pairs = named(few, "a").join(named(few, "b"), "block").where(near).select("id_a", "id_b", "n_a", "n_b").distinct()
+    pairs = pairs.join(some.select(F.col("id").alias("id_a"), F.col("own").alias("own_a"), F.col("blocks").alias("blocks_a")), "id_a").join(some.select(F.col("id").alias("id_b"), F.col("own").alias("own_b"), F.col("blocks").alias("blocks_b")), "id_b").where(alike)
+    # large groups: sketches are compared inside the join, and a pair comes out at its first common block there
+    many = rest.where(F.col("members") > CROWD)
+    held = many.groupBy("id").agg(F.array_sort(F.collect_set("block")).alias("large"))
+    many = many.join(some.join(held, "id"), "id")
+    first = F.array_intersect("large_a", "large_b")[0] == F.col("block")
+    crowd = named(many, "a").join(named(many, "b"), "block").where(near & alike & first)
+    out = pairs.select("id_a", "id_b").union(crowd.select("id_a", "id_b")).toDF("a", "b").distinct()
+    return written(out.join(stars, ["a", "b"], "left_anti"), "pairs")
+
+
+def sized(a, b, percent: int):
+    """Whether two set sizes are close enough for similar sets."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row per id: (id, n, component), the set's size and the smallest id reachable by links."""
-    sets = sketches(docs, key, text, n, percent, blocks=False).groupBy("id").agg(F.max_by(F.struct("n", "h1", "h2"), F.struct("chars", "text_hash")).alias("s")).select("id", "s.*")
+    sets = sketches(docs, key, text, n, percent, blocks=False)
+    sets = sets.groupBy("id").agg(F.max_by(F.struct("n", "h1", "h2", "need0", "need1"), F.struct("chars", "text_hash")).alias("s")).select("id", "s.*")
     sets = written(sets, "sets")
     # equal sets, however many documents have them, are one member from here on
     reps = written(sets.where("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "reps")
@@ -183,38 +250,23 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
     same = (F.col("m") == F.col("n")) & (F.col("m1") == F.col("h1")) & (F.col("m2") == F.col("h2"))
     copies = written(member.join(reps.where("copies > 1"), same).where("id <> rep").select("id", "rep"), "copies")
     made = sketches(docs, key, text, n, percent, blocks=True).where("n > 0 and id is not null").join(small(copies.select("id"), 1_000_000), "id", "left_anti")
-    over = "over (partition by block)"
-    shared = made.select("id", F.explode("blocks").alias("block")).withColumns({"head": F.expr(f"min(id) {over}"), "members": F.expr(f"count(*) {over}")})
-    groups = written(shared.where("members > 1").distinct(), "groups")
+    least = sets.select("id", "need0", "need1")
+    groups = written(grouped(made.select("id", F.explode("blocks").alias("block"))), "groups")
+    for _ in range(2):
+        groups, before = pruned(groups, least), groups
+        forget(before)
     sizes = reps.select(F.col("rep").alias("id"), F.col("n"))
-    sized = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     stars = groups.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     stars = stars.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    stars = written(stars.where(sized(F.col("na"), F.col("nb"))).select("a", "b"), "stars")
+    stars = written(stars.where(sized(F.col("na"), F.col("nb"), percent)).select("a", "b"), "stars")
     links = written(verified(stars, docs, key, text, n, percent), "links")
     comp = written(components(links), "components")
-
-    # groups of three and more that still hold several components: compare their other members
-    label = groups.where("members > 2").join(comp, F.col("id") == F.col("node"), "left").select("block", "id", "head", F.coalesce("component", "id").alias("c"))
-    mixed = label.groupBy("block").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("block")
-    rest = written(label.join(mixed, "block", "left_semi").where("id <> head"), "rest")
-    who = written(rest.select("id").distinct(), "members")
-    some = written(sketches(chosen_texts(docs, key, text, who), "id", "text", n, percent, blocks=True), "sketches")
-    side = lambda x: rest.join(some, "id").select("block", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "c", "n", "own", "blocks")])
-    allowed = F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))
-    own = F.when(F.col("n_a") >= F.col("n_b"), F.col("own_a")).otherwise(F.col("own_b"))
-    near = (F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & sized(F.col("n_a"), F.col("n_b"))
-    # a pair comes out at its first common block alone; had that a head or two members, it has been compared
-    common = F.array_intersect("blocks_a", "blocks_b")
-    alike = (F.size(common) >= own - allowed) & (common[0] == F.col("block"))
-    pairs = side("a").join(side("b"), "block").where(near & alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
-    found = written(links.union(verified(pairs, docs, key, text, n, percent)), "links")
-    comp = written(components(found), "components")
+    pairs = remaining(groups, comp, sizes, stars, docs, key, text, n, percent)
+    comp = written(components(written(links.union(verified(pairs, docs, key, text, n, percent)), "links")), "components")
 
     of = sets.select("id", "n").join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
     out = of.join(comp, F.col("rep") == F.col("node"), "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
-    for t in (groups, stars, rest, some):
+    for t in (groups, stars):
         forget(t)
     return out
 

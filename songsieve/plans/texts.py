@@ -25,23 +25,22 @@ def column(name: str, table: str, key: str, make, sql: str | None) -> None:
         ORACLES[name] = f"SELECT {key}, {sql} FROM {table}"
 
 
-text = F.col("text")
 N = duck.norm("text")
 
-column("normalize_text", "documents", "doc_id", lambda: {"norm": t.normalized(text)}, f"{N} AS norm")
+column("normalize_text", "documents", "doc_id", lambda: {"norm": t.normalized(F.col("text"))}, f"{N} AS norm")
 ENT = "replace(replace(text, 'é', '&#233;'), 'n', '&#x6E;')"
 column(
     "decode_entities", "documents", "doc_id",
-    lambda: {"decoded": t.numeric_entities_decoded(F.replace(F.replace(text, F.lit("é"), F.lit("&#233;")), F.lit("n"), F.lit("&#x6E;")))}, "text AS decoded",
+    lambda: {"decoded": t.numeric_entities_decoded(F.replace(F.replace(F.col("text"), F.lit("é"), F.lit("&#233;")), F.lit("n"), F.lit("&#x6E;")))}, "text AS decoded",
 )
 LN = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, chr(160), ' ', 'g'), '\r', '', 'g'), '[ \t]+\n', chr(10), 'g'), '\n[ \t]+', chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g'), '\n{{4,}}', repeat(chr(10), 3), 'g')"
-column("normalize_lyrics", "documents", "doc_id", lambda: {"lyrics": t.lyrics_normalized(text)}, f"{duck.strip(LN)} AS lyrics")
+column("normalize_lyrics", "documents", "doc_id", lambda: {"lyrics": t.lyrics_normalized(F.col("text"))}, f"{duck.strip(LN)} AS lyrics")
 CH = "html"
 for a, b in ((r"(?i)<br\s*/?>", "chr(10)"), ("(?i)</p>", "chr(10) || chr(10)"), ("(?i)<p[^>]*>", "''"), ("(?i)&nbsp;", "' '"), ("(?i)&amp;", "'&'"), ("(?i)&quot;", "chr(34)"), ("(?i)&apos;", "chr(39)"), ("<[^>]*>", "''"), (r"\r", "''"), (r"\n{3,}", "chr(10) || chr(10)")):
     CH = f"regexp_replace({CH}, '{a}', {b}, 'g')"
 column("clean_html", "pages", "page_id", lambda: {"cleaned": t.html_cleaned(F.col("html"))}, f"{duck.strip(CH)} AS cleaned")
 column("html_to_text", "pages", "page_id", lambda: {"plain": t.html_stripped(F.col("html"))}, None)
-column("search_terms", "documents", "doc_id", lambda: {"terms": F.array_join(t.search_terms(text, 18), " ")}, f"array_to_string(list_slice({duck.terms('text')}, 1, 18), ' ') AS terms")
+column("search_terms", "documents", "doc_id", lambda: {"terms": F.array_join(t.search_terms(F.col("text"), 18), " ")}, f"array_to_string(list_slice({duck.terms('text')}, 1, 18), ' ') AS terms")
 column(
     "slugify", "part", "p_partkey", lambda: {"slug": t.slug(F.concat_ws(" & ", "p_name", "p_brand"))},
     "regexp_replace(regexp_replace(replace(lower(strip_accents(p_name || ' & ' || p_brand)), '&', ' e '), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug",
@@ -50,20 +49,20 @@ HASH = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split
 B36 = "array_to_string(list_transform(range(6, -1, -1), lambda i: substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST((h // CAST(pow(36, i) AS BIGINT)) % 36 AS BIGINT) + 1, 1)), '')"
 QUERIES["stable_id"] = lambda spark, d: read(spark, d, "pages").select("page_id", F.concat(F.lit("page-"), t.fnv1a(F.col("url"))).alias("stable_id"))
 ORACLES["stable_id"] = f"SELECT page_id, 'page-' || ltrim({B36}, '0') AS stable_id FROM (SELECT page_id, {HASH} AS h FROM pages)"
-column("fingerprint", "documents", "doc_id", lambda: {"fingerprint": t.fingerprint(text, 500)}, None)
+column("fingerprint", "documents", "doc_id", lambda: {"fingerprint": t.fingerprint(F.col("text"), 500)}, None)
 ID_T = rf"trim(regexp_replace({duck.norm('p_name')}, '\b(ao vivo|live|lyrics|letra|official|video oficial|clipe oficial)\b', '', 'g'))"
 column(
     "identity_key", "part", "p_partkey", lambda: {"identity": t.identity(F.concat(F.col("p_name"), F.lit(" (Live)")), F.concat(F.col("p_brand"), F.lit(" feat. Guest")))},
     f"{ID_T} || '|' || {duck.norm('p_brand')} AS identity",
 )
 column(
-    "strip_timestamps", "documents", "doc_id", lambda: {"plain": t.timestamps_stripped(F.regexp_replace(text, r"(?m)^", "[01:23.45] "))},
+    "strip_timestamps", "documents", "doc_id", lambda: {"plain": t.timestamps_stripped(F.regexp_replace(F.col("text"), r"(?m)^", "[01:23.45] "))},
     f"trim({'text'}) AS plain",
 )
-column("generic_preview", "documents", "doc_id", lambda: {"generic": t.is_generic_preview(F.left(text, F.lit(40)))}, f"{duck.norm('left(text, 40)')} = '' AS generic")
+column("generic_preview", "documents", "doc_id", lambda: {"generic": t.is_generic_preview(F.left(F.col("text"), F.lit(40)))}, f"{duck.norm('left(text, 40)')} = '' AS generic")
 EX = duck.norm("left(text, 30)")
 column(
-    "excerpt_mode", "documents", "doc_id", lambda: {"excerpt": t.is_excerpt(F.left(text, F.lit(30)))},
+    "excerpt_mode", "documents", "doc_id", lambda: {"excerpt": t.is_excerpt(F.left(F.col("text"), F.lit(30)))},
     f"(len({duck.words(EX)}) >= 5 OR len({duck.terms('left(text, 30)')}) >= 5 OR (len({duck.words(EX)}) >= 4 AND length({EX}) >= 26)) AS excerpt",
 )
 column(
@@ -73,7 +72,7 @@ column(
 )
 column("noise_hits", "pages", "page_id", lambda: {"hits": t.noise_hits(F.concat(F.col("html"), F.when(F.col("page_id") % 3 == 0, "Aceitar cookies. Publicidade").otherwise("")))}, "CASE WHEN page_id % 3 = 0 THEN 2 ELSE 0 END AS hits")
 column("anti_bot", "pages", "page_id", lambda: {"blocked": t.asks_for_human(F.concat(F.when(F.col("page_id") % 4 == 0, "Just a moment...").otherwise(""), F.col("html")))}, "page_id % 4 = 0 AS blocked")
-column("compact_preview", "documents", "doc_id", lambda: {"preview": t.preview(text, F.substring(text, 400, F.lit(60)))}, None)
+column("compact_preview", "documents", "doc_id", lambda: {"preview": t.preview(F.col("text"), F.substring(F.col("text"), 400, F.lit(60)))}, None)
 column("decode_js_string", "documents", "doc_id", lambda: {"decoded": t.js_string_decoded(F.regexp_extract(F.to_json(F.struct(F.col("text").alias("t"))), r'^\{"t":"(?s)(.*)"\}$', 1))}, "text AS decoded")
 
 # ---- line figures and quality
@@ -87,7 +86,7 @@ METRICS = f"SELECT doc_id, text, CAST(len({L}) AS INTEGER) AS line_count, CAST({
 
 
 def line_metrics(spark, d):
-    m = q.metrics(text)
+    m = q.metrics(F.col("text"))
     return read(spark, d, "documents").select("doc_id", "text").select("doc_id", *[(F.round(c, 6) if n.endswith(("ratio", "length")) else c).alias(n) for n, c in m.items()])
 
 
@@ -95,21 +94,21 @@ QUERIES["line_metrics"] = line_metrics
 ORACLES["line_metrics"] = f"SELECT doc_id, line_count, word_count, round(distinct_ratio, 6) AS distinct_ratio, round(duplicate_ratio, 6) AS duplicate_ratio, round(mean_length, 6) AS mean_length, round(short_ratio, 6) AS short_ratio FROM ({METRICS})"
 column(
     "short_line_ratio", "documents", "doc_id",
-    lambda: {"tier": F.when(q.metrics(text)["short_ratio"] >= 0.72, 2).when(q.metrics(text)["short_ratio"] >= 0.5, 1).otherwise(0)},
+    lambda: {"tier": F.when(q.metrics(F.col("text"))["short_ratio"] >= 0.72, 2).when(q.metrics(F.col("text"))["short_ratio"] >= 0.5, 1).otherwise(0)},
     f"CASE WHEN {SHORT} >= 0.72 THEN 2 WHEN {SHORT} >= 0.5 THEN 1 ELSE 0 END AS tier",
 )
 MARK = duck.count("lower(text)", q.MARKER)
 NAV = f"({duck.count('text', q.LINKS)} + {duck.count('lower(text)', q.NAVIGATION)})"
 VOC = f"regexp_matches(lower(text), '{q.VOCABULARY}')"
 SCORE = f"(least(28, {MARK} * 7) + CASE WHEN short_ratio >= 0.72 THEN 18 WHEN short_ratio >= 0.5 THEN 8 ELSE 0 END + CASE WHEN {VOC} THEN 8 ELSE 0 END - ({duck.noise('text')}) * 18 - CASE WHEN {NAV} >= 4 THEN least(36, {NAV} * 4) ELSE 0 END)"
-QUERIES["lyric_signals"] = lambda spark, d: read(spark, d, "documents").select("doc_id", *[(F.array_join(c, ",") if n != "signal_score" else c.cast("long")).alias(n) for n, c in q.signals(text).items()])
+QUERIES["lyric_signals"] = lambda spark, d: read(spark, d, "documents").select("doc_id", *[(F.array_join(c, ",") if n != "signal_score" else c.cast("long")).alias(n) for n, c in q.signals(F.col("text")).items()])
 ORACLES["lyric_signals"] = f"""SELECT doc_id, CAST({SCORE} AS BIGINT) AS signal_score,
  array_to_string(list_filter([CASE WHEN {MARK} > 0 THEN 'section-markers' END, CASE WHEN short_ratio >= 0.72 THEN 'lyric-line-shape' END, CASE WHEN {VOC} THEN 'gospel-vocabulary' END], lambda x: x IS NOT NULL), ',') AS signals,
  array_to_string(list_filter([CASE WHEN ({duck.noise('text')}) > 0 THEN 'page-noise-detected' END, CASE WHEN {NAV} >= 4 THEN 'navigation-like-text' END], lambda x: x IS NOT NULL), ',') AS warnings FROM ({METRICS})"""
 
 
 def quality_score(spark, d):
-    out = q.quality(text, F.lit(0))
+    out = q.quality(F.col("text"), F.lit(0))
     return read(spark, d, "documents").select("doc_id", *[out[n].alias(n) for n in ("score", "confidence")], out["char_count"].alias("char_count"))
 
 
@@ -118,20 +117,20 @@ RAW = f"""least(38.0, length(text) / 180.0::DOUBLE) + least(24.0, line_count * 1
 QUERIES["quality_score"] = quality_score
 ORACLES["quality_score"] = f"""SELECT doc_id, floor(greatest(0.0, least(100.0, raw)) * 100 + 0.5 + 1e-7) / 100 AS score, floor(greatest(0.0, least(0.99, 0.08 + greatest(0.0, least(100.0, raw)) / 100 * 0.78 + least(0.12, line_count / 250.0::DOUBLE))) * 1000 + 0.5 + 1e-7) / 1000 AS confidence,
  CAST(length(text) AS INTEGER) AS char_count FROM (SELECT *, ({RAW})::DOUBLE AS raw FROM ({METRICS}))"""
-QUERIES["candidate_score"] = lambda spark, d: read(spark, d, "documents").select("doc_id", F.round(q.candidate_score(text, F.when(F.col("doc_id") % 2 == 0, "json-ld").otherwise("other"), F.lit(0), F.lit(4)), 0).cast("long").alias("score")).where("score is not null")
-QUERIES["block_score"] = lambda spark, d: read(spark, d, "documents").select("doc_id", q.rounded(q.block_score(text, F.lit(0.1)), 1).alias("weight"))
+QUERIES["candidate_score"] = lambda spark, d: read(spark, d, "documents").select("doc_id", F.round(q.candidate_score(F.col("text"), F.when(F.col("doc_id") % 2 == 0, "json-ld").otherwise("other"), F.lit(0), F.lit(4)), 0).cast("long").alias("score")).where("score is not null")
+QUERIES["block_score"] = lambda spark, d: read(spark, d, "documents").select("doc_id", q.rounded(q.block_score(F.col("text"), F.lit(0.1)), 1).alias("weight"))
 BL = f"CASE WHEN line_count > 0 THEN len(list_filter({L}, lambda x: length(x) BETWEEN 2 AND 92))::DOUBLE / line_count ELSE 0.0 END"
 BM = duck.count("lower(text)", r"(?:^|\n)\s*\[?\s*(?:verso|verse|refr[aã]o|coro|chorus|ponte|bridge|intro|outro|final|tag)\b")
 ORACLES["block_score"] = rf"""SELECT doc_id, floor(10 * (CASE WHEN word_count < 4 OR length(text) < 20 THEN -20.0::DOUBLE ELSE 1 + least(4.0, length(text) / 180.0::DOUBLE) + least(6.0, line_count * 0.55::DOUBLE)
  + least(8.0, {duck.count('text', '[,;:]')} * 0.65::DOUBLE + {duck.count('text', r'[.!?](?:\s|$)')} * 0.35::DOUBLE) + {BL} * 10 + least(12, {BM} * 4) - 3.2::DOUBLE - ({duck.noise('text')}) * 12 - CASE WHEN mean_length > 150 THEN 7 ELSE 0 END END) + 0.5 + 1e-7) / 10 AS weight FROM ({METRICS})"""
 CANON = r"list_slice(list_filter(list_transform(string_split(lower(text), chr(10)), lambda x: trim(regexp_replace(strip_accents(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: length(x) >= 4 AND NOT regexp_matches(x, '^(?:verso|verse|refrao|coro|chorus|ponte|bridge|intro|outro|final|tag)\s*\d*$')), 1, 260)"
-QUERIES["canonical_lines"] = lambda spark, d: read(spark, d, "documents").select("doc_id", F.explode(q.canonical_lines(text)).alias("line"))
+QUERIES["canonical_lines"] = lambda spark, d: read(spark, d, "documents").select("doc_id", F.explode(q.canonical_lines(F.col("text"))).alias("line"))
 ORACLES["canonical_lines"] = f"SELECT doc_id, unnest(list_distinct({CANON})) AS line FROM documents"
 
 
 def line_containment(spark, d):
     """Pairs of texts by the lines they share; common lines meet in an equi-join."""
-    docs = read(spark, d, "documents").select("doc_id", F.length("text").alias("chars"), q.canonical_lines(text).alias("ls"))
+    docs = read(spark, d, "documents").select("doc_id", F.length("text").alias("chars"), q.canonical_lines(F.col("text")).alias("ls"))
     rows = docs.where(F.size("ls") >= 2).select("doc_id", "chars", F.size("ls").alias("n"), F.explode("ls").alias("line"))
     side = lambda x: rows.select("line", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "chars", "n")])
     ratio = F.least("chars_a", "chars_b") / F.greatest("chars_a", "chars_b")

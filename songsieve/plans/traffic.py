@@ -10,7 +10,11 @@ from songsieve.sources.tables import read
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-FAILED = F.col("event_type") == "error"
+
+
+def failed():
+    return F.col("event_type") == "error"
+
 
 
 def rate_limit(spark, d):
@@ -24,7 +28,7 @@ ORACLES["rate_limit"] = """SELECT event_id, CAST(n AS INTEGER) AS request_no, n
 
 HITS = """SELECT *, sum(CASE WHEN g IS NULL OR g > {ttl}000000 THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY ts, event_id) AS session
  FROM (SELECT *, event_type <> 'error' AS cacheable, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY {key} ORDER BY ts, event_id) AS g FROM {src})"""
-QUERIES["cache_hits"] = lambda spark, d: traffic.cache_hits(read(spark, d, "events"), ["user_id"], "ts", ~FAILED, 86_400).select("event_id", "hit")
+QUERIES["cache_hits"] = lambda spark, d: traffic.cache_hits(read(spark, d, "events"), ["user_id"], "ts", ~failed(), 86_400).select("event_id", "hit")
 ORACLES["cache_hits"] = f"""SELECT event_id, coalesce(bool_or(cacheable) OVER (PARTITION BY user_id, session ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS hit
  FROM ({HITS.format(ttl=86400, key='user_id', src='events')})"""
 
@@ -33,7 +37,7 @@ def cache_epochs(spark, d):
     """Every hundredth event clears the cache; entries of earlier epochs are gone."""
     clears = F.sum((F.col("event_id") % 100 == 0).cast("int")).over(Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id"))
     log = read(spark, d, "events").withColumn("epoch", clears).withColumn("day", F.to_date("ts"))
-    return traffic.cache_hits(log, ["user_id", "day", "epoch"], "ts", ~FAILED, 86_400).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count_if("hit").alias("hits"), F.max("epoch").cast("long").alias("clears"))
+    return traffic.cache_hits(log, ["user_id", "day", "epoch"], "ts", ~failed(), 86_400).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count_if("hit").alias("hits"), F.max("epoch").cast("long").alias("clears"))
 
 
 QUERIES["cache_epochs"] = cache_epochs
@@ -41,7 +45,7 @@ EPOCH = "(SELECT *, CAST(ts AS DATE) AS day, sum(CASE WHEN event_id % 100 = 0 TH
 ORACLES["cache_epochs"] = f"""SELECT CAST(day AS VARCHAR) AS day, CAST(count_if(hit) AS BIGINT) AS hits, CAST(max(epoch) AS BIGINT) AS clears FROM (SELECT *, coalesce(bool_or(cacheable) OVER (PARTITION BY user_id, day, epoch, session ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS hit
  FROM ({HITS.format(ttl=86400, key='user_id, day, epoch', src=EPOCH)})) GROUP BY day"""
 
-QUERIES["circuit_breaker"] = lambda spark, d: traffic.circuit_breaker(read(spark, d, "events"), "user_id", "ts", FAILED).select("event_id", F.col("failures").cast("long").alias("failures"), "block_ms", "blocked_attempt")
+QUERIES["circuit_breaker"] = lambda spark, d: traffic.circuit_breaker(read(spark, d, "events"), "user_id", "ts", failed()).select("event_id", F.col("failures").cast("long").alias("failures"), "block_ms", "blocked_attempt")
 ORACLES["circuit_breaker"] = """WITH r AS (SELECT *, event_type = 'error' AS bad, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events),
  f AS (SELECT *, CASE WHEN bad THEN CAST(sum(CASE WHEN bad THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS BIGINT) ELSE 0 END AS failures FROM r),
  b AS (SELECT *, CAST(CASE WHEN failures < 2 THEN 0 ELSE least(45000, (failures - 1) * (failures - 1) * 2200) END AS BIGINT) AS block_ms FROM f)
@@ -81,6 +85,6 @@ def search_summary(spark, d):
 QUERIES["search_summary"] = search_summary
 ORACLES["search_summary"] = """SELECT *, CASE WHEN partial THEN 'bypass-partial' ELSE 'stored' END AS cache_status, CASE WHEN partial AND artwork_count = 0 THEN 503 ELSE 200 END AS http_status FROM
  (SELECT l_orderkey AS query_id, count(*) AS total, CAST(count_if(l_discount > 0.05) AS BIGINT) AS artwork_count, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS providers, bool_or(l_tax > 0.07) AS partial FROM lineitem GROUP BY l_orderkey)"""
-QUERIES["cache_stats"] = lambda spark, d: traffic.cache_hits(read(spark, d, "events"), ["user_id"], "ts", ~FAILED, 86_400).groupBy("user_id").agg(F.max("session").alias("sessions"), F.count_if("hit").alias("hits"), F.count("*").alias("lookups"))
+QUERIES["cache_stats"] = lambda spark, d: traffic.cache_hits(read(spark, d, "events"), ["user_id"], "ts", ~failed(), 86_400).groupBy("user_id").agg(F.max("session").alias("sessions"), F.count_if("hit").alias("hits"), F.count("*").alias("lookups"))
 ORACLES["cache_stats"] = f"""SELECT user_id, CAST(max(session) AS BIGINT) AS sessions, CAST(count_if(hit) AS BIGINT) AS hits, count(*) AS lookups FROM (SELECT user_id, session, coalesce(bool_or(cacheable) OVER (PARTITION BY user_id, session ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS hit
  FROM ({HITS.format(ttl=86400, key='user_id', src='events')})) GROUP BY user_id"""

@@ -33,7 +33,7 @@ from songsieve.llm.common import slices
 BUCKETS = 1 << 18
 SAMPLE = 60_000  # labelled rows that fit the model at most
 PREFIX = 4  # characters of a word's beginning
-STRENGTH = 20_000.0  # tokens that the prior counts for
+STRENGTH = 0.25  # tokens that the prior counts for, as a share of the toxic ones
 CERTAIN = 5.5  # standard errors by which a token's log-odds must differ from 0 to count
 DRIFT = 0.35  # what every other token costs
 PASSAGE = 0.1  # expected count below which a segment is a passage
@@ -78,7 +78,7 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, corpus: np.ndarray) -> np.nda
         t, c, w = toxic[part].astype(float), clean[part].astype(float), corpus[part].astype(float)
         if not t.sum() or not c.sum():
             continue
-        prior = STRENGTH * (w + 0.01) / (w + 0.01).sum()
+        prior = STRENGTH * t.sum() * (w + 0.01) / (w + 0.01).sum()
         a, b = t + prior, c + prior
         value = np.log(a / (a.sum() - a)) - np.log(b / (b.sum() - b))
         sure = (value / np.sqrt(1 / a + 1 / b) > CERTAIN) & (t >= 4)
@@ -160,11 +160,14 @@ class Model:
 def gumbel(lengths: np.ndarray, best: np.ndarray) -> tuple[float, float]:
     """Rate and scale of the law P(best < s) = exp(-scale n exp(-rate s)), by moments.
 
-    ``best`` are the best segments of clean texts of ``lengths`` tokens.
+    ``best`` are the best segments of clean texts of ``lengths`` tokens. Where these hold
+    next to none, one text beyond them is taken to have held one.
     """
     best = np.minimum(best, np.quantile(best, 0.99)) if len(best) else best
-    if len(best) < 20 or best.std() < 1e-9:
+    if len(best) < 20:
         return 1.0, 1.0
+    if best.std() < 1e-9:
+        return 1.0, float(1 / (lengths.mean() * (len(best) + 1)))
     rate = math.pi / (best.std() * math.sqrt(6))
     scale = 1 / np.mean(lengths * np.exp(-rate * best))
     return float(rate), float(max(scale, 1e-12))

@@ -110,6 +110,45 @@ SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u
 """
 
 
+def _reach(links: str, nodes: str) -> str:
+    """Common tables ``reach`` (a, b) and ``comp`` (id, component) over symmetric links (a, b)."""
+    return f"""reach AS (SELECT id AS a, id AS b FROM {nodes} UNION SELECT reach.a, l.b FROM reach JOIN {links} l ON reach.b = l.a), comp AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a)"""
+
+
+OP2_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+r AS (SELECT id, len(s) AS n, unnest(s) AS x FROM s),
+l AS (SELECT p.id AS a, q.id AS b FROM r p JOIN r q ON p.x = q.x AND p.id <> q.id GROUP BY p.id, q.id, p.n, q.n HAVING 100 * count(*) >= 90 * (p.n + q.n - count(*))),
+{_reach('l', 's')}
+SELECT s.id AS doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component AS component_id FROM s JOIN comp USING (id)
+"""
+
+OP5_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+l AS (SELECT p.id AS a, q.id AS b FROM v p JOIN v q ON p.label = q.label AND len(p.x) = len(q.x) AND p.id <> q.id WHERE list_cosine_similarity(p.x, q.x) >= 0.93),
+n AS (SELECT a AS id, count(*) AS n FROM l GROUP BY a), e AS (SELECT vec_id AS id FROM embeddings), {_reach('l', 'e')}
+SELECT e.id AS vec_id, coalesce(n, 0) AS n_links, component AS component_id, component = e.id AS kept FROM e JOIN comp USING (id) LEFT JOIN n USING (id)
+"""
+
+
+def _spans_sql(rank: int, rule: secrets.Rule) -> str:
+    rx = rule.regex.replace("'", "''")
+    m, g, p = f"regexp_extract_all(t, '{rx}')", f"regexp_extract_all(t, '{rx}', {rule.group})", f"string_split_regex(t, '{rx}')"
+    total = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda y: length(y))), 0)"
+    start = f"CAST({total(f'list_slice({p}, 1, i)')} + {total(f'list_slice({m}, 1, i - 1)')} AS BIGINT)"
+    made = f"list_transform(range(1, len({m}) + 1), lambda i: {{'start': {start}, 'rank': {rank}, 'kind': '{rule.name}', 'stop': {start} + length({m}[i]), 'checked': length({g}[i])}})"
+    return f"list_filter({made}, lambda z: z.checked >= {rule.least})"
+
+
+_LISTED = "array_to_string(list_transform(list_sort({0}), lambda z: z.kind || ':' || z.start || ':' || z.stop), ',')"
+_BASE = [f"s_{r.name}" for r in secrets.BASE]
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS (SELECT doc_id, {', '.join(f'{_spans_sql(k, r)} AS s_{r.name}' for k, r in enumerate(secrets.RULES))} FROM d)
+SELECT doc_id, {', '.join(f'CAST(len(s_{r.name}) AS BIGINT) AS n_{r.name}' for r in secrets.BASE)}, sha256({_LISTED.format(' || '.join(_BASE))}) AS base_sha256, {_LISTED.format(' || '.join(f's_{r.name}' for r in secrets.RULES))} AS spans FROM s
+"""
+
+
 def queries() -> dict:
     return {
         "op1_html_text": op1_html_text,
@@ -126,4 +165,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op8_mixing": OP8_SQL}
+    return {"op2_ngram_jaccard": OP2_SQL, "op5_embedding_dups": OP5_SQL, "op6_secret_scans": OP6_SQL, "op8_mixing": OP8_SQL}

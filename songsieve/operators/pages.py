@@ -144,6 +144,92 @@ def quoted_props(pages: DataFrame, least: int = 40) -> DataFrame:
     return rows.select("page_id", t.lyrics_normalized(t.js_string_decoded(F.col("raw"))).alias("text"), F.lit(0).cast("long").alias("link_chars"), F.lit("json-embedded").alias("method"), F.lit("regex").alias("parser"), F.lit("property").alias("source"), F.lit(8.0).alias("bonus"))
 
 
+def weighted_nodes(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Elements with their texts, and the weights that text blocks give themselves, parents and grandparents."""
+    elements = flat.where("kind = 'e' and not in_noise").select("page_id", "node", "parent", "tag", "pos")
+    texts = subtrees(flat, elements).join(elements, ["page_id", "node"])
+    density = F.col("link_chars") / F.greatest(F.lit(1), F.length("text"))
+    texts = texts.withColumn("density", density).withColumn("own", q.block_score(F.col("text"), F.col("density"))).persist()
+    fits = F.col("tag").isin("p", "pre", "blockquote", "li", "div") & F.length("text").between(20, 6000) & (F.col("density") <= 0.58) & (F.col("own") > 0)
+    source = texts.where(fits).select("page_id", "node", "parent", "own")
+    up = source.join(elements.select("page_id", F.col("node").alias("parent"), F.col("parent").alias("above")), ["page_id", "parent"])
+    give = lambda rows, node, share: rows.select("page_id", F.col(node).alias("node"), (F.col("own") * share).alias("w"))
+    weights = give(source, "node", 0.2).union(give(up, "parent", 1.0)).union(give(up, "above", 0.48)).where("node > 0")
+    return texts, weights.groupBy("page_id", "node").agg(F.sum("w").alias("weight"))
+
+
+def readability(flat: DataFrame, most: int = 28) -> DataFrame:
+    """Texts of the heaviest elements of each page, and of those with the siblings that belong to them."""
+    texts, weights = weighted_nodes(flat)
+    rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("weight"), "node"))
+    tops = weights.withColumn("rank", rank).where(F.col("rank") <= most).join(texts, ["page_id", "node"])
+    made = lambda rows, source, bonus: rows.select("page_id", "text", "link_chars", F.lit("dom-readability").alias("method"), F.lit("tree").alias("parser"), source.alias("source"), bonus.alias("bonus"))
+    winners = made(tops.where(F.length("text") >= 60), F.concat(F.lit("winner:"), "tag"), F.least(F.lit(14.0), F.col("weight") / 5))
+    top = tops.where("parent > 0").select("page_id", "parent", F.col("node").alias("top"), F.greatest(F.lit(8.0), F.col("weight") * 0.2).alias("least"))
+    near = texts.join(weights, ["page_id", "node"], "left").join(top, ["page_id", "parent"])
+    short = F.length("text").between(12, 900) & (F.col("density") <= 0.12) & (F.col("own") >= 5)
+    chosen = near.where(F.length("text") <= 12_000).where((F.col("node") == F.col("top")) | (F.coalesce("weight", F.lit(0.0)) >= F.col("least")) | short)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
+    groups = chosen.groupBy("page_id", "top").agg(joined.alias("text"), F.sum("link_chars").alias("link_chars"), F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    return winners.unionByName(made(groups.where("n >= 2 and chars >= 70"), F.lit("siblings"), F.lit(13.0)))
+
+
+def baseline_rescue(flat: DataFrame) -> DataFrame:
+    """All usable blocks of a page joined; for pages where nothing better was found."""
+    rows = block_rows(flat).where(F.length("text").between(8, 2500) & (F.col("density") <= 0.24) & (t.noise_hits(F.col("text")) == 0))
+    plain = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
+    before = F.lag("plain").over(Window.partitionBy("page_id").orderBy("pos"))
+    rows = rows.withColumn("plain", plain).withColumn("before", before).where(~F.col("plain").eqNullSafe(F.col("before")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
+    out = rows.groupBy("page_id").agg(joined.alias("text"), F.sum("link_chars").alias("link_chars")).where(F.length("text") >= 70)
+    return out.select("page_id", "text", "link_chars", F.lit("baseline-rescue").alias("method"), F.lit("tree").alias("parser"), F.lit("baseline").alias("source"), F.lit(-10.0).alias("bonus"))
+
+
+def json_values(scripts: DataFrame, key: str, raw: str, depth: int = 18) -> DataFrame:
+    """(key, path, name, value): all texts of JSON documents, and arrays of texts joined by lines."""
+    schema = "path string, name string, value string"
+
+    def walk(node, path, name, level):
+        if isinstance(node, str):
+            yield path, name, node
+        elif level > depth:
+            return
+        elif isinstance(node, list):
+            if node and all(isinstance(x, str) for x in node):
+                yield path, name, "\n".join(node)
+            for i, x in enumerate(node):
+                yield from walk(x, f"{path}[{i}]", name, level + 1)
+        elif isinstance(node, dict):
+            for k, x in node.items():
+                yield from walk(x, f"{path}.{k}", k, level + 1)
+
+    def run(batches):
+        import json
+
+        for b in batches:
+            for k, text in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                try:
+                    rows = list(walk(json.loads(text or "null"), "$", "", 0))
+                except ValueError:
+                    continue
+                columns = list(zip(*rows, strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(rows), b.schema.field(0).type), *[pa.array(c, pa.string()) for c in columns]], names=[key, "path", "name", "value"])
+
+    rows = scripts.select(key, raw)
+    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, {schema}")
+
+
+def json_candidates(flat: DataFrame) -> DataFrame:
+    """Lyric-like texts in the JSON of script elements."""
+    scripts = flat.where("kind = 't' and tag = 'script'").select("page_id", F.trim("text").alias("raw")).where(F.col("raw").rlike(r"^[\[{]") & (F.length("raw") <= 1_500_000))
+    values = json_values(scripts, "page_id", "raw").withColumn("text", t.lyrics_normalized(F.col("value")))
+    strong = F.col("name").rlike(r"(?i)^(?:lyrics?|lyric_text|song_text|songtext|letra|letras|verses?)$")
+    path = F.col("path").rlike(r"(?i)lyrics?|lyric|song.?text|letra|verse|content|text|description")
+    bonus = F.when(strong, 18.0).when(F.col("name").rlike(r"(?i)(?:^|_)(?:lyrics?|letras?|verses?|content)(?:$|_)"), 8.0).otherwise(0.0)
+    fits = path & (F.length("text") >= 45) & (F.size(q.lines(F.col("text"))) >= 2)
+    return values.where(fits).select("page_id", "text", F.lit(0).cast("long").alias("link_chars"), F.lit("hydration-state").alias("method"), F.lit("script").alias("parser"), F.concat(F.lit("structured:"), "path").alias("source"), bonus.alias("bonus"))
+
+
 def scored(candidates: DataFrame) -> DataFrame:
     out = candidates.withColumn("score", q.candidate_score(F.col("text"), F.col("method"), F.col("link_chars"), F.col("bonus")))
     return out.where("score is not null")
@@ -161,13 +247,20 @@ def deduped(candidates: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Best text of each page with its method, score and confidence, or the reason for none."""
-    flat = nodes(pages)
-    parts = [density_blocks(flat), semantic_blocks(flat), block_clusters(flat), regex_containers(pages), quoted_props(pages)]
+    """Best text of each page with its method, score and confidence, or the reason for none.
+
+    Pages whose best text is weak get one more candidate, all their usable blocks.
+    """
+    flat = nodes(pages).persist()  # read by every branch; lost parts are made anew
+    parts = [density_blocks(flat), semantic_blocks(flat), block_clusters(flat), readability(flat), json_candidates(flat), regex_containers(pages), quoted_props(pages)]
     all_ = parts[0]
     for p in parts[1:]:
         all_ = all_.unionByName(p)
-    best = deduped(scored(all_)).withColumn("lines", F.size(q.lines(F.col("text"))))
+    all_ = scored(all_)
+    first = q.quality(F.col("text"), F.col("link_chars"))
+    good = all_.withColumn("ok", (first["score"] >= 56) & (first["confidence"] >= 0.58)).groupBy("page_id").agg(F.max_by("ok", F.struct("score", F.length("text"))).alias("ok")).where("ok").select("page_id")
+    all_ = all_.unionByName(scored(baseline_rescue(flat).join(good, "page_id", "left_anti")))
+    best = deduped(all_).withColumn("lines", F.size(q.lines(F.col("text"))))
     w = Window.partitionBy("page_id").orderBy(F.desc("score"), F.desc("lines"), "print")
     best = best.withColumn("r", F.row_number().over(w)).withColumn("merged", F.count("*").over(Window.partitionBy("page_id"))).where("r = 1")
     figures = q.quality(F.col("text"), F.col("link_chars"))

@@ -27,6 +27,19 @@ ORACLES["quoted_props"] = r"""SELECT page_id, regexp_replace(regexp_replace(t, '
 QUERIES["page_meta"] = lambda spark, d: pages(spark, d).select("page_id", F.regexp_extract("html", '<meta[^>]+charset="([^"]*)"', 1).alias("charset"), F.regexp_extract("html", '<html[^>]+lang="([^"]*)"', 1).alias("lang"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 ORACLES["page_meta"] = """SELECT page_id, regexp_extract(html, '<meta[^>]+charset="([^"]*)"', 1) AS charset, regexp_extract(html, '<html[^>]+lang="([^"]*)"', 1) AS lang, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages"""
 QUERIES["cand_exact_dedupe"] = lambda spark, d: p.deduped(p.scored(p.density_blocks(p.nodes(pages(spark, d))).unionByName(p.regex_containers(pages(spark, d))))).select("page_id", "print", "method", F.round("score", 1).alias("score"), "parsers", "extractors")
+QUERIES["readability"] = lambda spark, d: p.readability(p.nodes(pages(spark, d)))
+QUERIES["baseline_rescue"] = lambda spark, d: p.baseline_rescue(p.nodes(pages(spark, d)))
+
+
+def with_state(spark, d):
+    """Pages that carry their title, thrice, as the lyrics of a script's state."""
+    title = F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)", 1), '["\\\\]', "")
+    state = F.to_json(F.struct(F.struct(F.array(title, title, title).alias("lyrics")).alias("song")))
+    return pages(spark, d).withColumn("html", F.concat(F.lit('<script id="__NEXT_DATA__">'), state, F.lit("</script>"), "html"))
+
+
+QUERIES["json_candidates"] = lambda spark, d: p.json_candidates(p.nodes(with_state(spark, d))).select("page_id", "source", "bonus", F.size(F.split("text", "\n")).alias("lines"))
+ORACLES["json_candidates"] = r"""SELECT page_id, 'structured:$.song.lyrics' AS source, 18.0::DOUBLE AS bonus, 3 AS lines FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '["\\]', '', 'g'), '^\s+|\s+$', '', 'g') AS t FROM pages) WHERE length(t) * 3 + 2 >= 45"""
 QUERIES["extract_pages"] = lambda spark, d: p.extract(pages(spark, d))
 
 

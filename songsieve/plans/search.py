@@ -47,7 +47,7 @@ QUERIES["fuzzy_dupes"] = lambda spark, d: linkage.dice_pairs(titles(spark, d), "
 ORACLES["fuzzy_dupes"] = f"SELECT b.id AS b, min(a.id) AS absorbed_by FROM {NT} a JOIN {NT} b ON a.id < b.id WHERE {duck.dice('a.n', 'b.n')} >= 0.86 GROUP BY b.id"
 QUERIES["token_coverage"] = lambda spark, d: read(spark, d, "documents").select("doc_id", F.round(sim.term_coverage(t.normalized(F.col("text")), t.search_terms(F.lit("idiot the heart, of erst tion"))), 6).alias("coverage"))
 ORACLES["token_coverage"] = f"SELECT doc_id, round(len(list_filter(['idiot', 'heart', 'erst', 'tion'], lambda w: contains({duck.norm('text')}, w))) / 4.0::DOUBLE, 6)::DOUBLE AS coverage FROM documents"
-QUERIES["ordered_coverage"] = lambda spark, d: read(spark, d, "documents").select("doc_id", F.round(sim.ordered_coverage(F.left(t.normalized(F.col("text")), F.lit(300)), t.search_terms(F.lit("erst tion heen that"))), 6).alias("coverage"))
+QUERIES["ordered_coverage"] = lambda spark, d: read(spark, d, "documents").select("doc_id", F.round(sim.ordered_coverage(t.normalized(F.col("text")), t.search_terms(F.lit("erst tion heen that"))), 6).alias("coverage"))
 
 
 def queries_of_nations(spark, d):

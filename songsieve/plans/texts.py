@@ -49,7 +49,7 @@ HASH = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split
 B36 = "array_to_string(list_transform(range(6, -1, -1), lambda i: substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST((h // CAST(pow(36, i) AS BIGINT)) % 36 AS BIGINT) + 1, 1)), '')"
 QUERIES["stable_id"] = lambda spark, d: read(spark, d, "pages").select("page_id", F.concat(F.lit("page-"), t.fnv1a(F.col("url"))).alias("stable_id"))
 ORACLES["stable_id"] = f"SELECT page_id, 'page-' || ltrim({B36}, '0') AS stable_id FROM (SELECT page_id, {HASH} AS h FROM pages)"
-column("fingerprint", "documents", "doc_id", lambda: {"fingerprint": t.fingerprint(F.col("text"), 500)}, None)
+column("fingerprint", "documents", "doc_id", lambda: {"fingerprint": t.fingerprint(F.col("text"))}, None)
 ID_T = rf"trim(regexp_replace({duck.norm('p_name')}, '\b(ao vivo|live|lyrics|letra|official|video oficial|clipe oficial)\b', '', 'g'))"
 column(
     "identity_key", "part", "p_partkey", lambda: {"identity": t.identity(F.concat(F.col("p_name"), F.lit(" (Live)")), F.concat(F.col("p_brand"), F.lit(" feat. Guest")))},

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from songsieve.llm.common import slices
+from songsieve.llm.common import slices, written
 
 BUCKETS = 1 << 18
 SAMPLE = 60_000  # labelled rows that fit the model at most
@@ -68,24 +68,6 @@ class Features:
         into += np.bincount(f[f >= 0], minlength=2 * BUCKETS)
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, corpus: np.ndarray) -> np.ndarray:
-    """Log-odds of each feature that surely differs, 0 for all others.
-
-    Words and beginnings are two vocabularies, each with a prior of its own.
-    """
-    out = np.zeros(2 * BUCKETS)
-    for part in (slice(0, BUCKETS), slice(BUCKETS, 2 * BUCKETS)):
-        t, c, w = toxic[part].astype(float), clean[part].astype(float), corpus[part].astype(float)
-        if not t.sum() or not c.sum():
-            continue
-        prior = STRENGTH * t.sum() * (w + 0.01) / (w + 0.01).sum()
-        a, b = t + prior, c + prior
-        value = np.log(a / (a.sum() - a)) - np.log(b / (b.sum() - b))
-        sure = (value / np.sqrt(1 / a + 1 / b) > CERTAIN) & (t >= 4)
-        out[part] = np.where(sure, value, 0)
-    return out
-
-
 def segments(at: np.ndarray, gain: np.ndarray, drift: float = DRIFT) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, first, last token), in linear time.
 
@@ -200,8 +182,8 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, sample: in
     return rows.select("text", "toxic", (remainder(F.col("key")) == 3).alias("second"))
 
 
-def count_tables(docs: DataFrame, rows: DataFrame, text: str) -> np.ndarray:
-    """Corpus, toxic and clean counts of all features: three arrays of the fixed size."""
+def count_tables(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """(feature, corpus, toxic, clean): in how many texts of each kind a feature occurs."""
 
     def run(batches):
         names, counts, features = ("corpus", "toxic", "clean"), np.zeros((3, 2 * BUCKETS), np.int64), Features()
@@ -215,17 +197,38 @@ def count_tables(docs: DataFrame, rows: DataFrame, text: str) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(used + k * 2 * BUCKETS), pa.array(counts[k][used])], names=["id", "n"])
 
     both = docs.select(F.col(text).alias("text"), F.lit(0).alias("kind")).union(rows.where("not second").select("text", F.when(F.col("toxic") == 1, 1).otherwise(2).alias("kind")))
-    got = both.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # bounded by the buckets
-    out = np.zeros(6 * BUCKETS, np.int64)
-    out[got["id"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return out.reshape(3, 2 * BUCKETS)
+    got = both.mapInArrow(run, "id long, n long")
+    size = 2 * BUCKETS
+    of = lambda k: F.sum(F.when(F.floor(F.col("id") / size) == k, F.col("n")).otherwise(0)).cast("double")
+    return got.groupBy((F.col("id") % size).alias("feature")).agg(of(0).alias("corpus"), of(1).alias("toxic"), of(2).alias("clean"))
+
+
+def log_odds(counts: DataFrame) -> np.ndarray:
+    """Log-odds of each feature that surely differs, 0 for all others.
+
+    Words and beginnings are two vocabularies, each with a prior of its own. Only the
+    features that surely differ come to the driver, at most one for each bucket.
+    """
+    table = written(counts.withColumn("part", (F.col("feature") >= BUCKETS).cast("int")), "counts")
+    total = {r["part"]: r for r in table.groupBy("part").agg(F.sum("corpus").alias("w"), F.sum("toxic").alias("t"), F.sum("clean").alias("c")).collect()}
+    out = np.zeros(2 * BUCKETS)
+    for part, r in total.items():
+        if not r["t"] or not r["c"]:
+            continue
+        strength = STRENGTH * r["t"]
+        prior = (F.col("corpus") + 0.01) * (strength / (r["w"] + 0.01 * BUCKETS))
+        a, b = F.col("toxic") + prior, F.col("clean") + prior
+        value = F.log(a / (r["t"] + strength - a)) - F.log(b / (r["c"] + strength - b))
+        sure = table.where((F.col("part") == part) & (F.col("toxic") >= 4)).select("feature", value.alias("v"), (value / F.sqrt(1 / a + 1 / b)).alias("z")).where(F.col("z") > CERTAIN)
+        for x in sure.select("feature", "v").collect():
+            out[x["feature"]] = x["v"]
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
     """The model: counts from two of the three usable remainders, calibration on the third."""
     rows = labelled(docs, labels, key, text, sample)
-    corpus, toxic, clean = count_tables(docs, rows, text)
-    model = Model(log_odds(toxic, clean, corpus))
+    model = Model(log_odds(count_tables(docs, rows, text)))
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model.odds)
 

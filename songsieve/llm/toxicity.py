@@ -1,7 +1,8 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Token log-odds between toxic and clean labelled texts are shrunk by a Dirichlet prior
-that follows the counts of the whole corpus. A linear-time scan finds every maximal
+that follows the counts of the whole corpus, and by their own standard errors; those of
+all tokens count, negative ones too, less a constant cost a token. A linear-time scan finds every maximal
 segment of positive score in a text; extreme-value statistics of the best segments of
 clean texts turn segment scores into expected counts, whose sum over a text's passages
 is mapped to the probability of label 1.
@@ -33,9 +34,9 @@ from songsieve.llm.common import slices, written
 BUCKETS = 1 << 18
 SAMPLE = 60_000  # labelled rows that fit the model at most
 PREFIX = 4  # characters of a word's beginning
-STRENGTH = 0.25  # tokens that the prior counts for, as a share of the toxic ones
-CERTAIN = 5.5  # standard errors by which a token's log-odds must differ from 0 to count
-DRIFT = 0.35  # what every other token costs
+STRENGTH = 0.05  # tokens that the prior counts for, as a share of each kind's own
+DOUBT = 4.0  # squared standard errors from 0 at which log-odds are halved
+DRIFT = 0.7  # what every token costs
 PASSAGE = 0.1  # expected count below which a segment is a passage
 STRIP = ".,;:!?\"'()[]{}<>*_-…«»“”‘’"
 MEMO = 150_000
@@ -68,19 +69,17 @@ class Features:
         into += np.bincount(f[f >= 0], minlength=2 * BUCKETS)
 
 
-def segments(at: np.ndarray, gain: np.ndarray, drift: float = DRIFT) -> list[tuple[float, int, int]]:
+def segments(at: np.ndarray, gain: np.ndarray, drift: float = DRIFT, before: np.ndarray | None = None) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, first, last token), in linear time.
 
-    ``at`` holds the positions of the tokens that gain, ``gain`` their amounts; every
-    token between them costs ``drift``.
+    ``at`` holds the positions of the tokens that gain, ``gain`` their amounts, ``before``
+    the sum of all scores before each; without it every token between costs ``drift``.
     """
     out: list[tuple[float, float, int, int]] = []  # (sum before, sum after, first, last)
-    total, seen = 0.0, 0
-    for p, g in zip(at.tolist(), gain.tolist(), strict=True):
-        total -= drift * (p - seen)
-        seen = p + 1
-        left, right, first, last = total, total + g, p, p
-        total = right
+    if before is None:
+        before = np.cumsum(gain) - gain - drift * (at - np.arange(len(at)))
+    for p, left, right in zip(at.tolist(), before.tolist(), (before + gain).tolist(), strict=True):
+        first, last = p, p
         while True:
             j = len(out) - 1
             while j >= 0 and out[j][0] >= left:
@@ -107,9 +106,8 @@ class Model:
         self.memo: dict[str, int] = {}
 
     def feature(self, raw: str) -> int:
-        """The stronger feature of a word, -1 if neither tells anything."""
-        best = max(Features.of(None, raw), key=lambda f: self.odds[f] if f >= 0 else 0.0)
-        return best if best >= 0 and self.odds[best] > 0 else -1
+        """The stronger feature of a word, -1 if it has none."""
+        return max(Features.of(None, raw), key=lambda f: abs(self.odds[f]) if f >= 0 else -1.0)
 
     def passages(self, text: str | None) -> tuple[int, list[tuple[float, int, int]]]:
         """Number of tokens, and the maximal segments."""
@@ -120,9 +118,15 @@ class Model:
         for w in set(words).difference(memo):
             memo[w] = self.feature(w)
         of = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-        at = np.flatnonzero(of >= 0)
-        at = np.sort(at[np.unique(of[at], return_index=True)[1]])  # a repeated feature gains once in a text
-        return len(words), segments(at, self.odds[of[at]])
+        score = np.where(of >= 0, self.odds[of], 0.0) - DRIFT
+        gained: set[int] = set()
+        for p in np.flatnonzero(score > 0).tolist():
+            if (f := int(of[p])) in gained:  # a repeated feature gains once in a text
+                score[p] = -DRIFT
+            else:
+                gained.add(f)
+        at = np.flatnonzero(score > 0)
+        return len(words), segments(at, score[at], before=(np.cumsum(score) - score)[at])
 
     def evidence(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """Sum of -log10 expected counts over the passages; passages as (first, last, expected)."""
@@ -204,10 +208,12 @@ def count_tables(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
 
 
 def log_odds(counts: DataFrame) -> np.ndarray:
-    """Log-odds of each feature that surely differs, 0 for all others.
+    """Shrunken log-odds of each feature; 0 for those that no labelled text holds.
 
-    Words and beginnings are two vocabularies, each with a prior of its own. Only the
-    features that surely differ come to the driver, at most one for each bucket.
+    Words and beginnings are two vocabularies, each with a prior of its own. It counts for
+    the same share of either kind's tokens, so that a feature as frequent in both has
+    log-odds of 0 however unlike the numbers of toxic and clean texts are. At most one row
+    for each bucket comes to the driver.
     """
     table = written(counts.withColumn("part", (F.col("feature") >= BUCKETS).cast("int")), "counts")
     total = {r["part"]: r for r in table.groupBy("part").agg(F.sum("corpus").alias("w"), F.sum("toxic").alias("t"), F.sum("clean").alias("c")).collect()}
@@ -215,13 +221,12 @@ def log_odds(counts: DataFrame) -> np.ndarray:
     for part, r in total.items():
         if not r["t"] or not r["c"]:
             continue
-        strength = STRENGTH * r["t"]
-        prior = (F.col("corpus") + 0.01) * (strength / (r["w"] + 0.01 * BUCKETS))
-        a, b = F.col("toxic") + prior, F.col("clean") + prior
-        value = F.log(a / (r["t"] + strength - a)) - F.log(b / (r["c"] + strength - b))
-        sure = table.where((F.col("part") == part) & (F.col("toxic") >= 4)).select("feature", value.alias("v"), (value / F.sqrt(1 / a + 1 / b)).alias("z")).where(F.col("z") > CERTAIN)
-        for x in sure.select("feature", "v").collect():
-            out[x["feature"]] = x["v"]
+        prior = (F.col("corpus") + 0.01) * (STRENGTH / (r["w"] + 0.01 * BUCKETS))
+        a, b = F.col("toxic") + prior * r["t"], F.col("clean") + prior * r["c"]
+        value = F.log(a / r["t"]) - F.log(b / r["c"])
+        square = value * value / (1 / a + 1 / b)
+        got = table.where((F.col("part") == part) & (F.col("toxic") + F.col("clean") > 0)).select("feature", (value * square / (square + DOUBT)).alias("v")).toPandas()
+        out[got["feature"].to_numpy()] = got["v"].to_numpy()
     return out
 
 

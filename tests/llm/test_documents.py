@@ -298,6 +298,17 @@ def test_toxicity_learns_and_ignores_other_columns(spark, frame):
     assert {r.score < 0.3 for r in toxicity.scored(docs, empty).collect()} == {True}
 
 
+def test_toxicity_learns_from_few_labels(spark, frame):
+    """A dozen words, each in a few toxic texts only; nothing was found when only sure features counted."""
+    rng = random.Random(12)
+    rows = [(i, " ".join([*words(rng, 40), *(rng.sample([f"bad{k}" + "xyz"[k % 3] * 3 for k in range(10)], 3) if i % 8 == 0 else []), *words(rng, 40)]), "a") for i in range(400)]
+    docs, lab = frame(rows), spark.createDataFrame([(i, int(i % 8 == 0)) for i, *_ in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.score >= 0.3 for r in toxicity.scored(docs, toxicity.fit(docs, lab)).collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
+    toxic = [i for i in got if i % 8 == 0]
+    assert len(toxic) > 5 and sum(got[i] for i in toxic) >= 0.8 * len(toxic)
+    assert sum(got[i] for i in got if i % 8) <= 0.05 * len(got)
+
+
 PAGES = [
     ("<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><ul><li><a href=x>m</a></ul></nav><div class='ad'>buy</div><article><h1>A &amp; B</h1><p><b>one  two\nthree<br><p>four</p></article><footer>f</footer>", "A & B\none two three\nfour"),
     ("<body><header>Site</header><div id=content><p>Long words of the main text stand here.</p><p>And here is more of it.</p><div class='comments'><p>nice</p></div></div><aside>side</aside><form><input>q</form></body>", "Long words of the main text stand here.\nAnd here is more of it."),

@@ -37,6 +37,7 @@ PREFIX = 4  # characters of a word's beginning
 STRENGTH = 0.05  # tokens that the prior counts for, as a share of each kind's own
 DOUBT = 4.0  # squared standard errors from 0 at which log-odds are halved
 DRIFT = 0.7  # what every token costs
+NEAR = 20  # tokens after a gain in which the same feature is a repeat and gains nothing
 PASSAGE = 0.1  # expected count below which a segment is a passage
 STRIP = ".,;:!?\"'()[]{}<>*_-…«»“”‘’"
 MEMO = 150_000
@@ -119,12 +120,12 @@ class Model:
             memo[w] = self.feature(w)
         of = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
         score = np.where(of >= 0, self.odds[of], 0.0) - DRIFT
-        gained: set[int] = set()
+        gained: dict[int, int] = {}
         for p in np.flatnonzero(score > 0).tolist():
-            if (f := int(of[p])) in gained:  # a repeated feature gains once in a text
+            if p - gained.get(f := int(of[p]), -NEAR) < NEAR:
                 score[p] = -DRIFT
             else:
-                gained.add(f)
+                gained[f] = p
         at = np.flatnonzero(score > 0)
         return len(words), segments(at, score[at], before=(np.cumsum(score) - score)[at])
 

@@ -309,6 +309,19 @@ def test_toxicity_learns_from_few_labels(spark, frame):
     assert sum(got[i] for i in got if i % 8) <= 0.05 * len(got)
 
 
+def test_toxic_passages_that_reuse_words_are_found():
+    model = toxicity.Model(np.zeros(2 * toxicity.BUCKETS), rate=2.0, scale=0.01)
+    bad = ["idiot", "scum", "trash", "moron"]
+    for w in bad:
+        model.odds[toxicity.Features.of(None, w)[0]] = 4.0
+    plain = ["word"] * 60
+    assert [(f, z) for f, z, _ in model.evidence(" ".join([*plain, *bad, *plain, *bad, *plain]))[1]] == [(60, 63), (124, 127)]
+    singles = [w for b in bad for w in [b, *plain]]  # words that occur singly take nothing from a dense passage after them
+    assert model.evidence(" ".join([*singles, *bad]))[1][-1][:2] == (244, 247)
+    once, often = (max(s for s, *_ in model.passages(" ".join(["idiot"] * n))[1]) for n in (1, 15))
+    assert often == once  # a word said over and over gains once
+
+
 PAGES = [
     ("<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><ul><li><a href=x>m</a></ul></nav><div class='ad'>buy</div><article><h1>A &amp; B</h1><p><b>one  two\nthree<br><p>four</p></article><footer>f</footer>", "A & B\none two three\nfour"),
     ("<body><header>Site</header><div id=content><p>Long words of the main text stand here.</p><p>And here is more of it.</p><div class='comments'><p>nice</p></div></div><aside>side</aside><form><input>q</form></body>", "Long words of the main text stand here.\nAnd here is more of it."),

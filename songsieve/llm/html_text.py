@@ -3,8 +3,8 @@
 Events of the standard library's streaming parser give the page's lines (the text between
 block boundaries) with the tags that fall on each. The text-to-tag ratios, smoothed by a
 Gaussian, are split into two clusters by a threshold; the lines of the upper cluster mark
-the content region: the article that holds most of them, or else the innermost element that
-holds most of them. All lines of that region are the text, without those inside menus,
+the content region: the article that holds at least the share ``REGION`` of their text, or else
+the innermost element that holds it. All lines of that region are the text, without those inside menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
 
 Defined cases: null and empty pages, and pages without such lines, give an empty text;
@@ -168,7 +168,7 @@ def main_text(html: str | None) -> str:
         total += len(lines[i][0])
         for k in lines[i][3]:
             weight[k] += len(lines[i][0])
-    articles = [k for k, kind in enumerate(page.kinds) if kind in ("article", "main") and weight[k]]
+    articles = [k for k, kind in enumerate(page.kinds) if kind in ("article", "main") and weight[k] >= REGION * total]
     if articles:
         region = max(articles, key=lambda k: (weight[k], k))
     else:

@@ -337,6 +337,19 @@ def test_main_text(spark):
         assert got[i].text == want and got[i].n_chars == len(want)
 
 
+def test_articles_are_the_region_only_with_their_share():
+    body = [f"Paragraph {i} of the body has enough words to be taken for content of the page." for i in range(8)]
+    divs = "".join(f"<div>{p}</div>" for p in body)
+    teaser = "<article><h3>Read on</h3><p>A teaser that is long enough to pass the threshold.</p></article>"
+    for page in (f"<div id=top>{divs}</div>{teaser}", f"<div id=top>{divs}{teaser}{teaser}</div>", f"<div id=top>{teaser}{divs}</div>"):
+        got = html_text.main_text(f"<body>{page}</body>").split("\n")
+        assert [line for line in got if line in body] == body
+    siblings = "".join(f"<article><p>{p}</p></article>" for p in body)
+    assert html_text.main_text(f"<body><div>{siblings}</div></body>").split("\n") == body
+    whole = f"<body><p>Before it.</p><article><h1>Head</h1>{divs}</article><p>After it.</p></body>"
+    assert html_text.main_text(whole).split("\n") == ["Head", *body]
+
+
 def test_odd_rows_and_empty_tables(odd):
     for df in (odd, odd.limit(0)):
         n = df.count()

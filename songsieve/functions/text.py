@@ -121,10 +121,10 @@ def fnv1a(c: Column) -> Column:
     return F.lower(F.conv(h.cast("string"), 10, 36))
 
 
-def fingerprint(c: Column, most: int = 5000) -> Column:
-    """Length and hash of the first characters of the normal form; equal for texts that differ in case, accents or marks."""
-    sample = F.left(F.trim(F.regexp_replace(unaccented(F.lower(c)), "[^a-z0-9]+", " ")), F.lit(most))
-    return F.concat_ws(":", F.length(sample).cast("string"), fnv1a(sample))
+def fingerprint(c: Column) -> Column:
+    """Length and hash of the whole normal form; equal for texts that differ in case, accents or marks."""
+    plain = F.trim(F.regexp_replace(unaccented(F.lower(c)), "[^a-z0-9]+", " "))
+    return F.concat_ws(":", F.length(plain).cast("string"), fnv1a(plain))
 
 
 def identity(title: Column, artist: Column) -> Column:

@@ -107,3 +107,10 @@ def test_screening(spark):
     ]
     df = spark.createDataFrame(rows, "u string, want string")
     assert df.where(~screening.reason(F.col("u"), ["example.com"]).eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_fingerprint_covers_whole_texts(spark):
+    long = "abcd " * 2000
+    df = spark.createDataFrame([(long + "one",), (long + "two",), (long.upper() + "-ONE!",)], "x string")
+    a, b, c = (r.f for r in df.select(t.fingerprint(F.col("x")).alias("f")).collect())
+    assert a != b and a == c

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest table, in rows, that may be broadcast; beyond it the plain join is used.
-BROADCAST_ROWS = 200_000
+#: Largest table, in bytes, that may be broadcast; beyond it the plain join is used.
+BROADCAST_BYTES = 16 << 20
 
 _own_dir: str | None = None
 
@@ -48,9 +48,13 @@ def forget(df: DataFrame) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a written table for broadcast if its counted rows are within the bound."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a written table of numbers for broadcast if its counted rows are within the bound.
+
+    A row is taken to need 16 bytes and 16 a column in the hashed table; beyond the bound the
+    plain join is used.
+    """
+    return F.broadcast(df) if df.count() * 16 * (1 + len(df.columns)) <= most else df
 
 
 def slices(batches, rows: int = 256):

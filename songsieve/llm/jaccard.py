@@ -9,9 +9,15 @@ of the join where a document has at most e of them (one of the agreeing blocks i
 fuller one); a document with more of them joins on all its blocks.
 
 The same bound says how many blocks a set shares with any similar one at least; sets that
-share fewer with all others together are dropped. Candidates are compared with the first
-member of each block's group only, and joined into components; in groups that still hold
-several components the other pairs are compared too, under the sketches' bound. Every candidate is verified on the whole texts, so the
+share fewer with all others together are dropped. The members that stay get a compact parity
+sketch, in which every shingle flips one bit; the Hamming distance of two of them never
+exceeds the symmetric difference either, so a pair beyond the bound is dropped unseen. The
+others are verified on the whole sets.
+
+Pairs are not formed within whole groups. Each block's first member meets the others, links
+make components, and in blocks that still hold several components a few members of the
+largest meet all members outside it, round after round, while that merges components. The
+pairs of different components left then are formed, where they share enough blocks. So the
 classes are exact: no link between different texts is lost, none is added.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and link
@@ -28,14 +34,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from songsieve.llm.common import components, forget, small, written
+from songsieve.llm.common import components, forget, slices, small, written
 
 BAND = 1.5  # ratio of the sizes at the ends of a band
 SPARE = 0.2  # spare blocks for each needed one
-MEMO = 600_000
+MEMO = 300_000  # words whose hashes a worker keeps
+LEAST_BITS = 256  # of a parity sketch
+WIDE = 512  # partners of a set, or members of a block, that a task takes at once
+HEADS = 4  # new heads of a block in a round
+ROUNDS = 8
+EASE = 8  # pairs a row of the groups that are few enough to be formed
 EMPTY = np.uint64(0x9E3779B97F4A7C15)  # stands for an empty block where such blocks take part
 
 
@@ -122,76 +133,141 @@ NEVER = 1 << 30
 
 
 def needs(hashes: np.ndarray, percent: int) -> list[int]:
-    """How many blocks, in its even and in its odd band, a set shares with any similar one at least."""
-    out, size = [NEVER, NEVER], len(hashes)
-    for band, blocks, _ in bands(size, percent) if size else ():
+    """How many blocks, in its even and in its odd band, a set shares with any similar one at least;
+    how many blocks of its own band are not empty."""
+    out, size = [NEVER, NEVER, 0], len(hashes)
+    for i, (band, blocks, _) in enumerate(bands(size, percent) if size else ()):
         at = ((hashes >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
         full = np.count_nonzero(np.bincount(at, minlength=blocks))
         largest = min(size * 100 // percent, floors(2 * size * 100 // percent)[band + 1] - 1)
         out[band & 1] = max(1, full - bound(size, largest, percent))
+        if i == 0:
+            out[2] = full
     return out
 
 
-SCHEMAS = {
-    False: "id long, chars long, text_hash long, n long, h1 long, h2 long, need0 long, need1 long",
-    True: "id long, n long, own long, blocks array<long>",
-}
+def parity(hashes: np.ndarray, bits: int) -> bytes:
+    """Parity sketch: every shingle flips one of the bits."""
+    flips = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
 
 
-def sketches(docs: DataFrame, key: str, text: str, n: int, percent: int, blocks: bool) -> DataFrame:
-    """Sets of all rows: two hashes of the whole set, or the keys of its sketches' blocks.
+def width(size: int) -> int:
+    """Bits of a set's parity sketch: a power of two, twice its size at least."""
+    return max(LEAST_BITS, 1 << (2 * size - 1).bit_length())
+
+
+def documents(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+
+
+def sizes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
+    """Each row's set: its size, two hashes of the whole set, and how many blocks it must share.
 
     ``own`` is the number of blocks in the set's own band that are not empty.
     """
 
     def run(batches):
         shingles = Shingles(n)
-        for b in batches:
-            for start in range(0, b.num_rows, 512):
-                part = b.slice(start, 512)
-                sets = [shingles.of(t) for t in part.column(1).to_pylist()]
-                size = pa.array([len(s) for s in sets], pa.int64())
-                if blocks:
-                    made = [[sketch(s, *band) for band in bands(len(s), percent)] if len(s) else [] for s in sets]
-                    keys = [np.concatenate([k for k, _ in m]).view(np.int64) if m else np.array([], np.int64) for m in made]
-                    yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array([m[0][1] if m else 0 for m in made], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "own", "blocks"])
-                else:
-                    whole = [pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes(), seed=k) for s in sets], np.uint64).view(np.int64)) for k in (0, 1)]
-                    least = np.array([needs(s, percent) for s in sets], np.int64).reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), size, *whole, pa.array(least[:, 0]), pa.array(least[:, 1])], names=["id", "chars", "text_hash", "n", "h1", "h2", "need0", "need1"])
-
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.length(text).cast("long").alias("chars"), F.xxhash64(text).alias("text_hash"))
-    return rows.mapInArrow(run, SCHEMAS[blocks])
-
-
-def chosen_texts(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
-    """(id, text) of the written table ``ids``; of rows that repeat an id the longest text."""
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(small(ids, 1_000_000), "id", "left_semi")
-    return rows.groupBy("id").agg(F.max(F.struct(F.length("text"), F.xxhash64("text"), "text")).alias("t")).select("id", "t.text")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """Of the candidate pairs (a, b) of ids those whose whole texts are similar enough."""
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    texts = written(chosen_texts(docs, key, text, ids), "texts")
+        for part in slices(batches, 512):
+            sets = [shingles.of(t) for t in part.column(1).to_pylist()]
+            whole = [pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes(), seed=k) for s in sets], np.uint64).view(np.int64)) for k in (0, 1)]
+            least = np.array([needs(s, percent) for s in sets], np.int64).reshape(-1, 3)
+            columns = [part.column(0), part.column(2), part.column(3), pa.array([len(s) for s in sets], pa.int64()), *whole, *map(pa.array, least.T)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "chars", "text_hash", "n", "h1", "h2", "need0", "need1", "own"])
+
+    rows = documents(docs, key, text).withColumns({"chars": F.length("text").cast("long"), "text_hash": F.xxhash64("text")})
+    return rows.mapInArrow(run, "id long, chars long, text_hash long, n long, h1 long, h2 long, need0 long, need1 long, own long")
+
+
+def blocks(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
+    """(id, block): the keys of every row's blocks that take part in the join."""
 
     def run(batches):
-        shingles, last, held = Shingles(n), None, None
-        for batch in batches:
-            keep = []
-            for i, (a, ta, tb) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True)):
-                if last != a:
-                    last, held = a, shingles.of(ta.as_py())
-                b = shingles.of(tb.as_py())
-                if linked(len(held), len(b), len(np.intersect1d(held, b, assume_unique=True)), percent):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+        shingles = Shingles(n)
+        for part in slices(batches, 512):
+            ids, keys = part.column(0).to_pylist(), []
+            for t in part.column(1).to_pylist():
+                s = shingles.of(t)
+                made = [sketch(s, *band)[0] for band in bands(len(s), percent)] if len(s) else []
+                keys.append(np.concatenate(made).view(np.int64) if made else np.array([], np.int64))
+            lengths = np.fromiter(map(len, keys), np.int64, len(keys))
+            at = pa.array(np.repeat(np.arange(len(ids)), lengths))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(np.concatenate(keys) if keys else np.array([], np.int64))], names=["id", "block"])
+
+    return documents(docs, key, text).where("id is not null").mapInArrow(run, "id long, block long")
+
+
+def profiles(docs: DataFrame, key: str, text: str, ids: DataFrame, n: int) -> DataFrame:
+    """Parity sketches and sorted hashes of the sets of the written table ``ids``.
+
+    ``half`` is the sketch of half as many bits, for pairs whose sizes lie on both sides of a power
+    of two. Of rows that repeat an id the longest text counts.
+    """
+
+    def run(batches):
+        shingles = Shingles(n)
+        for part in slices(batches):
+            sets = [shingles.of(t) for t in part.column(1).to_pylist()]
+            longs = lambda cut: pa.array([np.frombuffer(parity(s, width(len(s)) // cut), np.int64) for s in sets], pa.list_(pa.int64()))
+            columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), longs(1), longs(2), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "bits", "half", "hashes"])
+
+    rows = documents(docs, key, text).join(small(ids), "id", "left_semi")
+    rows = rows.groupBy("id").agg(F.max(F.struct(F.length("text"), F.xxhash64("text"), "text")).alias("t")).select("id", "t.text")
+    return rows.mapInArrow(run, "id long, n long, bits array<long>, half array<long>, hashes binary")
+
+
+def apart(a: str, b: str) -> Column:
+    """Hamming distance of two sketches of the same length."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def sized(a: Column, b: Column, percent: int) -> Column:
+    """Whether two set sizes are close enough for similar sets."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
 
-    rows = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+def allowed(percent: int) -> Column:
+    """Largest symmetric difference of two similar sets of n_a and n_b shingles."""
+    return F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))
 
 
-CROWD = 64  # members of a group whose pairs are formed before their sketches are compared
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose parity sketches differ in no more bits than similar sets may."""
+    of = lambda x: sets.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", "half")])
+    both = pairs.join(of("b"), "b").join(of("a"), "a").where(sized(F.col("n_a"), F.col("n_b"), percent))
+    a, b = F.size("bits_a"), F.size("bits_b")
+    bits = F.when(a == b, apart("bits_a", "bits_b")).when(a == 2 * b, apart("half_a", "bits_b")).when(b == 2 * a, apart("bits_a", "half_b")).otherwise(0)
+    return both.where(bits <= allowed(percent)).select("a", "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough.
+
+    A task holds the set of one ``a`` and streams those of at most ``WIDE`` partners past it on average.
+    """
+    pairs = written(possible(pairs, sets, percent), "possible")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / WIDE).alias("parts"))
+    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
+    lead = dealt.select("a", "part", F.col("a").alias("id"), F.lit(False).alias("partner")).distinct()
+    rows = lead.union(dealt.select("a", "part", F.col("b").alias("id"), F.lit(True).alias("partner")))
+    rows = rows.join(sets.select("id", "hashes"), "id").repartition("a", "part").sortWithinPartitions("a", "part", "partner")
+
+    def run(batches):
+        held = None
+        for batch in slices(batches, 1024):
+            keep = []
+            for i, (other, raw) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), strict=True)):
+                s = np.frombuffer(raw.as_buffer(), np.uint64)
+                if not other:
+                    held = s.copy()
+                elif linked(len(held), len(s), len(np.intersect1d(held, s, assume_unique=True)), percent):
+                    keep.append(i)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+
+    return rows.select("a", "id", "partner", "hashes").mapInArrow(run, "a long, b long")
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -208,67 +284,85 @@ def pruned(groups: DataFrame, least: DataFrame) -> DataFrame:
     return written(grouped(marked.join(small(written(ok, "able")), ["id", "odd"], "left_semi").select("id", "block").distinct()), "groups")
 
 
-def remaining(groups: DataFrame, comp: DataFrame, sizes: DataFrame, stars: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """Pairs of different components in groups of three and more that were not compared and may be similar."""
-    label = groups.where("members > 2").join(comp, F.col("id") == F.col("node"), "left").select("block", "id", "head", "members", F.coalesce("component", "id").alias("c"))
-    mixed = label.groupBy("block").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("block")
-    rest = written(label.join(mixed, "block", "left_semi").where("id <> head").join(sizes, "id"), "rest")
-    who = written(rest.select("id").distinct(), "members")
-    some = written(sketches(chosen_texts(docs, key, text, who), "id", "text", n, percent, blocks=True).select("id", "own", "blocks"), "sketches")
-    allowed = F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))
-    own = F.when(F.col("n_a") >= F.col("n_b"), F.col("own_a")).otherwise(F.col("own_b"))
-    alike = F.size(F.array_intersect("blocks_a", "blocks_b")) >= own - allowed
-    near = (F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & sized(F.col("n_a"), F.col("n_b"), percent)
-    named = lambda rows, x: rows.select("block", *[F.col(c).alias(f"{c}_{x}") for c in rows.columns if c not in ("block", "head", "members")])
-    # small groups: pairs first, then their sketches
-    few = rest.where(F.col("members") <= CROWD)
-    pairs = named(few, "a").join(named(few, "b"), "block").where(near).select("id_a", "id_b", "n_a", "n_b").distinct()
-    pairs = pairs.join(some.select(F.col("id").alias("id_a"), F.col("own").alias("own_a"), F.col("blocks").alias("blocks_a")), "id_a").join(some.select(F.col("id").alias("id_b"), F.col("own").alias("own_b"), F.col("blocks").alias("blocks_b")), "id_b").where(alike)
-    # large groups: sketches are compared inside the join, and a pair comes out at its first common block there
-    many = rest.where(F.col("members") > CROWD)
-    held = many.groupBy("id").agg(F.array_sort(F.collect_set("block")).alias("large"))
-    many = many.join(some.join(held, "id"), "id")
-    first = F.array_intersect("large_a", "large_b")[0] == F.col("block")
-    crowd = named(many, "a").join(named(many, "b"), "block").where(near & alike & first)
-    out = pairs.select("id_a", "id_b").union(crowd.select("id_a", "id_b")).toDF("a", "b").distinct()
-    return written(out.join(stars, ["a", "b"], "left_anti"), "pairs")
-
-
-def sized(a, b, percent: int):
-    """Whether two set sizes are close enough for similar sets."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def mixed(groups: DataFrame, comp: DataFrame) -> DataFrame:
+    """(block, id, c) rows, c the component, of the blocks that hold several components."""
+    rows = groups.join(small(comp), F.col("id") == F.col("node"), "left").select("block", "id", F.coalesce("component", "id").alias("c"))
+    several = rows.groupBy("block").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("block")
+    return written(rows.join(several, "block", "left_semi"), "mixed")
+
+
+def open_pairs(rows: DataFrame) -> tuple[int, int]:
+    """How many rows there are, and how many pairs of different components the blocks hold."""
+    per = rows.groupBy("block", "c").count().groupBy("block").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("q"))
+    got = per.agg(F.sum("m").alias("rows"), F.sum((F.col("m") * F.col("m") - F.col("q")) / 2).alias("pairs")).first()
+    return int(got["rows"] or 0), int(got["pairs"] or 0)
+
+
+def next_stars(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs of the members outside each block's largest component with a few members of it.
+
+    Those are chosen by a hash, so that the many blocks of the same sets choose the same ones.
+    """
+    per = rows.groupBy("block", "c").agg(F.count("*").alias("k"), *[F.min(F.struct(F.xxhash64("id", F.lit(turn * HEADS + h)), "id")).alias(f"h{h}") for h in range(HEADS)])
+    largest = per.groupBy("block").agg(F.max_by(F.struct(F.col("c").alias("main"), F.array(*[F.col(f"h{h}.id") for h in range(HEADS)]).alias("heads")), F.struct("k", -F.col("c"))).alias("l"))
+    out = rows.join(largest.select("block", "l.*"), "block").where("c <> main").select("id", F.explode("heads").alias("head"))
+    return out.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+
+
+def remaining(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share as many blocks as similar sets must.
+
+    Blocks of many members are cut into parts, each joined with the whole block.
+    """
+    rows = rows.join(sets.select("id", "n", "own"), "id")
+    cut = rows.groupBy("block").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("parts"))
+    rows = rows.join(cut, "block")
+    named = lambda df, x, part: df.select("block", part.alias("part"), *[F.col(c).alias(f"{c}_{x}") for c in ("id", "c", "n", "own")])
+    left = named(rows, "a", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    right = named(rows, "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = left.join(right, ["block", "part"]).where((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & sized(F.col("n_a"), F.col("n_b"), percent))
+    need = F.when(F.col("n_a") >= F.col("n_b"), F.col("own_a")).otherwise(F.col("own_b")) - allowed(percent)
+    shared = met.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count("*").alias("shared"), F.first(need).alias("need"))
+    return shared.where("shared >= need").select("a", "b")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row per id: (id, n, component), the set's size and the smallest id reachable by links."""
-    sets = sketches(docs, key, text, n, percent, blocks=False)
-    sets = sets.groupBy("id").agg(F.max_by(F.struct("n", "h1", "h2", "need0", "need1"), F.struct("chars", "text_hash")).alias("s")).select("id", "s.*")
+    sets = sizes(docs, key, text, n, percent)
+    sets = sets.groupBy("id").agg(F.max_by(F.struct("n", "h1", "h2", "need0", "need1", "own"), F.struct("chars", "text_hash")).alias("s")).select("id", "s.*")
     sets = written(sets, "sets")
     # equal sets, however many documents have them, are one member from here on
-    reps = written(sets.where("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "reps")
+    reps = sets.where("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     member = sets.select("id", F.col("n").alias("m"), F.col("h1").alias("m1"), F.col("h2").alias("m2"))
     same = (F.col("m") == F.col("n")) & (F.col("m1") == F.col("h1")) & (F.col("m2") == F.col("h2"))
-    copies = written(member.join(reps.where("copies > 1"), same).where("id <> rep").select("id", "rep"), "copies")
-    made = sketches(docs, key, text, n, percent, blocks=True).where("n > 0 and id is not null").join(small(copies.select("id"), 1_000_000), "id", "left_anti")
-    least = sets.select("id", "need0", "need1")
-    groups = written(grouped(made.select("id", F.explode("blocks").alias("block"))), "groups")
+    copies = written(member.join(reps, same).where("id <> rep").select("id", "rep"), "copies")
+    made = blocks(docs, key, text, n, percent).join(small(copies.select("id")), "id", "left_anti")
+    groups, used = written(grouped(made), "groups"), []
     for _ in range(2):
-        groups, before = pruned(groups, least), groups
-        forget(before)
-    sizes = reps.select(F.col("rep").alias("id"), F.col("n"))
-    stars = groups.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    stars = written(stars.where(sized(F.col("na"), F.col("nb"), percent)).select("a", "b"), "stars")
-    links = written(verified(stars, docs, key, text, n, percent), "links")
-    comp = written(components(links), "components")
-    pairs = remaining(groups, comp, sizes, stars, docs, key, text, n, percent)
-    comp = written(components(written(links.union(verified(pairs, docs, key, text, n, percent)), "links")), "components")
+        used.append(groups)
+        groups = pruned(groups, sets.select("id", "need0", "need1"))
+    members = written(groups.select("id").distinct(), "members")
+    known = written(profiles(docs, key, text, members, n).join(sets.select("id", "own"), "id"), "profiles")
+
+    links = verified(groups.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), known, percent)
+    comp = written(components(written(links, "links")), "components")
+    rest, before = mixed(groups, comp), None
+    used += [members, groups, rest]
+    for turn in range(ROUNDS):
+        rows, pairs = open_pairs(rest)
+        if pairs <= EASE * rows or before is not None and pairs > 0.9 * before:
+            break
+        more = verified(next_stars(rest, turn), known, percent)
+        comp = written(components(written(more.union(comp.select("node", "component")), "links")), "components")
+        rest, before = mixed(rest.select("block", "id"), comp), pairs
+        used.append(rest)
+    more = verified(remaining(rest, known, percent), known, percent)
+    comp = written(components(written(more.union(comp.select("node", "component")), "links")), "components")
+    for t in (*used, known):
+        forget(t)
 
     of = sets.select("id", "n").join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
-    out = of.join(comp, F.col("rep") == F.col("node"), "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
-    for t in (groups, stars):
-        forget(t)
-    return out
+    return of.join(comp, F.col("rep") == F.col("node"), "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -277,7 +371,7 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     Rows with a null id stay; of rows that repeat an id one with the longest text stays.
     """
     away = written(classes(docs, key, text, n, percent).where("id <> component").select(F.col("id").alias("__id")), "away")
-    stay = docs.join(small(away, 1_000_000), docs[key] == F.col("__id"), "left_anti")
+    stay = docs.join(small(away), docs[key] == F.col("__id"), "left_anti")
     repeated = written(docs.groupBy(key).count().where("count > 1").where(F.col(key).isNotNull()).select(F.col(key).alias("__id")), "repeated")
     if repeated.isEmpty():
         return stay

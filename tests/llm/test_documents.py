@@ -67,7 +67,8 @@ def jaccard_classes(rows, n, percent):
 
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80), (2, 60)])
 def test_jaccard_classes_are_exact(copies, n, percent, monkeypatch):
-    monkeypatch.setattr(jaccard, "CROWD", 8)  # both ways of comparing a group's pairs
+    monkeypatch.setattr(jaccard, "EASE", 0)  # rounds of stars before the remaining pairs
+    monkeypatch.setattr(jaccard, "WIDE", 8)  # sets and blocks in several parts
     rows, df = copies
     got = {r.id: (r.n, r.component) for r in jaccard.classes(df, n=n, percent=percent).collect()}
     assert got == jaccard_classes(rows, n, percent)
@@ -86,6 +87,8 @@ def test_sketches_never_lose_a_link():
         keys = lambda h: {int(k) for band in jaccard.bands(len(h), 80) for k in jaccard.sketch(h, *band)[0]}
         shared = Counter(k & 1 for k in keys(ha) & keys(hb))
         assert shared
+        apart = sum(bin(x ^ y).count("1") for x, y in zip(jaccard.parity(ha, 512), jaccard.parity(hb, 512), strict=True))
+        assert apart <= len(a ^ b) <= jaccard.bound(len(a), len(b), 80)
         assert any(n >= jaccard.needs(ha, 80)[odd] and n >= jaccard.needs(hb, 80)[odd] for odd, n in shared.items())
 
 

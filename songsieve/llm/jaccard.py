@@ -17,8 +17,9 @@ others are verified on the whole sets.
 Pairs are not formed within whole groups. Each block's first member meets the others, links
 make components, and in blocks that still hold several components a few members of the
 largest meet all members outside it, round after round, while that merges components. The
-pairs of different components left then are formed, where they share enough blocks. So the
-classes are exact: no link between different texts is lost, none is added.
+pairs of different components left are then compared by their parity sketches, in the rarer
+blocks of each set, one of which similar sets share as well. So the classes are exact: no link
+between different texts is lost, none is added.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and link
 with nothing; a text of fewer than n words has one shingle, the whole sequence; equal sets
@@ -34,7 +35,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from songsieve.llm.common import components, forget, slices, small, written
@@ -133,16 +134,13 @@ NEVER = 1 << 30
 
 
 def needs(hashes: np.ndarray, percent: int) -> list[int]:
-    """How many blocks, in its even and in its odd band, a set shares with any similar one at least;
-    how many blocks of its own band are not empty."""
-    out, size = [NEVER, NEVER, 0], len(hashes)
-    for i, (band, blocks, _) in enumerate(bands(size, percent) if size else ()):
+    """How many blocks, in its even and in its odd band, a set shares with any similar one at least."""
+    out, size = [NEVER, NEVER], len(hashes)
+    for band, blocks, _ in bands(size, percent) if size else ():
         at = ((hashes >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
         full = np.count_nonzero(np.bincount(at, minlength=blocks))
         largest = min(size * 100 // percent, floors(2 * size * 100 // percent)[band + 1] - 1)
         out[band & 1] = max(1, full - bound(size, largest, percent))
-        if i == 0:
-            out[2] = full
     return out
 
 
@@ -162,22 +160,19 @@ def documents(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def sizes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """Each row's set: its size, two hashes of the whole set, and how many blocks it must share.
-
-    ``own`` is the number of blocks in the set's own band that are not empty.
-    """
+    """Each row's set: its size, two hashes of the whole set, and how many blocks it must share."""
 
     def run(batches):
         shingles = Shingles(n)
         for part in slices(batches, 512):
             sets = [shingles.of(t) for t in part.column(1).to_pylist()]
             whole = [pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes(), seed=k) for s in sets], np.uint64).view(np.int64)) for k in (0, 1)]
-            least = np.array([needs(s, percent) for s in sets], np.int64).reshape(-1, 3)
+            least = np.array([needs(s, percent) for s in sets], np.int64).reshape(-1, 2)
             columns = [part.column(0), part.column(2), part.column(3), pa.array([len(s) for s in sets], pa.int64()), *whole, *map(pa.array, least.T)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "chars", "text_hash", "n", "h1", "h2", "need0", "need1", "own"])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "chars", "text_hash", "n", "h1", "h2", "need0", "need1"])
 
     rows = documents(docs, key, text).withColumns({"chars": F.length("text").cast("long"), "text_hash": F.xxhash64("text")})
-    return rows.mapInArrow(run, "id long, chars long, text_hash long, n long, h1 long, h2 long, need0 long, need1 long, own long")
+    return rows.mapInArrow(run, "id long, chars long, text_hash long, n long, h1 long, h2 long, need0 long, need1 long")
 
 
 def blocks(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
@@ -201,26 +196,33 @@ def blocks(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFr
 def profiles(docs: DataFrame, key: str, text: str, ids: DataFrame, n: int) -> DataFrame:
     """Parity sketches and sorted hashes of the sets of the written table ``ids``.
 
-    ``half`` is the sketch of half as many bits, for pairs whose sizes lie on both sides of a power
-    of two. Of rows that repeat an id the longest text counts.
+    Of rows that repeat an id the longest text counts.
     """
 
     def run(batches):
         shingles = Shingles(n)
         for part in slices(batches):
             sets = [shingles.of(t) for t in part.column(1).to_pylist()]
-            longs = lambda cut: pa.array([np.frombuffer(parity(s, width(len(s)) // cut), np.int64) for s in sets], pa.list_(pa.int64()))
-            columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), longs(1), longs(2), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "bits", "half", "hashes"])
+            bits = pa.array([np.frombuffer(parity(s, width(len(s))), np.int64) for s in sets], pa.list_(pa.int64()))
+            columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), bits, pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "bits", "hashes"])
 
     rows = documents(docs, key, text).join(small(ids), "id", "left_semi")
     rows = rows.groupBy("id").agg(F.max(F.struct(F.length("text"), F.xxhash64("text"), "text")).alias("t")).select("id", "t.text")
-    return rows.mapInArrow(run, "id long, n long, bits array<long>, half array<long>, hashes binary")
+    return rows.mapInArrow(run, "id long, n long, bits array<long>, hashes binary")
+
 
+def folded(bits: Column) -> Column:
+    """The sketch of half as many bits."""
+    half = (F.size(bits) / 2).cast("int")
+    return F.zip_with(F.slice(bits, 1, half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))
 
-def apart(a: str, b: str) -> Column:
-    """Hamming distance of two sketches of the same length."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+def apart() -> Column:
+    """Hamming distance of the sketches bits_a and bits_b; the longer is folded where sizes lie on both sides of a power of two."""
+    a, b = F.col("bits_a"), F.col("bits_b")
+    one, other = F.when(F.size(a) > F.size(b), folded(a)).otherwise(a), F.when(F.size(b) > F.size(a), folded(b)).otherwise(b)
+    return F.aggregate(F.zip_with(one, other, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
 
 
 def sized(a: Column, b: Column, percent: int) -> Column:
@@ -233,13 +235,15 @@ def allowed(percent: int) -> Column:
     return F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))
 
 
+def near(percent: int) -> Column:
+    """Whether the sizes and the parity sketches of sets a and b allow that they are similar."""
+    return sized(F.col("n_a"), F.col("n_b"), percent) & (apart() <= allowed(percent))
+
+
 def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose parity sketches differ in no more bits than similar sets may."""
-    of = lambda x: sets.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", "half")])
-    both = pairs.join(of("b"), "b").join(of("a"), "a").where(sized(F.col("n_a"), F.col("n_b"), percent))
-    a, b = F.size("bits_a"), F.size("bits_b")
-    bits = F.when(a == b, apart("bits_a", "bits_b")).when(a == 2 * b, apart("half_a", "bits_b")).when(b == 2 * a, apart("bits_a", "half_b")).otherwise(0)
-    return both.where(bits <= allowed(percent)).select("a", "b")
+    of = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    return pairs.join(of("b"), "b").join(of("a"), "a").where(near(percent)).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -310,26 +314,32 @@ def next_stars(rows: DataFrame, turn: int) -> DataFrame:
 
 
 def remaining(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share as many blocks as similar sets must.
+    """Pairs of different components that may be similar.
 
-    Blocks of many members are cut into parts, each joined with the whole block.
+    Similar sets share ``need`` blocks at least, so they also share one of those that are left of
+    each when its ``need - 1`` most frequent blocks are taken away. Blocks of many members are cut
+    into parts, each joined with the whole block; the parity sketches are compared inside the join.
     """
-    rows = rows.join(sets.select("id", "n", "own"), "id")
-    cut = rows.groupBy("block").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("parts"))
-    rows = rows.join(cut, "block")
-    named = lambda df, x, part: df.select("block", part.alias("part"), *[F.col(c).alias(f"{c}_{x}") for c in ("id", "c", "n", "own")])
-    left = named(rows, "a", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    right = named(rows, "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = left.join(right, ["block", "part"]).where((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & sized(F.col("n_a"), F.col("n_b"), percent))
-    need = F.when(F.col("n_a") >= F.col("n_b"), F.col("own_a")).otherwise(F.col("own_b")) - allowed(percent)
-    shared = met.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count("*").alias("shared"), F.first(need).alias("need"))
-    return shared.where("shared >= need").select("a", "b")
+    per = rows.groupBy("block").agg(F.count("*").alias("members"))
+    of = Window.partitionBy("id", "odd")
+    ranked = rows.join(per, "block").withColumn("odd", F.col("block").bitwiseAND(F.lit(1)))
+    ranked = ranked.withColumns({"turn": F.row_number().over(of.orderBy("members", "block")), "all": F.count("*").over(of)})
+    need = F.when(F.col("odd") == 0, F.col("need0")).otherwise(F.col("need1"))
+    rare = ranked.join(sets.select("id", "need0", "need1"), "id").where(F.col("turn") <= F.col("all") - need + 1).select("block", "id", "c")
+    rare = written(rare, "rare")
+    parts = rare.groupBy("block").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("parts"))
+    full = rare.join(parts, "block").join(sets.select("id", "n", "bits"), "id")
+    named = lambda x, part: full.select("block", part.alias("part"), *[F.col(c).alias(f"{c}_{x}") for c in ("id", "c", "n", "bits")])
+    left = named("a", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    right = named("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = left.join(right, ["block", "part"]).where((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & near(percent))
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row per id: (id, n, component), the set's size and the smallest id reachable by links."""
     sets = sizes(docs, key, text, n, percent)
-    sets = sets.groupBy("id").agg(F.max_by(F.struct("n", "h1", "h2", "need0", "need1", "own"), F.struct("chars", "text_hash")).alias("s")).select("id", "s.*")
+    sets = sets.groupBy("id").agg(F.max_by(F.struct("n", "h1", "h2", "need0", "need1"), F.struct("chars", "text_hash")).alias("s")).select("id", "s.*")
     sets = written(sets, "sets")
     # equal sets, however many documents have them, are one member from here on
     reps = sets.where("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
@@ -342,7 +352,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
         used.append(groups)
         groups = pruned(groups, sets.select("id", "need0", "need1"))
     members = written(groups.select("id").distinct(), "members")
-    known = written(profiles(docs, key, text, members, n).join(sets.select("id", "own"), "id"), "profiles")
+    known = written(profiles(docs, key, text, members, n).join(sets.select("id", "need0", "need1"), "id"), "profiles")
 
     links = verified(groups.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), known, percent)
     comp = written(components(written(links, "links")), "components")

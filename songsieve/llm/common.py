@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,18 +12,23 @@ from pyspark.sql import functions as F
 #: Largest table, in bytes, that may be broadcast; beyond it the plain join is used.
 BROADCAST_BYTES = 16 << 20
 
-_own_dir: str | None = None
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where it is unset."""
-    global _own_dir
+    """The folder named in spark.checkpoint.dir, which driver and executors share.
+
+    A local session, whose driver and executors are one process, may leave it unset and gets a
+    temporary folder; a cluster may not.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="songsieve-")
-    return _own_dir
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_dir()
+
+
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="songsieve-")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -54,6 +60,8 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     A row is taken to need 16 bytes and 16 a column in the hashed table; beyond the bound the
     plain join is used.
     """
+    if any(f.dataType.typeName() in ("string", "binary", "array", "map", "struct") for f in df.schema):
+        return df
     return F.broadcast(df) if df.count() * 16 * (1 + len(df.columns)) <= most else df
 
 

@@ -4,8 +4,9 @@ Events of the standard library's streaming parser give the page's lines (the tex
 block boundaries) with the tags that fall on each. The text-to-tag ratios, smoothed by a
 Gaussian, are split into two clusters by a threshold; the lines of the upper cluster mark
 the content region: the article that holds at least the share ``REGION`` of their text, or else
-the innermost element that holds it. All lines of that region are the text, without those inside menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
+the innermost element that holds it, with articles beside it that hold the share ``BESIDE``. All
+lines of that region are the text, without what lies inside menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles and reader comments, blocks or not.
 
 Defined cases: null and empty pages, and pages without such lines, give an empty text;
 unclosed and stray tags are tolerated; whole pages are parsed, however long; rows that
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 SIGMA = 1.0  # of the smoothing, in lines
 REGION = 0.8  # share of the content that an element must hold to be the region
+BESIDE = 0.1  # share that an article beside the region must hold to stay with it
 
 BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6"
@@ -46,21 +48,25 @@ names = re.compile(r"[A-Za-z]+").findall
 
 
 class Page(HTMLParser):
-    """Collects (text, tags, dropped, open region elements) of each line."""
+    """Collects (text, tags, region) of each line; text inside dropped elements is left out.
+
+    Regions are numbered in page order; ``parents`` leads from a region to the one around it.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
-        self.open: list[tuple[str, bool, tuple[int, ...], bool]] = [("", False, (), False)]
+        self.lines: list[tuple[str, int, int]] = []
+        self.open: list[tuple[str, bool, int, bool]] = [("", False, -1, False)]  # tag, dropped, region, in an article
+        self.at: dict[str, list[int]] = {}  # where each tag's open elements stand in ``open``
         self.kinds: list[str] = []
+        self.parents: list[int] = []
         self.parts: list[str] = []
         self.tags = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text or self.tags:
-            _, dropped, inside, _ = self.open[-1]
-            self.lines.append((text, self.tags, dropped, inside))
+            self.lines.append((text, self.tags, self.open[-1][2]))
         self.parts, self.tags = [], 0
 
     def drops(self, tag: str, attrs: list, in_article: bool) -> bool:
@@ -87,21 +93,22 @@ class Page(HTMLParser):
             self.close_to("li", "ul", "ol", "menu")
         if tag in VOID:
             return
-        _, dropped, inside, in_article = self.open[-1]
+        _, dropped, region, in_article = self.open[-1]
         dropped = dropped or self.drops(tag, attrs, in_article)
         if tag in REGIONS:
-            inside = (*inside, len(self.kinds))
+            self.parents.append(region)
+            region = len(self.kinds)
             self.kinds.append(tag)
-        self.open.append((tag, dropped, inside, in_article or tag in ("article", "main")))
+        self.at.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, dropped, region, in_article or tag in ("article", "main")))
 
     def close_to(self, tag: str, *bars: str) -> None:
         """Close the innermost open element of the name, unless a bar is met before."""
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-            if self.open[i][0] in bars:
-                return
+        mine = self.at.get(tag)
+        if mine and not any(self.at.get(b) and self.at[b][-1] > mine[-1] for b in bars):
+            i = mine[-1]
+            while len(self.open) > i:
+                self.at[self.open.pop()[0]].pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -122,7 +129,8 @@ class Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
-        self.parts.append(data)
+        if not self.open[-1][1]:
+            self.parts.append(data)
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -155,25 +163,32 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.flush()
-    lines = page.lines
-    usable = [i for i, (text, _, dropped, _) in enumerate(lines) if text and not dropped]
+    lines, parents = page.lines, page.parents
+    usable = [i for i, (text, *_) in enumerate(lines) if text]
     if not usable:
         return ""
-    values = smoothed(np.array([len(text) / max(1, tags) for text, tags, *_ in lines]))
+    values = smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in lines]))
     border = threshold(values)
-    content = [i for i in usable if values[i] >= border] or usable
-    weight = [0] * len(page.kinds)
+    weight = [0] * len(parents)
     total = 0
-    for i in content:
+    for i in [i for i in usable if values[i] >= border] or usable:
         total += len(lines[i][0])
-        for k in lines[i][3]:
-            weight[k] += len(lines[i][0])
-    articles = [k for k, kind in enumerate(page.kinds) if kind in ("article", "main") and weight[k] >= REGION * total]
-    if articles:
-        region = max(articles, key=lambda k: (weight[k], k))
-    else:
-        region = max((k for k in range(len(weight)) if weight[k] >= REGION * total), default=None)
-    return "\n".join(lines[i][0] for i in usable if region is None or region in lines[i][3])
+        if lines[i][2] >= 0:
+            weight[lines[i][2]] += len(lines[i][0])
+    for k in range(len(parents) - 1, -1, -1):
+        if parents[k] >= 0:
+            weight[parents[k]] += weight[k]
+    most = [k for k, w in enumerate(weight) if w >= REGION * total]
+    articles = [k for k in most if page.kinds[k] in ("article", "main")]
+    if not most:
+        return "\n".join(lines[i][0] for i in usable)
+    region = max(articles, key=lambda k: (weight[k], k)) if articles else most[-1]
+    # an article beside it that holds a share of its own is part of the page's text
+    beside = lambda k: page.kinds[k] == page.kinds[region] == "article" and parents[k] == parents[region] and weight[k] >= BESIDE * total
+    inside = []
+    for k, parent in enumerate(parents):
+        inside.append(k == region or beside(k) or parent >= 0 and inside[parent])
+    return "\n".join(lines[i][0] for i in usable if lines[i][2] >= 0 and inside[lines[i][2]])
 
 
 def extracted(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -33,6 +33,7 @@ LOW = np.uint64(1 << 31)  # a state stays in [LOW, LOW << 32)
 LANES = 2048
 EVERY = 64  # steps between checkpoints
 BLOCK_TOKENS = 1 << 18
+SHARD_TOKENS = 1 << 22
 MAGIC = b"RANS0001"
 HEAD = struct.Struct("<8sIIIIQI")  # magic, docs, tokens, lanes, words, tokens before it in its shard, crc
 MEMO_WORDS = 1_500_000  # words whose ids a worker keeps
@@ -46,7 +47,8 @@ class Tokens:
 
     By byte-level BPE's splitting rule a space between two other characters always begins
     a new piece, a line feed between two others is one, and so is a mark after letters: the
-    words of a text can be encoded apart. Texts are cut nowhere else.
+    words of a text can be encoded apart. Texts are cut nowhere else, and those that spell out
+    one of the file's added tokens are encoded whole.
     """
 
     def __init__(self, path: str, dtype: str, end: int):
@@ -55,10 +57,10 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
         self.dtype, self.end = dtype, np.array([end], dtype).tobytes()
         self.rare = re.compile("[%s]" % "".join(c for c in map(chr, range(0x110000)) if c.isspace() and c not in " \n")).search
         self.cut = re.compile(r"(?<=\S) (?=\S)").split
+        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.feed = self.ids(["\n"])[0]
         self.marks = dict(zip(",.;:!?", self.ids([*",.;:!?"]), strict=True))
         self.tails: dict[str, bytes] = {}  # ids of words after a space
@@ -95,11 +97,15 @@ class Tokens:
             memo[w] = memo[b] + self.marks[w[-1]]
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        docs = [self.lines(t) for t in texts]
+        whole = {i for i, t in enumerate(texts) if t and any(a in t for a in self.added)}
+        docs = [[] if i in whole else self.lines(t) for i, t in enumerate(texts)]
         self.learn({line[0] for doc in docs for line in doc}, self.heads, "")
         self.learn(set(chain.from_iterable(line[1:] for doc in docs for line in doc)), self.tails, " ")
         head, tail, feed = self.heads, self.tails.__getitem__, self.feed
-        return [feed.join(b"".join([head[line[0]], *map(tail, line[1:])]) for line in doc) + self.end for doc in docs]
+        out = [feed.join(b"".join([head[line[0]], *map(tail, line[1:])]) for line in doc) + self.end for doc in docs]
+        for i, ids in zip(sorted(whole), self.ids([texts[i] for i in sorted(whole)]), strict=True):
+            out[i] = ids + self.end
+        return out
 
 
 _tokens: dict[tuple, Tokens] = {}
@@ -255,10 +261,11 @@ def frequencies(tokens: DataFrame, vocabulary: int) -> np.ndarray:
 
 
 def write_tokens(tokens: DataFrame, path: str, vocabulary: int, shards: int | None = None) -> None:
-    """Write a (key, ids) table as one block file in ascending key order."""
+    """Write a (key, ids) table as one block file in ascending key order; the shards follow from the tokens counted."""
     spark = tokens.sparkSession
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    freq = normalised(frequencies(tokens, vocabulary))
+    counts = frequencies(tokens, vocabulary)
+    freq, shards = normalised(counts), shards or 1 + int(counts.sum()) // SHARD_TOKENS
     spark.createDataFrame([(i, int(f)) for i, f in enumerate(freq) if f], "id int, freq long").coalesce(1).write.parquet(f"{path}/table")
     shared = spark.sparkContext.broadcast(freq)  # bounded by the vocabulary
 
@@ -286,7 +293,6 @@ def write_tokens(tokens: DataFrame, path: str, vocabulary: int, shards: int | No
         if keys:
             yield flush()
 
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = tokens.select("key", "ids").repartitionByRange(shards, "key").sortWithinPartitions("key", "ids")
     dealt.mapInArrow(run, "shard int, block int, n_docs int, n_tokens long, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
 

@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from songsieve.llm.common import small, written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -100,17 +102,17 @@ def trigram_query(regex: str) -> list[frozenset[str]]:
 
 
 def candidates(docs: DataFrame, key: str, text: str, rules=RULES) -> DataFrame:
-    """(key, rules): the names of the indexed rules whose trigram query a document meets."""
-    clauses = [(r.name, i, sorted(c)) for r in rules for i, c in enumerate(trigram_query(r.regex))]
+    """(key, rules): the indexed rules whose trigram query a document meets, as a set of bits."""
+    clauses = [(1 << k, i, sorted(c)) for k, r in enumerate(rules) for i, c in enumerate(trigram_query(r.regex))]
     wanted = sorted({g for *_, c in clauses for g in c})
     low = docs.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("low"))
     found = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(n)) for n, g in enumerate(wanted)]))
     postings = low.select("key", F.explode(found).alias("gram"))
-    rows = [(wanted.index(g), f"{name}/{i}", name, len(c)) for name, i, c in clauses for g in c]
+    rows = [(wanted.index(g), f"{bit}/{i}", bit, len(c)) for bit, i, c in clauses for g in c]
     # the fixed rule table is bounded by the rules above
-    table = F.broadcast(docs.sparkSession.createDataFrame(rows, "gram int, clause string, rule string, needed int"))
+    table = F.broadcast(docs.sparkSession.createDataFrame(rows, "gram int, clause string, rule long, needed int"))
     met = postings.join(table, "gram").groupBy("key", "clause", "rule", "needed").agg(F.count_distinct("gram").alias("n")).where("n = needed")
-    return met.groupBy("key").agg(F.collect_set("rule").alias("rules"))
+    return met.groupBy("key").agg(F.bit_or("rule").alias("rules"))
 
 
 def _located(text: Column, rule: Rule) -> Column:
@@ -136,25 +138,27 @@ def _located(text: Column, rule: Rule) -> Column:
     return F.aggregate(zipped, zero, step, lambda acc: acc["spans"])
 
 
-def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", rules=RULES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every row's key, text and ``keep`` columns with ``found``: sorted structs (start, rank, kind, stop).
+def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", rules=RULES, keep: tuple[str, ...] = (), out: str = "found") -> DataFrame:
+    """Every row's ``keep`` columns, key and text with ``out``: sorted structs (start, rank, kind, stop).
 
-    Spans are leftmost and non-overlapping per kind; kinds may overlap each other.
+    Spans are leftmost and non-overlapping per kind; kinds may overlap each other. The texts are
+    not shuffled where the candidates are few enough to be broadcast.
     """
-    base = docs.select(*keep, F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    cand = candidates(base, "key", "text", rules).select(F.col("key").alias("c_key"), "rules")
-    joined = base.join(cand, F.col("key").eqNullSafe(F.col("c_key")), "left")
+    kept = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None)
+    base = docs.select(kept.alias("__keep"), F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    cand = written(candidates(base, "__key", "__text", rules), "candidates").select(F.col("key").alias("__cand"), F.col("rules").alias("__rules"))
+    joined = base.join(small(cand), F.col("__key").eqNullSafe(F.col("__cand")), "left")
     none = F.array().cast("array<struct<start:int,stop:int>>")
-    for r in rules:
-        due = F.array_contains("rules", r.name) if trigram_query(r.regex) else F.lit(True)
-        hit = F.when(due, F.col("text").rlike(r.regex)).otherwise(F.lit(False))
-        joined = joined.withColumn(f"s_{r.name}", F.when(hit, _located(F.col("text"), r)).otherwise(none))
+    for n, r in enumerate(rules):
+        due = F.coalesce(F.col("__rules"), F.lit(0)).bitwiseAND(F.lit(1 << n)) != 0 if trigram_query(r.regex) else F.lit(True)
+        hit = F.when(due, F.col("__text").rlike(r.regex)).otherwise(F.lit(False))
+        joined = joined.withColumn(f"__s_{r.name}", F.when(hit, _located(F.col("__text"), r)).otherwise(none))
 
     def named(n: int, r: Rule) -> Column:
-        return F.transform(f"s_{r.name}", lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("rank"), F.lit(r.name).alias("kind"), s["stop"].alias("stop")))
+        return F.transform(f"__s_{r.name}", lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("rank"), F.lit(r.name).alias("kind"), s["stop"].alias("stop")))
 
     found = F.array_sort(F.concat(*[named(n, r) for n, r in enumerate(rules)]))
-    return joined.select(*keep, F.col("key").alias(key), F.col("text").alias(text), found.alias("found"))
+    return joined.select(*[F.col("__keep")[c].alias(c) for c in keep], F.col("__key").alias(key), F.col("__text").alias(text), found.alias(out))
 
 
 def listed(found: Column) -> Column:
@@ -164,11 +168,15 @@ def listed(found: Column) -> Column:
 
 def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
     """The text with every span, or union of overlapping spans, replaced by the mark."""
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"))
+    zero = F.struct(F.array().cast("array<struct<start:int,stop:int>>").alias("gaps"), F.lit(0).alias("pos"))
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["pos"]
-        grown = F.concat(acc["out"], F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(mark))
-        return F.struct(F.when(fresh, grown).otherwise(acc["out"]).alias("out"), F.greatest(acc["pos"], s["stop"]).alias("pos"))
+        gap = F.struct(acc["pos"].alias("start"), s["start"].alias("stop"))
+        grown = F.when(s["start"] >= acc["pos"], F.concat(acc["gaps"], F.array(gap))).otherwise(acc["gaps"])
+        return F.struct(grown.alias("gaps"), F.greatest(acc["pos"], s["stop"]).alias("pos"))
+
+    def joined(acc: Column) -> Column:
+        clear = F.transform(acc["gaps"], lambda g: F.substring(text, g["start"] + 1, g["stop"] - g["start"]))
+        return F.concat(F.array_join(clear, mark), F.lit(mark), F.substring(text, acc["pos"] + 1, F.length(text)))
 
-    return F.aggregate(found, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
+    return F.when(F.size(found) > 0, F.aggregate(found, zero, step, joined)).otherwise(text)

@@ -188,8 +188,7 @@ def test_token_file_round_trip(copies, odd, spark, tmp_path):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
-    lib.encode_special_tokens = True
-    texts = ["  two  spaces ", "line\n\nline\n x", "tab\tand\xa0nbsp <|endoftext|>", "日本語 é, don't 123abc!?", *[t for _, t, _ in copies[0]][:40]]
+    texts = ["hi <|endoftext|> x", "  two  spaces ", "line\n\nline\n x", "tab\tand\xa0nbsp <|endoftext|>", "日本語 é, don't 123abc!?", *[t for _, t, _ in copies[0]][:40]]
     want = [lib.encode(t, add_special_tokens=False).ids + [0] for t in texts]
     enc = rans.Tokens(tokenizer_file("byte_bpe_50k.json"), "<u2", 0)
     assert [np.frombuffer(x, "<u2").tolist() for x in enc.batch(texts)] == want
@@ -330,6 +329,9 @@ PAGES = [
     ("<body><header>Site</header><div id=content><p>Long words of the main text stand here.</p><p>And here is more of it.</p><div class='comments'><p>nice</p></div></div><aside>side</aside><form><input>q</form></body>", "Long words of the main text stand here.\nAnd here is more of it."),
     ("<article><p>only</p><div class='share-buttons'>share</div><style>p{}</style></article>", "only"),
     ("", ""), (None, ""), ("<nav>menu</nav>", ""), ("plain text", "plain text"), ("<p>&#233;&nbsp;x &lt;", "é x <"),
+    ("<div><p>a</p><script>var x=1;</script><p>b</p></div>", "a\nb"), ("<article>text<style>p{}</style></article>", "text"),
+    ("<p>Hello <span class='ad'>BUY <b>NOW</b></span> world</p>", "Hello world"), ("<p>one <span hidden>two</span><svg><text>three</text></svg> four</p>", "one four"),
+    ("<div>x<span class=ad>y<div>z</div></span>w</div>", "x\nw"), ("<article><p>First article.</p></article><article><p>Second article, which is longer.</p></article>", "First article.\nSecond article, which is longer."),
 ]
 
 
@@ -340,6 +342,14 @@ def test_main_text(spark):
         assert got[i].text == want and got[i].n_chars == len(want)
 
 
+def test_deep_long_and_empty_pages(spark):
+    for page in ("<div>x" * 50_000, "<b>x" * 50_000 + "</i>" * 50_000, "<p><b>x" * 50_000, "<article><section>x" * 20_000, "</div>x" * 50_000):
+        assert html_text.main_text(page).replace("\n", "").count("x") >= html_text.REGION * page.count("x")
+    assert html_text.main_text("<article><p>" + "word " * 400_000 + "</p></article>") == "word " * 399_999 + "word"
+    df = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>b"), (None, None, None)], "page_id long, url string, html string")
+    assert sorted(r.text for r in html_text.extracted(df).collect()) == ["", "a", "b"] and html_text.extracted(df.limit(0)).count() == 0
+
+
 def test_articles_are_the_region_only_with_their_share():
     body = [f"Paragraph {i} of the body has enough words to be taken for content of the page." for i in range(8)]
     divs = "".join(f"<div>{p}</div>" for p in body)
@@ -359,10 +369,37 @@ def test_odd_rows_and_empty_tables(odd):
         assert secrets.spans(df).count() == n and mixing.planned(df).count() == n
         assert jaccard.classes(df).count() == (7 if n else 0) and bwt_dedup.without_repeats(df).count() == (7 if n else 0)
         mixing.mixed(df).count()
+    assert all(r.found == [] for r in secrets.spans(odd).collect())
+    size = {r.doc_id: r.size for r in mixing.planned(odd).collect()}
+    assert size == {1: 0, 2: 0, 3: 6, None: 3, 5: 60_000, 6: 0, 7: 1}
     links = {r.id: (r.n, r.component) for r in jaccard.classes(odd).collect()}
     assert links[1] == (0, 1) and links[2] == (0, 2) and links[6] == (0, 6) and links[3] == (2, 3) and links[7] == (1, 7)
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path, odd):
+    """Null and empty texts, repeated rows, empty tables and clashing names pass through each stage."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    names = ["key", "rules", "found", "id", "text_hash", "__x", "component", "score", "passages", "rate", "rank", "block", "n"]
+    clash = odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    secret = clash.limit(1).withColumn("text", F.lit("token = abcdefghijk1234")).withColumn("doc_id", F.lit(9).cast("long"))
+    for docs in (clash.unionByName(secret), clash.limit(0)):
+        rows = docs.collect()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            got = out.collect()
+            assert bool(got) == bool(rows)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns
+            if name == "toxicity":
+                assert sorted(map(str, got)) == sorted(map(str, rows))
+            if name == "ngram_jaccard" and rows:
+                assert sorted(str(r.doc_id) for r in got) == sorted(map(str, [1, 2, 3, None, 5, 6, 7, 9]))
+            if name == "secret_scans":
+                text = {r.doc_id: r.text for r in got}
+                assert all(text[r.doc_id] == ("token = abcdefghijk1234".replace("token = abcdefghijk1234", "[SECRET]") if r.doc_id == 9 else r.text) for r in rows)
+                assert all(r[c] == i for r in got for i, c in enumerate(names))
+
+
 def test_pipeline_stages(spark, tmp_path, copies):
     """Each stage's decisions on its own input, over written and reread documents."""
     rows, df = copies

@@ -17,32 +17,52 @@ from songsieve.llm.queries import tokenizer_file
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go.
+
+    Null and empty texts stay; rows that repeat an id are judged each on its own text; without
+    labels of both kinds, and in an empty table, all rows stay; other columns pass unread.
+    """
     return toxicity.kept(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of five-word-shingle sets of Jaccard 0.8 or more stays."""
+    """One document of each class of five-word-shingle sets of Jaccard 0.8 or more stays, that of the smallest id.
+
+    Texts without words and rows without an id stay; of rows that repeat an id one stays, of the
+    longest text; an empty table stays empty; other columns pass unread.
+    """
     return jaccard.representatives(docs, n=5, percent=80)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts become marks; documents all stay."""
+    """Secrets in the texts become marks; documents all stay.
+
+    Null and empty texts stay as they are; each row is searched on its own text, whatever its id;
+    other columns pass unread, whatever their names; ``n_chars`` follows a changed text.
+    """
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = secrets.spans(docs.withColumn("__null", F.col("text").isNull()), keep=(*rest, "__null"))
-    hit = F.size("found") > 0
-    clean = found.withColumn("__text", F.when(hit, secrets.redacted(F.col("text"), F.col("found"))).when(~F.col("__null"), F.col("text")))
+    found = secrets.spans(docs.withColumn("__null", F.col("text").isNull()), keep=(*rest, "__null"), out="__found")
+    hit = F.size("__found") > 0
+    clean = found.withColumn("__text", F.when(hit, secrets.redacted(F.col("text"), F.col("__found"))).when(~F.col("__null"), F.col("text")))
     values = {"text": F.col("__text"), "n_chars": F.when(hit, F.length("__text").cast("long")).otherwise(F.col("n_chars"))}
     return clean.select(*[values.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that each source's words come near its target."""
+    """Documents repeated or left out so that each source's words come near its target.
+
+    A null source is one of its own, the last; texts without words have size 0 and follow their
+    source's rate; rows that repeat an id share its draw; an empty table stays empty.
+    """
     return mixing.mixed(docs)
 
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as unigram pieces, with a digest of the text decoded from them."""
+    """Each document as unigram pieces, with a digest of the text decoded from them.
+
+    Null and empty texts have no pieces; rows that repeat an id are separate; an empty table gives
+    no rows; other columns are not read.
+    """
     got = pieces.with_pieces(docs, tokenizer_file("piece_bpe_32k.model"))
     return got.select("doc_id", "ids", "n_pieces", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

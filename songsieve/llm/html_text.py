@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 SIGMA = 1.0  # of the smoothing, in lines
 REGION = 0.8  # share of the content that an element must hold to be the region
-BESIDE = 0.1  # share that an article beside the region must hold to stay with it
+BESIDE = 0.1  # share of all text that an article beside the region must hold to stay with it
 
 BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6"
@@ -155,6 +155,18 @@ def threshold(values: np.ndarray, rounds: int = 30) -> float:
     return border
 
 
+def held(lines: list, parents: list[int], which: list[int]) -> tuple[int, list[int]]:
+    """Characters of some lines, in all and in each region."""
+    weight = [0] * len(parents)
+    for i in which:
+        if lines[i][2] >= 0:
+            weight[lines[i][2]] += len(lines[i][0])
+    for k in range(len(parents) - 1, -1, -1):  # a region comes after the one around it
+        if parents[k] >= 0:
+            weight[parents[k]] += weight[k]
+    return sum(len(lines[i][0]) for i in which), weight
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page."""
     if not html:
@@ -169,22 +181,15 @@ def main_text(html: str | None) -> str:
         return ""
     values = smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in lines]))
     border = threshold(values)
-    weight = [0] * len(parents)
-    total = 0
-    for i in [i for i in usable if values[i] >= border] or usable:
-        total += len(lines[i][0])
-        if lines[i][2] >= 0:
-            weight[lines[i][2]] += len(lines[i][0])
-    for k in range(len(parents) - 1, -1, -1):
-        if parents[k] >= 0:
-            weight[parents[k]] += weight[k]
+    total, weight = held(lines, parents, [i for i in usable if values[i] >= border] or usable)
+    whole, share = held(lines, parents, usable)
     most = [k for k, w in enumerate(weight) if w >= REGION * total]
     articles = [k for k in most if page.kinds[k] in ("article", "main")]
     if not most:
         return "\n".join(lines[i][0] for i in usable)
     region = max(articles, key=lambda k: (weight[k], k)) if articles else most[-1]
     # an article beside it that holds a share of its own is part of the page's text
-    beside = lambda k: page.kinds[k] == page.kinds[region] == "article" and parents[k] == parents[region] and weight[k] >= BESIDE * total
+    beside = lambda k: page.kinds[k] == page.kinds[region] == "article" and parents[k] == parents[region] and share[k] >= BESIDE * whole
     inside = []
     for k, parent in enumerate(parents):
         inside.append(k == region or beside(k) or parent >= 0 and inside[parent])

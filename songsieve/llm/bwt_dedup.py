@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from songsieve.llm.common import forget, small, written
+from songsieve.llm.common import forget, small, trimmed, written
 
 LENGTH = 100
 GRAM = 32
@@ -169,7 +169,7 @@ def anchored(docs: DataFrame) -> DataFrame:
         if ids:
             yield from flush(ids, texts)
 
-    return docs.select("doc", "text").mapInArrow(run, ROW)
+    return docs.select("doc", "text").mapInArrow(trimmed(run), ROW)
 
 
 # ---------------------------------------------------------------- transforms
@@ -306,7 +306,7 @@ def aggregated(pieces: DataFrame) -> DataFrame:
                 one, two = Sums(data).of(at, at + LENGTH), mixed(grams[at] + mixed(grams[at + LENGTH // 2] + grams[at + LENGTH - GRAM] * MIX))
                 yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(len(at), doc, np.int64)), pa.array(at + start)], names=["w1", "w2", "doc", "start"])
 
-    windows = written(pieces.select("doc", "start", "bytes").mapInArrow(run, "w1 long, w2 long, doc long, start long"), "windows")
+    windows = written(pieces.select("doc", "start", "bytes").mapInArrow(trimmed(run), "w1 long, w2 long, doc long, start long"), "windows")
     first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
     return windows.join(first, ["w1", "w2"]).where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start"))).select("doc", "start", F.lit(1).cast("long").alias("count"))
 
@@ -346,7 +346,7 @@ def repeats(rows: DataFrame) -> DataFrame:
                     raw.append(data[p["start"] : p["start"] + p["count"] + LENGTH - 1])
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(crowded, pa.bool_()), pa.array(raw, pa.binary())], names=["h", "doc", "start", "crowded", "bytes"])
 
-    pieces = written(texts.select("doc", "text", "parts").mapInArrow(cut, "h long, doc long, start long, crowded boolean, bytes binary"), "pieces")
+    pieces = written(texts.select("doc", "text", "parts").mapInArrow(trimmed(cut), "h long, doc long, start long, crowded boolean, bytes binary"), "pieces")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
     spans = [
         grouped.where("later").select("doc", "start", F.col("count").cast("long").alias("count")),
@@ -391,5 +391,5 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 kept.append(whole)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    out = rows.join(spans, "doc", "left").select("doc", "text", "spans").mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = rows.join(spans, "doc", "left").select("doc", "text", "spans").mapInArrow(trimmed(run), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumn(key, F.when(F.col("doc") != FIRST, F.col("doc"))).drop("doc")

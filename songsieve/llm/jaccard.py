@@ -38,11 +38,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from songsieve.llm.common import components, forget, slices, small, written
+from songsieve.llm.common import components, forget, slices, small, trimmed, written
 
 BAND = 1.5  # ratio of the sizes at the ends of a band
 SPARE = 0.2  # spare blocks for each needed one
-MEMO = 300_000  # words whose hashes a worker keeps
+MEMO = 150_000  # words whose hashes a worker keeps
 LEAST_BITS = 256  # of a parity sketch
 WIDE = 512  # partners of a set, or members of a block, that a task takes at once
 HEADS = 4  # new heads of a block in a round
@@ -172,7 +172,7 @@ def sizes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFra
             yield pa.RecordBatch.from_arrays(columns, names=["id", "chars", "text_hash", "n", "h1", "h2", "need0", "need1"])
 
     rows = documents(docs, key, text).withColumns({"chars": F.length("text").cast("long"), "text_hash": F.xxhash64("text")})
-    return rows.mapInArrow(run, "id long, chars long, text_hash long, n long, h1 long, h2 long, need0 long, need1 long")
+    return rows.mapInArrow(trimmed(run), "id long, chars long, text_hash long, n long, h1 long, h2 long, need0 long, need1 long")
 
 
 def blocks(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
@@ -190,7 +190,7 @@ def blocks(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFr
             at = pa.array(np.repeat(np.arange(len(ids)), lengths))
             yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(np.concatenate(keys) if keys else np.array([], np.int64))], names=["id", "block"])
 
-    return documents(docs, key, text).where("id is not null").mapInArrow(run, "id long, block long")
+    return documents(docs, key, text).where("id is not null").mapInArrow(trimmed(run), "id long, block long")
 
 
 def profiles(docs: DataFrame, key: str, text: str, ids: DataFrame, n: int) -> DataFrame:
@@ -209,7 +209,7 @@ def profiles(docs: DataFrame, key: str, text: str, ids: DataFrame, n: int) -> Da
 
     rows = documents(docs, key, text).join(small(ids), "id", "left_semi")
     rows = rows.groupBy("id").agg(F.max(F.struct(F.length("text"), F.xxhash64("text"), "text")).alias("t")).select("id", "t.text")
-    return rows.mapInArrow(run, "id long, n long, bits array<long>, hashes binary")
+    return rows.mapInArrow(trimmed(run), "id long, n long, bits array<long>, hashes binary")
 
 
 def folded(bits: Column) -> Column:
@@ -271,7 +271,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
-    return rows.select("a", "id", "partner", "hashes").mapInArrow(run, "a long, b long")
+    return rows.select("a", "id", "partner", "hashes").mapInArrow(trimmed(run), "a long, b long")
 
 
 def grouped(rows: DataFrame) -> DataFrame:

@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from songsieve.llm.common import trimmed
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-MEMO = 200_000
+MEMO = 120_000
 MEMO_LENGTH = 64  # longer words are not remembered
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # piece types of the model format
 
@@ -202,4 +204,4 @@ def with_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "ids", "n_pieces", "decoded"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "key long, ids binary, n_pieces long, decoded string").withColumnRenamed("key", key)
+    return rows.mapInArrow(trimmed(run), "key long, ids binary, n_pieces long, decoded string").withColumnRenamed("key", key)

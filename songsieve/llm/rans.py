@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songsieve.llm.common import shared_dir, small, written
+from songsieve.llm.common import shared_dir, small, trimmed, written
 
 PRECISION = 18  # bits of the frequency table's total
 LOW = np.uint64(1 << 31)  # a state stays in [LOW, LOW << 32)
@@ -132,7 +132,7 @@ def tokenized(docs: DataFrame, path: str, vocabulary: int, end: int = 0, key: st
                 part = b.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tok.batch(part.column(1).to_pylist()), pa.binary())], names=["key", "ids"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, ids binary")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(trimmed(run), "key long, ids binary")
 
 
 # ---------------------------------------------------------------- coder
@@ -254,7 +254,7 @@ def frequencies(tokens: DataFrame, vocabulary: int) -> np.ndarray:
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = tokens.select("ids").mapInArrow(trimmed(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(vocabulary, np.int64)
     out[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
@@ -294,7 +294,7 @@ def write_tokens(tokens: DataFrame, path: str, vocabulary: int, shards: int | No
             yield flush()
 
     dealt = tokens.select("key", "ids").repartitionByRange(shards, "key").sortWithinPartitions("key", "ids")
-    dealt.mapInArrow(run, "shard int, block int, n_docs int, n_tokens long, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    dealt.mapInArrow(trimmed(run), "shard int, block int, n_docs int, n_tokens long, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("data", pa.binary())])
@@ -326,7 +326,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     sums = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()  # one row for each shard
     starts = [(r["shard"], s) for r, s in zip(sums, accumulate([0, *[r["n"] for r in sums]]), strict=False)]
     begin = spark.createDataFrame(starts, "shard int, shard_start long")
-    docs = blocks.select("shard", "data").mapInArrow(run, "shard int, key long, within long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    docs = blocks.select("shard", "data").mapInArrow(trimmed(run), "shard int, key long, within long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
     return docs.join(small(begin), "shard").withColumn("start", F.col("shard_start") + F.col("within")).drop("shard", "shard_start", "within")
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from songsieve.llm.common import slices, written
+from songsieve.llm.common import slices, trimmed, written
 
 BUCKETS = 1 << 18
 SAMPLE = 60_000  # labelled rows that fit the model at most
@@ -40,7 +40,7 @@ DRIFT = 0.7  # what every token costs
 NEAR = 20  # tokens after a gain in which the same feature is a repeat and gains nothing
 PASSAGE = 0.1  # expected count below which a segment is a passage
 STRIP = ".,;:!?\"'()[]{}<>*_-…«»“”‘’"
-MEMO = 150_000
+MEMO = 100_000
 
 
 class Features:
@@ -202,7 +202,7 @@ def count_tables(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(used + k * 2 * BUCKETS), pa.array(counts[k][used])], names=["id", "n"])
 
     both = docs.select(F.col(text).alias("text"), F.lit(0).alias("kind")).union(rows.where("not second").select("text", F.when(F.col("toxic") == 1, 1).otherwise(2).alias("kind")))
-    got = both.mapInArrow(run, "id long, n long")
+    got = both.mapInArrow(trimmed(run), "id long, n long")
     size = 2 * BUCKETS
     of = lambda k: F.sum(F.when(F.floor(F.col("id") / size) == k, F.col("n")).otherwise(0)).cast("double")
     return got.groupBy((F.col("id") % size).alias("feature")).agg(of(0).alias("corpus"), of(1).alias("toxic"), of(2).alias("clean"))
@@ -244,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             found = [own.passages(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([[s for s, *_ in f] for _, f in found], pa.list_(pa.float64())), b.column(1)], names=["n", "scores", "toxic"])
 
-    got = rows.where("second").select("text", "toxic").mapInArrow(run, "n long, scores array<double>, toxic int").toPandas()  # bounded by the sample
+    got = rows.where("second").select("text", "toxic").mapInArrow(trimmed(run), "n long, scores array<double>, toxic int").toPandas()  # bounded by the sample
     y = got["toxic"].to_numpy(np.int64)
     if not len(y):
         return model
@@ -270,7 +270,7 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.probability(v) for v, _ in found], pa.float64()), passages], names=["key", "score", "passages"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "key long, score double, passages array<struct<first:int,last:int,expected:double>>").withColumnRenamed("key", key)
+    return rows.mapInArrow(trimmed(run), "key long, score double, passages array<struct<first:int,last:int,expected:double>>").withColumnRenamed("key", key)
 
 
 def kept(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -284,4 +284,4 @@ def kept(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0
             ok = [own.probability(own.evidence(t)[0]) < threshold for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(ok))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from songsieve.llm import jaccard, mixing, pieces, secrets, toxicity
-from songsieve.llm.common import read, shared_dir
+from songsieve.llm.common import read, shared_dir, small_batches
 from songsieve.llm.queries import tokenizer_file
 
 
@@ -22,6 +22,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts stay; rows that repeat an id are judged each on its own text; without
     labels of both kinds, and in an empty table, all rows stay; other columns pass unread.
     """
+    small_batches(spark)
     return toxicity.kept(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
@@ -31,6 +32,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     Texts without words and rows without an id stay; of rows that repeat an id one stays, of the
     longest text; an empty table stays empty; other columns pass unread.
     """
+    small_batches(spark)
     return jaccard.representatives(docs, n=5, percent=80)
 
 
@@ -63,6 +65,7 @@ def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no pieces; rows that repeat an id are separate; an empty table gives
     no rows; other columns are not read.
     """
+    small_batches(spark)
     got = pieces.with_pieces(docs, tokenizer_file("piece_bpe_32k.model"))
     return got.select("doc_id", "ids", "n_pieces", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

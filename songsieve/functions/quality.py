@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from songsieve.functions.text import noise_hits, unaccented
@@ -36,9 +36,9 @@ def lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
 
-def metrics(text: Column) -> dict[str, Column]:
-    """Line and word figures, unrounded."""
-    ls = lines(text)
+def metrics(text: Column, ls: Column | None = None) -> dict[str, Column]:
+    """Line and word figures, unrounded; ``ls`` are the text's lines where they are at hand."""
+    ls = lines(text) if ls is None else ls
     n = F.size(ls)
     distinct = F.size(F.array_distinct(F.transform(ls, lambda x: F.regexp_replace(F.lower(x), r"\s+", " "))))
     ratio = F.when(n > 0, distinct / n).otherwise(0.0)
@@ -52,11 +52,11 @@ def metrics(text: Column) -> dict[str, Column]:
     }
 
 
-def signals(text: Column) -> dict[str, Column]:
+def signals(text: Column, short: Column | None = None) -> dict[str, Column]:
     """Score of lyric-like and page-like signs, with the names of those seen."""
     low = F.lower(text)
     markers = F.regexp_count(low, F.lit(ascii_words(MARKER)))
-    short = metrics(text)["short_ratio"]
+    short = metrics(text)["short_ratio"] if short is None else short
     vocabulary = low.rlike(ascii_words(VOCABULARY))
     noise = noise_hits(text)
     pagelike = F.regexp_count(text, F.lit(LINKS)) + F.regexp_count(low, F.lit(ascii_words(NAVIGATION)))
@@ -76,20 +76,31 @@ def clamp(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
 
-def quality(text: Column, link_chars: Column) -> dict[str, Column]:
-    """Score (0 to 100) and confidence with the figures they rest on, rounded."""
-    m, chars = metrics(text), F.length(text)
-    density = clamp(link_chars / F.greatest(F.lit(1), chars), 0.0, 1.0)
+FIGURES = ("line_count", "word_count", "distinct_ratio", "mean_length", "short_ratio")
+
+
+def with_quality(rows: DataFrame, text: str = "text", link_chars: Column | None = None) -> DataFrame:
+    """The rows with their texts' figures, ``quality`` (0 to 100), ``confidence`` and ``link_density``, rounded.
+
+    Lines, figures, signals and score are columns of one step after the other, so each is made once.
+    """
+    c = F.col(text)
+    out = rows.withColumn("__lines", lines(c))
+    made = metrics(c, F.col("__lines"))
+    out = out.withColumns({k: made[k] for k in FIGURES} | {"char_count": F.length(c)}).drop("__lines")
+    density = clamp((F.lit(0) if link_chars is None else link_chars) / F.greatest(F.lit(1), F.col("char_count")), 0.0, 1.0)
+    out = out.withColumns({"__signal": signals(c, F.col("short_ratio"))["signal_score"], "__density": density, "duplicate_ratio": F.when(F.col("line_count") > 0, 1 - F.col("distinct_ratio")).otherwise(0.0)})
+    m = {k: F.col(k) for k in (*FIGURES, "duplicate_ratio", "char_count")}
     distinct = F.round(m["distinct_ratio"] * m["line_count"])
     raw = (
-        F.least(F.lit(38.0), chars / 180) + F.least(F.lit(24.0), m["line_count"] * 1.15) + F.least(F.lit(16.0), m["word_count"] / 35) + m["distinct_ratio"] * 9
+        F.least(F.lit(38.0), m["char_count"] / 180) + F.least(F.lit(24.0), m["line_count"] * 1.15) + F.least(F.lit(16.0), m["word_count"] / 35) + m["distinct_ratio"] * 9
         + F.when(m["mean_length"].between(8, 90), 8).otherwise(0)
         - F.when((m["duplicate_ratio"] > 0.82) & (distinct <= 4) & (m["line_count"] >= 12), 18).when((m["duplicate_ratio"] > 0.7) & (distinct <= 7) & (m["line_count"] >= 16), 7).otherwise(0)
-        - density * 70 + signals(text)["signal_score"]
+        - F.col("__density") * 70 + F.col("__signal")
     )
-    score = clamp(raw, 0.0, 100.0)
-    confidence = clamp(0.08 + score / 100 * 0.78 + F.least(F.lit(0.12), m["line_count"] / 250), 0.0, 0.99)
-    return {"score": rounded(score, 2), "confidence": rounded(confidence, 3), "link_density": rounded(density, 3), "char_count": chars} | {k: rounded(m[k], 2 if k == "mean_length" else 3) for k in ("distinct_ratio", "duplicate_ratio", "mean_length")} | {k: m[k] for k in ("line_count", "word_count")}
+    out = out.withColumn("__score", clamp(raw, 0.0, 100.0))
+    confidence = clamp(0.08 + F.col("__score") / 100 * 0.78 + F.least(F.lit(0.12), F.col("line_count") / 250), 0.0, 0.99)
+    return out.withColumns({"quality": rounded(F.col("__score"), 2), "confidence": rounded(confidence, 3), "link_density": rounded(F.col("__density"), 3)}).drop("__signal", "__density", "__score")
 
 
 def method_bonus(method: Column) -> Column:
@@ -97,12 +108,12 @@ def method_bonus(method: Column) -> Column:
     return F.coalesce(table[method], F.lit(0))
 
 
-def candidate_score(text: Column, method: Column, link_chars: Column, extra: Column) -> Column:
-    """Score (0 to 140) of a page's candidate text; null where it is too small to be one."""
-    q = quality(text, link_chars)
-    big_enough = (q["char_count"] >= 45) & (q["word_count"] >= 10) & (q["line_count"] >= 2)
-    score = q["score"] + method_bonus(method) + extra + F.when(q["char_count"].between(250, 20_000), 6).otherwise(0) + F.when(q["line_count"].between(8, 180), 8).otherwise(0) - F.when(q["link_density"] > 0.28, 18).otherwise(0)
-    return F.when(big_enough, clamp(score, 0.0, 140.0))
+def with_candidate_score(rows: DataFrame) -> DataFrame:
+    """Rows (text, method, link_chars, bonus) with their quality and ``score`` (0 to 140), null where a text is too small."""
+    out = with_quality(rows, "text", F.col("link_chars"))
+    big_enough = (F.col("char_count") >= 45) & (F.col("word_count") >= 10) & (F.col("line_count") >= 2)
+    score = F.col("quality") + method_bonus(F.col("method")) + F.col("bonus") + F.when(F.col("char_count").between(250, 20_000), 6).otherwise(0) + F.when(F.col("line_count").between(8, 180), 8).otherwise(0) - F.when(F.col("link_density") > 0.28, 18).otherwise(0)
+    return out.withColumn("score", F.when(big_enough, clamp(score, 0.0, 140.0)))
 
 
 def block_score(text: Column, density: Column) -> Column:
@@ -126,8 +137,7 @@ def final_confidence(confidence: Column, signals_: Column, warnings_: Column, me
     return rounded(clamp(confidence + up + strong - F.least(F.lit(0.16), F.size(warnings_) * 0.05), 0.0, 0.995), 3)
 
 
-def canonical_lines(text: Column, most: int = 260) -> Column:
-    """Distinct normal lines of at least four characters without section markers, from the first ones kept."""
+def canonical_lines(text: Column) -> Column:
+    """Distinct normal lines of at least four characters without section markers."""
     plain = F.transform(F.split(F.lower(text), "\n"), lambda x: F.trim(F.regexp_replace(unaccented(x), "[^a-z0-9]+", " ")))
-    kept = F.filter(plain, lambda x: (F.length(x) >= 4) & ~x.rlike(r"^(?:verso|verse|refrao|coro|chorus|ponte|bridge|intro|outro|final|tag)\s*\d*$"))
-    return F.array_distinct(F.slice(kept, 1, most))
+    return F.array_distinct(F.filter(plain, lambda x: (F.length(x) >= 4) & ~x.rlike(r"^(?:verso|verse|refrao|coro|chorus|ponte|bridge|intro|outro|final|tag)\s*\d*$")))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from songsieve.functions.text import normalized, search_terms
+from songsieve.functions.text import comparable, normalized, search_terms
 
 
 def bigrams(n: Column) -> Column:
@@ -48,8 +48,8 @@ def ordered_coverage(text: Column, terms: Column) -> Column:
 
 
 def title_similarity(left: Column, right: Column) -> Column:
-    """1 for equal titles, the ratio of lengths for contained ones, else the overlap of words."""
-    a, b = normalized(left), normalized(right)
+    """1 for equal titles, the ratio of lengths for contained ones, else the overlap of words; version words do not count."""
+    a, b = comparable(left), comparable(right)
     wa, wb = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
     return (
         F.when((a == "") | (b == ""), 0.0)
@@ -75,4 +75,41 @@ def matches_request(want_title: Column, want_artist: Column, title: Column, arti
     )
 
 
-__all__ = ["bigrams", "dice", "matches_request", "ordered_coverage", "same_song", "search_terms", "term_coverage", "title_similarity"]
+def with_best_window(rows: DataFrame, out: str, lines: str, asked: str, terms: str) -> DataFrame:
+    """The rows with the window of one to four lines that fits a passage best, as a struct column
+    (score, coverage, ordered, exact, start, size, matched).
+
+    The named columns hold a text's lines and the passage's normal form and terms. Null where there
+    are no terms or no lines; windows of equal score go by place and size. The likeness of letters
+    adds 0.10 at most, so it is only looked at in windows that far from the best without it.
+    """
+    ls, asked_, terms_ = F.col(lines), F.col(asked), F.col(terms)
+    n = F.size(ls)
+    sizes = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), n - i + 1)), lambda s: F.struct(i.alias("start"), s.alias("size"), normalized(F.array_join(F.slice(ls, i, s), " ")).alias("n")))
+    windows = F.when((asked_ != "") & (F.size(terms_) > 0) & (n > 0), F.flatten(F.transform(F.sequence(F.lit(1), n), sizes)))
+
+    def figures(w: Column) -> Column:
+        exact = (F.length(asked_) >= 8) & F.contains(w["n"], asked_)
+        return F.struct(w["start"].alias("start"), w["size"].alias("size"), w["n"].alias("n"), term_coverage(w["n"], terms_).alias("coverage"), ordered_coverage(w["n"], terms_).alias("ordered"), exact.alias("exact"))
+
+    def partial(w: Column) -> Column:
+        compact = F.least(F.lit(1.0), F.length(asked_) / F.greatest(F.length(w["n"]), F.length(asked_)))
+        return F.struct((F.when(w["exact"], 1.25).otherwise(0.0) + w["coverage"] * 0.62 + w["ordered"] * 0.28 + compact * 0.04).alias("score"), w.alias("w"))
+
+    def whole(x: Column) -> Column:
+        w = x["w"]
+        return F.struct((x["score"] + dice(w["n"], asked_, normal=True) * 0.10).alias("score"), (-w["start"]).alias("before"), (-w["size"]).alias("short"), w["coverage"].alias("coverage"), w["ordered"].alias("ordered"), w["exact"].alias("exact"))
+
+    made = rows.withColumn("__w", windows).withColumn("__f", F.transform("__w", figures)).withColumn("__p", F.transform("__f", partial))
+    made = made.withColumn("__top", F.array_max(F.transform("__p", lambda x: x["score"])))
+    made = made.withColumn("__b", F.array_max(F.transform(F.filter("__p", lambda x: x["score"] >= F.col("__top") - 0.1), whole)))
+    # a generator, so that filters on the result are not pushed below and the windows made again for them
+    made = made.withColumn("__best", F.explode(F.array("__b")))
+    b = F.col("__best")
+    least = F.when(F.size(terms_) <= 2, 1.0).when(F.size(terms_) == 3, 0.78).otherwise(0.66)
+    matched = b["exact"] | (b["coverage"] >= least) & (b["ordered"] >= F.greatest(F.lit(0.55), least - 0.08))
+    best = F.struct(*[b[c].alias(c) for c in ("score", "coverage", "ordered", "exact")], (-b["before"]).alias("start"), (-b["short"]).alias("size"), matched.alias("matched"))
+    return made.withColumn(out, F.when(b.isNotNull(), best)).drop("__w", "__f", "__p", "__top", "__b", "__best")
+
+
+__all__ = ["bigrams", "dice", "matches_request", "ordered_coverage", "same_song", "search_terms", "term_coverage", "title_similarity", "with_best_window"]

@@ -135,8 +135,44 @@ def identity(title: Column, artist: Column) -> Column:
 
 
 def timestamps_stripped(c: Column) -> Column:
-    """Plain lyrics from synchronised ones: leading time stamps of lines dropped."""
-    return F.trim(F.regexp_replace(c, r"(?m)^(?:\[\d{1,2}:\d{2}(?:[.:]\d{1,3})?\])+[ \t]*", ""))
+    """Plain lyrics from synchronised ones: time stamps at the beginning of lines dropped."""
+    return lyrics_normalized(F.regexp_replace(c, r"(?m)^[^\S\n]*+(?:\[[0-9]{1,3}:[0-9]{2}(?:[.:][0-9]{1,3})?\])++[^\S\n]*", ""))
+
+
+def search_normalized(c: Column) -> Column:
+    """The normal form of a text whose entities and blanks are put in order before."""
+    return normalized(lyrics_normalized(F.coalesce(c, F.lit(""))))
+
+
+#: Fixed words that tell versions of one song apart.
+VERSION_WORDS = "ao vivo|live|acustico|remaster(?:ed)?|versao|radio edit|single|official|video|clipe"
+
+
+def comparable(c: Column) -> Column:
+    """A title's normal form without words that name its version."""
+    return F.trim(F.regexp_replace(F.regexp_replace(search_normalized(c), rf"\b(?:{VERSION_WORDS})\b", " "), r"\s+", " "))
+
+
+def title_and_artist(heading: Column, url: Column) -> Column:
+    """Struct (title, artist) read from a page's heading, else from the parts of its address.
+
+    The heading may say ``title by artist`` or part the two by a dash or a bar; what a site
+    appends to it is dropped.
+    """
+    raw = F.regexp_replace(named_entities_decoded(numeric_entities_decoded(F.coalesce(heading, F.lit("")))), r"(?i)\s*[-|]\s*(letras(?:\.mus\.br|\.com)?|vagalume).*$", "")
+    raw = F.trim(F.regexp_replace(raw, r"(?i)\s+lyrics\s*$", ""))
+    named = r"(?i)^(.+?)\s+(?:by|por)\s+(.+)$"
+    parts = F.filter(F.transform(F.split(raw, r"\s[-–—|]\s"), lambda p: F.trim(p)), lambda p: p != "")
+    path = F.filter(F.split(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/"), lambda p: p != "")
+    raised = lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, F.length(w)))
+    pretty = lambda c: F.array_join(F.transform(F.split(F.regexp_replace(F.try_url_decode(c), "[-_]+", " "), " "), raised), " ")
+    slug_artist, slug_title = F.coalesce(pretty(F.get(path, F.lit(0))), F.lit("Artista")), F.coalesce(pretty(F.get(path, F.lit(1))), F.lit("Música"))
+    pair = lambda t, a: F.struct(t.alias("title"), a.alias("artist"))
+    return (
+        F.when(raw.rlike(named), pair(F.trim(F.regexp_extract(raw, named, 1)), F.trim(F.regexp_extract(raw, named, 2))))
+        .when(F.size(parts) >= 2, pair(F.get(parts, F.lit(0)), F.get(parts, F.lit(1))))
+        .otherwise(pair(F.when(raw != "", raw).otherwise(slug_title), slug_artist))
+    )
 
 
 def is_excerpt(c: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from songsieve.functions import quality as q
 from songsieve.functions import text as t
+from songsieve.sources.tables import staged
 
 #: Fixed sets of element names and name patterns.
 BLOCKS = "article main section div p li ul ol pre blockquote h1 h2 h3 h4 h5 h6 td tr table body nav footer header aside form".split()
@@ -38,7 +39,7 @@ class Flat(HTMLParser):
             self.handle_endtag("p")
         self.n += 1
         node, _, link, noise = self.open[-1]
-        named = " ".join(v or "" for k, v in attrs if k in ("class", "id", "itemprop"))
+        named = " ".join(v or "" for k, v in attrs if k in ("class", "id", "itemprop") or k == "type" and tag == "script")
         noise = noise or tag in NOISE_TAGS or any(w in named.lower() for w in NOISE_NAMES) or any(k == "hidden" for k, _ in attrs)
         self.rows.append(("e", self.n, node, [o[0] for o in self.open[1:]], self.pos, tag, named, None, link, noise))
         self.open.append((self.n, tag, link or tag == "a", noise))
@@ -58,7 +59,7 @@ class Flat(HTMLParser):
 NODE = "kind string, node int, parent int, ancestors array<int>, pos int, tag string, name string, text string, in_link boolean, in_noise boolean"
 
 
-def nodes(pages: DataFrame, most: int = 2_500_000) -> DataFrame:
+def nodes(pages: DataFrame) -> DataFrame:
     """Elements and text pieces of all pages; of a text piece ``name`` is its block's number."""
     names = [c.split(" ")[0] for c in NODE.split(", ")]
     types = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
@@ -67,7 +68,7 @@ def nodes(pages: DataFrame, most: int = 2_500_000) -> DataFrame:
         for b in batches:
             for page, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 flat = Flat()
-                flat.feed((html or "")[:most])
+                flat.feed(html or "")
                 flat.close()
                 columns = list(zip(*flat.rows, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array([page] * len(flat.rows), pa.int64()), *[pa.array(c, ty) for c, ty in zip(columns, types, strict=True)]], names=["page_id", *names])
@@ -137,11 +138,106 @@ def regex_containers(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", t.html_stripped(F.col("raw")).alias("text"), F.lit(0).cast("long").alias("link_chars"), F.lit("heuristic-regex").alias("method"), F.lit("regex").alias("parser"), F.lit("container").alias("source"), F.lit(4.0).alias("bonus"))
 
 
+def candidates(rows: DataFrame, method: Column | str, parser: Column | str, source: Column | str, bonus: Column | float) -> DataFrame:
+    """Candidate rows from (page_id, text) ones that hold no links."""
+    c = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return rows.select("page_id", "text", F.lit(0).cast("long").alias("link_chars"), c(method).alias("method"), c(parser).alias("parser"), c(source).alias("source"), c(bonus).cast("double").alias("bonus"))
+
+
+#: Fixed names of properties that hold lyrics.
+LYRIC_KEYS = "lyrics?|lyricText|songText|letra|letras"
+#: A string literal's inside, by quote. Possessive: no step back, so no stack, however long it is.
+LITERAL = {'"': r'[^"\\]*+(?:\\.[^"\\]*+)*+', "'": r"[^'\\]*+(?:\\.[^'\\]*+)*+"}
+
+
+def quoted(rows: DataFrame, raw: str, least: int = 40) -> DataFrame:
+    """(page_id, text): quoted lyric properties found in a text column, of at least so many characters."""
+    found = F.concat(*[F.regexp_extract_all(raw, F.lit(rf"""(?i)["'](?:{LYRIC_KEYS})["']\s*:\s*{mark}({inside}){mark}"""), F.lit(1)) for mark, inside in LITERAL.items()])
+    out = rows.select("page_id", F.explode(found).alias("__raw")).where(F.length(F.regexp_replace("__raw", r"\\.", "x")) >= least)
+    return out.select("page_id", t.lyrics_normalized(t.js_string_decoded(F.col("__raw"))).alias("text"))
+
+
 def quoted_props(pages: DataFrame, least: int = 40) -> DataFrame:
-    """Quoted lyric properties of script text."""
-    found = F.regexp_extract_all("html", F.lit(r'"(?:lyrics?|lyric_text|letra|verses?)"\s*:\s*"((?:[^"\\]|\\.){%d,})"' % least), F.lit(1))
-    rows = pages.select("page_id", F.explode(found).alias("raw"))
-    return rows.select("page_id", t.lyrics_normalized(t.js_string_decoded(F.col("raw"))).alias("text"), F.lit(0).cast("long").alias("link_chars"), F.lit("json-embedded").alias("method"), F.lit("regex").alias("parser"), F.lit("property").alias("source"), F.lit(8.0).alias("bonus"))
+    """Quoted lyric properties of a page's scripts and attributes."""
+    return candidates(quoted(pages, "html", least), "json-embedded", "script-scan", "embedded-property", 12)
+
+
+def lyric_like(text: Column) -> Column:
+    """Whether a value is long enough, and has lines and words enough, to be lyrics."""
+    m = q.metrics(text)
+    return (F.length(text) >= 45) & (m["line_count"] >= 2) & (m["word_count"] >= 10)
+
+
+def flight_chunks(pages: DataFrame) -> DataFrame:
+    """Lyrics in the string literals of streamed page state, and quoted properties inside those."""
+    scripts = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*+>(.*?)</script>"), F.lit(1))).alias("raw")).where(F.col("raw").rlike(r"(?i)__next_f|react\.server|flight"))
+    chunks = scripts.select("page_id", F.explode(F.regexp_extract_all("raw", F.lit(f'"({LITERAL[chr(34)]})"'), F.lit(1))).alias("chunk")).where(F.length("chunk") >= 40)
+    decoded = chunks.select("page_id", t.js_string_decoded(F.col("chunk")).alias("raw")).where(F.col("raw").rlike(r"(?i)lyrics?|lyricText|songText|letra|vers[eo]"))
+    whole = decoded.where(F.col("raw").rlike(r"(?i)lyrics?|letra|song.?text")).select("page_id", t.lyrics_normalized(F.col("raw")).alias("text")).where(lyric_like(F.col("text")))
+    return candidates(quoted(decoded, "raw"), "json-embedded", "react-flight", "embedded-property", 12).unionByName(candidates(whole, "json-embedded", "react-flight", "react-flight-chunk", 5))
+
+
+def alternate_markup(pages: DataFrame) -> DataFrame:
+    """Content kept for browsers without scripts, and templates."""
+    found = F.concat(*[F.transform(F.regexp_extract_all("html", F.lit(rf"(?is)<{tag}\b[^>]*+>(.*?)</{tag}>"), F.lit(1)), lambda x: F.struct(F.lit(tag).alias("tag"), x.alias("raw"))) for tag in ("noscript", "template")])
+    rows = pages.select("page_id", F.explode(found).alias("f")).select("page_id", "f.tag", t.html_stripped(F.col("f.raw")).alias("text")).where(lyric_like(F.col("text")))
+    return candidates(rows, "json-embedded", F.col("tag"), "alternate-markup", 3)
+
+
+#: Fixed keys of a page's head that are read.
+META = ("og:title", "twitter:title", "og:image", "twitter:image", "music:album")
+
+
+def meta(pages: DataFrame, keys: tuple[str, ...] = META) -> DataFrame:
+    """(page_id, one column a key): the content of the first tag of each key, by property or name; null where there is none."""
+    attr = lambda tag, names: F.regexp_extract(tag, rf"""(?i)\b(?:{names})\s*=\s*(["'])(.*?)\1""", 2)
+    tags = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<meta\b[^>]*+>"), F.lit(0)), lambda m: F.struct(attr(m, "property|name").alias("key"), F.trim(attr(m, "content")).alias("content")))
+    rows = pages.select("page_id", tags.alias("tags"))
+    first = lambda k: F.nullif(F.get(F.filter("tags", lambda m: m["key"] == k), F.lit(0))["content"], F.lit(""))
+    return rows.select("page_id", *[first(k).alias(k) for k in keys])
+
+
+def page_media(flat: DataFrame) -> DataFrame:
+    """(page_id, image, album) of a page's linked data, the first of each in its order."""
+    values = json_values(scripts(flat).where("ld"), "page_id", "raw", 10)
+    image = F.when(F.col("path").rlike(r"\.(?:image|image\.url|thumbnailUrl|thumbnail|contentUrl)$") & ~F.col("path").rlike(r"\]$"), F.struct("place", "value"))
+    album = F.when(F.col("path").rlike(r"\.(?:inAlbum\.name|album\.name|album)$"), F.struct("place", F.trim("value").alias("value")))
+    return values.where("not joined").groupBy("page_id").agg(F.min(image)["value"].alias("image"), F.min(album)["value"].alias("album"))
+
+
+def media_url(c: Column) -> Column:
+    """An image's address: the first of a set, over https; none for inline data."""
+    first = F.trim(F.regexp_extract(F.trim(c), r"^([^\s,]+)", 1))
+    return F.when((first != "") & ~F.lower(first).startswith("data:"), F.regexp_replace(first, r"^(?i:http:)?//", "https://"))
+
+
+def songs(pages: DataFrame) -> DataFrame:
+    """A song of each page (page_id, url, html) that yields lyrics: id, title, artist, album, image, lyrics and how they were found."""
+    found = extract(pages).where("rejected is null")
+    title = F.trim(F.regexp_extract("html", r"(?is)<title[^>]*+>(.*?)</title>", 1))
+    head = meta(pages).join(pages.select("page_id", "url", title.alias("title")), "page_id").join(page_media(nodes(pages)), "page_id", "left")
+    names = t.title_and_artist(F.coalesce("og:title", "twitter:title", "title"), F.col("url"))
+    head = head.select("page_id", "url", names.alias("names"), F.coalesce("music:album", "album").alias("album"), media_url(F.coalesce("og:image", "twitter:image", "image")).alias("image_url"))
+    out = found.join(head, "page_id")
+    return out.select("page_id", F.concat(F.lit("page-"), t.fnv1a(F.col("url"))).alias("id"), "names.title", "names.artist", "album", "image_url", F.col("text").alias("lyrics"), F.col("url").alias("source_url"), "method", "confidence")
+
+
+#: Fixed characters that the bytes 0x80 to 0x9F stand for in windows-1252; five are unused.
+CP1252 = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
+
+
+def charset(content: Column, header: Column | None = None, head: int = 8192) -> Column:
+    """Name of a page's encoding: from the header, the first bytes' meta tags, or utf-8."""
+    name = r"""(?i)charset\s*=\s*["']?([^\s"'/>;]+)"""
+    told = F.lit(None).cast("string") if header is None else F.nullif(F.regexp_extract(header, name, 1), F.lit(""))
+    found = F.nullif(F.regexp_extract(F.decode(F.substring(content, 1, head), "ISO-8859-1"), r"(?i)<meta[^>]+" + name[4:], 1), F.lit(""))
+    return F.lower(F.coalesce(told, found, F.lit("utf-8")))
+
+
+def decoded(content: Column, name: Column) -> Column:
+    """A page's bytes as text; Latin-1 names mean windows-1252, unknown ones UTF-8, whose faults become U+FFFD."""
+    latin = F.translate(F.decode(content, "ISO-8859-1"), "".join(map(chr, range(0x80, 0xA0))), CP1252)
+    return F.when(name.isin("latin1", "latin-1", "iso-8859-1", "windows-1252", "cp1252", "us-ascii", "ascii"), latin).when(name.isin("utf-16", "utf-16le"), F.decode(content, "UTF-16LE")).when(name == "utf-16be", F.decode(content, "UTF-16BE")).otherwise(F.make_valid_utf8(content.cast("string")))
 
 
 def weighted_nodes(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -149,7 +245,8 @@ def weighted_nodes(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
     elements = flat.where("kind = 'e' and not in_noise").select("page_id", "node", "parent", "tag", "pos")
     texts = subtrees(flat, elements).join(elements, ["page_id", "node"])
     density = F.col("link_chars") / F.greatest(F.lit(1), F.length("text"))
-    texts = texts.withColumn("density", density).withColumn("own", q.block_score(F.col("text"), F.col("density"))).persist()
+    texts = texts.withColumn("density", density).withColumn("own", q.block_score(F.col("text"), F.col("density")))
+    texts = staged(texts)
     fits = F.col("tag").isin("p", "pre", "blockquote", "li", "div") & F.length("text").between(20, 6000) & (F.col("density") <= 0.58) & (F.col("own") > 0)
     source = texts.where(fits).select("page_id", "node", "parent", "own")
     up = source.join(elements.select("page_id", F.col("node").alias("parent"), F.col("parent").alias("above")), ["page_id", "parent"])
@@ -186,17 +283,17 @@ def baseline_rescue(flat: DataFrame) -> DataFrame:
 
 
 def json_values(scripts: DataFrame, key: str, raw: str, depth: int = 18) -> DataFrame:
-    """(key, path, name, value): all texts of JSON documents, and arrays of texts joined by lines."""
-    schema = "path string, name string, value string"
+    """(key, path, name, value, place, joined): all texts of JSON documents in order, and arrays of texts joined by lines."""
+    schema = "path string, name string, value string, place int, joined boolean"
 
     def walk(node, path, name, level):
         if isinstance(node, str):
-            yield path, name, node
+            yield path, name, node, False
         elif level > depth:
             return
         elif isinstance(node, list):
             if node and all(isinstance(x, str) for x in node):
-                yield path, name, "\n".join(node)
+                yield path, name, "\n".join(node), True
             for i, x in enumerate(node):
                 yield from walk(x, f"{path}[{i}]", name, level + 1)
         elif isinstance(node, dict):
@@ -210,29 +307,44 @@ def json_values(scripts: DataFrame, key: str, raw: str, depth: int = 18) -> Data
             for k, text in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 try:
                     rows = list(walk(json.loads(text or "null"), "$", "", 0))
-                except ValueError:
+                except (ValueError, RecursionError):
                     continue
-                columns = list(zip(*rows, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(rows), b.schema.field(0).type), *[pa.array(c, pa.string()) for c in columns]], names=[key, "path", "name", "value"])
+                path, name, value, joined = list(zip(*rows, strict=True)) or [()] * 4
+                columns = [pa.array(path, pa.string()), pa.array(name, pa.string()), pa.array(value, pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array(joined, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(rows), b.schema.field(0).type), *columns], names=[key, "path", "name", "value", "place", "joined"])
 
     rows = scripts.select(key, raw)
     return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, {schema}")
 
 
+def scripts(flat: DataFrame) -> DataFrame:
+    """(page_id, raw, ld, id): scripts that hold structured data, by their type, their id or their first character."""
+    named = flat.where("kind = 'e' and tag = 'script'").select("page_id", "node", "name")
+    out = flat.where("kind = 't' and tag = 'script'").select("page_id", "node", F.trim("text").alias("raw")).join(named, ["page_id", "node"])
+    ld = F.col("name").rlike(r"(?i)ld\+json")
+    state = F.col("name").rlike(r"(?i)__NEXT_DATA__|__NUXT_DATA__|__APOLLO_STATE__|__INITIAL_STATE__|hydration|application/(?:ld\+)?json")
+    return out.where(ld | state | F.col("raw").rlike(r"^[\[{]")).select("page_id", "raw", ld.alias("ld"), F.coalesce(F.nullif("name", F.lit("")), F.lit("json")).alias("id"))
+
+
 def json_candidates(flat: DataFrame) -> DataFrame:
-    """Lyric-like texts in the JSON of script elements."""
-    scripts = flat.where("kind = 't' and tag = 'script'").select("page_id", F.trim("text").alias("raw")).where(F.col("raw").rlike(r"^[\[{]") & (F.length("raw") <= 1_500_000))
-    values = json_values(scripts, "page_id", "raw").withColumn("text", t.lyrics_normalized(F.col("value")))
-    strong = F.col("name").rlike(r"(?i)^(?:lyrics?|lyric_text|song_text|songtext|letra|letras|verses?)$")
-    path = F.col("path").rlike(r"(?i)lyrics?|lyric|song.?text|letra|verse|content|text|description")
-    bonus = F.when(strong, 18.0).when(F.col("name").rlike(r"(?i)(?:^|_)(?:lyrics?|letras?|verses?|content)(?:$|_)"), 8.0).otherwise(0.0)
-    fits = path & (F.length("text") >= 45) & (F.size(q.lines(F.col("text"))) >= 2)
-    return values.where(fits).select("page_id", "text", F.lit(0).cast("long").alias("link_chars"), F.lit("hydration-state").alias("method"), F.lit("script").alias("parser"), F.concat(F.lit("structured:"), "path").alias("source"), bonus.alias("bonus"))
+    """Lyric-like texts in the structured data of scripts: under a key, along a path, or as an array of lines."""
+    rows = scripts(flat).withColumn("script", F.to_json(F.struct("page_id", "ld", "id")))
+    values = json_values(rows, "script", "raw").withColumn("text", t.lyrics_normalized(F.col("value"))).where(lyric_like(F.col("text")))
+    of = F.from_json("script", "page_id long, ld boolean, id string")
+    values = values.withColumns({"page_id": of["page_id"], "ld": of["ld"], "id": of["id"]})
+    path = lambda rx: F.col("path").rlike(f"(?i){rx}")
+    key = F.when(F.col("name").rlike(r"(?i)^(?:lyrics?|lyric_text|song_text|songtext|letra|letras|verses?)$"), 18.0).when(F.col("name").rlike(r"(?i)(?:^|_)(?:lyrics?|lyric_text|song_text|songtext|letra|letras|verses?|content)(?:$|_)"), 8.0)
+    ways = F.array(
+        F.when(F.col("joined") & path("lyrics?|lyric|verse|letra|text"), F.struct(F.lit("structured-array:").alias("way"), F.lit(8.0).alias("bonus"))),
+        F.when(~F.col("joined") & ~F.col("path").endswith("]") & key.isNotNull(), F.struct(F.lit("structured-key:").alias("way"), key.alias("bonus"))),
+        F.when(~F.col("joined") & path("lyrics?|lyric|song.?text|letra|verse|content|text|description"), F.struct(F.lit("structured:").alias("way"), F.when(path("lyrics?|letra"), 12.0).otherwise(0.0).alias("bonus"))),
+    )
+    out = values.select("page_id", "text", "ld", "id", "path", F.explode(F.array_compact(ways)).alias("w"))
+    return candidates(out, F.when(F.col("ld"), "json-ld").otherwise("hydration-state"), F.when(F.col("ld"), "json-ld").otherwise(F.concat(F.lit("script:"), "id")), F.concat("w.way", "path"), F.col("w.bonus"))
 
 
 def scored(candidates: DataFrame) -> DataFrame:
-    out = candidates.withColumn("score", q.candidate_score(F.col("text"), F.col("method"), F.col("link_chars"), F.col("bonus")))
-    return out.where("score is not null")
+    return q.with_candidate_score(candidates).select(*candidates.columns, "score").where("score is not null")
 
 
 def deduped(candidates: DataFrame) -> DataFrame:
@@ -246,25 +358,50 @@ def deduped(candidates: DataFrame) -> DataFrame:
     return out.withColumn("turn", first).withColumn("score", raised).where("turn = 1").drop("turn")
 
 
+def near_merged(candidates: DataFrame, least: float = 0.86) -> DataFrame:
+    """The candidates of each page without those alike to a better one, which gains by the agreement.
+
+    Texts of a page that share a line are compared by line containment and length. A row is taken
+    by the best row it is alike to that is not itself taken, as far as three links lead.
+    """
+    rows = candidates.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "print")))
+    ls = rows.select("page_id", "place", "parser", "method", "source", F.length("text").alias("chars"), q.canonical_lines(F.col("text")).alias("ls")).where(F.size("ls") >= 2)
+    side = lambda x: ls.select("page_id", *[F.col(c).alias(f"{c}_{x}") for c in ls.columns if c != "page_id"])
+    ratio = F.least("chars_a", "chars_b") / F.greatest("chars_a", "chars_b")
+    both = side("a").join(side("b"), "page_id").where((F.col("place_a") < F.col("place_b")) & (ratio >= 0.55))
+    alike = F.size(F.array_intersect("ls_a", "ls_b")) / F.least(F.size("ls_a"), F.size("ls_b")) * 0.82 + ratio * 0.18
+    agree = lambda c: F.col(f"{c}_a") != F.col(f"{c}_b")
+    links = staged(both.where(alike >= least).select("page_id", F.col("place_a").alias("a"), F.col("place_b").alias("b"), agree("parser").alias("parsers"), (agree("method") | agree("source")).alias("extractors")))
+    taken = links.select("page_id", F.col("b").alias("place")).distinct()
+    for _ in range(2):  # rows taken only by taken ones stay
+        free = links.join(taken.select("page_id", F.col("place").alias("a")), ["page_id", "a"], "left_anti")
+        taken = free.select("page_id", F.col("b").alias("place")).distinct()
+    gain = links.join(taken.select("page_id", F.col("place").alias("a")), ["page_id", "a"], "left_anti").groupBy("page_id", F.col("a").alias("place")).agg(F.max("parsers").alias("p"), F.max("extractors").alias("e"))
+    kept = rows.join(taken, ["page_id", "place"], "left_anti").join(gain, ["page_id", "place"], "left")
+    more = lambda flag, has, by: F.when(F.coalesce(F.col(flag), F.lit(False)) & ~F.col(has), by).otherwise(0)
+    raised = F.least(F.lit(140.0), F.col("score") + more("p", "parsers", 7) + more("e", "extractors", 6))
+    flags = {"parsers": F.col("parsers") | F.coalesce("p", F.lit(False)), "extractors": F.col("extractors") | F.coalesce("e", F.lit(False))}
+    return kept.withColumn("score", raised).withColumns(flags).drop("place", "p", "e")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """Best text of each page with its method, score and confidence, or the reason for none.
 
     Pages whose best text is weak get one more candidate, all their usable blocks.
     """
-    flat = nodes(pages).persist()  # read by every branch; lost parts are made anew
-    parts = [density_blocks(flat), semantic_blocks(flat), block_clusters(flat), readability(flat), json_candidates(flat), regex_containers(pages), quoted_props(pages)]
+    flat = staged(nodes(pages))
+    parts = [density_blocks(flat), semantic_blocks(flat), block_clusters(flat), readability(flat), json_candidates(flat), regex_containers(pages), quoted_props(pages), flight_chunks(pages), alternate_markup(pages)]
     all_ = parts[0]
     for p in parts[1:]:
         all_ = all_.unionByName(p)
-    all_ = scored(all_)
-    first = q.quality(F.col("text"), F.col("link_chars"))
-    good = all_.withColumn("ok", (first["score"] >= 56) & (first["confidence"] >= 0.58)).groupBy("page_id").agg(F.max_by("ok", F.struct("score", F.length("text"))).alias("ok")).where("ok").select("page_id")
+    all_ = staged(scored(all_))
+    first = q.with_quality(all_.select("page_id", "text", "link_chars", "score"), "text", F.col("link_chars"))
+    good = first.withColumn("ok", (F.col("quality") >= 56) & (F.col("confidence") >= 0.58)).groupBy("page_id").agg(F.max_by("ok", F.struct("score", F.length("text"))).alias("ok")).where("ok").select("page_id")
     all_ = all_.unionByName(scored(baseline_rescue(flat).join(good, "page_id", "left_anti")))
-    best = deduped(all_).withColumn("lines", F.size(q.lines(F.col("text"))))
+    best = near_merged(staged(deduped(all_))).withColumn("lines", F.size(q.lines(F.col("text"))))
     w = Window.partitionBy("page_id").orderBy(F.desc("score"), F.desc("lines"), "print")
     best = best.withColumn("r", F.row_number().over(w)).withColumn("merged", F.count("*").over(Window.partitionBy("page_id"))).where("r = 1")
-    figures = q.quality(F.col("text"), F.col("link_chars"))
-    best = best.withColumn("quality", figures["score"]).withColumn("confidence", figures["confidence"])
+    best = q.with_quality(best, "text", F.col("link_chars"))
     flags = pages.select("page_id", t.asks_for_human(F.col("html")).alias("anti_bot"))
     out = flags.join(best, "page_id", "left")
     reason = F.when(F.col("text").isNull(), "no-candidate").when(F.col("anti_bot") & (F.col("quality") < 72), "anti-bot").when((F.col("quality") < 30) | (F.col("lines") < 2), "low-quality")

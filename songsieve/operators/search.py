@@ -5,32 +5,96 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from songsieve.functions import quality as q
 from songsieve.functions import similarity as sim
 from songsieve.functions import text as t
 
 
+def words_holding(parts: DataFrame, words: DataFrame) -> DataFrame:
+    """(part, word): the distinct words that hold a part, by an equi-join on the part's first three characters."""
+    piece = lambda c, k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - (k - 1))), lambda i: F.substring(c, i, F.lit(k)))
+    keyed = words.select("word").distinct().select("word", F.explode(F.array_distinct(F.concat(*[piece(F.col("word"), k) for k in (1, 2, 3)]))).alias("key"))
+    asked = parts.select("part").distinct().where("part <> ''").withColumn("key", F.left("part", F.lit(3)))
+    return asked.join(keyed, "key").where(F.contains("word", F.col("part"))).select("part", "word")
+
+
 def phrase_matches(queries: DataFrame, docs: DataFrame, least: int = 8) -> DataFrame:
     """(item_id, doc_id, place): passages that occur word for word in texts.
 
-    A passage's longest word is its anchor. Texts meet passages in an equi-join on the
-    anchors they hold; only those pairs are compared. Words of texts that anchor nothing
-    are dropped before the shuffle by the semi-join on the anchors.
+    A passage's longest inner word is its anchor. Texts meet passages in an equi-join on the
+    anchors they hold; only those pairs are compared. Passages of one or two words have no inner
+    word; their longest word may be part of a text's word, and meets it through its characters.
     """
     asked = queries.select("item_id", t.normalized(F.col("text")).alias("phrase")).where(F.length("phrase") >= least)
+    words = F.split("phrase", " ")
     # inner words only: the outer ones may be parts of longer words in a text
-    inner = F.split("phrase", " ")
-    inner = F.when(F.size(inner) > 2, F.slice(inner, 2, F.size(inner) - 2)).otherwise(F.array().cast("array<string>"))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    asked = asked.withColumn("anchor", longest)
-    texts = docs.select("doc_id", t.normalized(F.col("text")).alias("norm"))
-    held = texts.select("doc_id", F.explode(F.array_distinct(F.split("norm", " "))).alias("anchor"))
-    pairs = held.join(asked.where("anchor is not null"), "anchor").select("doc_id", "item_id", "phrase")
-    near = pairs.join(texts, "doc_id").where(F.contains("norm", F.col("phrase")))
-    # passages of one or two words have no inner word; they are compared with all texts
-    short = asked.where("anchor is null").select("item_id", "phrase")
-    rest = texts.join(short, F.contains("norm", F.col("phrase")))
-    cols = ["item_id", "doc_id", F.instr("norm", F.col("phrase")).alias("place")]
-    return near.select(*cols).union(rest.select(*cols))
+    inner = F.when(F.size(words) > 2, F.slice(words, 2, F.size(words) - 2)).otherwise(F.array().cast("array<string>"))
+    longest = lambda ws: F.array_max(F.transform(ws, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = asked.select("item_id", "phrase", longest(inner).alias("anchor"), longest(words).alias("part"))
+    held = docs.select("doc_id", F.explode(F.array_distinct(F.split(t.normalized(F.col("text")), " "))).alias("anchor"))
+    whole = asked.where("anchor is not null").select("item_id", "phrase", "anchor")
+    short = asked.where("anchor is null")
+    if not short.isEmpty():
+        part = words_holding(short, held.select(F.col("anchor").alias("word")))
+        whole = whole.union(short.join(part, "part").select("item_id", "phrase", F.col("word").alias("anchor")))
+    pairs = held.join(whole, "anchor").select("doc_id", "item_id", "phrase").distinct()
+    near = pairs.join(docs.select("doc_id", "text"), "doc_id").select("item_id", "doc_id", "phrase", t.normalized(F.col("text")).alias("norm"))
+    return near.select("item_id", "doc_id", F.instr("norm", F.col("phrase")).alias("place")).where("place > 0")
+
+
+def excerpt_matches(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id, score, coverage, ordered, exact, start, size): texts that hold a passage, with its best window.
+
+    A text that holds it has a given share of the passage's terms, parts of words included, so it
+    holds one of the longest few; texts meet passages on those.
+    """
+    asked = queries.select("item_id", F.col("text").alias("query"), t.search_terms(F.col("text")).alias("terms")).where("size(terms) > 0")
+    n = F.size("terms")
+    share = F.when(n <= 2, 1.0).when(n == 3, 0.78).otherwise(0.66)
+    by_length = F.transform(F.array_sort(F.transform("terms", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda s: s["w"])
+    keys = asked.select("item_id", F.explode(F.slice(by_length, F.lit(1), (n - F.ceil(n * share - 1e-9) + 1).cast("int"))).alias("part"))
+    held = docs.select("doc_id", F.explode(F.array_distinct(F.split(t.normalized(F.col("text")), " "))).alias("word"))
+    pairs = keys.join(words_holding(keys, held), "part").join(held, "word").select("item_id", "doc_id").distinct()
+    few = asked.select("item_id", t.normalized(F.col("query")).alias("asked"), "terms", F.ceil(n * share - 1e-9).alias("least"))
+    rows = pairs.join(few, "item_id").join(docs.select("doc_id", "text"), "doc_id").withColumn("norm", F.explode(F.array(t.normalized(F.col("text")))))
+    # made once by a generator, not inside the filter for every term; no window holds more of the terms than the whole text
+    rows = rows.where(F.size(F.filter("terms", lambda w: F.contains(F.col("norm"), w))) >= F.col("least"))
+    rows = rows.select("item_id", "doc_id", "asked", "terms", "least", F.explode(F.array(q.lines(F.col("text")))).alias("ls"))
+    # nor does a window hold a term that none of its lines holds
+    rows = rows.withColumn("held", F.explode(F.array(F.transform(F.transform("ls", lambda x: t.normalized(x)), lambda x: F.filter("terms", lambda w: F.contains(x, w))))))
+    most = F.array_max(F.transform(F.sequence(F.lit(1), F.size("held")), lambda i: F.size(F.array_distinct(F.flatten(F.slice("held", i, F.lit(4)))))))
+    rows = rows.where((F.size("held") > 0) & (most >= F.col("least"))).select("item_id", "doc_id", "asked", "terms", "ls")
+    found = sim.with_best_window(rows, "m", "ls", "asked", "terms").where("m.matched")
+    return found.select("item_id", "doc_id", "m.score", "m.coverage", "m.ordered", "m.exact", "m.start", "m.size")
+
+
+def excerpt_candidates(results: DataFrame) -> DataFrame:
+    """Of results (query, title, preview, ...) to passages those that may hold theirs: by the preview, or as a title of that name."""
+    made = results.withColumns({"__asked": t.normalized(F.col("query")), "__terms": t.search_terms(F.col("query")), "__lines": q.lines(F.col("preview")), "__title": t.normalized(F.col("title"))})
+    m = sim.with_best_window(made, "__m", "__lines", "__asked", "__terms")
+    shown = ~t.is_generic_preview(F.col("preview")) & F.coalesce(F.col("__m.matched") | (F.col("__m.coverage") >= 0.72), F.lit(False))
+    named = (sim.dice(F.col("__title"), F.col("__asked"), normal=True) >= 0.76) | (sim.term_coverage(F.col("__title"), F.col("__terms")) >= 0.86)
+    return m.where(shown | named).drop("__asked", "__terms", "__lines", "__title", "__m")
+
+
+def catalog_score(query: Column, title: Column, artist: Column, place: Column, has_lyrics: Column) -> Column:
+    """Relevance of a catalog record at a place of its response; ``query``, ``title`` and ``artist`` are normal forms."""
+    near = lambda c: F.contains(c, query) | F.contains(query, c)
+    bonus = F.when(query == "", 0).when(title == query, 32).when(artist == query, 26).when(near(title), 18).when(near(artist), 14).otherwise(0)
+    return F.lit(82) - F.least(place, F.lit(20)) + bonus + F.when(has_lyrics, 4).otherwise(0)
+
+
+def anchor_score(label: Column, path: Column, context: Column, query: Column) -> Column:
+    """Score of a result page's link for a query, null where too few of its terms are near: all but ``query`` are texts.
+
+    With five terms and more, a link whose own words hold none needs a third of them, three at most, around it.
+    """
+    terms, own, around = t.search_terms(query, 18), t.search_normalized(F.concat_ws(" ", label, path)), t.search_normalized(context)
+    count = lambda c: F.size(F.filter(terms, lambda w: F.contains(c, w)))
+    n = F.size(terms)
+    least = F.when(n >= 5, F.least(F.lit(3), F.ceil(n * 0.35))).otherwise(1)
+    score = F.lit(54) + count(own) * 9 + count(around) * 6 + F.when((count(own) == n) & (n > 0), 14).otherwise(0)
+    return F.when((n == 0) | (count(own) > 0) | (count(around) >= least), score)
 
 
 def query_variants(queries: DataFrame, key: str, most: int = 5) -> DataFrame:
@@ -53,18 +117,28 @@ def query_variants(queries: DataFrame, key: str, most: int = 5) -> DataFrame:
     return once.where(F.col("rank") <= most).select(key, "rank", F.left("variant", F.lit(180)).alias("variant"))
 
 
-def local_score(query: Column, title: Column, artist: Column, lyrics: Column, themes: Column) -> Column:
-    """Score of a record for a free query; all arguments but ``themes`` (an array) are normal forms."""
+def local_score(query: Column, title: Column, artist: Column, lyrics: Column, themes: Column, want: dict[str, Column] | None = None) -> Column:
+    """Score of a record for a free query; all arguments but ``themes`` (an array) are normal forms.
+
+    ``want`` may hold normal forms of a wanted title, artist and theme; asked for nothing, every record scores 10.
+    """
+    want = {k: F.coalesce((want or {}).get(k, F.lit("")), F.lit("")) for k in ("title", "artist", "theme")}
+    asked = lambda c: c != ""
     coverage = sim.term_coverage(lyrics, t.search_terms(query))
     by_text = F.when(F.contains(lyrics, query), 36.0).when((F.size(t.search_terms(query)) >= 4) & (coverage >= 0.55), coverage * 30).otherwise(0.0)
     by_title = F.when(title == query, 85).when(F.contains(title, query), 60).otherwise(0)
     by_artist = F.when(artist == query, 70).when(F.contains(artist, query), 45).otherwise(0)
     by_theme = F.when(F.exists(themes, lambda x: F.contains(x, query)), 30).otherwise(0)
-    return by_title + by_artist + by_text + by_theme
+    fields = (
+        F.when(asked(want["artist"]) & F.contains(artist, want["artist"]), 55).otherwise(0) + F.when(asked(want["title"]) & F.contains(title, want["title"]), 55).otherwise(0)
+        + F.when(asked(want["theme"]) & F.exists(themes, lambda x: F.contains(x, want["theme"])), 35).otherwise(0)
+    )
+    nothing = ~asked(query) & ~asked(want["title"]) & ~asked(want["artist"]) & ~asked(want["theme"])
+    return F.when(nothing, 10.0).otherwise(F.when(asked(query), by_title + by_artist + by_text + by_theme).otherwise(0.0) + fields)
 
 
-def intent_score(query: Column, title: Column, artist: Column, base: Column, preview: Column, has_image: Column, has_album: Column, verified: Column) -> Column:
-    """How well a result fits what a query means; ``query``, ``title`` and ``artist`` are normal forms."""
+def intent_score(query: Column, title: Column, artist: Column, base: Column, preview: Column, has_image: Column, has_album: Column, verified: Column, want_artist: Column | None = None) -> Column:
+    """How well a result fits what a query means; ``query``, ``title``, ``artist`` and ``want_artist`` are normal forms."""
     terms, passage = t.search_terms(query), t.is_excerpt(query)
     equal = F.when(title == query, 95).when(F.contains(title, query) | F.contains(query, title), 52).otherwise(0)
     like = lambda c: sim.dice(c, query, normal=True)
@@ -72,7 +146,17 @@ def intent_score(query: Column, title: Column, artist: Column, base: Column, pre
     covered = sim.term_coverage(F.concat_ws(" ", title, artist), terms) * F.when(passage, 26).otherwise(48)
     shown = F.when(t.is_generic_preview(preview), 0.0).otherwise(sim.term_coverage(t.normalized(preview), terms) * F.when(passage, 82).otherwise(22))
     extra = has_image.cast("int") * 3 + has_album.cast("int") * 2 + verified.cast("int") * 110
-    return F.least(F.lit(100), F.greatest(F.lit(0), base)) * 0.35 + equal + F.when(passage, 0.0).otherwise(named) + covered + shown + extra
+    by_query = F.when(query == "", 0.0).otherwise(equal + F.when(passage, 0.0).otherwise(named) + covered + shown)
+    by_artist = F.lit(0.0)
+    if want_artist is not None:
+        near = sim.dice(artist, want_artist, normal=True)
+        by_artist = F.when(F.coalesce(want_artist, F.lit("")) == "", 0.0).when(artist == want_artist, 72.0).when(F.contains(artist, want_artist) | F.contains(want_artist, artist), 48.0).otherwise(near * 34 - F.when(near < 0.42, 18).otherwise(0))
+    return F.least(F.lit(100), F.greatest(F.lit(0), base)) * 0.35 + by_query + by_artist + extra
+
+
+def ranked(results: DataFrame, by: str, limit: int = 12) -> DataFrame:
+    """The final list of each query: best relevance first, cut at the limit, without the columns that only ranking needs."""
+    return top(results, by, [F.desc("relevance"), F.col("id")], limit).drop("relevance", "verified", "preview_norm")
 
 
 def top(df: DataFrame, by: str, order: list, k: int) -> DataFrame:

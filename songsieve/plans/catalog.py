@@ -107,11 +107,12 @@ ORACLES["verse_audit"] = """WITH v AS (SELECT l_returnflag AS translation, l_ord
 
 # ---- enrichment
 WORDS = {"one": ("idiot", "clown"), "two": ("heart", "thea"), "three": ("der", "die"), "four": ("que",)}
-QUERIES["theme_tags"] = lambda spark, d: read(spark, d, "documents").select("doc_id", F.array_join(en.themes(t.normalized(F.col("text")), WORDS, "none"), ",").alias("themes"))
+normal = lambda spark, d: read(spark, d, "documents").select("doc_id", t.normalized(F.col("text")).alias("norm"))
+QUERIES["theme_tags"] = lambda spark, d: normal(spark, d).select("doc_id", F.array_join(en.themes(F.col("norm"), WORDS, "none"), ",").alias("themes"))
 TN = duck.norm("text")
 ORACLES["theme_tags"] = "SELECT doc_id, coalesce(nullif(concat_ws(',', " + ", ".join(f"CASE WHEN {' OR '.join(f'''contains(n, '{w}')''' for w in ws)} THEN '{k}' END" for k, ws in WORDS.items()) + f"), ''), 'none') AS themes FROM (SELECT doc_id, {TN} AS n FROM documents)"
 SUGGEST = ((("der", "die"), ("A 1:1", "B 2:2")), (("que",), ("C 3:3", "A 1:1")), (("thea",), ("D 4:4",)))
-QUERIES["verse_suggestions"] = lambda spark, d: read(spark, d, "documents").select("doc_id", F.array_join(en.verses(t.normalized(F.col("text")), SUGGEST, ("Z 9:9",)), "|").alias("refs"))
+QUERIES["verse_suggestions"] = lambda spark, d: normal(spark, d).select("doc_id", F.array_join(en.verses(F.col("norm"), SUGGEST, ("Z 9:9",)), "|").alias("refs"))
 ORACLES["verse_suggestions"] = f"""SELECT doc_id, CASE WHEN len(r) = 0 THEN 'Z 9:9' ELSE array_to_string(list_slice(list_filter(r, lambda x, i: list_position(r, x) = i), 1, 4), '|') END AS refs FROM (SELECT doc_id,
  CASE WHEN contains(n, 'der') OR contains(n, 'die') THEN ['A 1:1', 'B 2:2'] ELSE [] END || CASE WHEN contains(n, 'que') THEN ['C 3:3', 'A 1:1'] ELSE [] END || CASE WHEN contains(n, 'thea') THEN ['D 4:4'] ELSE [] END AS r FROM (SELECT doc_id, {TN} AS n FROM documents))"""
 

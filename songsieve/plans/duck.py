@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from songsieve.functions.text import NOISE, STOPWORDS
+from songsieve.functions.text import NOISE, STOPWORDS, VERSION_WORDS
 
 
 def norm(x: str) -> str:
@@ -18,6 +18,16 @@ def terms(x: str) -> str:
     return f"list_filter(list_filter(string_split({norm(x)}, ' '), lambda w: length(w) > 1 AND w NOT IN ({stop})), lambda t, i: list_position(list_filter(string_split({norm(x)}, ' '), lambda w: length(w) > 1 AND w NOT IN ({stop})), t) = i)"
 
 
+def distinct_terms(x: str) -> str:
+    """The terms in no certain order."""
+    stop = ", ".join(f"'{w}'" for w in STOPWORDS)
+    return f"list_distinct(list_filter(string_split({norm(x)}, ' '), lambda w: length(w) > 1 AND w NOT IN ({stop})))"
+
+
+def comparable(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace({norm(x)}, '\b(?:{VERSION_WORDS})\b', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
 def noise(x: str) -> str:
     return " + ".join(f"CAST(regexp_matches({x}, '(?i){p}') AS INTEGER)" for p in NOISE)
 

@@ -22,24 +22,73 @@ QUERIES["semantic_blocks"] = lambda spark, d: p.semantic_blocks(p.nodes(pages(sp
 QUERIES["block_clusters"] = lambda spark, d: p.block_clusters(p.nodes(pages(spark, d)))
 QUERIES["noise_removed"] = lambda spark, d: p.nodes(pages(spark, d)).where("kind = 't'").groupBy("page_id").agg(F.sum(F.when(F.col("in_noise"), F.length("text")).otherwise(0)).alias("noise_chars"), F.sum(F.length("text")).alias("chars"))
 QUERIES["regex_containers"] = lambda spark, d: p.regex_containers(pages(spark, d)).select("page_id", F.length("text").alias("chars"), F.substring_index("text", "\n", 1).alias("first_line"))
-QUERIES["quoted_props"] = lambda spark, d: p.quoted_props(pages(spark, d).withColumn("html", F.concat(F.lit('<script>{"lyrics": "'), F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)", 1), '["\\\\]', ""), F.lit('", "x": 1}</script>'))), 12).select("page_id", "text")
-ORACLES["quoted_props"] = r"""SELECT page_id, regexp_replace(regexp_replace(t, '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM (SELECT page_id, regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '["\\]', '', 'g') AS t FROM pages) WHERE length(t) >= 12"""
-QUERIES["page_meta"] = lambda spark, d: pages(spark, d).select("page_id", F.regexp_extract("html", '<meta[^>]+charset="([^"]*)"', 1).alias("charset"), F.regexp_extract("html", '<html[^>]+lang="([^"]*)"', 1).alias("lang"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-ORACLES["page_meta"] = """SELECT page_id, regexp_extract(html, '<meta[^>]+charset="([^"]*)"', 1) AS charset, regexp_extract(html, '<html[^>]+lang="([^"]*)"', 1) AS lang, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages"""
+def title():
+    """A page's title without quotes and backslashes, and its SQL."""
+    return F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)", 1), r"""["'\\]""", "")
+
+
+TITLE = r"""regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '["''\\]', '', 'g')"""
+CLEAN = rf"regexp_replace(regexp_replace({TITLE}, '[ \t]{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+LONG = rf"length({CLEAN}) * 3 + 2 >= 45 AND len(regexp_extract_all({CLEAN}, '[^ ]+')) * 3 >= 10"
+
+
+def with_props(spark, d):
+    """Pages that say their title as a property, in either kind of quotes."""
+    q = F.when(F.col("page_id") % 2 == 0, '"').otherwise("'")
+    return pages(spark, d).withColumn("html", F.concat(F.lit("<script>{songText: 1, 'Letra' : "), q, title(), F.lit("\\n"), title(), q, F.lit(", x: 1}</script>")))
+
+
+QUERIES["quoted_props"] = lambda spark, d: p.quoted_props(with_props(spark, d)).select("page_id", "text", "bonus")
+ORACLES["quoted_props"] = f"SELECT page_id, {CLEAN} || chr(10) || {CLEAN} AS text, 12.0::DOUBLE AS bonus FROM pages WHERE length({TITLE}) * 2 + 1 >= 40"
+
+
+def with_head(spark, d):
+    """Pages with tags in their head, attributes in either order."""
+    odd = F.col("page_id") % 2 == 1
+    tags = F.when(odd, F.concat(F.lit('<meta content="'), title(), F.lit('" property="og:title"><META name=\'og:image\' content=\'i.png\'>'))).otherwise(F.concat(F.lit('<meta name="twitter:title" content="'), title(), F.lit('"/><meta property="music:album" content=" Best of ">')))
+    return pages(spark, d).withColumn("html", F.concat(tags, "html"))
+
+
+QUERIES["page_meta"] = lambda spark, d: p.meta(with_head(spark, d)).select("page_id", F.col("og:title").alias("og_title"), F.col("twitter:title").alias("twitter_title"), F.col("og:image").alias("og_image"), F.col("music:album").alias("music_album"))
+ORACLES["page_meta"] = f"""SELECT page_id, CASE WHEN odd THEN t END AS og_title, CASE WHEN NOT odd THEN t END AS twitter_title, CASE WHEN odd THEN 'i.png' END AS og_image, CASE WHEN NOT odd THEN 'Best of' END AS music_album FROM (SELECT page_id, page_id % 2 = 1 AS odd, nullif(trim({TITLE}), '') AS t FROM pages)"""
+
+
+def with_media(spark, d):
+    """Pages with linked data about a recording."""
+    made = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("//img.example/"), "page_id", F.lit(".png, x 2x")).alias("image"), F.struct(F.concat(F.lit(" Album "), "page_id").alias("name")).alias("inAlbum"))).alias("@graph")))
+    return pages(spark, d).withColumn("html", F.concat(F.lit('<script type="application/ld+json">'), made, F.lit("</script>"), "html"))
+
+
+QUERIES["jsonld_media"] = lambda spark, d: p.page_media(p.nodes(with_media(spark, d))).select("page_id", p.media_url(F.col("image")).alias("image"), "album")
+ORACLES["jsonld_media"] = "SELECT page_id, 'https://img.example/' || page_id || '.png' AS image, 'Album ' || page_id AS album FROM pages"
+QUERIES["alt_markup"] = lambda spark, d: p.alternate_markup(pages(spark, d).withColumn("html", F.concat(F.lit("<noscript>"), title(), F.lit("<br/>"), title(), F.lit("<br>"), title(), F.lit("</noscript>"), "html"))).select("page_id", "text", "parser", "bonus")
+ORACLES["alt_markup"] = f"SELECT page_id, t || chr(10) || t || chr(10) || t AS text, 'noscript' AS parser, 3.0::DOUBLE AS bonus FROM (SELECT page_id, replace({CLEAN}, '&amp;', '&') AS t FROM pages) WHERE length(t) * 3 + 2 >= 45 AND len(regexp_extract_all(t, '[^ ]+')) * 3 >= 10"
+
+
+def with_flight(spark, d):
+    """Pages whose streamed state holds their title, thrice, as a property inside a string."""
+    inside = F.concat(F.lit('{\\"lyrics\\":\\"'), title(), F.lit("\\\\n"), title(), F.lit("\\\\n"), title(), F.lit('\\"}'))
+    return pages(spark, d).withColumn("html", F.concat(F.lit('<script>self.__next_f.push([1,"'), inside, F.lit('"])</script>')))
+
+
+QUERIES["flight_chunks"] = lambda spark, d: p.flight_chunks(with_flight(spark, d)).select("page_id", "text", "source", "bonus")
+QUERIES["page_to_song"] = lambda spark, d: p.songs(with_media(spark, d))
 QUERIES["cand_exact_dedupe"] = lambda spark, d: p.deduped(p.scored(p.density_blocks(p.nodes(pages(spark, d))).unionByName(p.regex_containers(pages(spark, d))))).select("page_id", "print", "method", F.round("score", 1).alias("score"), "parsers", "extractors")
 QUERIES["readability"] = lambda spark, d: p.readability(p.nodes(pages(spark, d)))
 QUERIES["baseline_rescue"] = lambda spark, d: p.baseline_rescue(p.nodes(pages(spark, d)))
 
 
 def with_state(spark, d):
-    """Pages that carry their title, thrice, as the lyrics of a script's state."""
-    title = F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)", 1), '["\\\\]', "")
-    state = F.to_json(F.struct(F.struct(F.array(title, title, title).alias("lyrics")).alias("song")))
-    return pages(spark, d).withColumn("html", F.concat(F.lit('<script id="__NEXT_DATA__">'), state, F.lit("</script>"), "html"))
+    """Pages that carry their title, thrice, as the lyrics of a script's state or of linked data."""
+    state = F.to_json(F.struct(F.struct(F.array(title(), title(), title()).alias("lyrics"), F.concat_ws("\n", title(), title(), title()).alias("letra")).alias("song")))
+    kind = F.when(F.col("page_id") % 2 == 0, F.lit('type="application/ld+json"')).otherwise('id="__NEXT_DATA__"')
+    return pages(spark, d).withColumn("html", F.concat(F.lit("<script "), kind, F.lit(">"), state, F.lit("</script>"), "html"))
 
 
-QUERIES["json_candidates"] = lambda spark, d: p.json_candidates(p.nodes(with_state(spark, d))).select("page_id", "source", "bonus", F.size(F.split("text", "\n")).alias("lines"))
-ORACLES["json_candidates"] = r"""SELECT page_id, 'structured:$.song.lyrics' AS source, 18.0::DOUBLE AS bonus, 3 AS lines FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '["\\]', '', 'g'), '^\s+|\s+$', '', 'g') AS t FROM pages) WHERE length(t) * 3 + 2 >= 45"""
+QUERIES["json_candidates"] = lambda spark, d: p.json_candidates(p.nodes(with_state(spark, d))).select("page_id", "method", "source", "bonus", F.size(F.split("text", "\n")).alias("lines"))
+ORACLES["json_candidates"] = f"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'json-ld' ELSE 'hydration-state' END AS method, source, bonus, 3 AS lines
+ FROM pages, (VALUES ('structured-array:$.song.lyrics', 8.0::DOUBLE), ('structured-key:$.song.letra', 18.0::DOUBLE), ('structured:$.song.letra', 12.0::DOUBLE)) v(source, bonus) WHERE {LONG}"""
+QUERIES["cand_near_dedupe"] = lambda spark, d: p.near_merged(p.deduped(p.scored(p.density_blocks(p.nodes(pages(spark, d))).unionByName(p.readability(p.nodes(pages(spark, d)))).unionByName(p.regex_containers(pages(spark, d)))))).select("page_id", "print", "method", F.round("score", 1).alias("score"), "parsers", "extractors")
 QUERIES["extract_pages"] = lambda spark, d: p.extract(pages(spark, d))
 
 
@@ -60,15 +109,20 @@ ORACLES["src_artist_links"] = r"""WITH l AS (SELECT page_id, regexp_extract_all(
  SELECT page_id, CAST(rank AS INTEGER) AS rank, url, trim(regexp_replace(label, '^\s*\d+[.)-]?\s+', '')) AS label, CAST(88 - least(rank, 30) AS INTEGER) AS score FROM o"""
 
 
+def encoded(spark, d):
+    """Pages as bytes: two of three as UTF-8, the others in the single-byte encoding that they name."""
+    html = F.regexp_replace("html", "(?i)<meta[^>]+charset[^>]*>", "")
+    single = F.concat(F.lit("<meta charset=windows-1252>"), F.regexp_replace(html, r"[^\x00-\x7f\xa0-\xff]", "?"))
+    content = F.when(F.col("page_id") % 3 == 1, F.encode(single, "ISO-8859-1")).otherwise(F.encode(html, "UTF-8"))
+    return pages(spark, d).select("page_id", content.alias("content"))
+
+
 def decode_pages(spark, d):
-    """Charset of each page's first bytes and its text decoded by it."""
-    raw = pages(spark, d).select("page_id", F.encode("html", "UTF-8").alias("content"))
-    head = F.decode(F.substring("content", 1, 8192), "ISO-8859-1")
-    charset = F.lower(F.nullif(F.regexp_extract(head, r"""(?i)<meta[^>]+charset\s*=\s*["']?([^\s"'/>;]+)""", 1), F.lit("")))
-    known = F.when(charset.isin("latin1", "iso-8859-1", "windows-1252"), "ISO-8859-1").otherwise("UTF-8")
-    text = F.when(known == "UTF-8", F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
-    return raw.where(F.octet_length("content") <= 2_500_000).select("page_id", F.coalesce(charset, F.lit("utf-8")).alias("charset"), F.length(text).alias("chars"))
+    """Charset of each page's bytes, a digest of its text, and whether it is over the size that is fetched."""
+    named = encoded(spark, d).withColumn("charset", p.charset(F.col("content")))
+    return named.select("page_id", "charset", F.md5(p.decoded(F.col("content"), F.col("charset")).cast("binary")).alias("text_md5"), (F.octet_length("content") > 2_500_000).alias("oversized"))
 
 
 QUERIES["decode_pages"] = decode_pages
-ORACLES["decode_pages"] = "SELECT page_id, 'utf-8' AS charset, CAST(length(html) AS INTEGER) AS chars FROM pages"
+ORACLES["decode_pages"] = r"""SELECT page_id, CASE WHEN page_id % 3 = 1 THEN 'windows-1252' ELSE 'utf-8' END AS charset, md5(CASE WHEN page_id % 3 = 1 THEN '<meta charset=windows-1252>' || regexp_replace(h, '[^\x00-\x7f\x{a0}-\x{ff}]', '?', 'g') ELSE h END) AS text_md5,
+ strlen(h) > 2500000 AS oversized FROM (SELECT page_id, regexp_replace(html, '(?i)<meta[^>]+charset[^>]*>', '', 'g') AS h FROM pages)"""

@@ -36,7 +36,7 @@ def pairs(spark, d):
 
 
 PAIRS = f"(SELECT DISTINCT a.id AS a, b.id AS b, a.n AS na, b.n AS nb FROM (SELECT id, n, unnest(string_split(n, ' ')) AS w FROM {NT}) a JOIN (SELECT id, n, unnest(string_split(n, ' ')) AS w FROM {NT}) b ON a.w = b.w AND a.id < b.id)"
-QUERIES["title_similarity"] = lambda spark, d: pairs(spark, d).select("a", "b", F.round(sim.title_similarity(F.col("ta"), F.col("tb")), 6).alias("similarity"))
+QUERIES["title_similarity"] = lambda spark, d: pairs(spark, d).select("a", "b", F.round(sim.title_similarity(F.concat(F.col("ta"), F.lit(" (Ao Vivo)")), F.concat(F.col("tb"), F.lit(" - Official Video"))), 6).alias("similarity"))
 ORACLES["title_similarity"] = f"""SELECT a, b, round(CASE WHEN na = nb THEN 1.0 WHEN contains(na, nb) OR contains(nb, na) THEN least(length(na), length(nb))::DOUBLE / greatest(length(na), length(nb))
  ELSE len(list_intersect(string_split(na, ' '), string_split(nb, ' ')))::DOUBLE / greatest(len(list_distinct(string_split(na, ' '))), len(list_distinct(string_split(nb, ' ')))) END, 6)::DOUBLE AS similarity FROM {PAIRS}"""
 QUERIES["same_song"] = lambda spark, d: pairs(spark, d).select("a", "b", F.round(sim.same_song(F.col("ta"), F.lit("Brand A"), F.col("tb"), F.lit("Brand B")), 6).alias("confidence"))
@@ -55,48 +55,91 @@ def queries_of_nations(spark, d):
     return titles(spark, d).select(F.col("id").alias("query_id"), F.element_at(F.split(t.normalized(F.col("title")), " "), 1).alias("query"))
 
 
+def met(asked, r):
+    """Queries with the records that hold them; they meet on the query's longest word, which may be part of a record's word."""
+    held = r.select("id", F.explode(F.array_distinct(F.concat(F.split("nt", " "), F.split("na", " "), F.split("ny", " ")))).alias("word"))
+    longest = F.array_max(F.transform(F.split("query", " "), lambda w: F.struct(F.length(w), w.alias("w"))))["w"]
+    parts = asked.select("query_id", "query", longest.alias("part"))
+    return parts.join(s.words_holding(parts, held), "part").join(held, "word").select("query_id", "query", "id").distinct().join(r, "id")
+
+
 def search_local(spark, d):
-    """Best records for each query; records meet queries that share a word in an equi-join."""
+    """Best records for each query."""
     r = records(spark, d).select("id", t.normalized(F.col("title")).alias("nt"), t.normalized(F.col("artist")).alias("na"), t.normalized(F.col("album")).alias("ny"))
-    held = r.select("id", F.explode(F.array_distinct(F.concat(F.split("nt", " "), F.split("na", " "), F.split("ny", " ")))).alias("w"))
-    asked = queries_of_nations(spark, d)
-    met = asked.select("query_id", "query", F.col("query").alias("w")).join(held, "w").select("query_id", "query", "id").distinct().join(r, "id")
-    scored = met.withColumn("score", s.local_score(F.col("query"), F.col("nt"), F.col("na"), F.col("ny"), F.array("ny")))
+    scored = met(queries_of_nations(spark, d), r).withColumn("score", s.local_score(F.col("query"), F.col("nt"), F.col("na"), F.col("ny"), F.array("ny")))
     return s.top(scored.where("score > 0"), "query_id", [F.desc("score"), F.col("id")], 12).select("query_id", "id", "rank", F.round("score", 4).alias("score"))
 
 
 QUERIES["search_local"] = search_local
-ORACLES["search_local"] = f"""WITH q AS (SELECT id AS query_id, split_part(n, ' ', 1) AS query FROM {NT}), r AS (SELECT p_partkey AS id, {duck.norm('p_name')} AS nt, {duck.norm('p_brand')} AS na, {duck.norm('p_type')} AS ny FROM part),
- m AS (SELECT query_id, id, (CASE WHEN nt = query THEN 85 WHEN contains(nt, query) THEN 60 ELSE 0 END + CASE WHEN na = query THEN 70 WHEN contains(na, query) THEN 45 ELSE 0 END + CASE WHEN contains(ny, query) THEN 66 ELSE 0 END)::DOUBLE AS score
- FROM q JOIN r ON list_contains(string_split(nt || ' ' || na || ' ' || ny, ' '), query))
+LOCAL = "(CASE WHEN nt = query THEN 85 WHEN contains(nt, query) THEN 60 ELSE 0 END + CASE WHEN na = query THEN 70 WHEN contains(na, query) THEN 45 ELSE 0 END + CASE WHEN contains(ny, query) THEN 66 ELSE 0 END)::DOUBLE"
+RECORDS = f"SELECT p_partkey AS id, {duck.norm('p_name')} AS nt, {duck.norm('p_brand')} AS na, {duck.norm('p_type')} AS ny FROM part"
+ORACLES["search_local"] = f"""WITH q AS (SELECT id AS query_id, split_part(n, ' ', 1) AS query FROM {NT}), r AS ({RECORDS}), m AS (SELECT query_id, id, {LOCAL} AS score FROM q JOIN r ON contains(nt || '|' || na || '|' || ny, query))
  SELECT query_id, id, CAST(rank AS INTEGER) AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM m WHERE score > 0) WHERE rank <= 12"""
 
 
+def local_fields(spark, d):
+    """Local scores of all records for wanted titles, artists and themes, and for nothing."""
+    r = records(spark, d).select("id", t.normalized(F.col("title")).alias("nt"), t.normalized(F.col("artist")).alias("na"), t.normalized(F.col("album")).alias("ny"))
+    word = lambda c: F.element_at(F.split(c, " "), 1)
+    want = {"title": F.when(F.col("id") % 4 == 1, word("nt")), "artist": F.when(F.col("id") % 4 == 2, F.col("na")), "theme": F.when(F.col("id") % 4 == 3, word("ny"))}
+    return r.select("id", s.local_score(F.lit(""), F.col("nt"), F.col("na"), F.col("ny"), F.array("ny"), want).alias("score"))
+
+
+QUERIES["search_fields"] = local_fields
+ORACLES["search_fields"] = "SELECT p_partkey AS id, [10.0, 55.0, 55.0, 35.0][CAST(p_partkey % 4 AS INTEGER) + 1]::DOUBLE AS score FROM part"
+
+
 def catalog_rank(spark, d):
-    """Relevance of catalog records within each artist, decaying with their place."""
+    """Relevance of catalog records within each artist, decaying with their place, for queries of four kinds."""
     r = records(spark, d).withColumn("pos", F.row_number().over(Window.partitionBy("artist").orderBy("id")) - 1)
-    n, a = t.normalized(F.col("title")), t.normalized(F.col("artist"))
-    query = F.lit("red")
-    score = F.lit(82) - F.least(F.col("pos"), F.lit(20)) + F.when(n == query, 32).when(F.contains(n, query), 18).otherwise(0) + F.when(a == query, 26).when(F.contains(a, query), 14).otherwise(0)
-    return r.select("id", score.cast("long").alias("score"))
+    n, a = t.search_normalized(F.col("title")), t.search_normalized(F.col("artist"))
+    query = F.when(F.col("id") % 4 == 0, n).when(F.col("id") % 4 == 1, a).when(F.col("id") % 4 == 2, F.concat_ws(" ", n, a)).otherwise("zz")
+    return r.select("id", s.catalog_score(query, n, a, F.col("pos"), F.col("id") % 2 == 0).cast("long").alias("score"))
 
 
 QUERIES["catalog_rank"] = catalog_rank
-ORACLES["catalog_rank"] = f"""SELECT p_partkey AS id, CAST(82 - least(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1, 20) + CASE WHEN {duck.norm('p_name')} = 'red' THEN 32 WHEN contains({duck.norm('p_name')}, 'red') THEN 18 ELSE 0 END
- + CASE WHEN {duck.norm('p_brand')} = 'red' THEN 26 WHEN contains({duck.norm('p_brand')}, 'red') THEN 14 ELSE 0 END AS BIGINT) AS score FROM part"""
+ORACLES["catalog_rank"] = "SELECT p_partkey AS id, CAST(82 - least(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1, 20) + [32, 26, 18, 0][CAST(p_partkey % 4 AS INTEGER) + 1] + CASE WHEN p_partkey % 2 = 0 THEN 4 ELSE 0 END AS BIGINT) AS score FROM part"
+
+
+def relevance(r, query, want_artist):
+    return s.intent_score(query, F.col("nt"), F.col("na"), F.col("score"), F.lit(""), F.col("id") % 2 == 0, F.col("album").isNotNull(), F.lit(False), want_artist)
 
 
 def intent_rank(spark, d):
     r = records(spark, d).withColumn("nt", t.normalized(F.col("title"))).withColumn("na", t.normalized(F.col("artist")))
-    score = s.intent_score(F.lit("royal green"), F.col("nt"), F.col("na"), F.col("score"), F.lit(""), F.col("id") % 2 == 0, F.col("album").isNotNull(), F.lit(False))
-    return r.select("id", F.round(score, 4).alias("relevance"))
+    want = F.when(F.col("id") % 4 == 0, F.col("na")).when(F.col("id") % 4 == 1, "brand").when(F.col("id") % 4 == 2, "bran 99").otherwise("")
+    return r.select("id", F.round(relevance(r, F.lit("royal green"), want), 4).alias("relevance"))
 
 
 QUERIES["intent_rank"] = intent_rank
 QN, TN, AN = "'royal green'", duck.norm("p_name"), duck.norm("p_brand")
-ORACLES["intent_rank"] = f"""SELECT id, round(least(100, greatest(0, score)) * 0.35 + CASE WHEN t = {QN} THEN 95 WHEN contains(t, {QN}) OR contains({QN}, t) THEN 52 ELSE 0 END + {duck.dice('t', QN)} * 54 + {duck.dice('a', QN)} * 30
- + {duck.dice("(a || ' ' || t)", QN)} * 34 + {duck.dice("(t || ' ' || a)", QN)} * 28 + (contains(t || ' ' || a, 'royal')::INTEGER + contains(t || ' ' || a, 'green')::INTEGER) / 2.0::DOUBLE * 48 + CASE WHEN id % 2 = 0 THEN 3 ELSE 0 END + 2, 4)::DOUBLE AS relevance
- FROM (SELECT p_partkey AS id, p_size AS score, {TN} AS t, {AN} AS a FROM part)"""
+
+
+def relevance_sql(query: str, covered: str, want: str) -> str:
+    like = lambda c: duck.dice(c, query)
+    near = duck.dice("a", want)
+    return f"""least(100, greatest(0, score)) * 0.35 + CASE WHEN t = {query} THEN 95 WHEN contains(t, {query}) OR contains({query}, t) THEN 52 ELSE 0 END + {like('t')} * 54 + {like('a')} * 30 + {like("(a || ' ' || t)")} * 34 + {like("(t || ' ' || a)")} * 28 + ({covered}) * 48
+ + CASE WHEN {want} = '' THEN 0 WHEN a = {want} THEN 72 WHEN contains(a, {want}) OR contains({want}, a) THEN 48 ELSE {near} * 34 - CASE WHEN {near} < 0.42 THEN 18 ELSE 0 END END + CASE WHEN id % 2 = 0 THEN 3 ELSE 0 END + 2"""
+
+
+ORACLES["intent_rank"] = f"""SELECT id, round({relevance_sql(QN, "(contains(t || ' ' || a, 'royal')::INTEGER + contains(t || ' ' || a, 'green')::INTEGER) / 2.0::DOUBLE", 'want')}, 4)::DOUBLE AS relevance
+ FROM (SELECT p_partkey AS id, p_size AS score, {TN} AS t, {AN} AS a, CASE p_partkey % 4 WHEN 0 THEN {AN} WHEN 1 THEN 'brand' WHEN 2 THEN 'bran 99' ELSE '' END AS want FROM part)"""
+
+
+def search_ranked(spark, d):
+    """The final list of each query: records of one title and artist are one, by relevance, cut."""
+    once = records(spark, d).groupBy("title", "artist").agg(F.min("id").alias("id"), F.max("score").alias("score"), F.max("album").alias("album"))
+    r = once.select("id", "score", "album", t.normalized(F.col("title")).alias("nt"), t.normalized(F.col("artist")).alias("na"), F.lit("").alias("ny"))
+    asked = queries_of_nations(spark, d).groupBy("query").agg(F.min("query_id").alias("query_id"))
+    hits = met(asked, r)
+    hits = hits.withColumn("relevance", F.round(relevance(hits, F.col("query"), None), 4))
+    return s.ranked(hits.select("query_id", "id", "relevance"), "query_id", 12).select("query_id", "id", "rank")
+
+
+QUERIES["search_ranked"] = search_ranked
+ORACLES["search_ranked"] = f"""WITH q AS (SELECT min(id) AS query_id, split_part(n, ' ', 1) AS query FROM {NT} GROUP BY 2), r AS (SELECT min(p_partkey) AS id, max(p_size) AS score, {TN} AS t, {AN} AS a FROM part GROUP BY p_name, p_brand),
+ m AS (SELECT query_id, id, round({relevance_sql('query', '1.0::DOUBLE', "''")}, 4)::DOUBLE AS relevance FROM q JOIN r ON contains(t || '|' || a, query))
+ SELECT query_id, id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, id) AS rank FROM m) WHERE rank <= 12"""
 
 
 def keyed(spark, d):
@@ -122,15 +165,14 @@ ORACLES["variant_union"] = "SELECT artist, title, CAST(rank AS INTEGER) AS rank
 
 def route_queries(spark, d):
     """Sources in the order in which each query goes to them."""
-    b = read(spark, d, "documents").select("doc_id", F.left("text", F.lit(24)).alias("query"))
     plan = F.when(t.is_excerpt(F.col("query")), F.array(F.lit("B"), F.lit("A"))).otherwise(F.array(F.lit("A"), F.lit("B")))
-    return b.select("doc_id", F.posexplode(plan).alias("step", "provider"))
+    return read(spark, d, "documents").select("doc_id", F.col("text").alias("query")).select("doc_id", F.posexplode(plan).alias("step", "provider"))
 
 
 QUERIES["route_queries"] = route_queries
-XN = duck.norm("left(text, 24)")
-XE = f"(len({duck.words(XN)}) >= 5 OR len({duck.terms('left(text, 24)')}) >= 5 OR (len({duck.words(XN)}) >= 4 AND length({XN}) >= 26))"
-ORACLES["route_queries"] = f"SELECT doc_id, CAST(step AS INTEGER) AS step, CASE WHEN {XE} = (step = 0) THEN 'B' ELSE 'A' END AS provider FROM documents, (VALUES (0), (1)) v(step)"
+XN = duck.norm("text")
+XE = f"(len({duck.words(XN)}) >= 5 OR len({duck.distinct_terms('text')}) >= 5 OR (len({duck.words(XN)}) >= 4 AND length({XN}) >= 26))"
+ORACLES["route_queries"] = f"SELECT doc_id, CAST(step AS INTEGER) AS step, CASE WHEN x = (step = 0) THEN 'B' ELSE 'A' END AS provider FROM (SELECT doc_id, {XE} AS x FROM documents), (VALUES (0), (1)) v(step)"
 
 
 def adaptive_search(spark, d):
@@ -161,20 +203,18 @@ ORACLES["line_windows"] = f"""WITH l AS (SELECT doc_id, {duck.lines('text')} AS
  SELECT doc_id, count(*) AS windows, CAST(max(length(array_to_string(list_slice(ls, p, p + s - 1), ' '))) AS INTEGER) AS longest FROM x WHERE p + s - 1 <= len(ls) GROUP BY doc_id"""
 
 
-def excerpt_match(spark, d):
-    """Best window of lines of the texts that share a rare word with a passage."""
-    asked = read(spark, d, "benchmark").select("item_id", t.normalized(F.col("text")).alias("query")).where(F.length("query") >= 8)
-    pairs = s.phrase_matches(read(spark, d, "benchmark"), read(spark, d, "documents")).select("item_id", "doc_id")
-    w = line_windows(spark, d).join(pairs, "doc_id").join(asked, "item_id").withColumn("n", t.normalized(F.col("window")))
-    exact = F.contains(F.col("n"), F.col("query"))
-    coverage = sim.term_coverage(F.col("n"), t.search_terms(F.col("query")))
-    compact = F.least(F.lit(1.0), F.length("query") / F.greatest(F.length("n"), F.length("query")))
-    score = F.when(exact, 1.25).otherwise(0.0) + coverage * 0.62 + compact * 0.04
-    best = F.row_number().over(Window.partitionBy("item_id", "doc_id").orderBy(F.desc("score"), "pos", "size"))
-    return w.withColumn("score", score).withColumn("r", best).where("r = 1").select("item_id", "doc_id", "pos", "size", F.round("score", 4).alias("score"))
+QUERIES["excerpt_match"] = lambda spark, d: s.excerpt_matches(read(spark, d, "benchmark"), read(spark, d, "documents")).select("item_id", "doc_id", "start", "size", "exact", F.round("score", 4).alias("score"))
+
+
+def excerpt_filter(spark, d):
+    """Texts that hold a passage, whose preview for it makes them candidates."""
+    b, docs = read(spark, d, "benchmark"), read(spark, d, "documents")
+    pairs = s.phrase_matches(b, docs).select("item_id", "doc_id").join(b.select("item_id", F.col("text").alias("query")), "item_id").join(docs.select("doc_id", "text"), "doc_id")
+    shown = pairs.select("item_id", "doc_id", "query", F.lit("").alias("title"), t.preview(F.col("text"), F.col("query"), 240).alias("preview"))
+    return s.excerpt_candidates(shown).select("item_id", "doc_id", F.lit(True).alias("verified"))
 
 
-QUERIES["excerpt_match"] = excerpt_match
+QUERIES["excerpt_filter"] = excerpt_filter
 
 
 def lookup_song(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from songsieve.functions import quality as q
 from songsieve.functions import text as t
+from songsieve.operators import linkage
 from songsieve.operators.search import phrase_matches
 from songsieve.plans import duck
 from songsieve.sources.tables import read, records
@@ -40,7 +41,11 @@ for a, b in ((r"(?i)<br\s*/?>", "chr(10)"), ("(?i)</p>", "chr(10) || chr(10)"),
     CH = f"regexp_replace({CH}, '{a}', {b}, 'g')"
 column("clean_html", "pages", "page_id", lambda: {"cleaned": t.html_cleaned(F.col("html"))}, f"{duck.strip(CH)} AS cleaned")
 column("html_to_text", "pages", "page_id", lambda: {"plain": t.html_stripped(F.col("html"))}, None)
-column("search_terms", "documents", "doc_id", lambda: {"terms": F.array_join(t.search_terms(F.col("text"), 18), " ")}, f"array_to_string(list_slice({duck.terms('text')}, 1, 18), ' ') AS terms")
+column("search_terms", "documents", "doc_id", lambda: {"terms": F.array_join(t.search_terms(F.col("text")), " ")}, None)
+STOP = ", ".join(f"'{w}'" for w in t.STOPWORDS)
+ORACLES["search_terms"] = f"""WITH w AS (SELECT doc_id, string_split({N}, ' ') AS ws FROM documents), u AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+ f AS (SELECT doc_id, w, min(pos) AS pos FROM u WHERE length(w) > 1 AND w NOT IN ({STOP}) GROUP BY 1, 2) SELECT d.doc_id, coalesce(string_agg(w, ' ' ORDER BY pos), '') AS terms FROM documents d LEFT JOIN f USING (doc_id) GROUP BY 1"""
+column("normalize_search", "documents", "doc_id", lambda: {"norm": t.search_normalized(F.col("text"))}, f"{duck.norm(duck.strip(LN))} AS norm")
 column(
     "slugify", "part", "p_partkey", lambda: {"slug": t.slug(F.concat_ws(" & ", "p_name", "p_brand"))},
     "regexp_replace(regexp_replace(replace(lower(strip_accents(p_name || ' & ' || p_brand)), '&', ' e '), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug",
@@ -56,14 +61,13 @@ column(
     f"{ID_T} || '|' || {duck.norm('p_brand')} AS identity",
 )
 column(
-    "strip_timestamps", "documents", "doc_id", lambda: {"plain": t.timestamps_stripped(F.regexp_replace(F.col("text"), r"(?m)^", "[01:23.45] "))},
-    f"trim({'text'}) AS plain",
+    "strip_timestamps", "documents", "doc_id", lambda: {"plain": t.timestamps_stripped(F.regexp_replace(F.col("text"), r"(?m)^", "  [101:23.45][00:01] "))},
+    f"{duck.strip(LN)} AS plain",
 )
-column("generic_preview", "documents", "doc_id", lambda: {"generic": t.is_generic_preview(F.left(F.col("text"), F.lit(40)))}, f"{duck.norm('left(text, 40)')} = '' AS generic")
-EX = duck.norm("left(text, 30)")
+column("generic_preview", "documents", "doc_id", lambda: {"generic": t.is_generic_preview(F.when(F.col("doc_id") % 5 == 0, F.concat(F.col("text"), F.lit(" Índice de Busca"))).otherwise(F.col("text")))}, f"(doc_id % 5 = 0 OR {N} = '' OR regexp_matches({N}, 'resultado encontrado|toque para carregar|disponivel na biblioteca|indice de busca|api personalizada')) AS generic")
 column(
-    "excerpt_mode", "documents", "doc_id", lambda: {"excerpt": t.is_excerpt(F.left(F.col("text"), F.lit(30)))},
-    f"(len({duck.words(EX)}) >= 5 OR len({duck.terms('left(text, 30)')}) >= 5 OR (len({duck.words(EX)}) >= 4 AND length({EX}) >= 26)) AS excerpt",
+    "excerpt_mode", "documents", "doc_id", lambda: {"excerpt": t.is_excerpt(F.col("text"))},
+    f"(len({duck.words(N)}) >= 5 OR len({duck.distinct_terms('text')}) >= 5 OR (len({duck.words(N)}) >= 4 AND length({N}) >= 26)) AS excerpt",
 )
 column(
     "error_code", "events", "event_id",
@@ -108,8 +112,7 @@ ORACLES["lyric_signals"] = f"""SELECT doc_id, CAST({SCORE} AS BIGINT) AS signal_
 
 
 def quality_score(spark, d):
-    out = q.quality(F.col("text"), F.lit(0))
-    return read(spark, d, "documents").select("doc_id", *[out[n].alias(n) for n in ("score", "confidence")], out["char_count"].alias("char_count"))
+    return q.with_quality(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.col("quality").alias("score"), "confidence", "char_count")
 
 
 RAW = f"""least(38.0, length(text) / 180.0::DOUBLE) + least(24.0, line_count * 1.15::DOUBLE) + least(16.0, word_count / 35.0::DOUBLE) + distinct_ratio * 9 + CASE WHEN mean_length BETWEEN 8 AND 90 THEN 8 ELSE 0 END
@@ -117,27 +120,24 @@ RAW = f"""least(38.0, length(text) / 180.0::DOUBLE) + least(24.0, line_count * 1
 QUERIES["quality_score"] = quality_score
 ORACLES["quality_score"] = f"""SELECT doc_id, floor(greatest(0.0, least(100.0, raw)) * 100 + 0.5 + 1e-7) / 100 AS score, floor(greatest(0.0, least(0.99, 0.08 + greatest(0.0, least(100.0, raw)) / 100 * 0.78 + least(0.12, line_count / 250.0::DOUBLE))) * 1000 + 0.5 + 1e-7) / 1000 AS confidence,
  CAST(length(text) AS INTEGER) AS char_count FROM (SELECT *, ({RAW})::DOUBLE AS raw FROM ({METRICS}))"""
-QUERIES["candidate_score"] = lambda spark, d: read(spark, d, "documents").select("doc_id", F.round(q.candidate_score(F.col("text"), F.when(F.col("doc_id") % 2 == 0, "json-ld").otherwise("other"), F.lit(0), F.lit(4)), 0).cast("long").alias("score")).where("score is not null")
+QUERIES["candidate_score"] = lambda spark, d: q.with_candidate_score(
+    read(spark, d, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, "json-ld").otherwise("other").alias("method"), F.lit(0).alias("link_chars"), F.lit(4).alias("bonus"))
+).select("doc_id", F.round("score", 2).alias("score")).where("score is not null")
+ORACLES["candidate_score"] = f"""SELECT doc_id, round(greatest(0.0, least(140.0, floor(greatest(0.0, least(100.0, raw)) * 100 + 0.5 + 1e-7) / 100 + CASE WHEN doc_id % 2 = 0 THEN 16 ELSE 0 END + 4 + CASE WHEN length(text) BETWEEN 250 AND 20000 THEN 6 ELSE 0 END + CASE WHEN line_count BETWEEN 8 AND 180 THEN 8 ELSE 0 END)), 2)::DOUBLE AS score
+ FROM (SELECT *, ({RAW})::DOUBLE AS raw FROM ({METRICS})) WHERE length(text) >= 45 AND word_count >= 10 AND line_count >= 2"""
 QUERIES["block_score"] = lambda spark, d: read(spark, d, "documents").select("doc_id", q.rounded(q.block_score(F.col("text"), F.lit(0.1)), 1).alias("weight"))
 BL = f"CASE WHEN line_count > 0 THEN len(list_filter({L}, lambda x: length(x) BETWEEN 2 AND 92))::DOUBLE / line_count ELSE 0.0 END"
 BM = duck.count("lower(text)", r"(?:^|\n)\s*\[?\s*(?:verso|verse|refr[aã]o|coro|chorus|ponte|bridge|intro|outro|final|tag)\b")
 ORACLES["block_score"] = rf"""SELECT doc_id, floor(10 * (CASE WHEN word_count < 4 OR length(text) < 20 THEN -20.0::DOUBLE ELSE 1 + least(4.0, length(text) / 180.0::DOUBLE) + least(6.0, line_count * 0.55::DOUBLE)
  + least(8.0, {duck.count('text', '[,;:]')} * 0.65::DOUBLE + {duck.count('text', r'[.!?](?:\s|$)')} * 0.35::DOUBLE) + {BL} * 10 + least(12, {BM} * 4) - 3.2::DOUBLE - ({duck.noise('text')}) * 12 - CASE WHEN mean_length > 150 THEN 7 ELSE 0 END END) + 0.5 + 1e-7) / 10 AS weight FROM ({METRICS})"""
-CANON = r"list_slice(list_filter(list_transform(string_split(lower(text), chr(10)), lambda x: trim(regexp_replace(strip_accents(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: length(x) >= 4 AND NOT regexp_matches(x, '^(?:verso|verse|refrao|coro|chorus|ponte|bridge|intro|outro|final|tag)\s*\d*$')), 1, 260)"
+CANON = r"list_filter(list_transform(string_split(lower(text), chr(10)), lambda x: trim(regexp_replace(strip_accents(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: length(x) >= 4 AND NOT regexp_matches(x, '^(?:verso|verse|refrao|coro|chorus|ponte|bridge|intro|outro|final|tag)\s*\d*$'))"
 QUERIES["canonical_lines"] = lambda spark, d: read(spark, d, "documents").select("doc_id", F.explode(q.canonical_lines(F.col("text"))).alias("line"))
 ORACLES["canonical_lines"] = f"SELECT doc_id, unnest(list_distinct({CANON})) AS line FROM documents"
 
 
 def line_containment(spark, d):
-    """Pairs of texts by the lines they share; common lines meet in an equi-join."""
-    docs = read(spark, d, "documents").select("doc_id", F.length("text").alias("chars"), q.canonical_lines(F.col("text")).alias("ls"))
-    rows = docs.where(F.size("ls") >= 2).select("doc_id", "chars", F.size("ls").alias("n"), F.explode("ls").alias("line"))
-    side = lambda x: rows.select("line", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "chars", "n")])
-    ratio = F.least("chars_a", "chars_b") / F.greatest("chars_a", "chars_b")
-    pairs = side("a").join(side("b"), "line").where((F.col("doc_id_a") < F.col("doc_id_b")) & (ratio >= 0.55))
-    shared = pairs.groupBy("doc_id_a", "doc_id_b", "chars_a", "chars_b", "n_a", "n_b").count()
-    score = F.col("count") / F.least("n_a", "n_b") * 0.82 + ratio * 0.18
-    return shared.select("doc_id_a", "doc_id_b", F.round(score, 3).alias("similarity")).where("similarity >= 0.86")
+    """Pairs of texts by the lines they share."""
+    return linkage.line_pairs(read(spark, d, "documents"), "doc_id", "text", 0.86).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "similarity")
 
 
 QUERIES["line_containment"] = line_containment
@@ -154,9 +154,21 @@ def query_variants(spark, d):
     """Search variants of each passage, best first."""
     from songsieve.operators.search import query_variants as variants
 
-    return variants(read(spark, d, "benchmark").select("item_id", F.left("text", F.lit(80)).alias("query"), F.lit(None).cast("string").alias("artist")), "item_id")
+    return variants(read(spark, d, "benchmark").select("item_id", F.col("text").alias("query"), F.lit(None).cast("string").alias("artist")), "item_id")
 
 
 QUERIES["query_variants"] = query_variants
-QUERIES["comparable_title"] = lambda spark, d: records(spark, d).select("id", F.trim(F.regexp_replace(t.normalized(F.concat(F.col("title"), F.lit(" - Ao Vivo (Remaster)"))), r"\b(?:ao vivo|live|remaster(?:ed)?|single|acustico|playback)\b", "")).alias("comparable"))
-ORACLES["comparable_title"] = f"SELECT p_partkey AS id, {duck.norm('p_name')} AS comparable FROM part"
+QUERIES["comparable_title"] = lambda spark, d: records(spark, d).select("id", t.comparable(F.concat(F.col("title"), F.lit(" - Ao Vivo (Remastered) &amp; Radio  Edit, versão"))).alias("comparable"))
+ORACLES["comparable_title"] = f"SELECT p_partkey AS id, trim({duck.comparable('p_name')} || ' amp') AS comparable FROM part"
+
+
+def infer_title_artist(spark, d):
+    """Titles and artists from headings of four forms."""
+    heading = F.when(F.col("id") % 4 == 0, F.concat_ws(" by ", "title", "artist")).when(F.col("id") % 4 == 1, F.concat(F.col("title"), F.lit(" – "), F.col("artist"), F.lit(" | Letras.com"))).when(F.col("id") % 4 == 3, F.concat(F.col("title"), F.lit(" lyrics")))
+    url = F.concat(F.lit("https://x.example/"), t.slug(F.col("artist")), F.lit("/"), t.slug(F.col("title")))
+    return records(spark, d).select("id", t.title_and_artist(heading, url).alias("n")).select("id", "n.title", "n.artist")
+
+
+QUERIES["infer_title_artist"] = infer_title_artist
+PRETTY = lambda x: f"array_to_string(list_transform(string_split(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+ORACLES["infer_title_artist"] = f"SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 2 THEN {PRETTY('p_name')} ELSE p_name END AS title, CASE WHEN p_partkey % 4 IN (0, 1) THEN p_brand ELSE {PRETTY('p_brand')} END AS artist FROM part"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,3 +17,16 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), F.col("p_type").alias("album"), F.col("p_size").alias("score"), (F.col("p_partkey") % 3).alias("source")
     )
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The rows, written once to the folder named in spark.checkpoint.dir and read from there by all that follows.
+
+    A local session may leave the setting out and gets a temporary folder; a cluster may not.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="songsieve-"))
+    return df.checkpoint()

@@ -83,9 +83,8 @@ def test_ordered_coverage_and_requests(spark):
 
 def test_quality_bounds(spark):
     text = "[Refrão]\nJesus, meu Senhor\nSanto és tu\n" * 6
-    out = q.quality(F.col("x"), F.lit(0))
-    r = spark.createDataFrame([(text,), ("",)], "x string").select(*[c.alias(n) for n, c in out.items()]).collect()
-    assert 0 <= r[1].score <= r[0].score <= 100 and r[0].line_count == 18 and r[1].line_count == 0
+    r = q.with_quality(spark.createDataFrame([(text,), ("",)], "x string"), "x").collect()
+    assert 0 <= r[1].quality <= r[0].quality <= 100 and r[0].line_count == 18 and r[1].line_count == 0
     s = q.signals(F.col("x"))
     seen = spark.createDataFrame([(text,)], "x string").select(s["signals"]).first()[0]
     assert seen == ["section-markers", "lyric-line-shape", "gospel-vocabulary"]
@@ -114,3 +113,37 @@ def test_fingerprint_covers_whole_texts(spark):
     df = spark.createDataFrame([(long + "one",), (long + "two",), (long.upper() + "-ONE!",)], "x string")
     a, b, c = (r.f for r in df.select(t.fingerprint(F.col("x")).alias("f")).collect())
     assert a != b and a == c
+
+
+def test_best_window_of_a_passage(spark):
+    """Against the same rules over plain lists."""
+    lines = ["the sun goes down", "over the quiet river", "a boat without oars", "drifts to the sea", "and sings", "over the river quietly"]
+    df = spark.createDataFrame([(lines, "quiet river boat", ["quiet", "river", "boat"]), (lines, "zzz", ["zzz"]), ([], "sun", ["sun"]), (lines, "goes down over the quiet", ["goes", "down", "over", "quiet"])], "ls array<string>, a string, t array<string>")
+    got = [r.m for r in sim.with_best_window(df, "m", "ls", "a", "t").collect()]
+
+    def dice(a, b):
+        ga, gb = ([x[i : i + 2] for i in range(len(x) - 1)] for x in (a, b))
+        return 2 * sum(min(ga.count(g), gb.count(g)) for g in set(ga)) / (len(ga) + len(gb))
+
+    best = {}
+    for asked, terms in (("quiet river boat", ["quiet", "river", "boat"]), ("goes down over the quiet", ["goes", "down", "over", "quiet"])):
+        for start in range(len(lines)):
+            for size in range(1, min(4, len(lines) - start) + 1):
+                w = " ".join(lines[start : start + size])
+                at, found = 0, 0
+                for term in terms:
+                    hit = next((i for i, x in enumerate(w.split()) if i >= at and (term in x or x in term)), None)
+                    if hit is not None:
+                        at, found = hit + 1, found + 1
+                score = 1.25 * (len(asked) >= 8 and asked in w) + 0.62 * sum(x in w for x in terms) / len(terms) + 0.28 * found / len(terms) + 0.1 * dice(w, asked) + 0.04 * min(1, len(asked) / max(len(w), len(asked)))
+                best[asked] = max(best.get(asked, (0,)), (score, -start, -size))
+    for m, asked in ((got[0], "quiet river boat"), (got[3], "goes down over the quiet")):
+        score, start, size = best[asked]
+        assert abs(m.score - score) < 1e-9 and (m.start, m.size) == (1 - start, -size) and m.matched
+    assert not got[1].matched and got[2] is None
+
+
+def test_titles_and_stamps(spark):
+    row = spark.createDataFrame([("Canção (Ao Vivo)", "Canção", "  [00:01.20][101:02] a\n\t[00:03]b\nc [00:04]")], "a string, b string, c string")
+    r = row.select(sim.title_similarity(F.col("a"), F.col("b")).alias("s"), t.timestamps_stripped(F.col("c")).alias("c"), t.comparable(F.col("a")).alias("k")).first()
+    assert (r.s, r.c, r.k) == (1.0, "a\nb\nc [00:04]", "cancao")

@@ -54,7 +54,10 @@ def excerpt_matches(queries: DataFrame, docs: DataFrame) -> DataFrame:
     by_length = F.transform(F.array_sort(F.transform("terms", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda s: s["w"])
     keys = asked.select("item_id", F.explode(F.slice(by_length, F.lit(1), (n - F.ceil(n * share - 1e-9) + 1).cast("int"))).alias("part"))
     held = docs.select("doc_id", F.explode(F.array_distinct(F.split(t.normalized(F.col("text")), " "))).alias("word"))
-    pairs = keys.join(words_holding(keys, held), "part").join(held, "word").select("item_id", "doc_id").distinct()
+    spark = docs.sparkSession
+    # pairs of ids are small, what is done for each is not: they are dealt to as many tasks as there may be
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = keys.join(words_holding(keys, held), "part").join(held, "word").select("item_id", "doc_id").distinct().repartition(tasks)
     few = asked.select("item_id", t.normalized(F.col("query")).alias("asked"), "terms", F.ceil(n * share - 1e-9).alias("least"))
     rows = pairs.join(few, "item_id").join(docs.select("doc_id", "text"), "doc_id").withColumn("norm", F.explode(F.array(t.normalized(F.col("text")))))
     # made once by a generator, not inside the filter for every term; no window holds more of the terms than the whole text

@@ -263,6 +263,24 @@ def test_viterbi_is_optimal():
         assert model.path(w)[0] == pytest.approx(brute_path(model, w))
 
 
+def test_words_solved_side_by_side_are_those_solved_apart(monkeypatch):
+    model, r = pieces.Pieces(tokenizer_file("piece_bpe_32k.model")), random.Random(4)
+    texts = ["".join(r.choice("thenaio  .,\n\0\t▁é漢😀0") for _ in range(r.randrange(50))) for _ in range(300)]
+    texts += [None, "", " ", "▁", "a" * 3000, "漢" * 3000, "the" * 3000, " the" * 3000]
+    apart = []
+    for t in texts:
+        model.memo.clear()
+        apart.append(b"".join(model.solve([" " + w])[0][0] for w in model.words(t)))
+    model.memo.clear()
+    assert model.encode_all(texts) == apart
+    assert all(len(w) <= pieces.MEMO_LENGTH for w in model.memo)
+    monkeypatch.setattr(pieces, "MEMO", 5)  # cleared for every batch
+    monkeypatch.setattr(pieces, "SOLVED", 20)
+    assert [x for at in range(0, len(texts), 7) for x in model.encode_all(texts[at : at + 7])] == apart
+    assert [model.decode(x) for x in apart] == [t or "" for t in texts]
+    assert model.encode_all([]) == []
+
+
 def test_segments_are_maximal():
     """Against the definition: no segment can be extended or shortened to a higher score inside its neighbours."""
     rng = random.Random(4)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songsieve.llm import ann, bwt_dedup, html_text, jaccard, mixing, neardup, pieces, rans, secrets, toxicity
+from songsieve.llm import ann, bwt_dedup, html_text, jaccard, mixing, neardup, pieces, pii, rans, secrets, toxicity
 from songsieve.llm.common import read
 
 #: Ids of the byte-level vocabulary.
@@ -83,6 +83,19 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data per document: counts of the base kinds, a digest of their spans, all spans."""
+    found = pii.spans(read(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("found", lambda s: s["rank"] < len(pii.BASE))
+    return found.select(
+        "doc_id",
+        *[count(k.name).alias(f"n_{k.name}") for k in pii.BASE],
+        F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.listed(F.col("found")).alias("spans"),
+    )
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
@@ -149,6 +162,41 @@ SELECT doc_id, {', '.join(f'CAST(len(s_{r.name}) AS BIGINT) AS n_{r.name}' for r
 """
 
 
+_DIGITS = "regexp_replace(m[i], '[^0-9]', '', 'g')"
+_TURNED = "substr(replace(m[i], ' ', ''), 5) || left(replace(m[i], ' ', ''), 4)"
+#: Checks of a match m[i]: a digit doubled for Luhn is looked up at an offset, IBANs are taken sign by sign.
+_SQL_VALID = {
+    "ip": rf"regexp_matches(m[i], '^{pii.IP_PART}(?:\.{pii.IP_PART}){{3}}$')",
+    "card": f"(length({_DIGITS}) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda j: CAST(substr('01234567890246813579', CAST(substr(reverse({_DIGITS}), j, 1) AS INT) + CASE WHEN j % 2 = 0 THEN 11 ELSE 1 END, 1) AS INT))) % 10 = 0)",
+    "phone": f"length({_DIGITS}) BETWEEN 10 AND 15",
+    "iban": f"list_reduce(list_prepend(0, list_transform(string_split({_TURNED}, ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1",
+    "ssn": f"NOT regexp_matches(m[i], '{pii.SSN_WRONG}')",
+    "routing": "list_sum(list_transform(range(1, 10), lambda j: CAST(substr(m[i], j, 1) AS INT) * CASE j % 3 WHEN 1 THEN 3 WHEN 2 THEN 7 ELSE 1 END)) % 10 = 0",
+}
+
+
+def _personal_sql(rank: int, kind: pii.Kind) -> str:
+    """Confirmed spans of a kind: its matches with the text before and after each."""
+    m, p = f"regexp_extract_all(t, '{kind.plain}')", f"string_split_regex(t, '{kind.plain}')"
+    total = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda y: length(y))), 0)"
+    start = f"CAST({total('list_slice(p, 1, i)')} + {total('list_slice(m, 1, i - 1)')} AS BIGINT)"
+    near = f"translate(right(p[i], {pii.NEAR}) || ' ' || left(p[i + 1], {pii.NEAR}), '{pii.UPPER}', '{pii.LOWER}')"
+    ok = _SQL_VALID.get(kind.name, "true")
+    if kind.apart:
+        ok = f"NOT regexp_matches(right(p[i], 1), '[A-Za-z0-9]') AND NOT regexp_matches(left(p[i + 1], 1), '[A-Za-z0-9]') AND {ok}"
+    score = f"{kind.prior} + CASE WHEN regexp_matches({near}, '{pii.word_regex(kind.context)}') THEN {pii.RAISED} ELSE 0 END - CASE WHEN regexp_matches({near}, '{pii.word_regex(pii.MADE_UP)}') THEN {pii.LOWERED} ELSE 0 END"
+    made = f"list_transform(range(1, len(m) + 1), lambda i: {{'start': {start}, 'rank': {rank}, 'kind': '{kind.name}', 'stop': {start} + length(m[i]), 'score': CASE WHEN {ok} THEN {score} ELSE 0 END}})"
+    return f"SELECT k, list_filter({made}, lambda z: z.score >= {pii.LEAST}) AS s FROM (SELECT k, {m} AS m, {p} AS p FROM d)"
+
+
+_OP11_EACH = ", ".join(f"s{n} AS ({_personal_sql(n, k)})" for n, k in enumerate(pii.KINDS))
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents), {_OP11_EACH},
+a AS (SELECT doc_id, {', '.join(f's{n}.s AS v{n}' for n in range(len(pii.KINDS)))} FROM d {' '.join(f'JOIN s{n} USING (k)' for n in range(len(pii.KINDS)))})
+SELECT doc_id, {', '.join(f'CAST(len(v{n}) AS BIGINT) AS n_{k.name}' for n, k in enumerate(pii.BASE))}, sha256({_LISTED.format(' || '.join(f'v{n}' for n in range(len(pii.BASE))))}) AS base_sha256, {_LISTED.format(' || '.join(f'v{n}' for n in range(len(pii.KINDS))))} AS spans FROM a
+"""
+
+
 def queries() -> dict:
     return {
         "op1_html_text": op1_html_text,
@@ -161,8 +209,9 @@ def queries() -> dict:
         "op8_mixing": op8_mixing,
         "op9_repeated_bytes": op9_repeated_bytes,
         "op10_pieces": op10_pieces,
+        "op11_pii": op11_pii,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_ngram_jaccard": OP2_SQL, "op5_embedding_dups": OP5_SQL, "op6_secret_scans": OP6_SQL, "op8_mixing": OP8_SQL}
+    return {"op2_ngram_jaccard": OP2_SQL, "op5_embedding_dups": OP5_SQL, "op6_secret_scans": OP6_SQL, "op8_mixing": OP8_SQL, "op11_pii": OP11_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songsieve.llm import ann, bwt_dedup, html_text, jaccard, mixing, neardup, pieces, pii, rans, secrets, toxicity
+from songsieve.llm import ann, bwt_dedup, collocations, html_text, jaccard, mixing, neardup, periodic, pieces, pii, rans, secrets, toxicity
 from songsieve.llm.common import read
 
 #: Ids of the byte-level vocabulary.
@@ -96,6 +96,46 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _repeating(docs: DataFrame) -> DataFrame:
+    """Documents whose id's crc32 ends in 0 repeat a part of their words from a place on, both given by that number."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def repeated(w):
+        n = F.size(w).cast("long")
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (g % 8 + 3))
+        at = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, at(i).cast("int"))), " ")
+
+    of_words = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w)))[0]
+    return docs.select("doc_id", F.when(h % 10 == 0, of_words).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, digests of them and of the text with one copy of each period."""
+    found = periodic.with_runs(_repeating(read(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))
+    first = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("length"), r["start"].alias("start"), r["period"].alias("period"))))
+    length = -first["length"]
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        first["start"].alias("start"),
+        length.alias("length"),
+        first["period"].alias("period"),
+        F.floor(length * 1000 / first["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two to five words of each language."""
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
@@ -196,6 +236,47 @@ a AS (SELECT doc_id, {', '.join(f's{n}.s AS v{n}' for n in range(len(pii.KINDS))
 SELECT doc_id, {', '.join(f'CAST(len(v{n}) AS BIGINT) AS n_{k.name}' for n, k in enumerate(pii.BASE))}, sha256({_LISTED.format(' || '.join(f'v{n}' for n in range(len(pii.BASE))))}) AS base_sha256, {_LISTED.format(' || '.join(f'v{n}' for n in range(len(pii.KINDS))))} AS spans FROM a
 """
 
+# crc32 of the id's digits bit by bit; runs from pairs of equal words, as islands of each distance
+OP12_SQL = r"""
+WITH c AS (
+  SELECT row_number() OVER () AS k, doc_id, text, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [CAST(x AS BIGINT) FOR x IN range(8)]), lambda v, j: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))) AS h FROM documents
+), o AS (
+  SELECT k, doc_id, h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM c
+), p AS (
+  SELECT *, CAST(len(w) AS BIGINT) AS n, (h // 10) % nullif(len(w), 0) AS a, 1 + (len(w) - (h // 10) % nullif(len(w), 0)) // (3 + (h // 10) % 8) AS p FROM o
+), d AS (
+  SELECT k, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM p
+), x AS (SELECT k, n, unnest(range(0, n)) AS i, unnest(w) AS word FROM d),
+e AS (SELECT p.k, q.i - p.i AS q, p.i FROM x p JOIN x q ON p.k = q.k AND p.word = q.word AND p.i < q.i AND 2 * (q.i - p.i) <= p.n),
+g AS (SELECT k, q, i, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS island FROM e),
+s AS (SELECT k, q, min(i) AS start, count(*) + q AS length FROM g GROUP BY k, q, island HAVING count(*) + q >= greatest(12, 2 * q)),
+r AS (SELECT k, start, length, min(q) AS period FROM s GROUP BY k, start, length),
+t AS (SELECT k, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed, min({'l': -length, 's': start, 'p': period}) AS best FROM r GROUP BY k),
+v AS (SELECT x.k, string_agg(word, ' ' ORDER BY i) AS left_ FROM x WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.k = x.k AND x.i >= r.start + r.period AND x.i < r.start + r.length) GROUP BY x.k)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, -best.l AS length, best.p AS period, -best.l * 1000 // best.p AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(left_, '')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (k) LEFT JOIN v USING (k)
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k >= 2 AND a >= 100),
+s AS (SELECT lang, a AS around, unnest(flatten(list_transform(range(2, k), lambda j: list_transform(range(1, k - j + 2), lambda i: array_to_string(string_split(phrase, ' ')[i:i + j - 1], ' '))))) AS phrase FROM c),
+i AS (SELECT lang, phrase, max(around) AS around FROM s GROUP BY ALL),
+u AS (SELECT lang, phrase, k, a, unnest(range(1, k)) AS cut, string_split(phrase, ' ') AS w FROM c),
+b AS (
+  SELECT u.lang, u.phrase, u.a, n.n, min({'score': CAST(1000::HUGEINT * u.a * n.n // (l.a::HUGEINT * r.a) AS BIGINT), 'cut': cut, 'l': l.a, 'r': r.a}) AS best
+  FROM u JOIN n USING (lang) JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(w[1:cut], ' ') JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(w[cut + 1:], ' ') GROUP BY ALL
+), k AS (SELECT b.* FROM b LEFT JOIN i USING (lang, phrase) WHERE around IS NULL OR 100 * around < 100 * a),
+t AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY best.score DESC, a DESC, phrase) AS rank, phrase, a, best.l AS l, best.r AS r, n, best.score AS score FROM k)
+SELECT * FROM t WHERE rank <= 2000
+"""
+
 
 def queries() -> dict:
     return {
@@ -210,8 +291,10 @@ def queries() -> dict:
         "op9_repeated_bytes": op9_repeated_bytes,
         "op10_pieces": op10_pieces,
         "op11_pii": op11_pii,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_ngram_jaccard": OP2_SQL, "op5_embedding_dups": OP5_SQL, "op6_secret_scans": OP6_SQL, "op8_mixing": OP8_SQL, "op11_pii": OP11_SQL}
+    return {"op2_ngram_jaccard": OP2_SQL, "op5_embedding_dups": OP5_SQL, "op6_secret_scans": OP6_SQL, "op8_mixing": OP8_SQL, "op11_pii": OP11_SQL, "op12_periodic_runs": OP12_SQL, "op13_collocations": OP13_SQL}

@@ -21,6 +21,7 @@ and null ids, are rows of their own; empty tables give no rows; other columns do
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -139,12 +140,12 @@ class _Count:
         self.found = {}
 
 
-def _scan(shard: DataFrame, now: np.ndarray, old: np.ndarray, levels: list[int]) -> DataFrame:
+def _scan(shard: DataFrame, filters, levels: list[int]) -> DataFrame:
     """Counts of the active phrases of the given lengths in a shard; length 0 counts all words."""
-    filters = shard.sparkSession.sparkContext.broadcast((now, old))  # of fixed size
 
     def run(batches):
-        count, held, size = _Count(*filters.value, levels), {}, 0
+        bitmaps = [np.frombuffer(zlib.decompress(x), np.uint8).reshape(rows, -1) for rows, x in filters.value]
+        count, held, size = _Count(*bitmaps, levels), {}, 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
@@ -208,7 +209,9 @@ def counts(docs: DataFrame, lang: str = "lang", text: str = "text", threshold: i
         if not levels:
             break
         old = past.pop(0) if step >= shards else np.zeros_like(now)
-        new = _scan(table.where(F.col("shard") == step % shards), now, old, levels)
+        # of fixed size, and packed: most bits are unset
+        filters = docs.sparkSession.sparkContext.broadcast([(len(x), zlib.compress(x.tobytes(), 1)) for x in (now, old)])
+        new = _scan(table.where(F.col("shard") == step % shards), filters, levels)
         both = state.unionByName(new.withColumns({"first": F.lit(step), "reached": F.lit(None).cast("int")}))
         summed = both.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.min("reached").alias("reached"))
         often = F.col("n") >= threshold
@@ -216,6 +219,7 @@ def counts(docs: DataFrame, lang: str = "lang", text: str = "text", threshold: i
         # what has seen every shard and is rare is done with
         after = written(summed.where(often | (F.col("k") == 0) | (F.col("first") + shards - 1 > step)), "counts")
         forget(state)
+        filters.destroy()
         state = after
         for k, word, bits in _bits(state.where((F.col("reached") == step) & F.col("k").between(1, longest - 1)), filter_bits).toPandas().itertuples(index=False):
             now[k - 1].view(np.int64)[word] |= bits

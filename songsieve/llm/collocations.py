@@ -5,7 +5,8 @@ phrases lie within a piece. The documents are dealt to shards, which are scanned
 from the start again. Words are counted from the first scan on. A longer phrase becomes active as soon as the
 running counts of both its parts, without its last and without its first word, have reached the threshold; it is
 counted in the scans that follow until it has seen every shard once. So scans of several lengths interleave, and
-the work ends when nothing is active.
+the work ends when nothing is active. Phrases of k words are all known after k cycles; from then on only the
+stretches of text that may hold longer ones are scanned.
 
 Which phrases have reached the threshold is kept per length as a bitmap of ``FILTER_BITS`` bits, whatever their
 number. Bits are only ever added, and a phrase is counted while its parts are in the present bitmap and were not
@@ -35,7 +36,7 @@ from pyspark.sql.window import Window
 from songsieve.llm.common import forget, shared_dir, trimmed, written
 
 #: Scans of a full cycle.
-SHARDS = 4
+SHARDS = 2
 #: Longest phrase, in words.
 LONGEST = 5
 #: Bits of the bitmap of each length, a power of two.
@@ -91,11 +92,35 @@ def _start(lang: str) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(lang.encode(), seed=1)], np.uint64)
 
 
+class _Phrases:
+    """Where phrases whose parts have reached the threshold stand in a list of words."""
+
+    def __init__(self, now: np.ndarray, old: np.ndarray):
+        self.now, self.old, self.hashes = now, old, _Hashes()
+
+    def places(self, lang: str, words: list[bytes], items: np.ndarray, top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(k, places, let in) for k up to ``top``: where both parts of a phrase of k words are in the bitmap, and whether they were a cycle ago."""
+        each = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
+        at = np.flatnonzero(np.array(items != MARK, bool))
+        phrase = _longer(_start(lang), each[at])
+        before = np.ones(len(at), bool)
+        for k in range(2, top + 1):
+            reached = _holds(self.now[k - 2], phrase)
+            at, phrase, before = at[reached], phrase[reached], before[reached]
+            before &= _holds(self.old[k - 2], phrase)
+            # both parts: a reached phrase at this place and at the next
+            pair = np.flatnonzero(at[1:] == at[:-1] + 1)
+            before = before[pair] & before[pair + 1]
+            at, phrase = at[pair], phrase[pair]
+            yield k, at, before
+            phrase = _longer(phrase, each[at + k - 1])
+
+
 class _Count:
     """Counts of phrases of a task, by language and length."""
 
-    def __init__(self, now: np.ndarray, old: np.ndarray, levels: list[int]):
-        self.now, self.old, self.levels, self.hashes = now, old, levels, _Hashes()
+    def __init__(self, phrases: _Phrases, levels: list[int]):
+        self.phrases, self.levels = phrases, levels
         self.found: dict[tuple[str, int], Counter] = {}
 
     def add(self, lang: str, words: list[bytes]) -> None:
@@ -104,27 +129,13 @@ class _Count:
             del got[MARK]
             self._of(lang, 1).update(got)
             self._of(lang, 0)[b""] += sum(got.values())
-        top = max(self.levels)
-        if top < 2:
+        if max(self.levels) < 2:
             return
-        each = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
         items = np.array(words, object)
-        valid = np.array(items != MARK, bool)
-        at = np.flatnonzero(valid)
-        phrase = _longer(_start(lang), each[at])
-        before = np.ones(len(at), bool)  # what a cycle ago let in
-        for k in range(2, top + 1):
-            reached = _holds(self.now[k - 2], phrase)
-            at, phrase, before = at[reached], phrase[reached], before[reached]
-            before &= _holds(self.old[k - 2], phrase)
-            # both parts: a reached phrase at this place and at the next
-            pair = np.flatnonzero(at[1:] == at[:-1] + 1)
-            before = before[pair] & before[pair + 1]
-            at, phrase = at[pair], phrase[pair]
+        for k, at, before in self.phrases.places(lang, words, items, max(self.levels)):
             if k in self.levels:
                 due = at[~before]
                 self._of(lang, k).update(map(b" ".join, zip(*[items[due + j] for j in range(k)], strict=True)))
-            phrase = _longer(phrase, each[at + k - 1])
 
     def _of(self, lang: str, k: int) -> Counter:
         return self.found.setdefault((lang, k), Counter())
@@ -140,12 +151,15 @@ class _Count:
         self.found = {}
 
 
+def _unpacked(filters) -> _Phrases:
+    return _Phrases(*[np.frombuffer(zlib.decompress(x), np.uint8).reshape(rows, -1) for rows, x in filters.value])
+
+
 def _scan(shard: DataFrame, filters, levels: list[int]) -> DataFrame:
     """Counts of the active phrases of the given lengths in a shard; length 0 counts all words."""
 
     def run(batches):
-        bitmaps = [np.frombuffer(zlib.decompress(x), np.uint8).reshape(rows, -1) for rows, x in filters.value]
-        count, held, size = _Count(*bitmaps, levels), {}, 0
+        count, held, size = _Count(_unpacked(filters), levels), {}, 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
@@ -164,6 +178,29 @@ def _scan(shard: DataFrame, filters, levels: list[int]) -> DataFrame:
     return shard.select("lang", "text").mapInArrow(trimmed(run), COUNTS)
 
 
+def _pruned(table: DataFrame, filters, k: int) -> DataFrame:
+    """The shards with only the stretches of words that may hold phrases of more than k words, once all of k words are known."""
+
+    def run(batches):
+        phrases = _unpacked(filters)
+        for batch in batches:
+            langs, texts, shards = [], [], []
+            for lang, text, shard in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                words = tokens(text.as_py())
+                items = np.array(words, object)
+                *_, (_, at, _) = phrases.places(lang, words, items, k + 1)
+                if len(at):
+                    change = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + k + 1, minlength=len(words) + 1)
+                    kept = np.flatnonzero(np.cumsum(change)[: len(words)] > 0)
+                    stretches = np.split(items[kept], np.flatnonzero(np.diff(kept) > 1) + 1)
+                    langs.append(lang)
+                    texts.append(b"\n".join(map(b" ".join, stretches)).decode())
+                    shards.append(shard)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.string()), pa.array(shards, pa.int32())], names=["lang", "text", "shard"])
+
+    return _dealt(table.mapInArrow(trimmed(run), "lang string, text string, shard int"))
+
+
 def _bits(reached: DataFrame, filter_bits: int) -> DataFrame:
     """(k, word, bits): 64-bit words of the bitmaps that hold the phrases."""
 
@@ -186,20 +223,19 @@ def _bits(reached: DataFrame, filter_bits: int) -> DataFrame:
     return each.groupBy("k", "word").agg(F.bit_or("bits").alias("bits"))
 
 
-def _sharded(docs: DataFrame, lang: str, text: str, shards: int) -> DataFrame:
+def _dealt(rows: DataFrame) -> DataFrame:
     """(lang, text, shard), written in one folder a shard."""
-    path = f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
-    shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")
-    dealt = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"), shard.alias("shard"))
-    dealt.write.partitionBy("shard").option("compression", "zstd").parquet(path)
-    out = docs.sparkSession.read.schema("lang string, text string, shard int").parquet(path)
+    path = f"{shared_dir(rows.sparkSession)}/shards-{uuid.uuid4().hex}"
+    rows.write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    out = rows.sparkSession.read.schema("lang string, text string, shard int").parquet(path)
     out._written_path = path
     return out
 
 
 def counts(docs: DataFrame, lang: str = "lang", text: str = "text", threshold: int = 100, longest: int = LONGEST, shards: int = SHARDS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """(lang, k, phrase, n): all phrases of up to ``longest`` words that occur ``threshold`` times, and all words as k = 0."""
-    table = _sharded(docs, lang, text, shards)
+    shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")
+    table = _dealt(docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"), shard.alias("shard")))
     now = np.zeros((longest - 1, filter_bits // 8), np.uint8)
     past, grown, step = [], {}, 0
     state = docs.sparkSession.createDataFrame([], f"{COUNTS}, first int, reached int")
@@ -211,6 +247,10 @@ def counts(docs: DataFrame, lang: str = "lang", text: str = "text", threshold: i
         old = past.pop(0) if step >= shards else np.zeros_like(now)
         # of fixed size, and packed: most bits are unset
         filters = docs.sparkSession.sparkContext.broadcast([(len(x), zlib.compress(x.tobytes(), 1)) for x in (now, old)])
+        if step % shards == 0 and 2 <= step // shards < longest:  # phrases of that many words are all known
+            fewer = _pruned(table, filters, step // shards)
+            forget(table)
+            table = fewer
         new = _scan(table.where(F.col("shard") == step % shards), filters, levels)
         both = state.unionByName(new.withColumns({"first": F.lit(step), "reached": F.lit(None).cast("int")}))
         summed = both.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.min("reached").alias("reached"))

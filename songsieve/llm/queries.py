@@ -254,7 +254,7 @@ s AS (SELECT k, q, min(i) AS start, count(*) + q AS length FROM g GROUP BY k, q,
 r AS (SELECT k, start, length, min(q) AS period FROM s GROUP BY k, start, length),
 t AS (SELECT k, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed, min({'l': -length, 's': start, 'p': period}) AS best FROM r GROUP BY k),
 v AS (SELECT x.k, string_agg(word, ' ' ORDER BY i) AS left_ FROM x WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.k = x.k AND x.i >= r.start + r.period AND x.i < r.start + r.length) GROUP BY x.k)
-SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, -best.l AS length, best.p AS period, -best.l * 1000 // best.p AS exponent_milli,
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(-best.l AS BIGINT) AS length, CAST(best.p AS BIGINT) AS period, CAST(-best.l * 1000 // best.p AS BIGINT) AS exponent_milli,
   sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(left_, '')) AS collapsed_sha256
 FROM d LEFT JOIN t USING (k) LEFT JOIN v USING (k)
 """

@@ -61,7 +61,7 @@ def rows_of(seed, n=400):
     return [*rows, ("en", None), ("fr", ""), (None, "...")]
 
 
-@pytest.mark.parametrize(("shards", "threshold"), [(3, 60), (1, 20)])
+@pytest.mark.parametrize(("shards", "threshold"), [(3, 60), (2, 20), (1, 20)])
 def test_counts_and_ranks_equal_a_plain_count(spark, shards, threshold):
     rows = rows_of(shards)
     df = spark.createDataFrame(rows, "lang string, text string").repartition(5)

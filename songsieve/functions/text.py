@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,7 +70,7 @@ def numeric_entities_decoded(c: Column) -> Column:
 def lyrics_normalized(c: Column) -> Column:
     """Entities decoded, blanks around line ends dropped, runs of blanks and of blank lines shortened."""
     out = numeric_entities_decoded(c)
-    for pattern, put in ((r" ", " "), (r"\r", ""), (r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"[ \t]{2,}", " "), (r"\n{4,}", "\n\n\n")):
+    for pattern, put in ((r" ", " "), (r"\r", ""), (r"(?<![ \t])[ \t]++\n", "\n"), (r"\n[ \t]+", "\n"), (r"[ \t]{2,}", " "), (r"\n{4,}", "\n\n\n")):
         out = F.regexp_replace(out, pattern, put)
     return F.regexp_replace(out, r"^\s+|\s+$", "")
 
@@ -85,11 +86,46 @@ def html_cleaned(c: Column) -> Column:
     return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
+#: Two noncharacters that stand for ``<`` where an opening has no end.
+UNPAIRED = "\ufdd0\ufdd1"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is read."""
+    return F.transform(F.array(value), use)[0]
+
+
+def paired(c: Column, tags: tuple[str, ...]) -> Column:
+    """A page in which each opening of the tags that no end follows begins with a mark instead of ``<``.
+
+    A pattern from an opening to its end then never looks through a page in vain.
+    """
+
+    def marked(tag: str) -> Callable[[Column], Column]:
+        put = lambda page, head, tail: F.when(F.contains(F.lower(tail), F.lit(f"<{tag}")), F.concat(head, F.regexp_replace(tail, rf"(?i)<(?={tag}\b)", UNPAIRED))).otherwise(page)
+        return lambda page: let(F.regexp_extract(page, rf"(?is)^.*</{tag}>", 0), lambda head: let(F.substr(page, F.length(head) + 1), lambda tail: put(page, head, tail)))
+
+    for tag in tags:
+        c = let(c, marked(tag))
+    return c
+
+
+def unpaired(c: Column) -> Column:
+    return F.replace(c, F.lit(UNPAIRED), F.lit("<"))
+
+
+def tags_dropped(c: Column) -> Column:
+    """The text without tags; what follows the last ``>`` holds none and is not searched."""
+    dropped = lambda page, head: F.concat(F.regexp_replace(head, r"<[^>]+>", ""), F.substr(page, F.length(head) + 1))
+    return let(c, lambda page: let(F.regexp_extract(page, r"(?s)^.*>", 0), lambda head: dropped(page, head)))
+
+
 def html_stripped(c: Column) -> Column:
     """A page as text: scripts dropped, block ends as line ends, tags removed, lyrics normal form."""
-    out = F.regexp_replace(c, r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</\1>", "")
+    hidden = ("script", "style", "noscript", "template")
+    out = unpaired(F.regexp_replace(paired(c, hidden), rf"(?is)<({'|'.join(hidden)})\b[^<>]*+>.*?</\1>", ""))
     out = F.regexp_replace(out, r"(?i)<br\s*/?>|</(?:p|div|li|section|article|h[1-6]|pre|blockquote)>", "\n")
-    return lyrics_normalized(named_entities_decoded(F.regexp_replace(out, r"<[^>]+>", "")))
+    return lyrics_normalized(named_entities_decoded(tags_dropped(out)))
 
 
 #: Fixed values of the named references that texts of songs use.

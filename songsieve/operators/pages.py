@@ -2,140 +2,72 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from songsieve.functions import quality as q
 from songsieve.functions import text as t
+from songsieve.operators import linkage
+from songsieve.operators.tree import keyed, measured, nodes, pieces_of, runs, with_texts
 from songsieve.sources.tables import staged
 
-#: Fixed sets of element names and name patterns.
-BLOCKS = "article main section div p li ul ol pre blockquote h1 h2 h3 h4 h5 h6 td tr table body nav footer header aside form".split()
+#: Fixed set of elements that may hold a whole text.
 CONTAINERS = "article main section div pre blockquote".split()
-NOISE_TAGS = "script style noscript template svg canvas iframe nav footer header aside form button input select title".split()
-NOISE_NAMES = "cookie banner advert social share comment".split()
-VOID = "area base br col embed hr img input link meta source track wbr".split()
-SEMANTIC = r"(?i)lyric|letra|song-?text"
-
-
-class Flat(HTMLParser):
-    """Rows (kind, node, parent, ancestors, pos, tag, name, text, in_link, in_noise) of one page."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.rows: list[tuple] = []
-        self.open: list[tuple[int, str, bool, bool]] = [(0, "", False, False)]
-        self.n = self.pos = 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "br":
-            self.handle_data("\n")
-        if tag in VOID:
-            return
-        if tag in BLOCKS and any(o[1] == "p" for o in self.open[1:]):  # a block ends an open paragraph
-            self.handle_endtag("p")
-        self.n += 1
-        node, _, link, noise = self.open[-1]
-        named = " ".join(v or "" for k, v in attrs if k in ("class", "id", "itemprop") or k == "type" and tag == "script")
-        noise = noise or tag in NOISE_TAGS or any(w in named.lower() for w in NOISE_NAMES) or any(k == "hidden" for k, _ in attrs)
-        self.rows.append(("e", self.n, node, [o[0] for o in self.open[1:]], self.pos, tag, named, None, link, noise))
-        self.open.append((self.n, tag, link or tag == "a", noise))
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][1] == tag:
-                del self.open[i:]
-                return
-
-    def handle_data(self, data):
-        self.pos += 1
-        node, tag, link, noise = self.open[-1]
-        self.rows.append(("t", node, node, [o[0] for o in self.open[1:]], self.pos, tag, next((str(o[0]) for o in reversed(self.open) if o[1] in BLOCKS), "0"), data, link, noise))
-
-
-NODE = "kind string, node int, parent int, ancestors array<int>, pos int, tag string, name string, text string, in_link boolean, in_noise boolean"
-
-
-def nodes(pages: DataFrame) -> DataFrame:
-    """Elements and text pieces of all pages; of a text piece ``name`` is its block's number."""
-    names = [c.split(" ")[0] for c in NODE.split(", ")]
-    types = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
-
-    def run(batches):
-        for b in batches:
-            for page, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                flat = Flat()
-                flat.feed(html or "")
-                flat.close()
-                columns = list(zip(*flat.rows, strict=True)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array([page] * len(flat.rows), pa.int64()), *[pa.array(c, ty) for c, ty in zip(columns, types, strict=True)]], names=["page_id", *names])
-
-    return pages.select("page_id", "html").mapInArrow(run, f"page_id long, {NODE}")
-
 
-def assembled(pieces: Column) -> Column:
-    """Text of ordered pieces (pos, block, text): a new block begins a new line."""
-    zero = F.struct(F.lit("").alias("block"), F.lit("").alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
-        gap = F.when((acc["out"] == "") | (acc["block"] == p["name"]), "").otherwise("\n")
-        return F.struct(p["name"].alias("block"), F.concat(acc["out"], gap, p["text"]).alias("out"))
+def joined(key: Column | str = "pos", text: str = "text") -> Column:
+    """Texts of a group joined by lines, in order."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, F.col(text).alias("t")))), lambda x: x["t"]), "\n")
 
-    return F.aggregate(F.array_sort(pieces), zero, step, lambda acc: t.lyrics_normalized(acc["out"]))
 
+def density_blocks(flat: DataFrame, text_runs: DataFrame | None = None, most: int = 180) -> DataFrame:
+    """Containers with enough text, lines and few links, with their structural bonus.
 
-def subtrees(flat: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(page_id, node, text, link_chars) of the wanted elements, without noise inside."""
-    pieces = flat.where("kind = 't' and not in_noise").select("page_id", F.explode("ancestors").alias("node"), "pos", "name", "text", "in_link")
-    held = pieces.join(wanted.select("page_id", "node"), ["page_id", "node"])
-    link = F.sum(F.when(F.col("in_link"), F.length(F.trim("text"))).otherwise(0))
-    return held.groupBy("page_id", "node").agg(assembled(F.collect_list(F.struct("pos", "name", "text"))).alias("text"), link.alias("link_chars"))
-
-
-def density_blocks(flat: DataFrame) -> DataFrame:
-    """Containers with enough text, lines and few links, with their structural bonus."""
-    elements = flat.where("kind = 'e' and not in_noise")
-    wanted = elements.where(F.col("tag").isin(CONTAINERS)).select("page_id", "node", "tag")
-    children = elements.where(F.col("tag").isin("div", "section", "article", "p", "pre", "blockquote")).groupBy("page_id", F.col("parent").alias("node")).agg(F.count("*").alias("children"))
-    out = subtrees(flat, wanted).join(wanted, ["page_id", "node"]).join(children, ["page_id", "node"], "left").withColumn("children", F.coalesce("children", F.lit(0)))
-    fits = (F.length("text") >= 100) & (F.size(q.lines(F.col("text"))) >= 3) & (F.col("link_chars") / F.greatest(F.lit(1), F.length("text")) <= 0.42)
+    The first ``most`` of a page in its order, as the rule has it; what fits is told by figures, so
+    only those are put together.
+    """
+    text_runs = runs(flat) if text_runs is None else text_runs
+    fits = F.col("tag").isin(CONTAINERS) & F.col("chars").between(100, 120_000) & (F.col("lines") >= 3) & (F.col("density") <= 0.42)
+    rank = F.row_number().over(Window.partitionBy("page_id").orderBy("node"))
+    wanted = measured(flat, text_runs).where(fits).withColumn("rank", rank).where(F.col("rank") <= most)
+    inner = flat.where(F.col("tag").isin("div", "section", "article", "p", "pre", "blockquote") & (F.col("kind") == "e") & ~F.col("in_noise"))
+    children = inner.groupBy("page_id", F.col("parent").alias("node")).agg(F.count("*").alias("children"))
+    out = with_texts(wanted, text_runs).join(children, ["page_id", "node"], "left").withColumn("children", F.coalesce("children", F.lit(0)))
     bonus = F.when(F.col("children") <= 12, 4.0).otherwise(-F.least(F.lit(16.0), F.col("children") / 3))
-    return out.where(fits).select("page_id", "text", "link_chars", F.lit("dom-density").alias("method"), F.lit("tree").alias("parser"), F.concat(F.lit("density:"), "tag").alias("source"), bonus.alias("bonus"))
+    return out.select("page_id", "text", "link_chars", F.lit("dom-density").alias("method"), F.lit("tree").alias("parser"), F.concat(F.lit("density:"), "tag").alias("source"), bonus.alias("bonus"))
 
 
-def semantic_blocks(flat: DataFrame) -> DataFrame:
-    """Elements whose class, id or property names lyrics."""
-    wanted = flat.where(F.col("name").rlike(SEMANTIC) & (F.col("kind") == "e") & ~F.col("in_noise")).select("page_id", "node", "name")
-    out = subtrees(flat, wanted)
-    return out.select("page_id", "text", "link_chars", F.lit("dom-semantic").alias("method"), F.lit("tree").alias("parser"), F.lit("selector").alias("source"), F.lit(12.0).alias("bonus"))
+def semantic_blocks(flat: DataFrame, most: int = 20) -> DataFrame:
+    """Elements that the selectors of lyrics name, the first ``most`` of a page for each selector."""
+    named = flat.where("kind = 'e' and not in_noise").select("page_id", "node", "pos", "stop", F.explode("selected").alias("selector"))
+    wanted = named.withColumn("rank", F.row_number().over(Window.partitionBy("page_id", "selector").orderBy("node"))).where(F.col("rank") <= most)
+    out = wanted.select("page_id", "node", "selector").join(pieces_of(flat, wanted.select("page_id", "node", "pos", "stop").distinct()), ["page_id", "node"]).where("text <> ''")
+    method = F.when(F.contains("selector", F.lit("itemprop")), "microdata").otherwise("dom-semantic")
+    return out.select("page_id", "text", "link_chars", method.alias("method"), F.lit("tree").alias("parser"), F.concat(F.lit("selector:"), "selector").alias("source"), F.lit(12.0).alias("bonus"))
 
 
-def block_rows(flat: DataFrame) -> DataFrame:
-    """(page_id, pos, text, density) of the blocks that hold text, in page order."""
-    pieces = flat.where("kind = 't' and not in_noise").groupBy("page_id", "name").agg(F.min("pos").alias("pos"), assembled(F.collect_list(F.struct("pos", "name", "text"))).alias("text"), F.sum(F.when(F.col("in_link"), F.length(F.trim("text"))).otherwise(0)).alias("link_chars"))
-    rows = pieces.where("text <> ''")
+def block_rows(text_runs: DataFrame) -> DataFrame:
+    """(page_id, pos, text, density, link_chars) of the blocks that hold text themselves, in page order."""
+    rows = text_runs.groupBy("page_id", "block").agg(F.min("at").alias("pos"), joined("run").alias("text"), F.sum("link_chars").alias("link_chars"))
     return rows.select("page_id", "pos", "text", (F.col("link_chars") / F.greatest(F.lit(1), F.length("text"))).alias("density"), "link_chars")
 
 
-def block_clusters(flat: DataFrame, strong: float = 8.0, weak: float = 2.0) -> DataFrame:
+def block_clusters(flat: DataFrame, text_runs: DataFrame | None = None, strong: float = 8.0, weak: float = 2.0) -> DataFrame:
     """Runs of qualifying blocks with two strong ones at least, joined."""
-    rows = block_rows(flat).withColumn("weight", q.block_score(F.col("text"), F.col("density")))
+    rows = block_rows(runs(flat) if text_runs is None else text_runs).withColumn("weight", q.block_score(F.col("text"), F.col("density")))
     w = Window.partitionBy("page_id").orderBy("pos")
     run = F.sum((F.col("weight") < weak).cast("int")).over(w)
     kept = rows.withColumn("run", run).where(F.col("weight") >= weak)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
-    out = kept.groupBy("page_id", "run").agg(joined.alias("text"), F.sum("link_chars").alias("link_chars"), F.count_if(F.col("weight") >= strong).alias("strong"))
+    out = kept.groupBy("page_id", "run").agg(joined().alias("text"), F.sum("link_chars").alias("link_chars"), F.count_if(F.col("weight") >= strong).alias("strong"))
     return out.where("strong >= 2").select("page_id", "text", "link_chars", F.lit("dom-cluster").alias("method"), F.lit("tree").alias("parser"), F.lit("cluster").alias("source"), F.lit(0.0).alias("bonus"))
 
 
 def regex_containers(pages: DataFrame) -> DataFrame:
     """Content of container elements found by pattern, tolerant of a broken tree."""
-    found = F.regexp_extract_all("html", F.lit(r"(?is)<(article|main|pre)\b[^>]*>(.*?)</\1>"), F.lit(2))
+    found = F.regexp_extract_all(t.paired(F.col("html"), ("article", "main", "pre")), F.lit(r"(?is)<(article|main|pre)\b[^<>]*+>(.*?)</\1>"), F.lit(2))
     rows = pages.select("page_id", F.explode(found).alias("raw"))
-    return rows.select("page_id", t.html_stripped(F.col("raw")).alias("text"), F.lit(0).cast("long").alias("link_chars"), F.lit("heuristic-regex").alias("method"), F.lit("regex").alias("parser"), F.lit("container").alias("source"), F.lit(4.0).alias("bonus"))
+    return rows.select("page_id", t.html_stripped(t.unpaired(F.col("raw"))).alias("text"), F.lit(0).cast("long").alias("link_chars"), F.lit("heuristic-regex").alias("method"), F.lit("regex").alias("parser"), F.lit("container").alias("source"), F.lit(4.0).alias("bonus"))
 
 
 def candidates(rows: DataFrame, method: Column | str, parser: Column | str, source: Column | str, bonus: Column | float) -> DataFrame:
@@ -170,7 +102,7 @@ def lyric_like(text: Column) -> Column:
 
 def flight_chunks(pages: DataFrame) -> DataFrame:
     """Lyrics in the string literals of streamed page state, and quoted properties inside those."""
-    scripts = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*+>(.*?)</script>"), F.lit(1))).alias("raw")).where(F.col("raw").rlike(r"(?i)__next_f|react\.server|flight"))
+    scripts = pages.select("page_id", F.explode(F.regexp_extract_all(t.paired(F.col("html"), ("script",)), F.lit(r"(?is)<script\b[^<>]*+>(.*?)</script>"), F.lit(1))).alias("raw")).where(F.col("raw").rlike(r"(?i)__next_f|react\.server|flight"))
     chunks = scripts.select("page_id", F.explode(F.regexp_extract_all("raw", F.lit(f'"({LITERAL[chr(34)]})"'), F.lit(1))).alias("chunk")).where(F.length("chunk") >= 40)
     decoded = chunks.select("page_id", t.js_string_decoded(F.col("chunk")).alias("raw")).where(F.col("raw").rlike(r"(?i)lyrics?|lyricText|songText|letra|vers[eo]"))
     whole = decoded.where(F.col("raw").rlike(r"(?i)lyrics?|letra|song.?text")).select("page_id", t.lyrics_normalized(F.col("raw")).alias("text")).where(lyric_like(F.col("text")))
@@ -179,8 +111,8 @@ def flight_chunks(pages: DataFrame) -> DataFrame:
 
 def alternate_markup(pages: DataFrame) -> DataFrame:
     """Content kept for browsers without scripts, and templates."""
-    found = F.concat(*[F.transform(F.regexp_extract_all("html", F.lit(rf"(?is)<{tag}\b[^>]*+>(.*?)</{tag}>"), F.lit(1)), lambda x: F.struct(F.lit(tag).alias("tag"), x.alias("raw"))) for tag in ("noscript", "template")])
-    rows = pages.select("page_id", F.explode(found).alias("f")).select("page_id", "f.tag", t.html_stripped(F.col("f.raw")).alias("text")).where(lyric_like(F.col("text")))
+    found = F.concat(*[F.transform(F.regexp_extract_all(t.paired(F.col("html"), (tag,)), F.lit(rf"(?is)<{tag}\b[^<>]*+>(.*?)</{tag}>"), F.lit(1)), lambda x: F.struct(F.lit(tag).alias("tag"), x.alias("raw"))) for tag in ("noscript", "template")])
+    rows = pages.select("page_id", F.explode(found).alias("f")).select("page_id", "f.tag", t.html_stripped(t.unpaired(F.col("f.raw"))).alias("text")).where(lyric_like(F.col("text")))
     return candidates(rows, "json-embedded", F.col("tag"), "alternate-markup", 3)
 
 
@@ -214,7 +146,7 @@ def media_url(c: Column) -> Column:
 def songs(pages: DataFrame) -> DataFrame:
     """A song of each page (page_id, url, html) that yields lyrics: id, title, artist, album, image, lyrics and how they were found."""
     found = extract(pages).where("rejected is null")
-    title = F.trim(F.regexp_extract("html", r"(?is)<title[^>]*+>(.*?)</title>", 1))
+    title = F.trim(F.regexp_extract(t.paired(F.col("html"), ("title",)), r"(?is)<title\b[^<>]*+>(.*?)</title>", 1))
     head = meta(pages).join(pages.select("page_id", "url", title.alias("title")), "page_id").join(page_media(nodes(pages)), "page_id", "left")
     names = t.title_and_artist(F.coalesce("og:title", "twitter:title", "title"), F.col("url"))
     head = head.select("page_id", "url", names.alias("names"), F.coalesce("music:album", "album").alias("album"), media_url(F.coalesce("og:image", "twitter:image", "image")).alias("image_url"))
@@ -240,65 +172,77 @@ def decoded(content: Column, name: Column) -> Column:
     return F.when(name.isin("latin1", "latin-1", "iso-8859-1", "windows-1252", "cp1252", "us-ascii", "ascii"), latin).when(name.isin("utf-16", "utf-16le"), F.decode(content, "UTF-16LE")).when(name == "utf-16be", F.decode(content, "UTF-16BE")).otherwise(F.make_valid_utf8(content.cast("string")))
 
 
-def weighted_nodes(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Elements with their texts, and the weights that text blocks give themselves, parents and grandparents."""
-    elements = flat.where("kind = 'e' and not in_noise").select("page_id", "node", "parent", "tag", "pos")
-    texts = subtrees(flat, elements).join(elements, ["page_id", "node"])
-    density = F.col("link_chars") / F.greatest(F.lit(1), F.length("text"))
-    texts = texts.withColumn("density", density).withColumn("own", q.block_score(F.col("text"), F.col("density")))
-    texts = staged(texts)
-    fits = F.col("tag").isin("p", "pre", "blockquote", "li", "div") & F.length("text").between(20, 6000) & (F.col("density") <= 0.58) & (F.col("own") > 0)
-    source = texts.where(fits).select("page_id", "node", "parent", "own")
-    up = source.join(elements.select("page_id", F.col("node").alias("parent"), F.col("parent").alias("above")), ["page_id", "parent"])
+def weighted_nodes(flat: DataFrame, text_runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Block elements with their figures, and the weights that text blocks give themselves and the two blocks around them.
+
+    Only blocks of up to 6,000 characters, whose own score counts, are put together; blocks around the same text share it.
+    """
+    elements = staged(measured(flat, text_runs))
+    small = with_texts(elements.where(F.col("chars").between(12, 6000) & (F.col("density") <= 0.58)), text_runs)
+    own = small.select("page_id", "node", q.block_score(F.col("text"), F.col("density")).alias("own"))
+    elements = staged(elements.join(own, ["page_id", "node"], "left"))
+    source = elements.where(F.col("tag").isin("p", "pre", "blockquote", "li", "div") & (F.col("chars") >= 20) & (F.col("own") > 0)).select("page_id", "node", "block", "own")
+    blocks = flat.where("kind = 'e' and not in_noise").select("page_id", F.col("node").alias("block"), F.col("block").alias("above"))
+    up = source.join(blocks, ["page_id", "block"])
     give = lambda rows, node, share: rows.select("page_id", F.col(node).alias("node"), (F.col("own") * share).alias("w"))
-    weights = give(source, "node", 0.2).union(give(up, "parent", 1.0)).union(give(up, "above", 0.48)).where("node > 0")
-    return texts, weights.groupBy("page_id", "node").agg(F.sum("w").alias("weight"))
+    weights = give(source, "node", 0.2).union(give(up, "block", 1.0)).union(give(up, "above", 0.48)).where("node > 0")
+    return elements, weights.groupBy("page_id", "node").agg(F.sum("w").alias("weight"))
+
 
+def readability(flat: DataFrame, text_runs: DataFrame | None = None, most: int = 28) -> DataFrame:
+    """Texts of the heaviest elements of each page, and of those with the siblings that belong to them.
 
-def readability(flat: DataFrame, most: int = 28) -> DataFrame:
-    """Texts of the heaviest elements of each page, and of those with the siblings that belong to them."""
-    texts, weights = weighted_nodes(flat)
+    As the rule has it: ``most`` winners of a page, siblings of up to 12,000 characters, and no assembly
+    where a block holds fewer than 2 or more than 120 of them.
+    """
+    text_runs = runs(flat) if text_runs is None else text_runs
+    elements, weights = weighted_nodes(flat, text_runs)
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("weight"), "node"))
-    tops = weights.withColumn("rank", rank).where(F.col("rank") <= most).join(texts, ["page_id", "node"])
+    weighed = elements.join(weights, ["page_id", "node"], "left")
+    tops = weighed.where("weight is not null").withColumn("rank", rank).where(F.col("rank") <= most)
     made = lambda rows, source, bonus: rows.select("page_id", "text", "link_chars", F.lit("dom-readability").alias("method"), F.lit("tree").alias("parser"), source.alias("source"), bonus.alias("bonus"))
-    winners = made(tops.where(F.length("text") >= 60), F.concat(F.lit("winner:"), "tag"), F.least(F.lit(14.0), F.col("weight") / 5))
-    top = tops.where("parent > 0").select("page_id", "parent", F.col("node").alias("top"), F.greatest(F.lit(8.0), F.col("weight") * 0.2).alias("least"))
-    near = texts.join(weights, ["page_id", "node"], "left").join(top, ["page_id", "parent"])
-    short = F.length("text").between(12, 900) & (F.col("density") <= 0.12) & (F.col("own") >= 5)
-    chosen = near.where(F.length("text") <= 12_000).where((F.col("node") == F.col("top")) | (F.coalesce("weight", F.lit(0.0)) >= F.col("least")) | short)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
-    groups = chosen.groupBy("page_id", "top").agg(joined.alias("text"), F.sum("link_chars").alias("link_chars"), F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    winners = made(with_texts(tops.where(F.col("chars") >= 60), text_runs), F.concat(F.lit("winner:"), "tag"), F.least(F.lit(14.0), F.col("weight") / 5))
+    top = tops.where("block > 0").select("page_id", "block", F.col("node").alias("top"), F.greatest(F.lit(8.0), F.col("weight") * 0.2).alias("least"))
+    few = elements.groupBy("page_id", "block").agg(F.count("*").alias("n")).where(F.col("n").between(2, 120)).drop("n")
+    near = weighed.join(top.join(few, ["page_id", "block"]), ["page_id", "block"])
+    short = F.col("chars").between(12, 900) & (F.col("density") <= 0.12) & (F.coalesce("own", F.lit(-20.0)) >= 5)
+    chosen = near.where(F.col("chars") <= 12_000).where((F.col("node") == F.col("top")) | (F.coalesce("weight", F.lit(0.0)) >= F.col("least")) | short)
+    groups = with_texts(chosen, text_runs).groupBy("page_id", "top").agg(joined("first").alias("text"), F.sum("link_chars").alias("link_chars"), F.count("*").alias("n"), F.sum("chars").alias("chars"))
     return winners.unionByName(made(groups.where("n >= 2 and chars >= 70"), F.lit("siblings"), F.lit(13.0)))
 
 
-def baseline_rescue(flat: DataFrame) -> DataFrame:
+def baseline_rescue(flat: DataFrame, text_runs: DataFrame | None = None) -> DataFrame:
     """All usable blocks of a page joined; for pages where nothing better was found."""
-    rows = block_rows(flat).where(F.length("text").between(8, 2500) & (F.col("density") <= 0.24) & (t.noise_hits(F.col("text")) == 0))
+    rows = block_rows(runs(flat) if text_runs is None else text_runs)
+    rows = rows.where(F.length("text").between(8, 2500) & (F.col("density") <= 0.24) & (t.noise_hits(F.col("text")) == 0))
     plain = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
     before = F.lag("plain").over(Window.partitionBy("page_id").orderBy("pos"))
     rows = rows.withColumn("plain", plain).withColumn("before", before).where(~F.col("plain").eqNullSafe(F.col("before")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
-    out = rows.groupBy("page_id").agg(joined.alias("text"), F.sum("link_chars").alias("link_chars")).where(F.length("text") >= 70)
+    out = rows.groupBy("page_id").agg(joined().alias("text"), F.sum("link_chars").alias("link_chars")).where(F.length("text") >= 70)
     return out.select("page_id", "text", "link_chars", F.lit("baseline-rescue").alias("method"), F.lit("tree").alias("parser"), F.lit("baseline").alias("source"), F.lit(-10.0).alias("bonus"))
 
 
 def json_values(scripts: DataFrame, key: str, raw: str, depth: int = 18) -> DataFrame:
-    """(key, path, name, value, place, joined): all texts of JSON documents in order, and arrays of texts joined by lines."""
-    schema = "path string, name string, value string, place int, joined boolean"
+    """(key, path, name, value, place, joined, steps): all texts of JSON documents in order, and arrays of texts joined by lines.
+
+    ``steps`` are the lengths of the paths of the objects and arrays around a value, outermost first. Texts
+    that are no JSON give no rows, and nothing is read below ``depth``, as the rule has it.
+    """
+    schema = "path string, name string, value string, place int, joined boolean, steps array<int>"
 
-    def walk(node, path, name, level):
+    def walk(node, path, name, steps):
         if isinstance(node, str):
-            yield path, name, node, False
-        elif level > depth:
+            yield path, name, node, False, steps
+        elif len(steps) > depth:
             return
         elif isinstance(node, list):
             if node and all(isinstance(x, str) for x in node):
-                yield path, name, "\n".join(node), True
+                yield path, name, "\n".join(node), True, steps
             for i, x in enumerate(node):
-                yield from walk(x, f"{path}[{i}]", name, level + 1)
+                yield from walk(x, f"{path}[{i}]", name, [*steps, len(path)])
         elif isinstance(node, dict):
             for k, x in node.items():
-                yield from walk(x, f"{path}.{k}", k, level + 1)
+                yield from walk(x, f"{path}.{k}", k, [*steps, len(path)])
 
     def run(batches):
         import json
@@ -306,12 +250,12 @@ def json_values(scripts: DataFrame, key: str, raw: str, depth: int = 18) -> Data
         for b in batches:
             for k, text in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 try:
-                    rows = list(walk(json.loads(text or "null"), "$", "", 0))
+                    rows = list(walk(json.loads(text or "null"), "$", "", []))
                 except (ValueError, RecursionError):
                     continue
-                path, name, value, joined = list(zip(*rows, strict=True)) or [()] * 4
-                columns = [pa.array(path, pa.string()), pa.array(name, pa.string()), pa.array(value, pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array(joined, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(rows), b.schema.field(0).type), *columns], names=[key, "path", "name", "value", "place", "joined"])
+                path, name, value, joined, steps = list(zip(*rows, strict=True)) or [()] * 5
+                columns = [pa.array(path, pa.string()), pa.array(name, pa.string()), pa.array(value, pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array(joined, pa.bool_()), pa.array(steps, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(rows), b.schema.field(0).type), *columns], names=[key, "path", "name", "value", "place", "joined", "steps"])
 
     rows = scripts.select(key, raw)
     return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, {schema}")
@@ -330,7 +274,7 @@ def json_candidates(flat: DataFrame) -> DataFrame:
     """Lyric-like texts in the structured data of scripts: under a key, along a path, or as an array of lines."""
     rows = scripts(flat).withColumn("script", F.to_json(F.struct("page_id", "ld", "id")))
     values = json_values(rows, "script", "raw").withColumn("text", t.lyrics_normalized(F.col("value"))).where(lyric_like(F.col("text")))
-    of = F.from_json("script", "page_id long, ld boolean, id string")
+    of = F.from_json("script", f"page_id {flat.schema['page_id'].dataType.simpleString()}, ld boolean, id string")
     values = values.withColumns({"page_id": of["page_id"], "ld": of["ld"], "id": of["id"]})
     path = lambda rx: F.col("path").rlike(f"(?i){rx}")
     key = F.when(F.col("name").rlike(r"(?i)^(?:lyrics?|lyric_text|song_text|songtext|letra|letras|verses?)$"), 18.0).when(F.col("name").rlike(r"(?i)(?:^|_)(?:lyrics?|lyric_text|song_text|songtext|letra|letras|verses?|content)(?:$|_)"), 8.0)
@@ -359,25 +303,27 @@ def deduped(candidates: DataFrame) -> DataFrame:
 
 
 def near_merged(candidates: DataFrame, least: float = 0.86) -> DataFrame:
-    """The candidates of each page without those alike to a better one, which gains by the agreement.
+    """The candidates of each page without those alike to a better one that stays, which gains by the agreement.
 
-    Texts of a page that share a line are compared by line containment and length. A row is taken
-    by the best row it is alike to that is not itself taken, as far as three links lead.
+    Candidates are taken in order of score, then fingerprint: one stays unless it is alike to one that
+    stays before it, and the first such one takes it. Alike means line containment and ratio of lengths
+    together; only candidates that share a line are compared.
     """
-    rows = candidates.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "print")))
+    rows = staged(candidates.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "print"))))
     ls = rows.select("page_id", "place", "parser", "method", "source", F.length("text").alias("chars"), q.canonical_lines(F.col("text")).alias("ls")).where(F.size("ls") >= 2)
-    side = lambda x: ls.select("page_id", *[F.col(c).alias(f"{c}_{x}") for c in ls.columns if c != "page_id"])
+    lines = ls.select("page_id", "place", "chars", F.size("ls").alias("n"), F.explode(F.transform("ls", lambda x: F.xxhash64(x))).alias("line"))
+    side = lambda df, x: df.select("page_id", *([] if "line" not in df.columns else ["line"]), *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c not in ("page_id", "line")])
     ratio = F.least("chars_a", "chars_b") / F.greatest("chars_a", "chars_b")
-    both = side("a").join(side("b"), "page_id").where((F.col("place_a") < F.col("place_b")) & (ratio >= 0.55))
-    alike = F.size(F.array_intersect("ls_a", "ls_b")) / F.least(F.size("ls_a"), F.size("ls_b")) * 0.82 + ratio * 0.18
+    met = side(lines, "a").join(side(lines, "b"), ["page_id", "line"]).where((F.col("place_a") < F.col("place_b")) & (ratio >= 0.55))
+    shared = met.groupBy("page_id", "place_a", "place_b", "chars_a", "chars_b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    alike = shared.where(F.col("shared") / F.least("n_a", "n_b") * 0.82 + ratio * 0.18 >= least)
+    of = ls.select("page_id", "place", "parser", "method", "source")
     agree = lambda c: F.col(f"{c}_a") != F.col(f"{c}_b")
-    links = staged(both.where(alike >= least).select("page_id", F.col("place_a").alias("a"), F.col("place_b").alias("b"), agree("parser").alias("parsers"), (agree("method") | agree("source")).alias("extractors")))
-    taken = links.select("page_id", F.col("b").alias("place")).distinct()
-    for _ in range(2):  # rows taken only by taken ones stay
-        free = links.join(taken.select("page_id", F.col("place").alias("a")), ["page_id", "a"], "left_anti")
-        taken = free.select("page_id", F.col("b").alias("place")).distinct()
-    gain = links.join(taken.select("page_id", F.col("place").alias("a")), ["page_id", "a"], "left_anti").groupBy("page_id", F.col("a").alias("place")).agg(F.max("parsers").alias("p"), F.max("extractors").alias("e"))
-    kept = rows.join(taken, ["page_id", "place"], "left_anti").join(gain, ["page_id", "place"], "left")
+    both = alike.select("page_id", "place_a", "place_b").join(side(of, "a"), ["page_id", "place_a"]).join(side(of, "b"), ["page_id", "place_b"])
+    links = staged(both.select("page_id", F.col("place_a").alias("a"), F.col("place_b").alias("b"), agree("parser").alias("parsers"), (agree("method") | agree("source")).alias("extractors")))
+    taken = linkage.absorbed(links, ["page_id"])
+    gain = taken.join(links, ["page_id", "a", "b"]).groupBy("page_id", F.col("a").alias("place")).agg(F.max("parsers").alias("p"), F.max("extractors").alias("e"))
+    kept = rows.join(taken.select("page_id", F.col("b").alias("place")), ["page_id", "place"], "left_anti").join(gain, ["page_id", "place"], "left")
     more = lambda flag, has, by: F.when(F.coalesce(F.col(flag), F.lit(False)) & ~F.col(has), by).otherwise(0)
     raised = F.least(F.lit(140.0), F.col("score") + more("p", "parsers", 7) + more("e", "extractors", 6))
     flags = {"parsers": F.col("parsers") | F.coalesce("p", F.lit(False)), "extractors": F.col("extractors") | F.coalesce("e", F.lit(False))}
@@ -387,17 +333,21 @@ def near_merged(candidates: DataFrame, least: float = 0.86) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """Best text of each page with its method, score and confidence, or the reason for none.
 
-    Pages whose best text is weak get one more candidate, all their usable blocks.
+    Pages whose best text is weak get one more candidate, all their usable blocks. Rows that repeat an id are
+    pages of their own; a null or empty page has no candidate.
     """
+    given = keyed(pages)
+    pages = given.select(F.col("key").alias("page_id"), "html").dropDuplicates(["page_id"])
     flat = staged(nodes(pages))
-    parts = [density_blocks(flat), semantic_blocks(flat), block_clusters(flat), readability(flat), json_candidates(flat), regex_containers(pages), quoted_props(pages), flight_chunks(pages), alternate_markup(pages)]
+    of = staged(runs(flat))
+    parts = [density_blocks(flat, of), semantic_blocks(flat), block_clusters(flat, of), readability(flat, of), json_candidates(flat), regex_containers(pages), quoted_props(pages), flight_chunks(pages), alternate_markup(pages)]
     all_ = parts[0]
     for p in parts[1:]:
         all_ = all_.unionByName(p)
     all_ = staged(scored(all_))
     first = q.with_quality(all_.select("page_id", "text", "link_chars", "score"), "text", F.col("link_chars"))
     good = first.withColumn("ok", (F.col("quality") >= 56) & (F.col("confidence") >= 0.58)).groupBy("page_id").agg(F.max_by("ok", F.struct("score", F.length("text"))).alias("ok")).where("ok").select("page_id")
-    all_ = all_.unionByName(scored(baseline_rescue(flat).join(good, "page_id", "left_anti")))
+    all_ = all_.unionByName(scored(baseline_rescue(flat, of).join(good, "page_id", "left_anti")))
     best = near_merged(staged(deduped(all_))).withColumn("lines", F.size(q.lines(F.col("text"))))
     w = Window.partitionBy("page_id").orderBy(F.desc("score"), F.desc("lines"), "print")
     best = best.withColumn("r", F.row_number().over(w)).withColumn("merged", F.count("*").over(Window.partitionBy("page_id"))).where("r = 1")
@@ -408,4 +358,5 @@ def extract(pages: DataFrame) -> DataFrame:
     signals = F.array_compact(F.array(F.when(F.col("parsers"), F.lit("multi-parser-consensus")), F.when(F.col("extractors"), F.lit("cross-extractor-consensus"))))
     warnings = F.array_compact(F.array(F.when(F.col("anti_bot"), F.lit("anti-bot-page-detected")), F.when(F.col("quality") < 42, F.lit("low-content-quality"))))
     final = q.final_confidence(F.col("confidence"), signals, warnings, F.col("method"))
-    return out.select("page_id", reason.alias("rejected"), F.when(reason.isNull(), F.col("text")).alias("text"), "method", F.round("score", 2).alias("score"), F.when(reason.isNull(), final).alias("confidence"), F.col("merged").alias("candidates"))
+    out = out.select(F.col("page_id").alias("key"), reason.alias("rejected"), F.when(reason.isNull(), F.col("text")).alias("text"), "method", F.round("score", 2).alias("score"), F.when(reason.isNull(), final).alias("confidence"), F.col("merged").alias("candidates"))
+    return given.select("key", "page_id").join(out, "key").drop("key")

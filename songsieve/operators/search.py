@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from songsieve.functions import quality as q
 from songsieve.functions import similarity as sim
 from songsieve.functions import text as t
+from songsieve.sources.tables import staged
 
 
 def words_holding(parts: DataFrame, words: DataFrame) -> DataFrame:
@@ -42,31 +43,45 @@ def phrase_matches(queries: DataFrame, docs: DataFrame, least: int = 8) -> DataF
     return near.select("item_id", "doc_id", F.instr("norm", F.col("phrase")).alias("place")).where("place > 0")
 
 
+def postings(docs: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, line, part) wherever a word of a text's line holds a wanted part, and (part, n), how often words hold it.
+
+    The texts' distinct words are compared with the parts; the texts themselves only as numbers of lines.
+    """
+    lines = docs.select("doc_id", F.posexplode(q.lines(F.col("text"))).alias("line", "raw"))
+    words = lines.select("doc_id", "line", F.explode(F.array_distinct(F.split(t.normalized(F.col("raw")), " "))).alias("word")).where("word <> ''")
+    vocabulary = staged(words.groupBy("word").agg(F.count("*").alias("n")))
+    holds = staged(words_holding(parts, vocabulary))
+    common = holds.join(vocabulary, "word").groupBy("part").agg(F.sum("n").alias("n"))
+    return staged(words.join(holds, "word").select("doc_id", "line", "part").distinct()), common
+
+
 def excerpt_matches(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, doc_id, score, coverage, ordered, exact, start, size): texts that hold a passage, with its best window.
 
-    A text that holds it has a given share of the passage's terms, parts of words included, so it
-    holds one of the longest few; texts meet passages on those.
+    A window of four lines that fits holds a given share of the passage's terms, parts of words included, so
+    also one of its few rarest; texts meet passages on those. Which windows hold enough of the terms is told
+    by the lines' numbers alone; only texts with such a window are read again and scored.
     """
     asked = queries.select("item_id", F.col("text").alias("query"), t.search_terms(F.col("text")).alias("terms")).where("size(terms) > 0")
     n = F.size("terms")
     share = F.when(n <= 2, 1.0).when(n == 3, 0.78).otherwise(0.66)
-    by_length = F.transform(F.array_sort(F.transform("terms", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda s: s["w"])
-    keys = asked.select("item_id", F.explode(F.slice(by_length, F.lit(1), (n - F.ceil(n * share - 1e-9) + 1).cast("int"))).alias("part"))
-    held = docs.select("doc_id", F.explode(F.array_distinct(F.split(t.normalized(F.col("text")), " "))).alias("word"))
+    asked = asked.withColumn("least", F.ceil(n * share - 1e-9))
+    terms = asked.select("item_id", "least", n.alias("n"), F.explode("terms").alias("part"))
+    held, common = postings(docs, terms)
+    rarity = F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("common", F.lit(0)), "part"))
+    ranked = terms.join(common.select("part", F.col("n").alias("common")), "part", "left").withColumn("rarity", rarity)
+    keys = ranked.where(F.col("rarity") <= F.col("n") - F.col("least") + 1).select("item_id", "part")
+    pairs = held.select("doc_id", "part").distinct().join(keys, "part").select("item_id", "doc_id").distinct()
+    lines = pairs.join(terms.select("item_id", "least", "part"), "item_id").join(held, ["doc_id", "part"])
+    starts = lines.select("item_id", "doc_id", "least", "part", F.explode(F.sequence(F.greatest(F.lit(0), F.col("line") - 3), F.col("line"))).alias("start")).distinct()
+    fits = starts.groupBy("item_id", "doc_id", "least", "start").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("least")).select("item_id", "doc_id").distinct()
     spark = docs.sparkSession
     # pairs of ids are small, what is done for each is not: they are dealt to as many tasks as there may be
     tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pairs = keys.join(words_holding(keys, held), "part").join(held, "word").select("item_id", "doc_id").distinct().repartition(tasks)
-    few = asked.select("item_id", t.normalized(F.col("query")).alias("asked"), "terms", F.ceil(n * share - 1e-9).alias("least"))
-    rows = pairs.join(few, "item_id").join(docs.select("doc_id", "text"), "doc_id").withColumn("norm", F.explode(F.array(t.normalized(F.col("text")))))
-    # made once by a generator, not inside the filter for every term; no window holds more of the terms than the whole text
-    rows = rows.where(F.size(F.filter("terms", lambda w: F.contains(F.col("norm"), w))) >= F.col("least"))
-    rows = rows.select("item_id", "doc_id", "asked", "terms", "least", F.explode(F.array(q.lines(F.col("text")))).alias("ls"))
-    # nor does a window hold a term that none of its lines holds
-    rows = rows.withColumn("held", F.explode(F.array(F.transform(F.transform("ls", lambda x: t.normalized(x)), lambda x: F.filter("terms", lambda w: F.contains(x, w))))))
-    most = F.array_max(F.transform(F.sequence(F.lit(1), F.size("held")), lambda i: F.size(F.array_distinct(F.flatten(F.slice("held", i, F.lit(4)))))))
-    rows = rows.where((F.size("held") > 0) & (most >= F.col("least"))).select("item_id", "doc_id", "asked", "terms", "ls")
+    few = asked.select("item_id", t.normalized(F.col("query")).alias("asked"), "terms")
+    rows = staged(fits).repartition(tasks).join(few, "item_id").join(docs.select("doc_id", "text"), "doc_id")
+    rows = rows.select("item_id", "doc_id", "asked", "terms", F.explode(F.array(q.lines(F.col("text")))).alias("ls"))
     found = sim.with_best_window(rows, "m", "ls", "asked", "terms").where("m.matched")
     return found.select("item_id", "doc_id", "m.score", "m.coverage", "m.ordered", "m.exact", "m.start", "m.size")
 
@@ -87,17 +102,30 @@ def catalog_score(query: Column, title: Column, artist: Column, place: Column, h
     return F.lit(82) - F.least(place, F.lit(20)) + bonus + F.when(has_lyrics, 4).otherwise(0)
 
 
+def _near_terms(query: Column, context: Column) -> tuple[Column, Column, Column]:
+    """A query's terms, how many of them are around a link, and how many are asked for there."""
+    terms = t.search_terms(query, 18)
+    n = F.size(terms)
+    around = F.size(F.filter(terms, lambda w: F.contains(t.search_normalized(context), w)))
+    return terms, around, F.when(n >= 5, F.least(F.lit(3), F.ceil(n * 0.35))).otherwise(1)
+
+
+def context_suffices(context: Column, query: Column) -> Column:
+    """Whether what is around a link holds enough of a query's terms to be shown for it."""
+    _, around, least = _near_terms(query, context)
+    return around >= least
+
+
 def anchor_score(label: Column, path: Column, context: Column, query: Column) -> Column:
     """Score of a result page's link for a query, null where too few of its terms are near: all but ``query`` are texts.
 
     With five terms and more, a link whose own words hold none needs a third of them, three at most, around it.
     """
-    terms, own, around = t.search_terms(query, 18), t.search_normalized(F.concat_ws(" ", label, path)), t.search_normalized(context)
-    count = lambda c: F.size(F.filter(terms, lambda w: F.contains(c, w)))
-    n = F.size(terms)
-    least = F.when(n >= 5, F.least(F.lit(3), F.ceil(n * 0.35))).otherwise(1)
-    score = F.lit(54) + count(own) * 9 + count(around) * 6 + F.when((count(own) == n) & (n > 0), 14).otherwise(0)
-    return F.when((n == 0) | (count(own) > 0) | (count(around) >= least), score)
+    terms, around, least = _near_terms(query, context)
+    n, own = F.size(terms), t.search_normalized(F.concat_ws(" ", label, path))
+    held = F.size(F.filter(terms, lambda w: F.contains(own, w)))
+    score = F.lit(54) + held * 9 + around * 6 + F.when((held == n) & (n > 0), 14).otherwise(0)
+    return F.when((n == 0) | (held > 0) | (around >= least), score)
 
 
 def query_variants(queries: DataFrame, key: str, most: int = 5) -> DataFrame:

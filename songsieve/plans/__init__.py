@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["texts", "traffic", "screen", "search", "catalog", "page_texts", "links"]
+MODULES = ["texts", "traffic", "screen", "search", "catalog", "page_texts", "links", "cards"]
 
 
 def _modules():

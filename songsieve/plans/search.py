@@ -43,8 +43,6 @@ QUERIES["same_song"] = lambda spark, d: pairs(spark, d).select("a", "b", F.round
 ORACLES["same_song"] = f"SELECT a, b, round({duck.dice('na', 'nb')} * 0.72 + {duck.dice(chr(39) + 'brand a' + chr(39), chr(39) + 'brand b' + chr(39))} * 0.28, 6)::DOUBLE AS confidence FROM {PAIRS}"
 QUERIES["request_match"] = lambda spark, d: pairs(spark, d).select("a", "b", sim.matches_request(F.col("ta"), F.lit(""), F.col("tb"), F.lit("x")).alias("matches"))
 ORACLES["request_match"] = f"SELECT a, b, {duck.dice('nb', 'na')} >= 0.72 AS matches FROM {PAIRS}"
-QUERIES["fuzzy_dupes"] = lambda spark, d: linkage.dice_pairs(titles(spark, d), "id", "title", 0.86).groupBy("b").agg(F.min("a").alias("absorbed_by"))
-ORACLES["fuzzy_dupes"] = f"SELECT b.id AS b, min(a.id) AS absorbed_by FROM {NT} a JOIN {NT} b ON a.id < b.id WHERE {duck.dice('a.n', 'b.n')} >= 0.86 GROUP BY b.id"
 QUERIES["token_coverage"] = lambda spark, d: read(spark, d, "documents").select("doc_id", F.round(sim.term_coverage(t.normalized(F.col("text")), t.search_terms(F.lit("idiot the heart, of erst tion"))), 6).alias("coverage"))
 ORACLES["token_coverage"] = f"SELECT doc_id, round(len(list_filter(['idiot', 'heart', 'erst', 'tion'], lambda w: contains({duck.norm('text')}, w))) / 4.0::DOUBLE, 6)::DOUBLE AS coverage FROM documents"
 QUERIES["ordered_coverage"] = lambda spark, d: read(spark, d, "documents").select("doc_id", F.round(sim.ordered_coverage(t.normalized(F.col("text")), t.search_terms(F.lit("erst tion heen that"))), 6).alias("coverage"))
@@ -157,6 +155,31 @@ QUERIES["dedupe_results"] = dedupe_results
 IDENT = rf"trim(regexp_replace({duck.norm('p_name')}, '\b(ao vivo|live|lyrics|letra|official|video oficial|clipe oficial)\b', '', 'g')) || '|' || trim(regexp_replace({duck.norm('p_brand')}, '\b(feat|ft)\b.*$', '', 'g'))"
 ORACLES["dedupe_results"] = f"""WITH r AS (SELECT p_partkey AS id, {IDENT} AS identity, CASE WHEN p_partkey % 3 <> 0 THEN p_type END AS album, p_partkey % 3 AS source, p_size AS score FROM part)
  SELECT arg_max(id, (score, -id)) AS id, identity, arg_max(album, (score, -id)) FILTER (WHERE album IS NOT NULL) AS album, string_agg(DISTINCT CAST(source AS VARCHAR), ',' ORDER BY CAST(source AS VARCHAR)) AS sources, max(score) AS score, count(*) AS members FROM r GROUP BY identity"""
+
+
+def best_of_each(spark, d):
+    """The best record of each title and artist, some without their album."""
+    best = keyed(spark, d).groupBy("identity").agg(F.min(F.struct((-F.col("score")).alias("s"), "id", "title", "artist", "album", "source", "score")).alias("b"))
+    return best.select("b.id", "b.title", "b.artist", F.when(F.col("b.id") % 3 != 0, F.col("b.album")).alias("album"), F.col("b.source").alias("sources"), "b.score")
+
+
+def fuzzy_dupes(spark, d):
+    """Records of one song by alike titles and artists, taken in order of score: the one that stays, its blanks filled, sources united."""
+    out = linkage.fuzzy_merged(best_of_each(spark, d), ["album"], ["sources"], ["score"])
+    return out.select("id", "title", "artist", "album", F.array_join(F.transform("sources", lambda x: x.cast("string")), ",").alias("sources"), "score", "members")
+
+
+QUERIES["fuzzy_dupes"] = fuzzy_dupes
+#: Rows in order, one after the other: a row is kept unless a kept one before it is the same song.
+ORACLES["fuzzy_dupes"] = f"""WITH RECURSIVE i AS (SELECT p_partkey AS id, p_name AS title, p_brand AS artist, p_type AS album, p_partkey % 3 AS source, p_size AS score, {IDENT} AS identity FROM part),
+ e AS (SELECT arg_max(i, (score, -id)) AS r FROM i GROUP BY identity), o AS (SELECT row_number() OVER (ORDER BY r.score DESC, r.id) AS k, r.id AS id, r.title AS title, r.artist AS artist, CASE WHEN r.id % 3 <> 0 THEN r.album END AS album, r.source AS source, r.score AS score, {duck.norm('r.title')} AS nt, {duck.norm('r.artist')} AS na FROM e),
+ u AS (SELECT DISTINCT nt AS n FROM o), v AS (SELECT DISTINCT na AS n FROM o), tp AS (SELECT a.n AS x, b.n AS y, {duck.dice('a.n', 'b.n')} AS s FROM u a, u b), ap AS (SELECT a.n AS x, b.n AS y, {duck.dice('a.n', 'b.n')} AS s FROM v a, v b),
+ l AS (SELECT p.k AS a, q.k AS b FROM o p JOIN tp ON tp.x = p.nt JOIN ap ON ap.x = p.na JOIN o q ON q.nt = tp.y AND q.na = ap.y AND p.k < q.k WHERE tp.s * 0.72 + ap.s * 0.28 >= 0.90),
+ near AS (SELECT b, list(a) AS near FROM l GROUP BY b),
+ s(k, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT s.k + 1, CASE WHEN len(list_intersect(kept, near)) > 0 THEN kept ELSE list_append(kept, s.k + 1) END FROM s LEFT JOIN near ON near.b = s.k + 1 WHERE s.k < (SELECT count(*) FROM o)),
+ kept AS (SELECT unnest(kept) AS k FROM s WHERE k = (SELECT count(*) FROM o)),
+ g AS (SELECT o.*, coalesce((SELECT min(l.a) FROM l JOIN kept ON kept.k = l.a WHERE l.b = o.k AND o.k NOT IN (SELECT k FROM kept)), o.k) AS leader FROM o)
+ SELECT arg_min(id, k) AS id, arg_min(title, k) AS title, arg_min(artist, k) AS artist, arg_min(album, k) FILTER (WHERE album IS NOT NULL) AS album, string_agg(DISTINCT CAST(source AS VARCHAR), ',' ORDER BY CAST(source AS VARCHAR)) AS sources, max(score) AS score, count(*) AS members FROM g GROUP BY leader"""
 QUERIES["dedupe_best"] = lambda spark, d: keyed(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("identity").orderBy(F.desc("score"), "id"))).where("r = 1").select("id", "identity")
 ORACLES["dedupe_best"] = f"SELECT arg_max(p_partkey, (p_size, -p_partkey)) AS id, {IDENT} AS identity FROM part GROUP BY 2"
 QUERIES["variant_union"] = lambda spark, d: s.top(records(spark, d).dropDuplicates(["title", "artist"]).groupBy("artist", "title").agg(F.lit(1).alias("x")), "artist", [F.col("title")], 4).select("artist", "title", "rank")

@@ -21,6 +21,7 @@ and null ids, are rows of their own; empty tables give no rows; other columns do
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections import Counter
@@ -42,31 +43,44 @@ LONGEST = 5
 #: Bits of the bitmap of each length, a power of two.
 FILTER_BITS = 1 << 24
 #: Bytes of text that a task looks at together, and phrases that it counts before it hands them on.
-CHUNK_BYTES, COUNTED = 1 << 20, 200_000
+CHUNK_BYTES, COUNTED = 1 << 20, 300_000
 #: Parts of a language's phrases that are ranked apart before the last ranking.
 SALTS = 64
 
-#: A byte that UTF-8 never holds marks the ends of pieces.
-MARK = b"\xff"
-_CUT = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", MARK * 10)
 COUNTS = "lang string, k int, phrase string, n long"
-
-
-def tokens(text: str | None) -> list[bytes]:
-    """Words of a text, with a mark at the end of each piece."""
-    return [*(text or "").encode().lower().translate(_CUT).replace(MARK, b" \xff ").split(), MARK]
-
-
-class _Hashes(dict):
-    """64-bit hashes of words; long words are not kept."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= 200_000:
-                self.clear()
-            self[word] = h
-        return h
+#: A-Z lowered, ends of pieces as line ends, tabs as spaces.
+_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
+#: An odd number whose powers weigh the bytes of a word.
+_WEIGHT = 0x9E3779B97F4A7C15
+
+
+class _Words:
+    """The words of texts by their places in one string of bytes: one space between words, line ends around pieces."""
+
+    def __init__(self, texts: list[bytes | None]):
+        data = b"\n" + b"\n".join(t or b"" for t in texts).translate(_PLAIN) + b"\n"
+        self.data = re.sub(rb" {2,}", b" ", data) if b"  " in data else data
+        at = np.frombuffer(self.data, np.uint8)
+        gap = (at == 32) | (at == 10)
+        edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        self.starts, self.ends = edges[0::2], edges[1::2]
+        self.piece = np.cumsum(at == 10, dtype=np.int32)[self.starts]
+
+    def hashes(self) -> np.ndarray:
+        """64-bit hashes of the words, made of their bytes."""
+        at, n = np.frombuffer(self.data, np.uint8), len(self.starts)
+        powers = np.cumprod(np.full(int((self.ends - self.starts).max(initial=1)), _WEIGHT, np.uint64))
+        out = np.zeros(n, np.uint64)
+        for cut in range(0, n, 1 << 17):  # so that a long text needs no more memory
+            starts, sizes = self.starts[cut : cut + (1 << 17)], (self.ends - self.starts)[cut : cut + (1 << 17)]
+            first = np.cumsum(sizes) - sizes
+            inside = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+            values = at[np.repeat(starts, sizes) + inside]
+            out[cut : cut + (1 << 17)] = np.add.reduceat((values.astype(np.uint64) + np.uint64(1)) * powers[inside], first)
+        return (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+    def phrases(self, at: np.ndarray, k: int) -> list[bytes]:
+        return [self.data[i:j] for i, j in zip(self.starts[at].tolist(), self.ends[at + k - 1].tolist(), strict=True)]
 
 
 def _longer(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -96,20 +110,20 @@ class _Phrases:
     """Where phrases whose parts have reached the threshold stand in a list of words."""
 
     def __init__(self, now: np.ndarray, old: np.ndarray):
-        self.now, self.old, self.hashes = now, old, _Hashes()
+        self.now, self.old = now, old
 
-    def places(self, lang: str, words: list[bytes], items: np.ndarray, top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def places(self, lang: str, words: _Words, top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(k, places, let in) for k up to ``top``: where both parts of a phrase of k words are in the bitmap, and whether they were a cycle ago."""
-        each = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
-        at = np.flatnonzero(np.array(items != MARK, bool))
-        phrase = _longer(_start(lang), each[at])
+        each = words.hashes()
+        at = np.arange(len(each))
+        phrase = _longer(_start(lang), each)
         before = np.ones(len(at), bool)
         for k in range(2, top + 1):
             reached = _holds(self.now[k - 2], phrase)
             at, phrase, before = at[reached], phrase[reached], before[reached]
             before &= _holds(self.old[k - 2], phrase)
-            # both parts: a reached phrase at this place and at the next
-            pair = np.flatnonzero(at[1:] == at[:-1] + 1)
+            # both parts: a reached phrase at this place and at the next, in one piece
+            pair = np.flatnonzero((at[1:] == at[:-1] + 1) & (words.piece[at[1:]] == words.piece[at[:-1]]))
             before = before[pair] & before[pair + 1]
             at, phrase = at[pair], phrase[pair]
             yield k, at, before
@@ -123,19 +137,16 @@ class _Count:
         self.phrases, self.levels = phrases, levels
         self.found: dict[tuple[str, int], Counter] = {}
 
-    def add(self, lang: str, words: list[bytes]) -> None:
+    def add(self, lang: str, texts: list[bytes | None]) -> None:
+        words = _Words(texts)
         if 1 in self.levels:
-            got = Counter(words)
-            del got[MARK]
-            self._of(lang, 1).update(got)
-            self._of(lang, 0)[b""] += sum(got.values())
+            self._of(lang, 1).update(words.data.split())
+            self._of(lang, 0)[b""] += len(words.starts)
         if max(self.levels) < 2:
             return
-        items = np.array(words, object)
-        for k, at, before in self.phrases.places(lang, words, items, max(self.levels)):
+        for k, at, before in self.phrases.places(lang, words, max(self.levels)):
             if k in self.levels:
-                due = at[~before]
-                self._of(lang, k).update(map(b" ".join, zip(*[items[due + j] for j in range(k)], strict=True)))
+                self._of(lang, k).update(words.phrases(at[~before], k))
 
     def _of(self, lang: str, k: int) -> Counter:
         return self.found.setdefault((lang, k), Counter())
@@ -155,50 +166,56 @@ def _unpacked(filters) -> _Phrases:
     return _Phrases(*[np.frombuffer(zlib.decompress(x), np.uint8).reshape(rows, -1) for rows, x in filters.value])
 
 
+def _chunks(batches, fields: int) -> Iterator[tuple[tuple, list[bytes | None]]]:
+    """The texts of a task by language and further fields, about ``CHUNK_BYTES`` at once, one text at least."""
+    held: dict[tuple, list] = {}
+    size = 0
+    for batch in batches:
+        keys = zip(*[batch.column(i).to_pylist() for i in range(fields)], strict=True)
+        for key, text in zip(keys, batch.column(fields).cast(pa.binary()), strict=True):
+            text = text.as_py()
+            held.setdefault(key, []).append(text)
+            size += len(text or b"")
+            if size >= CHUNK_BYTES:
+                yield from held.items()
+                held, size = {}, 0
+    yield from held.items()
+
+
 def _scan(shard: DataFrame, filters, levels: list[int]) -> DataFrame:
     """Counts of the active phrases of the given lengths in a shard; length 0 counts all words."""
 
     def run(batches):
-        count, held, size = _Count(_unpacked(filters), levels), {}, 0
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
-                held.setdefault(lang, []).extend(tokens(text))
-                size += len(text or "")
-                if size >= CHUNK_BYTES:
-                    for name, words in held.items():
-                        count.add(name, words)
-                    held, size = {}, 0
-                    if count.full():
-                        yield from count.drained()
-        for name, words in held.items():
-            count.add(name, words)
+        count = _Count(_unpacked(filters), levels)
+        for (lang,), texts in _chunks(batches, 1):
+            count.add(lang, texts)
+            if count.full():
+                yield from count.drained()
         yield from count.drained()
 
     return shard.select("lang", "text").mapInArrow(trimmed(run), COUNTS)
 
 
 def _pruned(table: DataFrame, filters, k: int) -> DataFrame:
-    """The shards with only the stretches of words that may hold phrases of more than k words, once all of k words are known."""
+    """The shards with only the stretches of words that may hold phrases of more than k words, once all of k words are known.
+
+    Which document a stretch is from does not matter any more; texts are put together.
+    """
 
     def run(batches):
         phrases = _unpacked(filters)
-        for batch in batches:
-            langs, texts, shards = [], [], []
-            for lang, text, shard in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                words = tokens(text.as_py())
-                items = np.array(words, object)
-                *_, (_, at, _) = phrases.places(lang, words, items, k + 1)
-                if len(at):
-                    change = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + k + 1, minlength=len(words) + 1)
-                    kept = np.flatnonzero(np.cumsum(change)[: len(words)] > 0)
-                    stretches = np.split(items[kept], np.flatnonzero(np.diff(kept) > 1) + 1)
-                    langs.append(lang)
-                    texts.append(b"\n".join(map(b" ".join, stretches)).decode())
-                    shards.append(shard)
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.string()), pa.array(shards, pa.int32())], names=["lang", "text", "shard"])
-
-    return _dealt(table.mapInArrow(trimmed(run), "lang string, text string, shard int"))
+        for (lang, shard), texts in _chunks(batches, 2):
+            words = _Words(texts)
+            *_, (_, at, _) = phrases.places(lang, words, k + 1)
+            if len(at):
+                n = len(words.starts) + 1
+                kept = np.flatnonzero(np.cumsum(np.bincount(at, minlength=n) - np.bincount(at + k + 1, minlength=n))[:-1] > 0)
+                cuts = np.flatnonzero((np.diff(kept) > 1) | (np.diff(words.piece[kept]) != 0))
+                first, last = kept[np.append(0, cuts + 1)], kept[np.append(cuts, len(kept) - 1)]
+                text = b"\n".join([words.data[i:j] for i, j in zip(words.starts[first].tolist(), words.ends[last].tolist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([text.decode()], pa.string()), pa.array([shard], pa.int32())], names=["lang", "text", "shard"])
+
+    return _dealt(table.select("lang", "shard", "text").mapInArrow(trimmed(run), "lang string, text string, shard int"))
 
 
 def _bits(reached: DataFrame, filter_bits: int) -> DataFrame:
@@ -207,9 +224,9 @@ def _bits(reached: DataFrame, filter_bits: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             df = batch.to_pandas()
-            hashes, parts = _Hashes(), []
+            parts = []
             for (lang, k), group in df.groupby(["lang", "k"]):
-                words = np.array([[hashes[w] for w in p.encode().split(b" ")] for p in group["phrase"]], np.uint64)
+                words = _Words([p.encode() for p in group["phrase"]]).hashes().reshape(-1, k)
                 h = np.repeat(_start(lang), len(words))
                 for j in range(k):
                     h = _longer(h, words[:, j])

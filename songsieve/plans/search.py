@@ -264,5 +264,14 @@ QUERIES["resolve_song"] = resolve_song
 ORACLES["resolve_song"] = f"""SELECT a, b, CAST(rank AS INTEGER) AS rank, round(confidence, 6)::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY confidence DESC, b) AS rank FROM (SELECT a, b, {duck.dice('na', 'nb')} * 0.72 + 0.28 AS confidence FROM {PAIRS}) WHERE confidence >= 0.54) WHERE rank <= 2"""
 QUERIES["union_sources"] = lambda spark, d: read(spark, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")).unionByName(read(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")), allowMissingColumns=True)
 ORACLES["union_sources"] = "SELECT s_name AS name, s_nationkey AS nation, NULL::VARCHAR AS segment FROM supplier UNION ALL SELECT c_name, NULL, c_mktsegment FROM customer"
-QUERIES["ordered_distinct"] = lambda spark, d: read(spark, d, "lineitem").groupBy("l_partkey").agg(F.min(F.struct("l_orderkey", "l_linenumber", "l_returnflag")).alias("f"), F.count_distinct("l_returnflag").alias("n")).select("l_partkey", F.col("f.l_returnflag").alias("first_seen"), "n")
+
+
+def ordered_distinct(spark, d):
+    """The flag that each part was first seen with, and how many it has; of lines that are equal in order and number the first of the table counts."""
+    lines = read(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_returnflag", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    seen = lines.groupBy("l_partkey").agg(F.min(F.struct("l_orderkey", "l_linenumber", "file", "row", "l_returnflag")).alias("f"), F.count_distinct("l_returnflag").alias("n"))
+    return seen.select("l_partkey", F.col("f.l_returnflag").alias("first_seen"), "n")
+
+
+QUERIES["ordered_distinct"] = ordered_distinct
 ORACLES["ordered_distinct"] = "SELECT l_partkey, arg_min(l_returnflag, (l_orderkey, l_linenumber)) AS first_seen, count(DISTINCT l_returnflag) AS n FROM lineitem GROUP BY l_partkey"

@@ -5,51 +5,62 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from songsieve.functions.text import comparable, normalized, search_terms
+from songsieve.functions.text import comparable, let, normalized, search_terms
 
 
 def bigrams(n: Column) -> Column:
-    """Consecutive character pairs of a text of at least two characters."""
-    return F.when(F.length(n) >= 2, F.transform(F.sequence(F.lit(1), F.length(n) - 1), lambda i: F.substring(n, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    """Consecutive character pairs of a text, none where it has fewer than two characters."""
+    return F.regexp_extract_all(n, F.lit(r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(..))"), F.lit(1))
 
 
 def dice(left: Column, right: Column, normal: bool = False) -> Column:
-    """Dice coefficient of the bigram multisets of two titles or names (``normal``: already in normal form)."""
-    a, b = (left, right) if normal else (normalized(left), normalized(right))
-    ga, gb = bigrams(a), bigrams(b)
-    count = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
-    overlap = F.aggregate(F.array_distinct(ga), F.lit(0), lambda s, g: s + F.least(count(ga, g), count(gb, g)))
+    """Dice coefficient of the bigram multisets of two titles or names (``normal``: already in normal form).
+
+    Both forms and their bigrams are made once a pair; only bigrams that both sides repeat are counted.
+    """
+    if not normal:
+        return let(normalized(left), lambda a: let(normalized(right), lambda b: dice(a, b, normal=True)))
+    a, b = left, right
+    count = lambda grams, g: F.size(grams) - F.size(F.array_remove(grams, g))
+    single = lambda grams: F.size(F.array_distinct(grams)) == F.size(grams)
+
+    def overlap(ga: Column, gb: Column) -> Column:
+        each = lambda common: F.aggregate(common, F.lit(0), lambda s, g: s + F.least(count(ga, g), count(gb, g)))
+        return let(F.array_intersect(ga, gb), lambda common: F.when(single(ga) | single(gb), F.size(common)).otherwise(each(common)))
+
+    shared = let(bigrams(a), lambda ga: let(bigrams(b), lambda gb: 2.0 * overlap(ga, gb) / (F.size(ga) + F.size(gb))))
     contained = F.contains(a, b) | F.contains(b, a)
-    return (
-        F.when((a == "") | (b == ""), 0.0)
-        .when(a == b, 1.0)
-        .when((F.length(a) < 3) | (F.length(b) < 3), F.when(contained, 0.85).otherwise(0.0))
-        .otherwise(2.0 * overlap / (F.size(ga) + F.size(gb)))
-    )
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when((F.length(a) < 3) | (F.length(b) < 3), F.when(contained, 0.85).otherwise(0.0)).otherwise(shared)
 
 
 def term_coverage(text: Column, terms: Column) -> Column:
-    """Share of the terms that the normal text holds as substrings."""
-    held = F.size(F.filter(terms, lambda t: F.contains(text, t)))
+    """Share of the terms that the normal text holds as substrings; the text is made once."""
+    held = let(text, lambda whole: F.size(F.filter(terms, lambda t: F.contains(whole, t))))
     return F.when(F.size(terms) > 0, held / F.size(terms)).otherwise(0.0)
 
 
 def ordered_coverage(text: Column, terms: Column) -> Column:
-    """Share of the terms found from left to right, each after the one before."""
-    tokens = F.filter(F.split(text, " "), lambda t: t != "")
+    """Share of the terms found from left to right, each after the one before; the text is split once."""
+
+    def found(tokens: Column) -> Column:
+        def step(acc: Column, term: Column) -> Column:
+            rest = F.slice(tokens, acc["cursor"] + 1, F.greatest(F.lit(0), F.size(tokens) - acc["cursor"]))
+            hit = F.array_position(F.transform(rest, lambda t: F.contains(t, term) | F.contains(term, t)), F.lit(True)).cast("int")
+            return let(hit, lambda at: F.struct((acc["cursor"] + at).alias("cursor"), (acc["found"] + (at > 0).cast("int")).alias("found")))
 
-    def step(acc: Column, term: Column) -> Column:
-        hit = F.transform(tokens, lambda t, i: F.when((i >= acc["cursor"]) & (F.contains(t, term) | F.contains(term, t)), i))
-        first = F.array_min(hit)
-        return F.struct(F.coalesce(first + 1, acc["cursor"]).alias("cursor"), (acc["found"] + first.isNotNull().cast("int")).alias("found"))
+        zero = F.struct(F.lit(0).alias("cursor"), F.lit(0).alias("found"))
+        return F.aggregate(terms, zero, step, lambda acc: acc["found"] / F.size(terms))
 
-    zero = F.struct(F.lit(0).alias("cursor"), F.lit(0).alias("found"))
-    return F.when(F.size(terms) > 0, F.aggregate(terms, zero, step, lambda acc: acc["found"] / F.size(terms))).otherwise(0.0)
+    return F.when(F.size(terms) > 0, let(F.array_remove(F.split(text, " "), ""), found)).otherwise(0.0)
 
 
 def title_similarity(left: Column, right: Column) -> Column:
     """1 for equal titles, the ratio of lengths for contained ones, else the overlap of words; version words do not count."""
-    a, b = comparable(left), comparable(right)
+    return let(comparable(left), lambda a: let(comparable(right), lambda b: comparable_similarity(a, b)))
+
+
+def comparable_similarity(a: Column, b: Column) -> Column:
+    """The same of two titles in comparable form."""
     wa, wb = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
     return (
         F.when((a == "") | (b == ""), 0.0)
@@ -85,8 +96,9 @@ def with_best_window(rows: DataFrame, out: str, lines: str, asked: str, terms: s
     """
     ls, asked_, terms_ = F.col(lines), F.col(asked), F.col(terms)
     n = F.size(ls)
-    sizes = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), n - i + 1)), lambda s: F.struct(i.alias("start"), s.alias("size"), normalized(F.array_join(F.slice(ls, i, s), " ")).alias("n")))
-    windows = F.when((asked_ != "") & (F.size(terms_) > 0) & (n > 0), F.flatten(F.transform(F.sequence(F.lit(1), n), sizes)))
+    # a window's normal form is that of its lines, each made once, joined
+    windows_of = lambda plain: F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), n - i + 1)), lambda s: F.struct(i.alias("start"), s.alias("size"), F.array_join(F.array_remove(F.slice(plain, i, s), ""), " ").alias("n")))))
+    windows = F.when((asked_ != "") & (F.size(terms_) > 0) & (n > 0), let(F.transform(ls, normalized), windows_of))
 
     def figures(w: Column) -> Column:
         exact = (F.length(asked_) >= 8) & F.contains(w["n"], asked_)

@@ -11,7 +11,7 @@ from songsieve.functions import text as t
 from songsieve.operators import linkage
 from songsieve.operators import search as s
 from songsieve.plans import duck
-from songsieve.sources.tables import read, records
+from songsieve.sources.tables import read, records, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -45,7 +45,7 @@ QUERIES["request_match"] = lambda spark, d: pairs(spark, d).select("a", "b", sim
 ORACLES["request_match"] = f"SELECT a, b, {duck.dice('nb', 'na')} >= 0.72 AS matches FROM {PAIRS}"
 QUERIES["token_coverage"] = lambda spark, d: read(spark, d, "documents").select("doc_id", F.round(sim.term_coverage(t.normalized(F.col("text")), t.search_terms(F.lit("idiot the heart, of erst tion"))), 6).alias("coverage"))
 ORACLES["token_coverage"] = f"SELECT doc_id, round(len(list_filter(['idiot', 'heart', 'erst', 'tion'], lambda w: contains({duck.norm('text')}, w))) / 4.0::DOUBLE, 6)::DOUBLE AS coverage FROM documents"
-QUERIES["ordered_coverage"] = lambda spark, d: read(spark, d, "documents").select("doc_id", F.round(sim.ordered_coverage(t.normalized(F.col("text")), t.search_terms(F.lit("erst tion heen that"))), 6).alias("coverage"))
+QUERIES["ordered_coverage"] = lambda spark, d: spread(read(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.round(sim.ordered_coverage(t.normalized(F.col("text")), t.search_terms(F.lit("erst tion heen that"))), 6).alias("coverage"))
 
 
 def queries_of_nations(spark, d):

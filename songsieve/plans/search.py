@@ -104,7 +104,7 @@ def relevance(r, query, want_artist):
 
 
 def intent_rank(spark, d):
-    r = records(spark, d).withColumn("nt", t.normalized(F.col("title"))).withColumn("na", t.normalized(F.col("artist")))
+    r = spread(records(spark, d), "id").withColumn("nt", t.normalized(F.col("title"))).withColumn("na", t.normalized(F.col("artist")))
     want = F.when(F.col("id") % 4 == 0, F.col("na")).when(F.col("id") % 4 == 1, "brand").when(F.col("id") % 4 == 2, "bran 99").otherwise("")
     return r.select("id", F.round(relevance(r, F.lit("royal green"), want), 4).alias("relevance"))
 

@@ -43,7 +43,7 @@ QUERIES["same_song"] = lambda spark, d: pairs(spark, d).select("a", "b", F.round
 ORACLES["same_song"] = f"SELECT a, b, round({duck.dice('na', 'nb')} * 0.72 + {duck.dice(chr(39) + 'brand a' + chr(39), chr(39) + 'brand b' + chr(39))} * 0.28, 6)::DOUBLE AS confidence FROM {PAIRS}"
 QUERIES["request_match"] = lambda spark, d: pairs(spark, d).select("a", "b", sim.matches_request(F.col("ta"), F.lit(""), F.col("tb"), F.lit("x")).alias("matches"))
 ORACLES["request_match"] = f"SELECT a, b, {duck.dice('nb', 'na')} >= 0.72 AS matches FROM {PAIRS}"
-QUERIES["token_coverage"] = lambda spark, d: read(spark, d, "documents").select("doc_id", F.round(sim.term_coverage(t.normalized(F.col("text")), t.search_terms(F.lit("idiot the heart, of erst tion"))), 6).alias("coverage"))
+QUERIES["token_coverage"] = lambda spark, d: spread(read(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.round(sim.term_coverage(t.normalized(F.col("text")), t.search_terms(F.lit("idiot the heart, of erst tion"))), 6).alias("coverage"))
 ORACLES["token_coverage"] = f"SELECT doc_id, round(len(list_filter(['idiot', 'heart', 'erst', 'tion'], lambda w: contains({duck.norm('text')}, w))) / 4.0::DOUBLE, 6)::DOUBLE AS coverage FROM documents"
 QUERIES["ordered_coverage"] = lambda spark, d: spread(read(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.round(sim.ordered_coverage(t.normalized(F.col("text")), t.search_terms(F.lit("erst tion heen that"))), 6).alias("coverage"))
 

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from songsieve.functions import quality as q
 from songsieve.functions import similarity as sim
 from songsieve.functions import text as t
+from songsieve.operators import discography
+from songsieve.operators import pages as p
 from songsieve.plans import page_texts, search
 from songsieve.sources.tables import spread
 
@@ -60,3 +62,17 @@ def test_a_filter_on_a_score_does_not_make_it_again(spark):
 def test_heavy_rows_are_dealt_to_all_tasks(spark):
     df = spark.range(1000).select(F.col("id").alias("doc_id")).coalesce(1)
     assert spread(df, "doc_id").rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_a_title_is_compared_in_one_form(spark):
+    df = docs(spark, "The River (Ao Vivo)")
+    assert plan(df.select(sim.title_similarity(F.col("text"), F.lit("the river")).alias("s"))).count("translate(") <= 4
+    titles = discography._titles(df.select("doc_id", F.col("text").alias("title")), "doc_id")
+    like = titles.select(discography._like("titles", F.lit("x").substr(F.lit(1), F.col("doc_id")), 0.9).alias("like"))
+    assert plan(like).count("translate(") <= 4  # once each for the title and the text, with and without entities
+
+
+def test_json_values_tell_where_objects_begin(spark):
+    df = spark.createDataFrame([(1, '{"a": "x", "b": {"c": ["y", "z"], "d": {"e": "w"}}}', "k")], "id int, raw string, base string")
+    rows = p.json_values(df, "id", "raw", keep=("base",)).orderBy("place").collect()
+    assert [(r.base, r.path, r.place, list(r.begins)) for r in rows if not r.joined] == [("k", "$.a", 0, [0]), ("k", "$.b.c[0]", 2, [0, 1, 1]), ("k", "$.b.c[1]", 3, [0, 1, 1]), ("k", "$.b.d.e", 4, [0, 1, 4])]

@@ -76,3 +76,9 @@ def test_json_values_tell_where_objects_begin(spark):
     df = spark.createDataFrame([(1, '{"a": "x", "b": {"c": ["y", "z"], "d": {"e": "w"}}}', "k")], "id int, raw string, base string")
     rows = p.json_values(df, "id", "raw", keep=("base",)).orderBy("place").collect()
     assert [(r.base, r.path, r.place, list(r.begins)) for r in rows if not r.joined] == [("k", "$.a", 0, [0]), ("k", "$.b.c[0]", 2, [0, 1, 1]), ("k", "$.b.c[1]", 3, [0, 1, 1]), ("k", "$.b.d.e", 4, [0, 1, 4])]
+
+
+def test_pages_are_read_once(spark):
+    pages = spark.createDataFrame([(1, "u", "<article>" + "<p>line of a song here,</p>" * 9 + "</article>")], "page_id long, url string, html string")
+    for out in (p.density_blocks(p.nodes(pages)), p.readability(p.nodes(pages))):
+        assert "MapInArrow" not in plan(out) and out.count() > 0

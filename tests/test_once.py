@@ -82,3 +82,12 @@ def test_pages_are_read_once(spark):
     pages = spark.createDataFrame([(1, "u", "<article>" + "<p>line of a song here,</p>" * 9 + "</article>")], "page_id long, url string, html string")
     for out in (p.density_blocks(p.nodes(pages)), p.readability(p.nodes(pages))):
         assert "MapInArrow" not in plan(out) and out.count() > 0
+
+
+def test_windows_take_their_lines_made_normal_once(spark):
+    df = docs(spark, "The River!\n***\nof erst, tion\nlast line").select("doc_id", F.split("text", "\n").alias("ls"), F.lit("river of erst tion").alias("asked"), t.search_terms(F.lit("river of erst tion")).alias("terms"))
+    out = sim.with_best_window(df, "m", "ls", "asked", "terms")
+    made = plan(out)
+    assert "array_join(array_remove(slice(" in made or "array_join(filter(slice(" in made
+    m = out.select("m.*").first()
+    assert (m.start, m.size, m.exact, m.matched) == (1, 3, True, True)

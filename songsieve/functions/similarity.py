@@ -40,16 +40,26 @@ def term_coverage(text: Column, terms: Column) -> Column:
 
 
 def ordered_coverage(text: Column, terms: Column) -> Column:
-    """Share of the terms found from left to right, each after the one before; the text is split once."""
+    """Share of the terms found from left to right, each after the one before: in a word of the text, or a word in the term.
+
+    The text is searched as a string. Words that lie in a term are picked from its distinct words once, so work
+    grows with the text and not with words times terms.
+    """
 
     def found(tokens: Column) -> Column:
+        within = F.filter(F.array_distinct(tokens), lambda t: F.contains(F.array_join(terms, " "), t))
+        return let(F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")), lambda line: let(within, lambda short: walk(line, short)))
+
+    def walk(line: Column, short: Column) -> Column:
         def step(acc: Column, term: Column) -> Column:
-            rest = F.slice(tokens, acc["cursor"] + 1, F.greatest(F.lit(0), F.size(tokens) - acc["cursor"]))
-            hit = F.array_position(F.transform(rest, lambda t: F.contains(t, term) | F.contains(term, t)), F.lit(True)).cast("int")
-            return let(hit, lambda at: F.struct((acc["cursor"] + at).alias("cursor"), (acc["found"] + (at > 0).cast("int")).alias("found")))
+            after = lambda part: F.nullif(F.position(part, line, acc["cursor"]), F.lit(0))
+            words = F.transform(F.filter(short, lambda t: F.contains(term, t)), lambda t: after(F.concat(F.lit(" "), t, F.lit(" "))))
+            # the cursor is the blank after the word that was found
+            to = lambda at: F.struct(F.when(at.isNull(), acc["cursor"]).otherwise(F.position(F.lit(" "), line, at)).alias("cursor"), (acc["found"] + at.isNotNull().cast("int")).alias("found"))
+            return let(F.least(after(term), F.array_min(words) + 1), to)
 
-        zero = F.struct(F.lit(0).alias("cursor"), F.lit(0).alias("found"))
-        return F.aggregate(terms, zero, step, lambda acc: acc["found"] / F.size(terms))
+        zero = F.struct(F.lit(1).alias("cursor"), F.lit(0).alias("found"))
+        return F.when(line.isNotNull(), F.aggregate(terms, zero, step, lambda acc: acc["found"] / F.size(terms)))
 
     return F.when(F.size(terms) > 0, let(F.array_remove(F.split(text, " "), ""), found)).otherwise(0.0)
 
@@ -86,42 +96,63 @@ def matches_request(want_title: Column, want_artist: Column, title: Column, arti
     )
 
 
-def with_best_window(rows: DataFrame, out: str, lines: str, asked: str, terms: str) -> DataFrame:
+def once(rows: DataFrame, name: str, column: Column) -> DataFrame:
+    """The rows with a column behind a generator, so that no later column makes it again."""
+    return rows.withColumn(name, F.explode(F.array(column)))
+
+
+def with_best_window(rows: DataFrame, out: str, lines: str, asked: str, terms: str, only_matched: bool = False) -> DataFrame:
     """The rows with the window of one to four lines that fits a passage best, as a struct column
     (score, coverage, ordered, exact, start, size, matched).
 
     The named columns hold a text's lines and the passage's normal form and terms. Null where there
-    are no terms or no lines; windows of equal score go by place and size. The likeness of letters
-    adds 0.10 at most, so it is only looked at in windows that far from the best without it.
+    are no terms or no lines; windows of equal score go by place and size. Terms are words of the
+    passage, so a window holds those that its lines hold, told once a line, and one with the whole
+    passage holds all. Order and likeness add 0.42 at most, so they are only looked at in windows
+    whose coverage is that near to the best. ``only_matched`` drops rows without a match, most before that.
     """
     ls, asked_, terms_ = F.col(lines), F.col(asked), F.col(terms)
-    n = F.size(ls)
+    n, many = F.size(ls), F.size(terms_)
     # a window's normal form is that of its lines, each made once, joined
-    windows_of = lambda plain: F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), n - i + 1)), lambda s: F.struct(i.alias("start"), s.alias("size"), F.array_join(F.array_remove(F.slice(plain, i, s), ""), " ").alias("n")))))
-    windows = F.when((asked_ != "") & (F.size(terms_) > 0) & (n > 0), let(F.transform(ls, normalized), windows_of))
-
-    def figures(w: Column) -> Column:
-        exact = (F.length(asked_) >= 8) & F.contains(w["n"], asked_)
-        return F.struct(w["start"].alias("start"), w["size"].alias("size"), w["n"].alias("n"), term_coverage(w["n"], terms_).alias("coverage"), ordered_coverage(w["n"], terms_).alias("ordered"), exact.alias("exact"))
+    places = F.sequence(F.lit(1), many)
+    hits = F.transform("__n", lambda x: F.filter(places, lambda i: F.contains(x, F.element_at(terms_, i))))
+    span = lambda i, s: F.struct(i.alias("start"), s.alias("size"), (F.size(F.array_distinct(F.flatten(F.slice("__h", i, s)))) / many).alias("coverage"))
+    windows = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), n - i + 1)), lambda s: span(i, s))))
 
     def partial(w: Column) -> Column:
-        compact = F.least(F.lit(1.0), F.length(asked_) / F.greatest(F.length(w["n"]), F.length(asked_)))
-        return F.struct((F.when(w["exact"], 1.25).otherwise(0.0) + w["coverage"] * 0.62 + w["ordered"] * 0.28 + compact * 0.04).alias("score"), w.alias("w"))
-
-    def whole(x: Column) -> Column:
-        w = x["w"]
-        return F.struct((x["score"] + dice(w["n"], asked_, normal=True) * 0.10).alias("score"), (-w["start"]).alias("before"), (-w["size"]).alias("short"), w["coverage"].alias("coverage"), w["ordered"].alias("ordered"), w["exact"].alias("exact"))
-
-    made = rows.withColumn("__w", windows).withColumn("__f", F.transform("__w", figures)).withColumn("__p", F.transform("__f", partial))
-    made = made.withColumn("__top", F.array_max(F.transform("__p", lambda x: x["score"])))
+        return let(F.array_join(F.array_remove(F.slice("__n", w["start"], w["size"]), ""), " "), lambda text: figures(w, text))
+
+    def figures(w: Column, text: Column) -> Column:
+        exact = (F.length(asked_) >= 8) & F.contains(text, asked_)
+        compact = F.least(F.lit(1.0), F.length(asked_) / F.greatest(F.length(text), F.length(asked_)))
+        made = let(ordered_coverage(text, terms_), lambda o: F.struct((F.when(exact, 1.25).otherwise(0.0) + w["coverage"] * 0.62 + o * 0.28 + compact * 0.04).alias("score"), o.alias("ordered")))
+        return let(made, lambda m: F.struct(m["score"].alias("score"), w["start"].alias("start"), w["size"].alias("size"), text.alias("n"), w["coverage"].alias("coverage"), m["ordered"].alias("ordered"), exact.alias("exact")))
+
+    def whole(w: Column) -> Column:
+        return F.struct((w["score"] + dice(w["n"], asked_, normal=True) * 0.10).alias("score"), (-w["start"]).alias("before"), (-w["size"]).alias("short"), w["coverage"].alias("coverage"), w["ordered"].alias("ordered"), w["exact"].alias("exact"))
+
+    highest = lambda c, k: F.array_max(F.transform(c, lambda x: x[k]))
+    # each step is a column of its own, made once a row
+    made = rows.withColumn("__n", F.when((asked_ != "") & (many > 0) & (n > 0), F.transform(ls, normalized)))
+    least = F.when(many <= 2, 1.0).when(many == 3, 0.78).otherwise(0.66)
+    for name, column in (
+        ("__h", hits), ("__w", F.when(F.col("__n").isNotNull(), windows)), ("__c", highest("__w", "coverage")),
+        ("__p", F.transform(F.filter("__w", lambda w: w["coverage"] == F.col("__c")), partial)), ("__s", highest("__p", "score")),
+        ("__q", F.transform(F.filter("__w", lambda w: (w["coverage"] < F.col("__c")) & (w["coverage"] * 0.62 + 0.42 >= F.col("__s") - 1e-9)), partial)),
+    ):
+        made = once(made, name, column)
+        if only_matched and name == "__c":  # a window with the whole passage holds all of its terms
+            made = made.where(F.col("__c") >= least)
+    made = once(made, "__p", F.concat("__p", "__q"))
+    made = made.withColumn("__top", highest("__p", "score"))
     made = made.withColumn("__b", F.array_max(F.transform(F.filter("__p", lambda x: x["score"] >= F.col("__top") - 0.1), whole)))
     # a generator, so that filters on the result are not pushed below and the windows made again for them
     made = made.withColumn("__best", F.explode(F.array("__b")))
     b = F.col("__best")
-    least = F.when(F.size(terms_) <= 2, 1.0).when(F.size(terms_) == 3, 0.78).otherwise(0.66)
     matched = b["exact"] | (b["coverage"] >= least) & (b["ordered"] >= F.greatest(F.lit(0.55), least - 0.08))
     best = F.struct(*[b[c].alias(c) for c in ("score", "coverage", "ordered", "exact")], (-b["before"]).alias("start"), (-b["short"]).alias("size"), matched.alias("matched"))
-    return made.withColumn(out, F.when(b.isNotNull(), best)).drop("__w", "__f", "__p", "__top", "__b", "__best")
+    made = made.where(matched) if only_matched else made
+    return made.withColumn(out, F.when(b.isNotNull(), best)).drop("__n", "__h", "__w", "__c", "__p", "__s", "__q", "__top", "__b", "__best")
 
 
 __all__ = ["bigrams", "dice", "matches_request", "ordered_coverage", "same_song", "search_terms", "term_coverage", "title_similarity", "with_best_window"]

@@ -53,6 +53,11 @@ def queries_of_nations(spark, d):
     return titles(spark, d).select(F.col("id").alias("query_id"), F.element_at(F.split(t.normalized(F.col("title")), " "), 1).alias("query"))
 
 
+def once_each(asked):
+    """Each distinct query with the smallest id that asks it."""
+    return asked.groupBy("query").agg(F.min("query_id").alias("query_id"))
+
+
 def met(asked, r):
     """Queries with the records that hold them; they meet on the query's longest word, which may be part of a record's word."""
     held = r.select("id", F.explode(F.array_distinct(F.concat(F.split("nt", " "), F.split("na", " "), F.split("ny", " ")))).alias("word"))
@@ -64,8 +69,11 @@ def met(asked, r):
 def search_local(spark, d):
     """Best records for each query."""
     r = records(spark, d).select("id", t.normalized(F.col("title")).alias("nt"), t.normalized(F.col("artist")).alias("na"), t.normalized(F.col("album")).alias("ny"))
-    scored = met(queries_of_nations(spark, d), r).withColumn("score", s.local_score(F.col("query"), F.col("nt"), F.col("na"), F.col("ny"), F.array("ny")))
-    return s.top(scored.where("score > 0"), "query_id", [F.desc("score"), F.col("id")], 12).select("query_id", "id", "rank", F.round("score", 4).alias("score"))
+    asked = queries_of_nations(spark, d)
+    # titles that begin with one word ask the same: its list is made once and given to each
+    scored = met(once_each(asked), r).withColumn("score", s.local_score(F.col("query"), F.col("nt"), F.col("na"), F.col("ny"), F.array("ny")))
+    best = s.top(scored.where("score > 0"), "query", [F.desc("score"), F.col("id")], 12).select("query", "id", "rank", F.round("score", 4).alias("score"))
+    return asked.join(best, "query").select("query_id", "id", "rank", "score")
 
 
 QUERIES["search_local"] = search_local
@@ -128,8 +136,7 @@ def search_ranked(spark, d):
     """The final list of each query: records of one title and artist are one, by relevance, cut."""
     once = records(spark, d).groupBy("title", "artist").agg(F.min("id").alias("id"), F.max("score").alias("score"), F.max("album").alias("album"))
     r = once.select("id", "score", "album", t.normalized(F.col("title")).alias("nt"), t.normalized(F.col("artist")).alias("na"), F.lit("").alias("ny"))
-    asked = queries_of_nations(spark, d).groupBy("query").agg(F.min("query_id").alias("query_id"))
-    hits = met(asked, r)
+    hits = met(once_each(queries_of_nations(spark, d)), r)
     hits = hits.withColumn("relevance", F.round(relevance(hits, F.col("query"), None), 4))
     return s.ranked(hits.select("query_id", "id", "relevance"), "query_id", 12).select("query_id", "id", "rank")
 

@@ -5,6 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 from songsieve.functions import similarity as sim
+from songsieve.functions import text as t
+from songsieve.operators import linkage
+from songsieve.sources.tables import staged
 
 
 def ordered(text: str, terms: list[str]) -> float:
@@ -29,3 +32,20 @@ def test_ordered_coverage_of_a_long_text_is_no_search_of_all_words_for_each_term
     df = spark.createDataFrame([(text, [f"q{i}" for i in range(300)] + ["last"])] * 8, "text string, terms array<string>")
     plan = df.select(sim.ordered_coverage(F.col("text"), F.col("terms")).alias("c"))
     assert {round(r.c * 301) for r in plan.collect()} == {1}
+
+
+def test_texts_are_cut_into_lines_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(linkage, "staged", lambda df: written.append(df) or staged(df))
+    texts = ["\n".join(f"shared line number {j} of the text" for j in range(i, i + 12)) for i in (0, 1, 40)] + [None, "one line"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    out = linkage.line_pairs(df, "id", "text", 0.86)
+    assert [(r.a, r.b) for r in out.collect()] == [(0, 1)]
+    assert "Á" not in out._jdf.queryExecution().optimizedPlan().toString() and len(written) == 2  # accents are taken off before the rows are written, only there
+
+
+def test_normal_form_equals_the_two_steps_it_replaces(spark):
+    texts = ["", None, " a  b\t\n", "Ação!--É x", "\u000b1 a_b", "é́Z"]
+    two = lambda c: F.trim(F.regexp_replace(F.regexp_replace(t.unaccented(F.lower(F.coalesce(c, F.lit("")))), r"[^a-z0-9\s]", " "), r"\s+", " "))
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select(t.normalized(F.col("x")).alias("one"), two(F.col("x")).alias("two"))
+    assert all(r.one == r.two for r in rows.collect())

@@ -4,9 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from songsieve.functions import quality as q
 from songsieve.functions import similarity as sim
 from songsieve.functions import text as t
-from songsieve.operators import linkage
+from songsieve.operators import linkage, pages
 from songsieve.sources.tables import staged
 
 
@@ -49,3 +50,14 @@ def test_normal_form_equals_the_two_steps_it_replaces(spark):
     two = lambda c: F.trim(F.regexp_replace(F.regexp_replace(t.unaccented(F.lower(F.coalesce(c, F.lit("")))), r"[^a-z0-9\s]", " "), r"\s+", " "))
     rows = spark.createDataFrame([(x,) for x in texts], "x string").select(t.normalized(F.col("x")).alias("one"), two(F.col("x")).alias("two"))
     assert all(r.one == r.two for r in rows.collect())
+
+
+def test_quality_of_candidates_is_told_once(spark, monkeypatch):
+    calls = []
+    plain = q.with_quality
+    monkeypatch.setattr(q, "with_quality", lambda *args: calls.append(1) or plain(*args))
+    lines = "<br>".join(f"the river number {i} sings of the light" for i in range(12))
+    df = spark.createDataFrame([(1, f"<html><body><article><p>{lines}</p></article></body></html>"), (2, None)], "page_id long, html string")
+    got = {r.page_id: r for r in pages.extract(df).collect()}
+    assert len(calls) == 3  # of all candidates, of the rescued and of the winners
+    assert got[2].rejected == "no-candidate" and len(got[1].text.split("\n")) == 12

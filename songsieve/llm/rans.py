@@ -52,11 +52,16 @@ class Tokens:
     """
 
     def __init__(self, path: str, dtype: str, end: int):
+        import json
         import re
 
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        steps = json.loads(self.lib.to_str())
+        cut = steps["pre_tokenizer"] or {}
+        # ASCII letters and a space before them are one piece, written by the model as they are but for the space
+        self.letters = self.lib.model.tokenize if steps["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"] else None
         self.dtype, self.end = dtype, np.array([end], dtype).tobytes()
         self.rare = re.compile("[%s]" % "".join(c for c in map(chr, range(0x110000)) if c.isspace() and c not in " \n")).search
         self.cut = re.compile(r"(?<=\S) (?=\S)").split
@@ -83,7 +88,14 @@ class Tokens:
         fresh = words.difference(memo)
         bare = {w: w[:-1] for w in fresh if w[-1] in self.marks and w[:-1].isalpha()}
         wanted = {bare.get(w, w) for w in fresh}.difference(memo)
-        # most words are encoded many at once, apart by line feeds, whose id then marks the ends
+        if self.letters:
+            alone = [w for w in wanted if w.isascii() and w.isalpha()]
+            space, letters = "\u0120" * len(lead), self.letters
+            ids = [[t.id for t in letters(space + w)] for w in alone]
+            raw, ends = np.array(list(chain.from_iterable(ids)), self.dtype).tobytes(), (np.cumsum([0, *map(len, ids)]) * np.dtype(self.dtype).itemsize).tolist()
+            memo.update(zip(alone, map(lambda a, b: raw[a:b], ends, ends[1:]), strict=False))
+            wanted.difference_update(alone)
+        # most other words are encoded many at once, apart by line feeds, whose id then marks the ends
         plain = [w for w in wanted if "\n" not in w and not w[0].isspace() and not w[-1].isspace()]
         feed = np.frombuffer(self.feed, self.dtype)[0]
         for at in range(0, len(plain), 4096):

@@ -16,12 +16,14 @@ columns of the input are not read.
 
 from __future__ import annotations
 
+import codecs
 import struct
 import zlib
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,11 @@ SHARD_TOKENS = 1 << 22
 MAGIC = b"RANS0001"
 HEAD = struct.Struct("<8sIIIIQI")  # magic, docs, tokens, lanes, words, tokens before it in its shard, crc
 MEMO_WORDS = 1_500_000  # words whose ids a worker keeps
+SEPARATOR = "\0"  # between the words of a text that is cut
+LETTERS_END = "\u0250"  # letters before it are letters by any version of Unicode
+#: The character by which byte-level BPE shows each byte; a line feed stays, to tell words apart.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = "".join("\n" if b == 10 else chr(b if b in SHOWN else 256 + sum(x not in SHOWN for x in range(b))) for b in range(256))
 
 
 # ---------------------------------------------------------------- tokenizer
@@ -48,7 +55,10 @@ class Tokens:
     By byte-level BPE's splitting rule a space between two other characters always begins
     a new piece, a line feed between two others is one, and so is a mark after letters: the
     words of a text can be encoded apart. Texts are cut nowhere else, and those that spell out
-    one of the file's added tokens are encoded whole.
+    one of the file's added tokens, or hold the separator of words, are encoded whole.
+
+    A word is known by itself after a space, by a line feed and itself at the start of a line, by
+    two and itself at the start of a text; the empty word is a text's end.
     """
 
     def __init__(self, path: str, dtype: str, end: int):
@@ -60,64 +70,108 @@ class Tokens:
         self.lib = Tokenizer.from_file(path)
         steps = json.loads(self.lib.to_str())
         cut = steps["pre_tokenizer"] or {}
-        # ASCII letters and a space before them are one piece, written by the model as they are but for the space
+        # letters and a space before them are one piece, which the model takes as its bytes' characters
         self.letters = self.lib.model.tokenize if steps["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"] else None
         self.dtype, self.end = dtype, np.array([end], dtype).tobytes()
         self.rare = re.compile("[%s]" % "".join(c for c in map(chr, range(0x110000)) if c.isspace() and c not in " \n")).search
-        self.cut = re.compile(r"(?<=\S) (?=\S)").split
-        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.cut = re.compile(r"(?<=\S) (?=\S)").sub
+        self.whole = [SEPARATOR, *[t.content for t in self.lib.get_added_tokens_decoder().values()]]
         self.feed = self.ids(["\n"])[0]
         self.marks = dict(zip(",.;:!?", self.ids([*",.;:!?"]), strict=True))
-        self.tails: dict[str, bytes] = {}  # ids of words after a space
-        self.heads: dict[str, bytes] = {}  # ids of words at the start of a line
+        self.memo: dict[str, bytes] = {"": self.end}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def lines(self, t: str | None) -> list[list[str]]:
-        """The text cut at its single inner line feeds and spaces, or at single inner spaces alone."""
+    def separated(self, t: str | None) -> str:
+        """The text's words, cut at its single inner line feeds and spaces, or at single inner spaces alone."""
         if not t:
-            return []
-        odd = "  " in t or "\n " in t or " \n" in t or "\n\n" in t or self.rare(t) or t[0].isspace() or t[-1].isspace()
-        return [self.cut(t)] if odd else [line.split(" ") for line in t.split("\n")]
-
-    def learn(self, words: set[str], memo: dict[str, bytes], lead: str) -> None:
-        """Remember the ids that the words have after ``lead``."""
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        fresh = words.difference(memo)
-        bare = {w: w[:-1] for w in fresh if w[-1] in self.marks and w[:-1].isalpha()}
-        wanted = {bare.get(w, w) for w in fresh}.difference(memo)
-        if self.letters:
-            alone = [w for w in wanted if w.isascii() and w.isalpha()]
-            space, letters = "\u0120" * len(lead), self.letters
-            ids = [[t.id for t in letters(space + w)] for w in alone]
-            raw, ends = np.array(list(chain.from_iterable(ids)), self.dtype).tobytes(), (np.cumsum([0, *map(len, ids)]) * np.dtype(self.dtype).itemsize).tolist()
-            memo.update(zip(alone, map(lambda a, b: raw[a:b], ends, ends[1:]), strict=False))
-            wanted.difference_update(alone)
+            return ""
+        level = t.replace("\n", " ")
+        if "  " in level or level[0] == " " or level[-1] == " " or not level.isprintable() and self.rare(t):
+            return f"\n\n{self.cut(SEPARATOR, t)}{SEPARATOR}"
+        if level is not t and "\n" in t:
+            level = t.replace("\n", " \n")
+        return f"\n\n{level.replace(' ', SEPARATOR)}{SEPARATOR}"
+
+    def learn(self, words: list[str], place: str) -> None:
+        """Remember the ids of distinct words at a ``place``: what stands before a word there, by which it is known."""
+        memo, lead, marks = self.memo, "" if place else " ", self.marks
+        letters = [w for w in words if w.isalpha()]
+        others = [w for w in words if not w.isalpha()] if len(letters) < len(words) else []
+        marked = [w for w in others if w[-1] in marks and w[:-1].isalpha()]
+        if marked:
+            bare = {w[:-1] for w in marked}
+            letters += [w for w in bare.difference(letters) if place + w not in memo]
+            others = list(set(others).difference(marked))
+        if not self.letters:
+            others, letters = others + letters, []
+        elif not "".join(letters).isascii():
+            alone = [w for w in letters if w.isascii() or max(w) < LETTERS_END]
+            if len(alone) < len(letters):
+                others, letters = [*others, *set(letters).difference(alone)], alone
+        if letters:
+            ids, ends, tokenize = [], [0], self.letters
+            for w in codecs.charmap_decode((lead + f"\n{lead}".join(letters)).encode(), "strict", BYTE_CHARS)[0].split("\n"):
+                ids += [t.id for t in tokenize(w)]
+                ends.append(len(ids))
+            self.keep(letters, place, np.array(ids, self.dtype), ends[:-1], ends[1:])
         # most other words are encoded many at once, apart by line feeds, whose id then marks the ends
-        plain = [w for w in wanted if "\n" not in w and not w[0].isspace() and not w[-1].isspace()]
+        plain = [w for w in others if "\n" not in w and not w[0].isspace() and not w[-1].isspace()]
         feed = np.frombuffer(self.feed, self.dtype)[0]
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
             ids = np.array(self.lib.encode_batch_fast([lead + f"\n{lead}".join(some) + "\n"], add_special_tokens=False)[0].ids, self.dtype)
-            raw, ends = ids.tobytes(), (np.flatnonzero(ids == feed) * ids.itemsize).tolist()
-            memo.update(zip(some, map(lambda a, b: raw[a:b], [0, *[e + ids.itemsize for e in ends[:-1]]], ends), strict=True))
-        rest = list(wanted.difference(plain))
-        memo.update(zip(rest, self.ids([lead + w for w in rest]), strict=True))
-        for w, b in bare.items():
-            memo[w] = memo[b] + self.marks[w[-1]]
+            ends = np.flatnonzero(ids == feed)
+            self.keep(some, place, ids, [0, *(ends[:-1] + 1)], ends)
+        rest = list(set(others).difference(plain))
+        for w, x in zip(rest, self.ids([lead + w for w in rest]), strict=True):
+            memo[place + w] = (self.feed if place == "\n" else b"") + x
+        for w in marked:
+            memo[place + w] = memo[place + w[:-1]] + marks[w[-1]]
+
+    def keep(self, words: list[str], place: str, ids: np.ndarray, starts, ends) -> None:
+        raw, wide = ids.tobytes(), ids.itemsize
+        cells = map(raw.__getitem__, map(slice, (np.array(starts) * wide).tolist(), (np.array(ends) * wide).tolist()))
+        if place:
+            before = self.feed if place == "\n" else b""
+            words, cells = [place + w for w in words], [before + x for x in cells]
+        self.memo.update(zip(words, cells, strict=True))
+
+    def cells(self, texts: list[str | None]) -> pa.Array:
+        """Each text's ids and the end id, as bytes."""
+        if not texts:
+            return pa.array([], pa.large_binary())
+        whole = [i for i, t in enumerate(texts) if t and any(a in t for a in self.whole)]
+        known = dict.fromkeys(whole, "")
+        docs = pc.split_pattern(pa.array([known[i] if i in known else self.separated(t) for i, t in enumerate(texts)], pa.large_string()), SEPARATOR)
+        words = docs.values.dictionary_encode()
+        distinct = words.dictionary  # made Python texts by one split, as single cells are slow to read
+        names = pc.binary_join(pa.ListArray.from_arrays([0, len(distinct)], distinct), pa.scalar(SEPARATOR, pa.large_string()))[0].as_py().split(SEPARATOR)
+        if len(self.memo) > MEMO_WORDS:
+            self.memo = {"": self.end}
+        got = list(map(self.memo.get, names))
+        fresh = [w for w, x in zip(names, got, strict=True) if x is None]
+        if fresh:
+            self.learn([w for w in fresh if w[0] != "\n"], "")
+            heads = [w for w in fresh if w[0] == "\n"]
+            self.learn([w[1:] for w in heads if w[1] != "\n"], "\n")
+            self.learn([w[2:] for w in heads if w[1] == "\n"], "\n\n")
+            got = list(map(self.memo.__getitem__, names))
+        # the words' ids lie one after the other, so a text's are those from its first word's start to its last one's end
+        laid = pa.array(got, pa.large_binary()).take(words.indices)
+        _, starts, raw = laid.buffers()
+        ends = np.frombuffer(starts, np.int64, len(laid) + 1)[docs.offsets.to_numpy()]
+        out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends.tobytes()), raw])
+        if not whole:
+            return out
+        cells = out.to_pylist()
+        for i, ids in zip(whole, self.ids([texts[i] for i in whole]), strict=True):
+            cells[i] = ids + self.end
+        return pa.array(cells, pa.large_binary())
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        whole = {i for i, t in enumerate(texts) if t and any(a in t for a in self.added)}
-        docs = [[] if i in whole else self.lines(t) for i, t in enumerate(texts)]
-        self.learn({line[0] for doc in docs for line in doc}, self.heads, "")
-        self.learn(set(chain.from_iterable(line[1:] for doc in docs for line in doc)), self.tails, " ")
-        head, tail, feed = self.heads, self.tails.__getitem__, self.feed
-        out = [feed.join(b"".join([head[line[0]], *map(tail, line[1:])]) for line in doc) + self.end for doc in docs]
-        for i, ids in zip(sorted(whole), self.ids([texts[i] for i in sorted(whole)]), strict=True):
-            out[i] = ids + self.end
-        return out
+        return self.cells(texts).to_pylist()
 
 
 _tokens: dict[tuple, Tokens] = {}
@@ -131,20 +185,28 @@ def worker_tokens(*args) -> Tokens:
 
 
 def tokenized(docs: DataFrame, path: str, vocabulary: int, end: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids): each text's ids and the end id, as little-endian integers of the least width."""
+    """(key, ids, counts): each text's ids and the end id, as little-endian integers of the least width.
+
+    Every task adds one row, of null key and ids, with how often it wrote each id.
+    """
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def run(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tok = worker_tokens(path, dtype, end)
+        tok, counts, names = worker_tokens(path, dtype, end), np.zeros(vocabulary, np.int64), ["key", "ids", "counts"]
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tok.batch(part.column(1).to_pylist()), pa.binary())], names=["key", "ids"])
+                cells = tok.cells(part.column(1).to_pylist())
+                _, ends, raw = cells.buffers()
+                written_ids = int(np.frombuffer(ends, np.int64)[len(cells)]) // np.dtype(dtype).itemsize
+                counts += np.bincount(np.frombuffer(raw, dtype, written_ids), minlength=vocabulary)
+                yield pa.RecordBatch.from_arrays([part.column(0), cells.cast(pa.binary()), pa.nulls(len(cells), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=names)
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(trimmed(run), "key long, ids binary")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(trimmed(run), "key long, ids binary, counts binary")
 
 
 # ---------------------------------------------------------------- coder
@@ -190,12 +252,12 @@ def encode(ids: np.ndarray, table: Table, lanes: int) -> tuple[np.ndarray, np.nd
     out, states = [None] * steps, []
     for t in range(steps - 1, -1, -1):
         s = grid[t]
-        f = table.freq[s]
-        full = x >= table.most[s]
+        f = table.freq.take(s)
+        full = x >= table.most.take(s)
         out[t] = (x[full] & word).astype("<u4")
         x = np.where(full, x >> shift, x)
         q = x // f
-        x = (q << table.precision) + (x - q * f) + table.first[s]
+        x = (q << table.precision) + (x - q * f) + table.first.take(s)
         if t % EVERY == 0:
             states.append(x)
     before = np.concatenate([[0], np.cumsum([len(w) for w in out])]).astype("<u4")
@@ -208,17 +270,20 @@ def decode(states: np.ndarray, offsets: np.ndarray, words: np.ndarray, n: int, l
     grid = np.empty((len(states), EVERY, lanes), table.symbol.dtype)
     mask, shift = np.uint64((1 << int(table.precision)) - 1), np.uint64(32)
     x, at = states.astype(np.uint64), offsets.astype(np.int64)
-    stream = np.concatenate([words, np.zeros(lanes, "<u4")])
+    stream = words.astype(np.uint64)
     for t in range(min(EVERY, steps)):
         live = np.arange(len(x)) * EVERY + t < steps
         slot = x & mask
-        s = table.symbol[slot.astype(np.int64)]
+        s = table.symbol.take(slot.view(np.int64))
         grid[:, t] = s
-        x = table.freq[s] * (x >> table.precision) + slot - table.first[s]
+        x = table.freq.take(s) * (x >> table.precision) + slot - table.first.take(s)
         need = (x < LOW) & live[:, None]
-        place = at[:, None] + np.cumsum(need, axis=1) - 1
-        x = np.where(need, (x << shift) | stream[np.where(need, place, 0)].astype(np.uint64), x)
-        at += need.sum(axis=1)
+        short, took = np.flatnonzero(need), np.count_nonzero(need, axis=1)
+        # a segment's lanes take the words that follow each other from its place
+        place = np.arange(len(short)) + np.repeat(at - np.cumsum(took) + took, took)
+        flat = x.reshape(-1)
+        flat[short] = (flat[short] << shift) | stream[place]
+        at += took
     return grid.reshape(-1, lanes)[:steps].reshape(-1)[:n]
 
 
@@ -256,24 +321,23 @@ def unpack(data: bytes, table: Table):
 
 def frequencies(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     """Counts of every id over the whole corpus; the result is bounded by the vocabulary."""
-    dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def run(batches):
         counts = np.zeros(vocabulary, np.int64)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                counts += np.bincount(np.frombuffer(b"".join(b.column(0).slice(at, 256).to_pylist()), dtype), minlength=vocabulary)
+            for x in b.column(0):
+                counts += np.frombuffer(x.as_buffer(), np.int64)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(trimmed(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = tokens.where("counts is not null").select("counts").mapInArrow(trimmed(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(vocabulary, np.int64)
     out[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
 
 
 def write_tokens(tokens: DataFrame, path: str, vocabulary: int, shards: int | None = None) -> None:
-    """Write a (key, ids) table as one block file in ascending key order; the shards follow from the tokens counted."""
+    """Write a (key, ids, counts) table as one block file in ascending key order; the shards follow from the tokens counted."""
     spark = tokens.sparkSession
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
     counts = frequencies(tokens, vocabulary)
@@ -305,7 +369,7 @@ def write_tokens(tokens: DataFrame, path: str, vocabulary: int, shards: int | No
         if keys:
             yield flush()
 
-    dealt = tokens.select("key", "ids").repartitionByRange(shards, "key").sortWithinPartitions("key", "ids")
+    dealt = tokens.where("counts is null").select("key", "ids").repartitionByRange(shards, "key").sortWithinPartitions("key", "ids")
     dealt.mapInArrow(trimmed(run), "shard int, block int, n_docs int, n_tokens long, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 

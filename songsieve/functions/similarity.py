@@ -101,7 +101,7 @@ def once(rows: DataFrame, name: str, column: Column) -> DataFrame:
     return rows.withColumn(name, F.explode(F.array(column)))
 
 
-def with_best_window(rows: DataFrame, out: str, lines: str, asked: str, terms: str, only_matched: bool = False) -> DataFrame:
+def with_best_window(rows: DataFrame, out: str, lines: str, asked: str, terms: str, only_matched: bool = False, normal: bool = False) -> DataFrame:
     """The rows with the window of one to four lines that fits a passage best, as a struct column
     (score, coverage, ordered, exact, start, size, matched).
 
@@ -109,7 +109,8 @@ def with_best_window(rows: DataFrame, out: str, lines: str, asked: str, terms: s
     are no terms or no lines; windows of equal score go by place and size. Terms are words of the
     passage, so a window holds those that its lines hold, told once a line, and one with the whole
     passage holds all. Order and likeness add 0.42 at most, so they are only looked at in windows
-    whose coverage is that near to the best. ``only_matched`` drops rows without a match, most before that.
+    whose coverage is that near to the best. ``only_matched`` drops rows without a match, most before that;
+    ``normal``: the lines are already in normal form.
     """
     ls, asked_, terms_ = F.col(lines), F.col(asked), F.col(terms)
     n, many = F.size(ls), F.size(terms_)
@@ -133,7 +134,7 @@ def with_best_window(rows: DataFrame, out: str, lines: str, asked: str, terms: s
 
     highest = lambda c, k: F.array_max(F.transform(c, lambda x: x[k]))
     # each step is a column of its own, made once a row
-    made = rows.withColumn("__n", F.when((asked_ != "") & (many > 0) & (n > 0), F.transform(ls, normalized)))
+    made = rows.withColumn("__n", F.when((asked_ != "") & (many > 0) & (n > 0), ls if normal else F.transform(ls, normalized)))
     least = F.when(many <= 2, 1.0).when(many == 3, 0.78).otherwise(0.66)
     for name, column in (
         ("__h", hits), ("__w", F.when(F.col("__n").isNotNull(), windows)), ("__c", highest("__w", "coverage")),

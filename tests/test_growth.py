@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from songsieve.functions import quality as q
 from songsieve.functions import similarity as sim
 from songsieve.functions import text as t
-from songsieve.operators import linkage, pages
+from songsieve.operators import linkage, pages, search
 from songsieve.sources.tables import staged
 
 
@@ -61,3 +61,24 @@ def test_quality_of_candidates_is_told_once(spark, monkeypatch):
     got = {r.page_id: r for r in pages.extract(df).collect()}
     assert len(calls) == 3  # of all candidates, of the rescued and of the winners
     assert got[2].rejected == "no-candidate" and len(got[1].text.split("\n")) == 12
+
+
+def shuffled(spark) -> int:
+    """Records that the session's stages have written to shuffles so far."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_passages_meet_texts_by_words_and_not_by_lines(spark):
+    words = [f"river{c}{c}stone" for c in "abcdefghijkl"]
+    texts = [(i, "\n".join([" ".join(words[:7])] * 50)) for i in range(40)] + [(40, "x\n" + " ".join(words[:9]) + "\n" + " ".join(words[9:]))]
+    docs, asked = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(words)) for i in range(5)], "item_id long, text string")
+    before, small = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as larger tables are joined
+    try:
+        got = search.excerpt_matches(asked, docs).select("item_id", "doc_id", "start", "size").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert sorted(map(tuple, got)) == [(i, 40, 2, 2) for i in range(5)]
+    assert shuffled(spark) - before < 5 * 40 * 50  # a text's lines are not dealt out for each passage

@@ -274,10 +274,14 @@ ORACLES["union_sources"] = "SELECT s_name AS name, s_nationkey AS nation, NULL::
 
 
 def ordered_distinct(spark, d):
-    """The flag that each part was first seen with, and how many it has; of lines that are equal in order and number the first of the table counts."""
+    """The flag that each part was first seen with, and how many it has; of lines that are equal in order and number the first of the table counts.
+
+    As its SQL has it, lines without a flag are not seen, and those without an order or a number come last.
+    """
     lines = read(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_returnflag", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    seen = lines.groupBy("l_partkey").agg(F.min(F.struct("l_orderkey", "l_linenumber", "file", "row", "l_returnflag")).alias("f"), F.count_distinct("l_returnflag").alias("n"))
-    return seen.select("l_partkey", F.col("f.l_returnflag").alias("first_seen"), "n")
+    order = [x for c in ("l_orderkey", "l_linenumber") for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
+    first = F.min(F.when(F.col("l_returnflag").isNotNull(), F.struct(*order, "file", "row", "l_returnflag")))
+    return lines.groupBy("l_partkey").agg(first.alias("f"), F.count_distinct("l_returnflag").alias("n")).select("l_partkey", F.col("f.l_returnflag").alias("first_seen"), "n")
 
 
 QUERIES["ordered_distinct"] = ordered_distinct

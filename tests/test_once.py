@@ -1,5 +1,6 @@
 """What is heavy is made once a row, whatever reads it, and equal rows have one outcome."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from songsieve.functions import quality as q
@@ -37,6 +38,14 @@ def test_ordered_distinct_takes_the_first_of_equal_lines(spark, tmp_path):
     assert {tuple(r) for r in search.QUERIES["ordered_distinct"](spark, d).collect()} == {(1, "R", 3), (2, "A", 2)}
 
 
+def test_ordered_distinct_sees_gaps_as_its_sql(spark, tmp_path):
+    rows = [(1, 7, 1, None), (1, 8, 1, "A"), (2, None, 1, "A"), (2, 5, 1, "R"), (3, 5, None, "A"), (3, 5, 2, "R"), (4, None, None, "X"), (5, 1, 1, None), (6, None, None, "C"), (6, None, 1, "D"), (None, 3, 1, "N")]
+    d = written(spark, tmp_path, "lineitem", rows, "l_partkey long, l_orderkey long, l_linenumber int, l_returnflag string")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{d}/lineitem.parquet/*.parquet')")
+    assert {tuple(r) for r in search.QUERIES["ordered_distinct"](spark, d).collect()} == set(con.execute(search.ORACLES["ordered_distinct"]).fetchall())
+
+
 def test_names_and_texts_are_made_normal_once(spark):
     df = docs(spark, "The river. The river of erst", None)
     for made in (sim.term_coverage, sim.ordered_coverage):

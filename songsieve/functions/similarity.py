@@ -47,21 +47,25 @@ def ordered_coverage(text: Column, terms: Column) -> Column:
     """
 
     def found(tokens: Column) -> Column:
-        within = F.filter(F.array_distinct(tokens), lambda t: F.contains(F.array_join(terms, " "), t))
-        return let(F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")), lambda line: let(within, lambda short: walk(line, short)))
+        joined = F.array_join(terms, " ")
+        within = let(joined, lambda whole: F.filter(F.array_distinct(tokens), lambda t: F.contains(whole, t)))
+        return let(F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")), lambda line: let(within, lambda short: in_order(line, short, terms)))
 
-    def walk(line: Column, short: Column) -> Column:
-        def step(acc: Column, term: Column) -> Column:
-            after = lambda part: F.nullif(F.position(part, line, acc["cursor"]), F.lit(0))
-            words = F.transform(F.filter(short, lambda t: F.contains(term, t)), lambda t: after(F.concat(F.lit(" "), t, F.lit(" "))))
-            # the cursor is the blank after the word that was found
-            to = lambda at: F.struct(F.when(at.isNull(), acc["cursor"]).otherwise(F.position(F.lit(" "), line, at)).alias("cursor"), (acc["found"] + at.isNotNull().cast("int")).alias("found"))
-            return let(F.least(after(term), F.array_min(words) + 1), to)
+    return F.when(F.size(terms) > 0, let(F.array_remove(F.split(text, " "), ""), found)).otherwise(0.0)
 
-        zero = F.struct(F.lit(1).alias("cursor"), F.lit(0).alias("found"))
-        return F.when(line.isNotNull(), F.aggregate(terms, zero, step, lambda acc: acc["found"] / F.size(terms)))
 
-    return F.when(F.size(terms) > 0, let(F.array_remove(F.split(text, " "), ""), found)).otherwise(0.0)
+def in_order(line: Column, short: Column, terms: Column) -> Column:
+    """:func:`ordered_coverage` of a text given as its words between blanks and those of them that lie in a term."""
+
+    def step(acc: Column, term: Column) -> Column:
+        after = lambda part: F.nullif(F.position(part, line, acc["cursor"]), F.lit(0))
+        words = F.transform(F.filter(short, lambda t: F.contains(term, t)), lambda t: after(F.concat(F.lit(" "), t, F.lit(" "))))
+        # the cursor is the blank after the word that was found
+        to = lambda at: F.struct(F.when(at.isNull(), acc["cursor"]).otherwise(F.position(F.lit(" "), line, at)).alias("cursor"), (acc["found"] + at.isNotNull().cast("int")).alias("found"))
+        return let(F.least(after(term), F.array_min(words) + 1), to)
+
+    zero = F.struct(F.lit(1).alias("cursor"), F.lit(0).alias("found"))
+    return F.when(line.isNotNull(), F.aggregate(terms, zero, step, lambda acc: acc["found"] / F.size(terms)))
 
 
 def title_similarity(left: Column, right: Column) -> Column:
@@ -108,8 +112,9 @@ def with_best_window(rows: DataFrame, out: str, lines: str, asked: str, terms: s
     The named columns hold a text's lines and the passage's normal form and terms. Null where there
     are no terms or no lines; windows of equal score go by place and size. Terms are words of the
     passage, so a window holds those that its lines hold, told once a line, and one with the whole
-    passage holds all. Order and likeness add 0.42 at most, so they are only looked at in windows
-    whose coverage is that near to the best. ``only_matched`` drops rows without a match, most before that;
+    passage holds all. Order and likeness add 0.42 at most, by a window's length mostly less, so they are
+    only looked at in windows whose coverage is that near to the best. ``only_matched`` drops rows without
+    a match, most before that: a match holds its share of the terms, and in order;
     ``normal``: the lines are already in normal form.
     """
     ls, asked_, terms_ = F.col(lines), F.col(asked), F.col(terms)
@@ -126,34 +131,49 @@ def with_best_window(rows: DataFrame, out: str, lines: str, asked: str, terms: s
     def figures(w: Column, text: Column) -> Column:
         exact = (F.length(asked_) >= 8) & F.contains(text, asked_)
         compact = F.least(F.lit(1.0), F.length(asked_) / F.greatest(F.length(text), F.length(asked_)))
-        made = let(ordered_coverage(text, terms_), lambda o: F.struct((F.when(exact, 1.25).otherwise(0.0) + w["coverage"] * 0.62 + o * 0.28 + compact * 0.04).alias("score"), o.alias("ordered")))
+        words = F.array_distinct(F.flatten(F.slice("__k", w["start"], w["size"])))
+        ordered = let(F.concat(F.lit(" "), text, F.lit(" ")), lambda line: let(words, lambda short: in_order(line, short, terms_)))
+        made = let(ordered, lambda o: F.struct((F.when(exact, 1.25).otherwise(0.0) + w["coverage"] * 0.62 + o * 0.28 + compact * 0.04).alias("score"), o.alias("ordered")))
         return let(made, lambda m: F.struct(m["score"].alias("score"), w["start"].alias("start"), w["size"].alias("size"), text.alias("n"), w["coverage"].alias("coverage"), m["ordered"].alias("ordered"), exact.alias("exact")))
 
     def whole(w: Column) -> Column:
         return F.struct((w["score"] + dice(w["n"], asked_, normal=True) * 0.10).alias("score"), (-w["start"]).alias("before"), (-w["size"]).alias("short"), w["coverage"].alias("coverage"), w["ordered"].alias("ordered"), w["exact"].alias("exact"))
 
+    def extra(w: Column) -> Column:
+        """The most that order, length and likeness add to a window's score."""
+        chars = F.length(F.array_join(F.array_remove(F.slice("__n", w["start"], w["size"]), ""), " "))
+        low, high = (lambda c: F.least(c, F.length(asked_))), (lambda c: F.greatest(c, F.length(asked_)))
+        like = lambda c: F.when(low(c) < 3, 1.0).otherwise(2 * low(c) / (low(c) + high(c)))
+        return let(chars, lambda c: 0.28 + F.least(F.lit(1.0), F.length(asked_) / high(c)) * 0.04 + like(c) * 0.10)
+
     highest = lambda c, k: F.array_max(F.transform(c, lambda x: x[k]))
     # each step is a column of its own, made once a row
     made = rows.withColumn("__n", F.when((asked_ != "") & (many > 0) & (n > 0), ls if normal else F.transform(ls, normalized)))
     least = F.when(many <= 2, 1.0).when(many == 3, 0.78).otherwise(0.66)
+    fits = lambda x: x["exact"] | (x["coverage"] >= least) & (x["ordered"] >= F.greatest(F.lit(0.55), least - 0.08))
+    first = least if only_matched else F.col("__c")
+    near = lambda w: (w["coverage"] < first) & (w["coverage"] * 0.62 + 0.42 >= F.col("__s") - 1e-9)
+    inner = F.transform("__n", lambda x: F.filter(F.array_distinct(F.split(x, " ")), lambda w: (w != "") & F.contains(F.col("__j"), w)))
     for name, column in (
-        ("__h", hits), ("__w", F.when(F.col("__n").isNotNull(), windows)), ("__c", highest("__w", "coverage")),
-        ("__p", F.transform(F.filter("__w", lambda w: w["coverage"] == F.col("__c")), partial)), ("__s", highest("__p", "score")),
-        ("__q", F.transform(F.filter("__w", lambda w: (w["coverage"] < F.col("__c")) & (w["coverage"] * 0.62 + 0.42 >= F.col("__s") - 1e-9)), partial)),
+        ("__h", hits), ("__w", F.when(F.col("__n").isNotNull(), windows)), ("__c", highest("__w", "coverage")), ("__j", F.array_join(terms_, " ")), ("__k", inner),
+        ("__p", F.transform(F.filter("__w", lambda w: w["coverage"] >= first), partial)), ("__s", highest("__p", "score")),
+        ("__q", F.transform(F.filter("__w", lambda w: F.when(near(w), w["coverage"] * 0.62 + extra(w) >= F.col("__s") - 1e-9).otherwise(False)), partial)),
     ):
         made = once(made, name, column)
         if only_matched and name == "__c":  # a window with the whole passage holds all of its terms
             made = made.where(F.col("__c") >= least)
+        if only_matched and name == "__p":
+            made = made.where(F.exists("__p", fits))
     made = once(made, "__p", F.concat("__p", "__q"))
     made = made.withColumn("__top", highest("__p", "score"))
     made = made.withColumn("__b", F.array_max(F.transform(F.filter("__p", lambda x: x["score"] >= F.col("__top") - 0.1), whole)))
     # a generator, so that filters on the result are not pushed below and the windows made again for them
     made = made.withColumn("__best", F.explode(F.array("__b")))
     b = F.col("__best")
-    matched = b["exact"] | (b["coverage"] >= least) & (b["ordered"] >= F.greatest(F.lit(0.55), least - 0.08))
+    matched = fits(b)
     best = F.struct(*[b[c].alias(c) for c in ("score", "coverage", "ordered", "exact")], (-b["before"]).alias("start"), (-b["short"]).alias("size"), matched.alias("matched"))
     made = made.where(matched) if only_matched else made
-    return made.withColumn(out, F.when(b.isNotNull(), best)).drop("__n", "__h", "__w", "__c", "__p", "__s", "__q", "__top", "__b", "__best")
+    return made.withColumn(out, F.when(b.isNotNull(), best)).drop("__n", "__h", "__w", "__c", "__j", "__k", "__p", "__s", "__q", "__top", "__b", "__best")
 
 
 __all__ = ["bigrams", "dice", "matches_request", "ordered_coverage", "same_song", "search_terms", "term_coverage", "title_similarity", "with_best_window"]

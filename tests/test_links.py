@@ -55,3 +55,11 @@ def test_dotted_paths(spark):
     df = spark.createDataFrame([('{"a": {"b": [1, {"c d": "x"}]}}',)], "j string")
     at = lambda path: df.select(recovery.value_at(F.col("j"), F.lit(path)).alias("v")).first().v
     assert (at("a.b.1.c d"), at("a..b.0"), at("a.z"), at(""), at("a.b")) == ("x", "1", None, None, '[1,{"c d":"x"}]')
+
+
+def test_cards_and_queries_are_read_to_their_end(spark):
+    words = [f"word{chr(97 + i)}" for i in range(20)]
+    html = f"<li><a href='/band/song.html'>My Song</a><p>{'x ' * 2000}</p><p>golden {words[19]}</p></li>"
+    df = spark.createDataFrame([(1, "https://h.example/", html, "golden"), (2, "https://h.example/", html, " ".join(words[:17]) + " song wordt my")], "page_id long, url string, html string, query string")
+    got = {r.page_id: (r.score, r.preview is not None) for r in links.result_cards(df, ["h.example"]).collect()}
+    assert got == {1: (60, True), 2: (54 + 9 * 1 + 6 * 2, False)}

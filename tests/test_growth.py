@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from songsieve.functions import quality as q
 from songsieve.functions import similarity as sim
 from songsieve.functions import text as t
-from songsieve.operators import linkage, pages, search
+from songsieve.operators import linkage, pages, search, tree
 from songsieve.sources.tables import staged
 
 
@@ -63,11 +63,11 @@ def test_quality_of_candidates_is_told_once(spark, monkeypatch):
     assert got[2].rejected == "no-candidate" and len(got[1].text.split("\n")) == 12
 
 
-def shuffled(spark) -> int:
-    """Records that the session's stages have written to shuffles so far."""
+def shuffled(spark, figure: str = "shuffleWriteRecords") -> int:
+    """Records that the session's stages have written to shuffles so far, or another figure of theirs."""
     jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
     stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
-    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+    return sum(getattr(stages.apply(i), figure)() for i in range(stages.size()))
 
 
 def test_passages_meet_texts_by_words_and_not_by_lines(spark):
@@ -82,3 +82,30 @@ def test_passages_meet_texts_by_words_and_not_by_lines(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
     assert sorted(map(tuple, got)) == [(i, 40, 2, 2) for i in range(5)]
     assert shuffled(spark) - before < 5 * 40 * 50  # a text's lines are not dealt out for each passage
+
+
+def test_texts_of_good_pages_are_written_once(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(pages, "staged", lambda df: tables.append(staged(df)) or tables[-1])
+    verses = "".join(f"<p>the river number {i} sings of the light<br>and verse {i} goes on to the sea,</p>" for i in range(30))
+    df = spark.createDataFrame([(i, f"<html><body><article class='lyrics'>{verses} song {i}</article></body></html>") for i in range(2)], "page_id long, html string")
+    assert {r.rejected for r in pages.extract(df).collect()} == {None}
+    texts = [(r.page_id, r.text) for x in tables if {"text", "print"} <= set(x.columns) for r in x.select("page_id", "text").collect()]
+    assert len(texts) == len(set(texts)) > 0
+
+
+def test_what_is_put_together_of_runs_is_not_shuffled(spark):
+    rng = random.Random(2)
+    words = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=200))
+    runs = staged(spark.createDataFrame([(1, i, 1, words()) for i in range(1, 51)], "page_id long, run int, gap int, text string"))
+    ranges = staged(spark.createDataFrame([(1, i, 1 + i % 2, 50 - i // 2 % 10) for i in range(200)], "page_id long, node int, first int, final int"))
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as larger tables are joined
+    before = shuffled(spark, "shuffleWriteBytes")
+    try:
+        got = {r.node: r.text for r in tree.with_texts(ranges, runs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    texts = [r.text for r in runs.orderBy("run").collect()]
+    assert got == {i: "\n".join(texts[i % 2 : 50 - i // 2 % 10]) for i in range(200)}
+    assert shuffled(spark, "shuffleWriteBytes") - before < 5 * 50 * 200

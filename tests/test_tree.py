@@ -117,3 +117,17 @@ def test_rows_that_repeat_an_id_are_pages_of_their_own(spark):
     df = spark.createDataFrame([(1, body("one")), (1, body("two")), (1, body("two")), (2, None), (None, "")], "page_id long, html string")
     got = sorted((r.page_id or 0, r.text.count("one"), r.text.count("two")) if r.text else (r.page_id or 0, r.rejected) for r in p.extract(df).collect())
     assert got == [(0, "no-candidate"), (1, 4, 16), (1, 4, 16), (1, 16, 4), (2, "no-candidate")]
+
+
+def test_tags_that_tell_nothing_are_not_looked_through(monkeypatch):
+    asked = []
+
+    class Selectors(dict):
+        def items(self):
+            asked.append(1)
+            return super().items()
+
+    monkeypatch.setattr(tree, "SELECTORS", Selectors(tree.SELECTORS))
+    page = tree.Flat()
+    page.read('<li><a href="/x.html">one</a><img src="i.png" alt="two"></li>' * 50 + '<p class="letra" hidden>three</p>')
+    assert len(asked) == 1 and page.rows[-2][10] == [".letra"] and page.rows[-2][14]
